@@ -1,0 +1,16 @@
+"""Severity of a log message as Column expressions."""
+from pyspark.sql import functions as F
+
+# Level keywords, most severe first.
+KEYWORDS = [
+    ("PANIC", "panic|emergency"), ("FATAL", "fatal|critical|crit"),
+    ("ERROR", "error|err|fail|failed|exception"), ("WARN", "warn|warning|wrn"),
+    ("INFO", "info|inf|notice|log"), ("DEBUG", "debug|dbg"), ("TRACE", "trace|trc"),
+]
+
+
+def level(message):
+    out = F.lit("UNKNOWN")
+    for name, words in reversed(KEYWORDS):
+        out = F.when(F.lower(message).rlike(rf"(^|[^a-z0-9_])({words})([^a-z0-9_]|$)"), name).otherwise(out)
+    return out

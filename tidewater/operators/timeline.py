@@ -1,0 +1,19 @@
+"""Fold continuation lines into entries; filters on level come after the fold."""
+from pyspark.sql import Window as W, functions as F
+
+from tidewater.functions.levels import level
+
+
+def fold(lines):
+    w = W.partitionBy("svc").orderBy("ts", "rowid")
+    field = F.col("message").rlike(r"^\s*[A-Za-z_][A-Za-z0-9_.-]*\s*[:=]\s*\S")
+    stack = F.col("message").rlike(r"^\s*(at |File |Traceback |Caused by:|\.\.\. |goroutine )")
+    d = lines.withColumn("level", level(F.col("message"))).withColumn("f", field).withColumn("s", stack)
+    sure = F.lag("rowid").over(w).isNull() | (F.col("level") != "UNKNOWN") | ~(F.col("f") | F.col("s"))
+    d = d.withColumn("sure", sure)
+    anchor = F.last(F.when(F.col("sure"), F.col("level")), ignorenulls=True).over(w)
+    d = d.withColumn("head", F.col("sure") | (F.col("s") & ~F.col("f") & ~anchor.isin("WARN", "ERROR", "FATAL", "PANIC")))
+    d = d.withColumn("entry", F.sum(F.col("head").cast("long")).over(w))
+    return d.groupBy("svc", "entry").agg(
+        F.min("rowid").alias("first_rowid"), F.min_by("level", F.struct("ts", "rowid")).alias("level"),
+        (F.count("*") - 1).alias("continuation_count"))
