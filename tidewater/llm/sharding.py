@@ -46,11 +46,8 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: str = "shard") -> DataFr
     cuts = _offsets(d.groupBy("cut_").agg(F.count("*").alias("n_")), [], "cut_").drop("n_").withColumnRenamed("cut_", "cut2_")
     d = d.join(cuts, F.col("cut_") == F.col("cut2_")).drop("cut2_")
     d = d.withColumn("g_", F.coalesce("before_", F.lit(0)) + F.row_number().over(W.partitionBy("cut_").orderBy("f_", "s_", "h_", "doc_id")) - 1)
-    shard = F.floor(F.col("g_") * shards / F.lit(max(n, 1)))
     shard = F.expr(f"CAST((g_ * {shards}) DIV {max(n, 1)} AS INT)")
     first = F.expr(f"CAST((shard * CAST({max(n, 1)} AS BIGINT) + {shards - 1}) DIV {shards} AS BIGINT)")
     d = d.withColumn("shard", shard).withColumn("slot", F.col("g_") - first)
     return d.select(*keep, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
-
-CRC_FREE_SQL = None
