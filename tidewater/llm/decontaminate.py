@@ -24,7 +24,6 @@ from .shared import inside, is_word_byte, lower_ascii, ngram_hashes, row_slices,
 WINDOW, GRAM = 13, 5
 #: Words of the benchmark that are broadcast at once: at most 32 bytes for each, so 64 MB.
 BLOCK_WORDS = 2_000_000
-SIZE = F.octet_length("text")
 FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
