@@ -3,10 +3,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, simhash
+from . import chat_format, decontaminate, embedding_dedup, language_id, mixing, sharding, simhash, substring_dedup, token_store, toxicity
 from .shared import table
 
 
+def op1_chat_format(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.conversation_digests(chat_format.format_turns(turns.unionByName(chat_format.injection_probe(spark))))
+
+
+def op2_toxicity(spark, d):
+    return toxicity.score(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op3_token_store(spark, d):
+    import public_tokenizers
+
+    store = token_store.write(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.verify(spark, store)
+
+
+def op5_projection_forest(spark, d):
+    return embedding_dedup.near_duplicates(table(spark, d, "embeddings"))
+
+
+def op4_rank_order(spark, d):
+    return language_id.predictions(table(spark, d, "documents"))
+
+
 def op6_poisson_mix(spark, d):
     return mixing.poisson_mix(table(spark, d, "documents"))
 
@@ -25,5 +49,9 @@ def op9_winnowing(spark, d):
     return decontaminate.digest(decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op6_poisson_mix, op7_stratified_shards, op8_simhash, op9_winnowing)}
-ORACLES = {"op6_poisson_mix": mixing.SQL}
+def op10_block_anchors(spark, d):
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_token_store, op5_projection_forest, op4_rank_order, op6_poisson_mix, op7_stratified_shards, op8_simhash, op9_winnowing, op10_block_anchors)}
+ORACLES = {"op1_chat_format": chat_format.SQL, "op6_poisson_mix": mixing.SQL}
