@@ -1,13 +1,87 @@
-"""Log lines derived from the `events` table."""
-from pyspark.sql import functions as F
+"""Log-shaped tables derived from the test tables, so that every operator runs on them."""
+from __future__ import annotations
 
-LINES = """
-SELECT event_id AS rowid, ts, user_id % 5 AS svc,
- CASE WHEN event_type='error' THEN 1 ELSE 0 END AS stream,
- CASE event_type WHEN 'error' THEN 'ERROR request failed' WHEN 'purchase' THEN 'level=info order placed'
-  WHEN 'signup' THEN '[WARN] new user' WHEN 'click' THEN 'target: button' ELSE 'at app.view(main)' END AS message
-FROM {events}"""
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# Message bodies by event_id % 16, with the level each must get.
+BODIES = [
+    ("ERROR request failed", "ERROR"), ('{"level":"warn","msg":"slow"}', "WARN"), ("level=info order placed", "INFO"), ("[WARN] new user", "WARN"),
+    ("user: alice", "UNKNOWN"), ("at app.view(main.py:10)", "UNKNOWN"), ("severity_number=17 boom", "ERROR"), ("I0301 10:00:00 server.go:5] started", "INFO"),
+    ("plain text nothing", "UNKNOWN"), ("Caused by: broken pipe", "UNKNOWN"), ('{"severity":"CRITICAL"} tail', "FATAL"), ("panic: runtime stop", "PANIC"),
+    ("/app/main.go:42 +0x1d", "UNKNOWN"), ("levelname=40 late", "WARN"), ("DEBUG - cache miss", "DEBUG"), ("request went through", "UNKNOWN"),
+]
 
-def log_lines(spark, sf_dir):
-    return spark.sql(LINES, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+def epoch_us():
+    """Of `ts`, which has no zone and is taken as UTC whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    body = F.element_at(F.array(*[F.lit(b) for b, _ in BODIES]), (F.col("event_id") % 16 + 1).cast("int"))
+    name = F.concat(F.lit("svc-"), (F.col("user_id") % 5).cast("string"))
+    return e.select(
+        F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"),
+        F.concat(name, F.when(F.dayofmonth("ts") > 15, "-g1").otherwise("-g0")).alias("container_id"), name.alias("name"),
+        F.concat(F.lit("p"), (F.col("user_id") % 2).cast("string")).alias("compose_project"), F.col("event_id").alias("rowid"),
+        (epoch_us() * 1000).alias("ts_ns"), F.when(F.col("event_type") == "error", 1).otherwise(0).cast("tinyint").alias("stream"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z "), body).alias("raw"),
+    )
+
+
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = log_lines(spark, sf_dir).groupBy("host", "container_id", "name")
+    return g.agg(
+        F.max("compose_project").alias("compose_project"),
+        F.floor(F.min("ts_ns") / 1_000_000).alias("first_seen_ms"), F.floor(F.max("ts_ns") / 1_000_000).alias("last_seen_ms"), F.sum(F.octet_length("raw")).alias("stored_bytes"),
+        F.coalesce(F.max(F.when(F.col("stream") == 0, F.col("ts_ns"))), F.lit(0)).alias("stdout_wm_ns"), F.coalesce(F.max(F.when(F.col("stream") == 1, F.col("ts_ns"))), F.lit(0)).alias("stderr_wm_ns"),
+    ).withColumns({"removed_ms": F.when(F.col("container_id").endswith("-g0"), F.col("last_seen_ms")), "image": F.concat(F.lit("img/"), "name"), "excluded_reason": F.lit(None).cast("string")})
+
+
+def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inventory row per customer."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    return c.select(
+        F.sha2(key.cast("string"), 256).alias("id"), F.array(F.concat(F.lit("/c"), key.cast("string"))).alias("names"), F.concat(F.lit("img/"), (key % 7).cast("string")).alias("image"), key.alias("created"),
+        F.element_at(F.array(*[F.lit(x) for x in ("running", "exited", "paused", "restarting", "dead", "removed", "created")]), (key % 7 + 1).cast("int")).alias("state"),
+        F.concat(F.lit("h"), (key % 3).cast("string")).alias("host"),
+        F.when(key % 4 == 0, F.create_map(F.lit("com.docker.compose.project"), F.concat(F.lit("p"), (key % 5).cast("string"))))
+        .when(key % 4 == 1, F.create_map(F.lit("io.podman.compose.project"), F.concat(F.lit("p"), (key % 5).cast("string")))).otherwise(F.create_map().cast("map<string,string>")).alias("labels"),
+    )
+
+
+def cpu_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that grow by user, from events."""
+    e = table(spark, sf_dir, "events")
+    at = F.floor(epoch_us() / 1_000_000)
+    return e.select(
+        F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"), F.col("user_id").cast("string").alias("id"), (at * 100_000 + F.col("event_id")).alias("at_s"),
+        (F.col("event_id") * 7 % 1000 + at).alias("total_usage"), (at * 4 + F.col("event_id") % 3).alias("system_usage"), F.lit(0).cast("bigint").alias("pre_total"), F.lit(0).cast("bigint").alias("pre_system"),
+        F.lit(2).alias("online_cpus"), F.lit(0).alias("per_cpu"), F.col("event_id"),
+    )
+
+
+RULES = [
+    ("r1", "errors", True, "log", [], [], [], [], "ERROR", "", 3, 3600, 7200), ("r2", "slow on h0", True, "log", ["h0"], [], [], [], "", "slow|late", 1, 60, 300),
+    ("r3", "off", False, "log", [], [], [], [], "", "", 1, 60, 0), ("r4", "svc-1 warnings", True, "log", [], ["svc-1"], [], [], "WARN", "", 2, 86400, 3600),
+    ("r5", "deaths", True, "event", [], [], [], ["die", "oom"], "", "", 1, 60, 300),
+]
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    from tidewater.schemas import RULES as SCHEMA
+
+    return spark.createDataFrame(RULES, SCHEMA)
+
+
+#: The same log lines in DuckDB's SQL.
+LINES_SQL = f"""(SELECT 'h' || (user_id % 3) AS host, 'svc-' || (user_id % 5) || CASE WHEN day(ts) > 15 THEN '-g1' ELSE '-g0' END AS container_id, 'svc-' || (user_id % 5) AS name,
+ 'p' || (user_id % 2) AS compose_project, event_id AS rowid, epoch_us(ts) * 1000 AS ts_ns, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS stream,
+ [{', '.join("'" + b + "'" for b, _ in BODIES)}][event_id % 16 + 1] AS body, [{', '.join("'" + x + "'" for _, x in BODIES)}][event_id % 16 + 1] AS level,
+ strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z ' || body AS raw, event_id % 16 AS kind FROM events)"""
