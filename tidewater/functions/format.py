@@ -106,12 +106,12 @@ def memory_percent(used: Column, limit: Column) -> Column:
 
 
 def nano_cpus(nano: Column, quota: Column, period: Column) -> Column:
-    return F.when(nano > 0, nano).when((quota > 0) & (period > 0), (quota * 1_000_000_000 / period).cast("bigint")).otherwise(0)
+    return F.when(nano > 0, nano).when((quota > 0) & (period > 0), (quota.cast("bigint") * 1_000_000_000 / period).cast("bigint")).otherwise(0)
 
 
 def quota_of(nano: Column) -> Column:
     """Quota for a period of 100,000 microseconds."""
-    return (nano * 100_000 / 1_000_000_000).cast("bigint")
+    return (nano.cast("bigint") * 100_000 / 1_000_000_000).cast("bigint")
 
 
 def log_line(ts: Column, level: Column, message: Column, name: Column | None = None) -> Column:
