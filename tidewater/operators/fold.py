@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewater.functions.parse import PROBLEM, is_stack_line, structured_field, trim, with_parsed
 
+from .running import DAY_NS
+
 KEY = ["host", "name"]
-DAY_NS = 86_400_000_000_000
 
 
 def parse(lines: DataFrame) -> DataFrame:

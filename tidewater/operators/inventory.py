@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewater.functions.format import compose_project, container_name, cpu_percent, in_project, short_id
 
+from .running import running_sum, value_slices
+
 # States that are counted by name.
 STATES = ["running", "exited", "paused", "restarting", "dead", "removed"]
 
@@ -134,14 +136,29 @@ def host_outcome(results: DataFrame) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, keys: list[str], at: list[float] = [0.5, 0.95, 0.99]) -> DataFrame:
-    """Nearest-rank percentiles and the maximum, by ranks over all rows."""
-    n = df.groupBy(*keys).agg(F.count(value).alias("n_"), F.max(value).alias("max"))
-    d = df.filter(F.col(value).isNotNull()).withColumn("rn_", F.row_number().over(W.partitionBy(*keys).orderBy(value))).join(n, keys)
-    picks = [F.max(F.when(F.col("rn_") == F.greatest(F.ceil(F.col("n_") * p), F.lit(1)), F.col(value))).alias(f"p{round(100 * p)}") for p in at]
-    return d.groupBy(*keys).agg(*picks, F.max("max").alias("max"), F.max("n_").alias("n"))
+    """Nearest-rank percentiles and the maximum, exact, by ranks over slices of the values."""
+    d = value_slices(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, value)
+    d = running_sum(d, keys, F.col("slice_no"), [value], F.lit(1), "before", "n")
+    picks = [F.max(F.when(F.col("before") + 1 == F.greatest(F.ceil(F.col("n") * p), F.lit(1)), F.col(value))).alias(f"p{round(100 * p)}") for p in at]
+    return d.groupBy(*keys).agg(*picks, F.max(value).alias("max"), F.max("n").alias("n"))
 
 
 def rates(df: DataFrame, value: str, at: str, keys: list[str]) -> DataFrame:
     """Change per second against the row before; a counter's first row has none."""
     w = W.partitionBy(*keys).orderBy(at)
     return df.withColumn("rate", (F.col(value) - F.lag(value).over(w)) / F.nullif(F.col(at) - F.lag(at).over(w), F.lit(0)))
+
+
+def used_percent(stored: DataFrame, total_mb: int) -> DataFrame:
+    return stored.agg((F.coalesce(F.sum("stored_bytes"), F.lit(0)) / float(total_mb << 20) * 100.0).alias("used_percent"))
+
+
+def dig(inspect: Column, *path: str) -> Column:
+    """A scalar inside an inspect document, else the empty string."""
+    v = F.get_json_object(inspect, "$" + "".join(f"['{p}']" for p in path))
+    return F.coalesce(F.when(~v.rlike(r"^\s*[\[{]"), v), F.lit(""))
+
+
+def own_env(env: DataFrame, managed: list[str]) -> DataFrame:
+    """Environment entries without those that a platform manages."""
+    return env.filter(~F.col("key").isin(managed))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewater.functions.parse import re2_to_java, sample
 
+from .running import day, running_sum
+
 DEFAULT_TAIL, MOST_TAIL, MOST_TARGETS = 100, 10_000, 20
 
 
@@ -55,9 +57,9 @@ def exclude(pattern: str) -> Column:
 
 
 def match_positions(df: DataFrame, pattern: str, order: list[str], keys: list[str]) -> DataFrame:
-    """Positions (from 0, within the key) of rows whose message matches, and their matches' texts."""
+    """Positions (from 0, within the key) of rows whose message matches, and their matches' texts. order begins with ts_ns."""
     p = "(?iu)" + re2_to_java(pattern)
-    d = df.withColumn("position", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
+    d = running_sum(df, keys, day(order[0]), order, F.lit(1), "position")
     return d.filter(F.col("message").rlike(p)).withColumn("spans", F.filter(F.regexp_extract_all("message", F.lit(p), F.lit(0)), lambda s: s != ""))
 
 
@@ -90,9 +92,13 @@ def newest_with_dropped(df: DataFrame, keys: list[str], order: list[str], n: int
 
 def raw_ranges(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First and last physical line (from 0) of each entry, an entry having 1 + continuation_count of them."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    last = F.sum(1 + F.col("continuation_count")).over(w) - 1
-    return entries.withColumn("raw_last", last).withColumn("raw_first", F.col("raw_last") - F.col("continuation_count"))
+    d = running_sum(entries, keys, day(order[0]), order, 1 + F.col("continuation_count"), "raw_first")
+    return d.withColumn("raw_last", F.col("raw_first") + F.col("continuation_count"))
+
+
+def shifted_pins(pins: DataFrame, dropped: int) -> DataFrame:
+    """Pinned row indices after the oldest `dropped` rows went; pins of those rows go with them."""
+    return pins.withColumn("index", F.col("index") - dropped).filter("index >= 0")
 
 
 def time_range(preset: str, now_ns: int) -> tuple[int | None, int | None]:

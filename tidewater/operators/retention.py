@@ -1,13 +1,13 @@
 """Byte-capped retention, oldest first. Bytes are those of the raw line in UTF-8; the unit is the logical container (host, name).
 
-Running sums are taken over slices: bytes are first summed per (container, slice of time), which are few; only the slice in which a
-cap falls is ordered by line. No container's lines are sorted in one task.
+Running sums are taken over slices of time: no container's lines are sorted in one task.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .fold import DAY_NS, KEY
+from .fold import KEY
+from .running import DAY_NS, day, running_sum
 
 MB = 1 << 20
 CHUNK_ROWS = 5000
@@ -23,16 +23,8 @@ def group_bytes(lines: DataFrame, keys: list[str] = KEY) -> DataFrame:
 
 def evicted_by_cap(lines: DataFrame, cap: int | Column, keys: list[str] = KEY, slice_ns: int = DAY_NS) -> DataFrame:
     """Lines with `evict`: true where the bytes before the line are fewer than what its container has in excess of the cap."""
-    d = lines.withColumns({"bytes_": line_bytes(), "slice_": F.floor(F.col("ts_ns") / slice_ns)})
-    per = d.groupBy(*keys, "slice_").agg(F.sum("bytes_").alias("s_"))
-    order = W.partitionBy(*keys).orderBy("slice_").rowsBetween(W.unboundedPreceding, -1)
-    cap = cap if isinstance(cap, Column) else F.lit(cap)
-    per = per.withColumns({"before_": F.coalesce(F.sum("s_").over(order), F.lit(0)), "excess_": F.sum("s_").over(W.partitionBy(*keys)) - cap})
-    per = per.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("slice_").alias("slice2_"), "before_", "excess_")
-    d = d.join(per, [F.col(k) == F.col(f"{k}_") for k in keys] + [F.col("slice_") == F.col("slice2_")])
-    within = W.partitionBy(*keys, "slice_").orderBy("ts_ns", "rowid").rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("evict", F.col("before_") + F.coalesce(F.sum("bytes_").over(within), F.lit(0)) < F.col("excess_"))
-    return d.drop(*[f"{k}_" for k in keys], "slice2_", "slice_", "before_", "excess_", "bytes_")
+    d = running_sum(lines, keys, day("ts_ns", slice_ns), ["ts_ns", "rowid"], line_bytes(), "before_bytes_", "all_bytes_")
+    return d.withColumn("evict", F.col("before_bytes_") < F.col("all_bytes_") - cap).drop("before_bytes_", "all_bytes_")
 
 
 def trim_each(lines: DataFrame, cap: int, slice_ns: int = DAY_NS) -> DataFrame:
@@ -45,8 +37,8 @@ def trim_total(lines: DataFrame, cap: int, chunk_rows: int = CHUNK_ROWS) -> Data
     Every container's lines are cut into chunks of chunk_rows, oldest first. Chunks go in the order of their first times, so one
     ordered pass over the chunks replaces the loop; only the last chunk is cut by line.
     """
-    w = W.partitionBy(*KEY).orderBy("ts_ns", "rowid")
-    d = lines.withColumns({"bytes_": line_bytes(), "chunk_": F.floor((F.row_number().over(w) - 1) / chunk_rows)})
+    d = running_sum(lines, KEY, day(), ["ts_ns", "rowid"], F.lit(1), "row_")
+    d = d.withColumns({"bytes_": line_bytes(), "chunk_": F.floor(F.col("row_") / chunk_rows)}).drop("row_")
     chunks = d.groupBy(*KEY, "chunk_").agg(F.sum("bytes_").alias("b_"), F.min("ts_ns").alias("t_"))
     # lines / chunk_rows rows: 5000 times fewer than the lines
     over = W.orderBy("t_", *KEY, "chunk_").rowsBetween(W.unboundedPreceding, -1)

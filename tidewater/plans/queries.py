@@ -180,11 +180,58 @@ def conversation_levels(spark, d):
     return c.withColumn("level", p.detect_level(F.col("raw"))).groupBy("level").agg(F.count("*").alias("n"))
 
 
+def events_alertable(spark, d):
+    e = alerts.alertable(alerts.map_events(a.engine_events(spark, d)), a.inspected(spark, d))
+    return e.groupBy("host", "what", "exit_code").agg(F.count("*").alias("n"))
+
+
+def recent_samples(spark, d):
+    return inventory.recent_samples(a.cpu_samples(spark, d).withColumn("at_s", F.floor(F.col("event_id") / 50)), 5).groupBy("host", "id").agg(F.count("*").alias("n"))
+
+
+def sparkline(spark, d):
+    s = inventory.sparkline(table(spark, d, "events").select("event_id", F.col("user_id").alias("host"), F.col("event_type").alias("id"), "value"), "value")
+    return s.select("event_id", F.round("level", 6).alias("level"))
+
+
+def counter_rates(spark, d):
+    r = inventory.rates(table(spark, d, "events").withColumn("at", F.col("event_id") * 2), "value", "at", ["event_type"])
+    return r.select("event_id", F.round("rate", 6).alias("rate"))
+
+
+def dropped_by_ring(spark, d):
+    r = live.newest_with_dropped(a.log_lines(spark, d), ["host", "name"], ["ts_ns", "rowid"], 100)
+    return r.groupBy("host", "name").agg(F.count("*").alias("n"), F.max("dropped").alias("dropped"))
+
+
+def upserted_generations(spark, d):
+    g = a.log_lines(spark, d).select("host", "container_id", F.when(F.col("rowid") % 2 == 0, F.col("name")).otherwise("").alias("name"), F.lit("").alias("compose_project"), F.concat(F.lit("img"), (F.col("rowid") % 7).cast("string")).alias("image"), F.col("rowid").alias("seen_ms"))
+    return ingest.upsert_generations(g.filter("seen_ms % 3 = 0"), g.filter("seen_ms % 3 <> 0"))
+
+
+def removed_containers(spark, d):
+    s = stored_containers(a.log_lines(spark, d), a.generations(spark, d)).withColumn("removed", F.col("name") != "svc-1")
+    live_ = spark.createDataFrame([("h0", ["/svc-0"])], "host string, names array<string>")
+    return inventory.removed_rows(s, live_).select("id", "host", "state", "image", "stored_bytes")
+
+
+def exported_text(spark, d):
+    from tidewater.sources.sinks import text_lines
+
+    return text_lines(_parsed(spark, d))
+
+
+def dashboard_page(spark, d):
+    c = a.containers(spark, d).filter(inventory.dashboard(state="running")).orderBy(F.desc("created"))
+    rows, lo, hi, total = inventory.offset_page(c, 2, 10)
+    return rows.select("created", F.lit(lo).alias("first"), F.lit(hi).alias("last"), F.lit(total).alias("total"))
+
+
 QUERIES = {f.__name__: f for f in (
     parse_levels, parse_timestamps, folded_entries, history_page, history_substring, history_regex, history_containers, tail_per_container, live_search, excluded_matches, grep,
     merged_targets, match_positions, raw_ranges, retention_each, retention_total, retention_groups, purge_container, ingest_dedup, ingest_marks, resume_points, newly_removed,
     prune_empty, stack_summary, container_states, projects_standalone, dashboard, resolve_name, cpu_deltas, percentiles, alert_log_matches, alert_fired, alert_window,
-    scalar_formats, conversation_levels,
+    scalar_formats, conversation_levels, events_alertable, recent_samples, sparkline, counter_rates, dropped_by_ring, upserted_generations, removed_containers, exported_text, dashboard_page,
 )}
 
 
@@ -253,4 +300,17 @@ SELECT event_id, round(CASE WHEN pa IS NOT NULL AND at_s - pa < 1000000000 AND t
 SELECT event_id, CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN format('{:.1f}KiB', n / 1024) WHEN n < 1073741824 THEN format('{:.1f}MiB', n / 1048576) WHEN n < 1099511627776 THEN format('{:.1f}GiB', n / 1073741824) WHEN n < 1125899906842624 THEN format('{:.1f}TiB', n / 1099511627776) ELSE format('{:.1f}PiB', n / 1125899906842624) END AS bytes,
  CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS age, (event_id % 512) * 1048576 AS memory, (event_id % 90) * 60.0::DOUBLE AS seconds,
  CASE WHEN event_id = 0 THEN '0' WHEN event_id % 1048576 = 0 THEN event_id // 1048576 || 'g' WHEN event_id % 1024 = 0 THEN event_id // 1024 || 'm' ELSE event_id || 'k' END AS exact FROM n""",
+    "events_alertable": """WITH e AS (SELECT *, 'h' || (user_id % 3) AS host, event_id % 4 AS kind, event_id % 5 AS k5 FROM events),
+r AS (SELECT host, CASE WHEN kind = 0 THEN 'die' WHEN kind = 1 THEN 'oom' WHEN kind = 2 AND k5 <> 3 THEN 'unhealthy' END AS what, CASE WHEN kind = 0 THEN CASE WHEN k5 = 0 THEN '0' WHEN k5 = 1 THEN 'unknown' ELSE CAST(k5 AS VARCHAR) END ELSE '' END AS exit_code FROM e)
+SELECT host, what, exit_code, count(*) AS n FROM r WHERE what IS NOT NULL AND exit_code <> '0' GROUP BY ALL""",
+    "recent_samples": """WITH s AS (SELECT 'h' || (user_id % 3) AS host, CAST(user_id AS VARCHAR) AS id, event_id // 50 AS at_s FROM events)
+SELECT host, id, least(count(*), 5) AS n FROM s WHERE (host, id) IN (SELECT (host, id) FROM s WHERE at_s = (SELECT max(at_s) FROM s)) GROUP BY ALL""",
+    "sparkline": "SELECT event_id, round((value - min(value) OVER w) / greatest(max(value) OVER w - min(value) OVER w, 2.0), 6) AS level FROM events WINDOW w AS (PARTITION BY user_id, event_type)",
+    "counter_rates": "SELECT event_id, round((value - lag(value) OVER w) / nullif(event_id * 2 - lag(event_id * 2) OVER w, 0), 6) AS rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
+    "dropped_by_ring": f"SELECT host, name, least(count(*), 100) AS n, greatest(count(*) - 100, 0) AS dropped FROM {L} GROUP BY ALL",
+    "upserted_generations": f"""WITH g AS (SELECT host, container_id, name, rowid, rowid % 3 <> 0 AS new FROM {L})
+SELECT host, container_id, coalesce(max(name) FILTER (rowid % 2 = 0), '') AS name, '' AS compose_project, 'img' || (arg_max(rowid, (new, rowid)) % 7) AS image, min(rowid) AS first_seen_ms, max(rowid) AS last_seen_ms FROM g GROUP BY ALL""",
+    "removed_containers": f"SELECT 'removed:' || name AS id, host, 'removed' AS state, 'img/' || name AS image, CAST(sum(strlen(raw)) AS BIGINT) AS stored_bytes FROM {L} WHERE name <> 'svc-1' AND NOT (host = 'h0' AND name = 'svc-0') GROUP BY host, name",
+    "exported_text": f"SELECT '[' || strftime(date_trunc('millisecond', make_timestamp(ts_ns // 1000)), '%Y-%m-%dT%H:%M:%S.%g') || 'Z] [' || level || '] ' || body AS value FROM {L}",
+    "dashboard_page": f"SELECT c_custkey AS created, 11 AS first, least(20, total) AS last, total FROM (SELECT c_custkey, CAST(count(*) OVER () AS INT) AS total FROM customer WHERE {_STATE} = 'running') ORDER BY c_custkey DESC LIMIT 10 OFFSET 10",
 }

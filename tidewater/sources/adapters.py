@@ -67,6 +67,23 @@ def cpu_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def engine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Die, oom, health and other actions by event_id; a die may lack its exit code, a health event its state."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 5
+    action = F.element_at(F.array(F.lit("die"), F.lit("oom"), F.when(k == 2, "health_status").when(k == 3, "health_status: healthy").otherwise("health_status: unhealthy"), F.lit("exec_start")), (F.col("event_id") % 4 + 1).cast("int"))
+    code = F.when(k == 1, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("exitCode"), k.cast("string")))
+    return e.select(
+        F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"), F.col("event_id").cast("string").alias("id"), F.lit("container").alias("type"), action.alias("action"),
+        code.alias("attributes"), F.lit(0).alias("time_s"), (epoch_us() * 1000).alias("time_ns"),
+    )
+
+
+def inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a look-up finds: the state of containers whose health event is bare."""
+    e = table(spark, sf_dir, "events").filter("event_id % 4 = 2 AND event_id % 5 = 2")
+    return e.select(F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"), F.col("event_id").cast("string").alias("container_id"), F.lit(None).cast("string").alias("exit_code"), F.lit(False).alias("oom_killed"), F.lit("unhealthy").alias("health"))
+
+
 RULES = [
     ("r1", "errors", True, "log", [], [], [], [], "ERROR", "", 3, 3600, 7200), ("r2", "slow on h0", True, "log", ["h0"], [], [], [], "", "slow|late", 1, 60, 300),
     ("r3", "off", False, "log", [], [], [], [], "", "", 1, 60, 0), ("r4", "svc-1 warnings", True, "log", [], ["svc-1"], [], [], "WARN", "", 2, 86400, 3600),
