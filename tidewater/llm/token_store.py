@@ -12,7 +12,7 @@ manifest, else it fails. A document's crc32 is combined from those of its chunks
 ids between executors; `reconstruct` gives the ids themselves.
 
 Ids are encoded word by word with a bounded cache: the vocabulary's pre-tokenizer never joins across white space, so a text's
-ids are those of its parts. Parts outside plain Latin-1 letters, digits and signs go to the library as they are.
+ids are those of its parts.
 
 Defined cases: a null or empty text has only END; rows with equal doc_ids are ordered by text; empty input gives no rows; other columns
 are ignored; a null doc_id comes first.
@@ -30,22 +30,30 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .shared import delete, materialize, mix, new_path, row_slices
 
 END, ROLL, LEAST, MOST, CUT_BITS = 2, 8, 128, 4096, 9
-CACHE_WORDS = 200_000
-_SAFE = re.compile(r"[!-~¡-ÿ]+")
-_SPACES = str.maketrans("\n\t\r", "   ")
+CACHE_WORDS = 600_000
+_PLAIN_TEXT = re.compile(r"[\t\n\r -~¡-ÿ]*")
+_PLAIN_WORD = re.compile(r"[a-zß-öø-ÿ]+")
+_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=[ \n])")
 
 
 class Encoder:
-    """ids of texts, through the tokenizers library, with words kept in a cache of bounded size."""
+    """ids of texts, through the tokenizers library, with words kept in a cache of bounded size.
+
+    In a text of Latin-1 letters, digits and signs, lower case and the pieces' borders are plain: words are looked up as they
+    stand, and new ones go to the library's model many at a time. The last token of a piece is marked in the vocabulary, which
+    parts the ids again. All else goes through the library's whole pipeline.
+    """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
         import os
 
         import regex
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cache
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -54,42 +62,50 @@ class Encoder:
             self.last[i] = token.endswith("</w>")
         # fixed values: the vocabulary's own pre-token pattern
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {"": b""}
+        self.other: dict[str, bytes] = {"": b""}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        safe = [w for w in words if _SAFE.fullmatch(w) and "<|" not in w]
-        rest = [w for w in words if not (_SAFE.fullmatch(w) and "<|" not in w)]
-        self.words.update(zip(rest, self._library(rest)))
-        split = [self.pieces(w.lower()) for w in safe]
-        new = list({p for ps in split for p in ps} - self.parts.keys())
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            joined = [some[i : i + 128] for i in range(0, len(some), 128)]
-            for group, got in zip(joined, self._library([" ".join(g) for g in joined])):
-                ids = np.frombuffer(got, self.dtype)
-                ends = np.flatnonzero(self.last[ids]) + 1
-                if len(ends) == len(group) and ends[-1:].tolist() == [len(ids)]:
-                    self.parts.update((p, ids[a:b].tobytes()) for p, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist()))
+        """Words of plain texts, in lower case."""
+        whole = [w for w in words if _PLAIN_WORD.fullmatch(w)]
+        parts = {w: self.pieces(w) for w in words if not _PLAIN_WORD.fullmatch(w)}
+        known = self.plain
+        new = [*whole, *({p for ps in parts.values() for p in ps if p not in known} - set(whole))]
+        got: dict[str, bytes] = {}
+        for lo in range(0, len(new), 8192):
+            groups = [new[i : i + 128] for i in range(lo, min(lo + 8192, len(new)), 128)]
+            for group, ids in zip(groups, self._library([" ".join(g) for g in groups], self.model)):
+                a = np.frombuffer(ids, self.dtype)
+                ends = np.flatnonzero(self.last[a]) + 1
+                if len(ends) == len(group) and ends[-1] == len(a):
+                    wide = self.dtype.itemsize
+                    at = (ends * wide).tolist()
+                    got.update((p, ids[x:y]) for p, x, y in zip(group, [0, *at[:-1]], at))
                 else:
-                    self.parts.update(zip(group, self._library(group)))
-        parts = self.parts
-        self.words.update((w, b"".join([parts[p] for p in ps])) for w, ps in zip(safe, split))
+                    got.update(zip(group, self._library(group)))
+        known.update(got)
+        known.update((w, b"".join([known[p] for p in ps])) for w, ps in parts.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(_SPACES).split(" ") for t in texts]
-        if len(self.words) > self.most:
-            self.words = {"": b""}
-        if len(self.parts) > self.most:
-            self.parts = {}
-        new = set().union(*split) - self.words.keys()
-        if new:
-            self._learn(list(new))
-        words = self.words
-        return [b"".join([words[w] for w in ws]) for ws in split]
+        if len(self.plain) > self.most:
+            self.plain = {"": b""}
+        if len(self.other) > self.most // 4:
+            self.other = {"": b""}
+        split, plain = [], []
+        for t in texts:
+            ok = _PLAIN_TEXT.fullmatch(t) is not None and "<|" not in t
+            if ok:
+                t = _STOP.sub(r" \1", t.lower())
+            plain.append(ok)
+            split.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+        if new := [w for w in set().union(*(ws for ws, ok in zip(split, plain) if ok)) if w not in self.plain]:
+            self._learn(new)
+        if new := [w for w in set().union(*(ws for ws, ok in zip(split, plain) if not ok)) if w not in self.other]:
+            self.other.update(zip(new, self._library(new)))
+        return [b"".join([known[w] for w in ws]) for ws, known in zip(split, (self.plain if ok else self.other for ok in plain))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
