@@ -29,10 +29,12 @@ HELD_OUT_OF = 5
 # fixed values: what a sign may stand for
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 _DISGUISED = re.compile(
-    r"(?<![^\W_])[^\W\d_](?:[ .\-_*~]+[^\W\d_](?![^\W_])){2,}"  # s p a c e d
-    r"|[\w@$!|+]*(?:[^\W\d_][0-9@$!|+]+[^\W\d_]|[0-9@$!|+]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$]+(?![\w$@#*%&]))[\w@$!|+]*"  # s1gns
-    r"|\w*([^\W\d_])\1\1\w*"  # repeeeated
+    r"[^\W\d_][0-9@$!|+]|[0-9@$!|+][^\W\d_]"  # s1gns
+    r"|([^\W\d_])\1\1"  # repeeeated
+    r"|^[^\W\d_](?:[.\-_*~]+[^\W\d_]){2,}$"  # s-e-p-a-r-a-t-e-d
 )
+_SPACED = re.compile(r"\s[^\W\d_](?=\s)(?:[ \t]+[^\W\d_](?![^\s.,;:!?])){2,}")
+_EDGES = ".,;:?\"'()[]{}<>"
 _WORD = re.compile(r"[^\W\d_]+")
 _SEPARATORS = re.compile(r"[ .\-_*~]+")
 _CODE = np.zeros(256, np.int64)
@@ -101,21 +103,47 @@ class Decoder:
             best = new
         return max(best.items(), key=lambda kv: (kv[1][0] + self.p[kv[0][0]][kv[0][1]][0], kv[1][1]))[1][1]
 
-    def restored(self, text: str) -> set[str]:
-        out = set()
-        for m in _DISGUISED.finditer(text):
-            s = m[0]
-            for lo in range(0, len(s), LONGEST):  # a longer span is decoded in parts
-                out.add(self.decode(s[lo : lo + LONGEST]))
-        return out
+    def parts(self, span: str) -> list[str]:
+        """Words behind a span; a longer span is decoded in parts."""
+        return [w for lo in range(0, len(span), LONGEST) for w in _WORD.findall(self.decode(span[lo : lo + LONGEST]))]
+
+    def token_words(self, token: str) -> list[str]:
+        """Words of a token in lower case, as it stands and restored."""
+        bare = token.strip(_EDGES).rstrip("!")
+        return _WORD.findall(token) + (self.parts(bare) if _DISGUISED.search(bare) else [])
+
+    def spaced(self, text: str) -> list[str]:
+        return [w for m in _SPACED.finditer(" " + text) for w in self.parts(m[0].strip())]
 
     def words(self, text: str) -> set[str]:
-        found = set(_WORD.findall(text.lower()))
-        found |= {w for r in self.restored(text) for w in _WORD.findall(r)}
-        return found
+        return {w for t in set(text.lower().split()) for w in self.token_words(t)} | set(self.spaced(text))
+
+
+class Features:
+    """Words and stems of a text, of those wanted (None: all); what a token gives is kept in a cache of bounded size."""
+
+    def __init__(self, decoder: Decoder, wanted=None, most: int = 600_000):
+        self.decoder, self.wanted, self.most, self.cache = decoder, wanted, most, {}
+
+    def of_words(self, words) -> tuple:
+        f = features(words)
+        return tuple(f if self.wanted is None else f & self.wanted)
+
+    def __call__(self, text: str) -> set[str]:
+        tokens, cache, out = set(text.lower().split()), self.cache, set()
+        if len(cache) > self.most:
+            cache.clear()
+        for t in [t for t in tokens if t not in cache]:
+            cache[t] = self.of_words(self.decoder.token_words(t))
+        for t in tokens:
+            if f := cache[t]:
+                out.update(f)
+        if words := self.decoder.spaced(text):
+            out.update(self.of_words(words))
+        return out
 
 
-def features(words: set[str]) -> set[str]:
+def features(words) -> set[str]:
     out = {w + "$" for w in words}
     for n in STEMS:
         out |= {w[:n] for w in words if len(w) > n}
@@ -128,10 +156,10 @@ def not_held_out():
 
 def _features(shared):
     def run(batches):
-        decoder = Decoder(shared.value)
+        find = Features(Decoder(shared.value))
         for whole in batches:
             for b in row_slices(whole, "text"):
-                rows = [sorted(features(decoder.words(t or ""))) for t in b.column("text").to_pylist()]
+                rows = [sorted(find(t or "")) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(rows, pa.list_(pa.string()))], names=["toxic", "features"])
     return run
 
@@ -185,17 +213,13 @@ def train(docs: DataFrame, labels: DataFrame, letter: np.ndarray) -> dict:
 def _score(shared):
     def run(batches):
         letter, model = shared.value
-        decoder, weights, base = Decoder(letter), model["weights"], model["base"]
-        stems = {n: {f for f in weights if len(f) == n and not f.endswith("$")} for n in STEMS}
+        weights, base = model["weights"], model["base"]
+        find = Features(Decoder(letter), frozenset(weights))
         for whole in batches:
             for b in row_slices(whole, "text"):
                 out = []
                 for t in b.column("text").to_pylist():
-                    words, z = decoder.words(t or ""), base
-                    z += sum(weights[w + "$"] for w in words if w + "$" in weights)
-                    for n, known in stems.items():
-                        if known:
-                            z += sum(weights[s] for s in {w[:n] for w in words if len(w) > n} & known)
+                    z = base + math.fsum(weights[f] for f in find(t or ""))
                     out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(out, pa.float64())], names=["doc_id", "score"])
     return run
