@@ -187,3 +187,18 @@ def brute_force(docs: list[tuple], items: list[tuple]) -> list[tuple]:
         sha = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(names), sha, len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out
+
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPLIT = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH b AS (SELECT item_id, w, least({WINDOW}, len(w)) AS k FROM (SELECT item_id, {_SPLIT} AS w FROM benchmark) WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, k, array_to_string(w[j:j + k - 1], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS j FROM b)),
+d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
+p AS (SELECT doc_id, k, j, array_to_string(w[j:j + k - 1], ' ') AS x FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
+h AS (SELECT doc_id, j, p.k, item_id FROM p JOIN i ON p.x = i.x AND p.k = i.k),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + k)) AS pos FROM h) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

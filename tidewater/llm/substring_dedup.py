@@ -282,3 +282,14 @@ def brute_force(docs: list[tuple]) -> list[tuple]:
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((doc, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, j, array_to_string(w[j:j + {WINDOW - 1}], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS j FROM d WHERE len(w) >= {WINDOW})),
+r AS (SELECT doc_id, j FROM p QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, j) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(j, j + {WINDOW})) AS at FROM r),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d),
+k AS (SELECT t.doc_id, count(g.at) AS n_removed, string_agg(CASE WHEN g.at IS NULL THEN word END, ' ' ORDER BY t.at) AS kept FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.at = g.at GROUP BY t.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
