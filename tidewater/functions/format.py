@@ -12,6 +12,16 @@ MEMORY = {"kib": 1 << 10, "kb": 1 << 10, "k": 1 << 10, "mib": 1 << 20, "mb": 1 <
 PROJECT_LABELS = ["com.docker.compose.project", "io.podman.compose.project"]
 
 
+def whole(c: Column, by: int) -> Column:
+    """Floor of c / by in integers: nanoseconds don't fit a double."""
+    return (F.call_function("div", c, F.lit(by).cast("bigint")) - F.when((c < 0) & (F.pmod(c, F.lit(by)) != 0), 1).otherwise(0)).cast("bigint")
+
+
+def utc_text(ns: Column, layout: str) -> Column:
+    """Epoch nanoseconds in UTC, whatever the session's zone."""
+    return F.date_format(F.convert_timezone(None, F.lit("UTC"), F.timestamp_micros(whole(ns, 1000)).cast("timestamp_ntz")), layout)
+
+
 def duration_seconds(value: Column) -> Column:
     """30s, 15m, 1h30m, 1.5d; null if it is none."""
     days = F.regexp_extract(value, r"^([+-]?\d*\.?\d+)d\z", 1).try_cast("double") * 86400

@@ -4,7 +4,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewater.functions.format import in_project, stable_id
+from tidewater.functions.format import in_project, stable_id, whole
 from tidewater.functions.parse import re2_to_java, sample, severity
 
 # Defaults and limits of rules.
@@ -75,7 +75,7 @@ def map_events(raw: DataFrame) -> DataFrame:
         "host", F.col("id").alias("container_id"), F.coalesce(attr("name"), F.lit("")).alias("container_name"), "action", base.alias("base"),
         F.when(base == "die", F.coalesce(attr("exitCode"), F.lit(""))).otherwise("").alias("exit_code"),
         F.when(base == "health_status", F.split_part("action", F.lit(": "), F.lit(2))).otherwise("").alias("health_status"),
-        F.col("attributes").alias("labels"), F.when((F.col("time_s") == 0) & (F.col("time_ns") > 0), F.floor(F.col("time_ns") / 1_000_000_000)).otherwise(F.col("time_s")).alias("at_s"),
+        F.col("attributes").alias("labels"), F.when((F.col("time_s") == 0) & (F.col("time_ns") > 0), whole(F.col("time_ns"), 1_000_000_000)).otherwise(F.col("time_s")).alias("at_s"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewater.functions.parse import PROBLEM, is_stack_line, structured_field, trim, with_parsed
 
-from .running import DAY_NS
+from .running import DAY_NS, day
 
 KEY = ["host", "name"]
 
@@ -42,7 +42,7 @@ def mark_heads(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS)
     order = F.struct("ts_ns", "rowid")
     field, _ = structured_field(F.col("message"))
     d = parsed.withColumns({
-        "slice_": F.coalesce(F.floor(F.col("ts_ns") / slice_ns), F.lit(-(1 << 62))), "blank_": trim(F.col("message")) == "",
+        "slice_": day("ts_ns", slice_ns), "blank_": trim(F.col("message")) == "",
         "field_": field.isNotNull(), "stack_": is_stack_line(F.col("message")),
     })
     w = W.partitionBy(*keys, "slice_").orderBy("ts_ns", "rowid")

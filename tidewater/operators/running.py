@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidewater.functions.format import whole
+
 DAY_NS = 86_400_000_000_000
 
 
 def day(ts: str = "ts_ns", slice_ns: int = DAY_NS) -> Column:
-    return F.coalesce(F.floor(F.col(ts) / slice_ns), F.lit(-(1 << 62)))
+    return F.coalesce(whole(F.col(ts), slice_ns), F.lit(-(1 << 62)))
 
 
 def running_sum(df: DataFrame, keys: list[str], slice_: Column, order: list, value: Column, name: str, totals: str = "") -> DataFrame:

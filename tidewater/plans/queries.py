@@ -158,7 +158,7 @@ def alert_log_matches(spark, d):
 def alert_fired(spark, d):
     """The state machine: beyond SQL, tested against its definition."""
     r = _parsed(spark, d).withColumns({"container_name": F.col("name"), "labels": F.create_map(F.lit("com.docker.compose.project"), F.col("compose_project"))})
-    m = alerts.log_matches(a.rules(spark), r).withColumns({"match_id": F.xxhash64("rule_id", "rowid"), "at_s": F.floor(F.col("ts_ns") / 1_000_000_000)})
+    m = alerts.log_matches(a.rules(spark), r).withColumns({"match_id": F.xxhash64("rule_id", "rowid"), "at_s": fmt.whole(F.col("ts_ns"), 1_000_000_000)})
     reason = alerts.log_reason(F.col("threshold"), F.col("min_level"), F.col("pattern"), F.col("window_s"))
     return alerts.alerts(m, alerts.fire(m), reason)
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewater.functions.format import whole
+
 # Message bodies by event_id % 16, with the level each must get.
 BODIES = [
     ("ERROR request failed", "ERROR"), ('{"level":"warn","msg":"slow"}', "WARN"), ("level=info order placed", "INFO"), ("[WARN] new user", "WARN"),
@@ -38,7 +40,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = log_lines(spark, sf_dir).groupBy("host", "container_id", "name")
     return g.agg(
         F.max("compose_project").alias("compose_project"),
-        F.floor(F.min("ts_ns") / 1_000_000).alias("first_seen_ms"), F.floor(F.max("ts_ns") / 1_000_000).alias("last_seen_ms"), F.sum(F.octet_length("raw")).alias("stored_bytes"),
+        whole(F.min("ts_ns"), 1_000_000).alias("first_seen_ms"), whole(F.max("ts_ns"), 1_000_000).alias("last_seen_ms"), F.sum(F.octet_length("raw")).alias("stored_bytes"),
         F.coalesce(F.max(F.when(F.col("stream") == 0, F.col("ts_ns"))), F.lit(0)).alias("stdout_wm_ns"), F.coalesce(F.max(F.when(F.col("stream") == 1, F.col("ts_ns"))), F.lit(0)).alias("stderr_wm_ns"),
     ).withColumns({"removed_ms": F.when(F.col("container_id").endswith("-g0"), F.col("last_seen_ms")), "image": F.concat(F.lit("img/"), "name"), "excluded_reason": F.lit(None).cast("string")})
 

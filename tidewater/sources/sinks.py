@@ -3,12 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidewater.functions.format import utc_text
 from tidewater.functions.parse import sample
 
 
 def append_lines(lines: DataFrame, path: str) -> None:
     """By host and day, so that a query's name and time predicates prune files."""
-    day = F.to_date(F.timestamp_micros(F.floor(F.col("ts_ns") / 1000)))
+    day = F.to_date(utc_text(F.col("ts_ns"), "yyyy-MM-dd"))
     lines.withColumn("day", day).repartition("host", "day").sortWithinPartitions("host", "day", "name", "ts_ns").write.mode("append").partitionBy("day").parquet(path)
 
 
@@ -22,5 +23,5 @@ def export_text(entries: DataFrame, path: str) -> None:
 
 def text_lines(entries: DataFrame) -> DataFrame:
     """`[ts] [LEVEL] message`."""
-    at = F.coalesce(F.date_format(F.timestamp_micros(F.floor(F.col("ts_ns") / 1000)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(""))
+    at = F.coalesce(utc_text(F.col("ts_ns"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(""))
     return entries.select(F.concat(F.lit("["), at, F.lit("] ["), F.col("level"), F.lit("] "), sample(F.col("message"), F.col("raw"))).alias("value"))

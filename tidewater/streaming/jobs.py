@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tidewater.functions.format import whole
 from tidewater.operators.alerts import FIRED, RuleWindow
 from tidewater.operators.ingest import new_lines
 from tidewater.operators.live import live_match
@@ -66,5 +67,5 @@ def fire(matches: DataFrame) -> DataFrame:
 
 def line_counts(parsed: DataFrame, lateness: str = "10 minutes", width: str = "1 minute") -> DataFrame:
     """Lines per container, level and window of event time."""
-    d = parsed.withColumn("at", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000)))
+    d = parsed.withColumn("at", F.timestamp_micros(whole(F.col("ts_ns"), 1000)))
     return d.withWatermark("at", lateness).groupBy(F.window("at", width), "host", "name", "level").agg(F.count("*").alias("n"))
