@@ -24,42 +24,55 @@ def parse(lines: DataFrame) -> DataFrame:
     return p.withColumn("ts_ns", ts).drop("parsed_ns")
 
 
-def _carried(d: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """Per slice: the value of the latest slice before it that has one."""
-    per = d.groupBy(*keys, "slice_").agg(value.alias(name))
-    before = W.partitionBy(*keys).orderBy("slice_").rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn(name, F.last(name, ignorenulls=True).over(before))
-    return per.select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("slice_").alias("slice__"), name)
+def _edges(d: DataFrame, keys: list[str]) -> DataFrame:
+    """Per slice, what reaches it from the slices before: the line before its first (tail_), the level of the last sure head
+    (carry_level_) and the place of the last head (carry_head_).
 
+    One summary row per slice says what the slice alone can tell; windows over these rows settle the rest. Lines before a slice's
+    first sure head are its prefix: whether stack lines among them are heads depends on the level that is carried in.
+    """
+    order = F.struct("ts_ns", "rowid")
+    stack = F.col("stack_") & ~F.col("field_")
+    per = d.groupBy(*keys, "slice_").agg(
+        F.max_by(F.struct("container_id", "blank_"), order).alias("last_"), F.min_by(F.struct("container_id", "local_", "level"), order).alias("first_"), F.min(order).alias("first_at_"),
+        F.max_by("level", F.when(F.col("local_"), order)).alias("level_"),
+        F.max(F.when(F.col("local_") | (stack & F.col("anchor_").isNotNull() & ~F.col("anchor_").isin(PROBLEM)), order)).alias("head_"),
+        F.max(F.when(stack & F.col("anchor_").isNull(), order)).alias("prefix_"),
+    )
+    w = W.partitionBy(*keys).orderBy("slice_")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumn("tail_", F.lag("last_").over(w))
+    per = per.withColumn("sure_", F.col("first_.local_") | _breaks(F.col("tail_"), F.col("first_.container_id")))
+    per = per.withColumn("carry_level_", F.last(F.coalesce("level_", F.when(F.col("sure_"), F.col("first_.level"))), ignorenulls=True).over(before))
+    into = F.when(F.col("sure_"), F.col("first_.level")).otherwise(F.col("carry_level_"))
+    head = F.coalesce("head_", F.when(~into.isin(PROBLEM), F.col("prefix_")), F.when(F.col("sure_"), F.col("first_at_")))
+    per = per.withColumn("own_head_", head).withColumn("carry_head_", F.last("own_head_", ignorenulls=True).over(before))
+    return per.select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("slice_").alias("slice__"), "tail_", "carry_level_", "carry_head_")
 
-def _with(d: DataFrame, keys: list[str], carried: DataFrame) -> DataFrame:
-    on = [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys] + [F.col("slice_") == F.col("slice__")]
-    return d.join(carried, on, "left").drop(*[f"{k}__" for k in keys], "slice__")
+
+def _breaks(prev: Column, container_id: Column) -> Column:
+    """Nothing folds over a missing line, another container's or a blank one."""
+    return prev.isNull() | ~prev["container_id"].eqNullSafe(container_id) | prev["blank_"]
 
 
 def mark_heads(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS) -> DataFrame:
     """Adds anchor: struct(ts_ns, rowid) of the head of each line's entry, and is_head."""
-    order = F.struct("ts_ns", "rowid")
     field, _ = structured_field(F.col("message"))
-    d = parsed.withColumns({
-        "slice_": day("ts_ns", slice_ns), "blank_": trim(F.col("message")) == "",
-        "field_": field.isNotNull(), "stack_": is_stack_line(F.col("message")),
-    })
+    d = parsed.withColumns({"slice_": day("ts_ns", slice_ns), "blank_": trim(F.col("message")) == "", "field_": field.isNotNull(), "stack_": is_stack_line(F.col("message"))})
     w = W.partitionBy(*keys, "slice_").orderBy("ts_ns", "rowid")
-    line = F.struct("container_id", "blank_")
-    d = _with(d, keys, _carried(d, keys, F.max_by(line, order), "tail_"))
-    prev = F.coalesce(F.lag(line).over(w), F.col("tail_"))
-    d = d.withColumn("prev_", prev)
-    sure = F.col("prev_").isNull() | ~F.col("prev_.container_id").eqNullSafe(F.col("container_id")) | (F.col("level") != "UNKNOWN") | F.col("blank_") | F.col("prev_.blank_") | ~(F.col("field_") | F.col("stack_"))
-    d = d.withColumn("sure_", sure)
-    sure_level = F.when(F.col("sure_"), F.col("level"))
-    d = _with(d, keys, _carried(d, keys, F.max_by("level", F.when(F.col("sure_"), order)), "carry_level_"))
-    anchor_level = F.coalesce(F.last(sure_level, ignorenulls=True).over(w), F.col("carry_level_"))
-    d = d.withColumn("is_head", F.col("sure_") | (F.col("stack_") & ~F.col("field_") & ~anchor_level.isin(PROBLEM)))
-    head = F.when(F.col("is_head"), order)
-    d = _with(d, keys, _carried(d, keys, F.max(head), "carry_head_"))
+    plain = (F.col("level") != "UNKNOWN") | F.col("blank_") | ~(F.col("field_") | F.col("stack_"))
+    d = d.withColumns({"plain_": plain, "prev_": F.lag(F.struct("container_id", "blank_")).over(w)})
+    local = F.col("plain_") | (F.col("prev_").isNotNull() & _breaks(F.col("prev_"), F.col("container_id")))
+    d = d.withColumn("local_", local)
+    d = d.withColumn("anchor_", F.last(F.when(F.col("local_"), F.col("level")), ignorenulls=True).over(w))
+    on = [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys] + [F.col("slice_") == F.col("slice__")]
+    d = d.join(_edges(d, keys), on, "left").drop(*[f"{k}__" for k in keys], "slice__")
+    d = d.withColumn("sure_", F.col("local_") | (F.col("prev_").isNull() & _breaks(F.col("tail_"), F.col("container_id"))))
+    level = F.coalesce(F.last(F.when(F.col("sure_"), F.col("level")), ignorenulls=True).over(w), F.col("carry_level_"))
+    d = d.withColumn("is_head", F.col("sure_") | (F.col("stack_") & ~F.col("field_") & ~level.isin(PROBLEM)))
+    head = F.when(F.col("is_head"), F.struct("ts_ns", "rowid"))
     d = d.withColumn("anchor", F.coalesce(F.last(head, ignorenulls=True).over(w), F.col("carry_head_")))
-    return d.drop("slice_", "blank_", "field_", "stack_", "tail_", "prev_", "sure_", "carry_level_", "carry_head_")
+    return d.drop("slice_", "blank_", "field_", "stack_", "plain_", "prev_", "local_", "anchor_", "tail_", "carry_level_", "sure_", "carry_head_")
 
 
 def fold(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS) -> DataFrame:
