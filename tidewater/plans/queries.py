@@ -196,7 +196,7 @@ def sparkline(spark, d):
 
 def counter_rates(spark, d):
     r = inventory.rates(table(spark, d, "events").withColumn("at", F.col("event_id") * 2), "value", "at", ["event_type"])
-    return r.select("event_id", F.round("rate", 6).alias("rate"))
+    return r.select("event_id", "rate")
 
 
 def dropped_by_ring(spark, d):
@@ -306,7 +306,7 @@ SELECT host, what, exit_code, count(*) AS n FROM r WHERE what IS NOT NULL AND ex
     "recent_samples": """WITH s AS (SELECT 'h' || (user_id % 3) AS host, CAST(user_id AS VARCHAR) AS id, event_id // 50 AS at_s FROM events)
 SELECT host, id, least(count(*), 5) AS n FROM s WHERE (host, id) IN (SELECT (host, id) FROM s WHERE at_s = (SELECT max(at_s) FROM s)) GROUP BY ALL""",
     "sparkline": "SELECT event_id, round((value - min(value) OVER w) / greatest(max(value) OVER w - min(value) OVER w, 2.0), 6) AS level FROM events WINDOW w AS (PARTITION BY user_id, event_type)",
-    "counter_rates": "SELECT event_id, round((value - lag(value) OVER w) / nullif(event_id * 2 - lag(event_id * 2) OVER w, 0), 6) AS rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
+    "counter_rates": "SELECT event_id, (value - lag(value) OVER w) / nullif(event_id * 2 - lag(event_id * 2) OVER w, 0) AS rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
     "dropped_by_ring": f"SELECT host, name, least(count(*), 100) AS n, greatest(count(*) - 100, 0) AS dropped FROM {L} GROUP BY ALL",
     "upserted_generations": f"""WITH g AS (SELECT host, container_id, name, rowid, rowid % 3 <> 0 AS new FROM {L})
 SELECT host, container_id, coalesce(max(name) FILTER (rowid % 2 = 0), '') AS name, '' AS compose_project, 'img' || (arg_max(rowid, (new, rowid)) % 7) AS image, min(rowid) AS first_seen_ms, max(rowid) AS last_seen_ms FROM g GROUP BY ALL""",
