@@ -22,6 +22,8 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import small_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL = re.compile(r"<\\*\|")
 _ESCAPED = re.compile(r"<\\+\|")
@@ -83,6 +85,7 @@ def _render(batches):
 
 def format_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, formatted: a conversation's output is its rows' `formatted`, in order, joined by nothing."""
+    small_batches(conversations.sparkSession)
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text")
     return c.mapInArrow(_render, "conv_id long, turn long, formatted string")
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import inside, is_word_byte, lower_ascii, ngram_hashes, row_slices, split_words
+from .shared import inside, is_word_byte, lower_ascii, ngram_hashes, row_slices, small_batches, split_words
 
 WINDOW, GRAM = 13, 5
 #: Words of the benchmark that are broadcast at once: at most 32 bytes for each, so 64 MB.
@@ -128,6 +128,7 @@ def _finder(shared):
 def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, starts and ends of hit runs (in words), items whose windows occur."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (2 * block_words)))  # a word and its separator take two bytes at least

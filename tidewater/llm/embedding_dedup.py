@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .shared import delete, materialize
+from .shared import delete, materialize, small_batches
 from .simhash import forest
 
 COSINE = 0.93
@@ -161,6 +161,7 @@ def _links(batches):
 
 def near_duplicates(vectors: DataFrame, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
+    small_batches(vectors.sparkSession)
     kinds = dict(vectors.dtypes)
     spec = f"vec_id long, label {kinds['label']}, embedding {kinds['embedding']}, key string, dim int"
     rows, _ = materialize(vectors.select("vec_id", "label", "embedding").mapInArrow(_check, spec), "vectors")

@@ -17,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .shared import row_slices
+from .shared import row_slices, small_batches
 
 ORDER, PROFILE, HELD_OUT = 3, 400, 2
 #: Languages that a model may have: bounds what is sent to the executors, PROFILE * MOST_LANGUAGES rows.
 MOST_LANGUAGES = 2_000
+MOST_HELD = 500_000
 _LETTER: list[np.ndarray] = []
 
 
@@ -65,15 +66,32 @@ def top(keys: np.ndarray, n: int = PROFILE) -> np.ndarray:
     return k[np.argsort(-c, kind="stable")[:n]]
 
 
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Sums of two sorted count tables."""
+    keys, at = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate((a[1], b[1])), minlength=len(keys)).astype(np.int64)
+
+
+def _rows(by: dict):
+    for lang, (k, n) in by.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+
 def _count(batches):
+    """Counts by language, summed within the partition; they leave early when there are MOST_HELD of them."""
+    by: dict[str, tuple] = {}
     for whole in batches:
-        for b in row_slices(whole, "text"):
-            by: dict[str, list] = {}
+        for b in row_slices(whole, "text", 1 << 20):
+            new: dict[str, list] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                by.setdefault(lang, []).append(grams(text))
-            for lang, parts in by.items():
-                k, n = counted(np.concatenate(parts))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+                new.setdefault(lang, []).append(grams(text))
+            for lang, parts in new.items():
+                c = counted(np.concatenate(parts))
+                by[lang] = _merged(by[lang], c) if lang in by else c
+            if sum(len(k) for k, _ in by.values()) > MOST_HELD:
+                yield from _rows(by)
+                by = {}
+    yield from _rows(by)
 
 
 def held_out(part: int = 4, of: int = HELD_OUT):
@@ -82,6 +100,7 @@ def held_out(part: int = 4, of: int = HELD_OUT):
 
 def train(docs: DataFrame) -> dict:
     """Profiles of all languages in the rows given: lang -> its n-grams, most frequent first."""
+    small_batches(docs.sparkSession)
     counts = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= PROFILE)
@@ -124,6 +143,7 @@ def _predict(shared):
 
 
 def identify(docs: DataFrame, profiles: dict) -> DataFrame:
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     return docs.select("doc_id", "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
 

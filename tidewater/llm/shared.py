@@ -27,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIRS[app]}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Long texts must not pile up in an Arrow batch: batches are bounded by bytes, not only by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -179,7 +184,7 @@ def inside(bounds: np.ndarray, k: int, n: int) -> np.ndarray:
     return np.arange(max(0, n - k + 1)) + k <= row_end[: max(0, n - k + 1)]
 
 
-def row_slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def row_slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """The batch in parts of up to `most` bytes of text; a longer text is a part of its own."""
     if not batch.num_rows:
         return

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .shared import materialize, row_slices
+from .shared import materialize, row_slices, small_batches
 
 SHINGLE, RADIUS, TILE = 4, 4, 2048
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
@@ -58,6 +58,7 @@ def _prints(batches):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_prints, "doc_id long, fp long")
 
 

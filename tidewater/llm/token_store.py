@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .shared import delete, materialize, mix, new_path, row_slices
+from .shared import delete, materialize, mix, new_path, row_slices, small_batches
 
 END, ROLL, LEAST, MOST, CUT_BITS = 2, 8, 128, 4096, 9
 CACHE_WORDS = 600_000
@@ -184,6 +184,7 @@ def _in_order(t: str):
 def write(docs: DataFrame, tokenizer_path: str) -> str:
     """Writes the store and returns its folder."""
     spark = docs.sparkSession
+    small_batches(spark)
     store = new_path(spark, "tokens")
     text = F.coalesce("text", F.lit(""))
     named = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("order_"), F.monotonically_increasing_id().alias("row"))
@@ -287,6 +288,7 @@ def _join_crcs(batches):
 
 def verify(spark: SparkSession, store: str, wide: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, all from the files; fails where they don't fit together."""
+    small_batches(spark)
     recipes, manifests = spark.read.parquet(f"{store}/recipes"), spark.read.parquet(f"{store}/manifests")
     now = _part_manifests(recipes)
     wrong = now.join(manifests.select("part", F.col("root").alias("said")), "part", "full").filter(~F.col("root").eqNullSafe(F.col("said")))

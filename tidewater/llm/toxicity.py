@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import materialize, row_slices, text_buffers
+from .shared import materialize, row_slices, small_batches, text_buffers
 
 SAMPLE, FEATURES, LEAST_DOCS, STEMS, REFIT = 40_000, 4_000, 3, (4, 5), 2e-6
 HELD_OUT_OF = 5
@@ -58,6 +58,7 @@ def _trigrams(batches):
 
 def letter_model(docs: DataFrame) -> np.ndarray:
     """log P(third | first two), from all documents."""
+    small_batches(docs.sparkSession)
     counts = np.zeros(28**3)
     for gram, n in docs.select("text").mapInArrow(_trigrams, "gram int, n long").groupBy("gram").agg(F.sum("n")).collect():
         counts[gram] = n
