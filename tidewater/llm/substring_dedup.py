@@ -25,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import inside, is_not_space, materialize, ngram_hashes, row_slices, split_words
+from .shared import inside, is_not_space, materialize, ngram_hashes, row_slices, small_batches, split_words
 
 WINDOW, BLOCK = 20, 10
-CHUNK_BYTES = 6 << 20
-#: Buckets for each chunk-sized part of the input; a chunk has about a million probes.
-BUCKETS_PER_CHUNK = 2
+CHUNK_BYTES = 3 << 20
+#: Chunks whose hashes one bucket takes on average: a chunk has about half a million probes, so a bucket has some 4 million.
+#: Each chunk sends every bucket one row; larger buckets keep these rows long.
+CHUNKS_PER_BUCKET = 8
+LEAST_BUCKETS = 16
 _HALF = np.uint64(32)
 #: Stands for a null doc_id, which comes first.
 NULL_ID = -(1 << 63)
@@ -45,6 +47,7 @@ def _pack(batches):
 
 def pack(docs: DataFrame) -> tuple[DataFrame, str]:
     """chunk, ids, texts."""
+    small_batches(docs.sparkSession)
     packed = docs.select("doc_id", "text").mapInArrow(_pack, "ids array<long>, texts array<string>")
     return materialize(packed.select(F.monotonically_increasing_id().alias("chunk"), "ids", "texts"), "chunks")
 
@@ -251,7 +254,7 @@ def _reply(said: DataFrame, name: str) -> tuple[DataFrame, str]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words, joined by one space)."""
     chunks, _ = pack(docs)
-    buckets = max(8, BUCKETS_PER_CHUNK * chunks.count())
+    buckets = max(LEAST_BUCKETS, -(-chunks.count() // CHUNKS_PER_BUCKET))
     kind = "chunk long, bucket long, said array<tinyint>"
     sent = chunks.mapInArrow(_anchors(buckets), "bucket long, chunk long, hashes array<int>, kinds array<tinyint>")
     hits, _ = _reply(sent.groupBy("bucket").applyInArrow(_meet, kind), "hits")
