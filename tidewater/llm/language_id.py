@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .shared import row_slices, small_batches
+from .shared import crc32_sql, row_slices, small_batches
 
 ORDER, PROFILE, HELD_OUT = 3, 400, 2
 #: Languages that a model may have: bounds what is sent to the executors, PROFILE * MOST_LANGUAGES rows.
@@ -165,3 +165,19 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 yield b.filter(pa.array([model.predict(t)[0] != "und" for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.select(*cols).mapInArrow(keep, docs.schema)
+
+
+#: Letters as \\p{L}, a gap as a space. Ties: grams of a document by length and letters, those of a language by the keys' signed order.
+SQL = rf"""
+WITH d AS (SELECT doc_id, lang, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '')")} % 4 = {HELD_OUT} AS held_out, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', ' ', 'g')) AS t FROM documents),
+l AS (SELECT doc_id, lang, held_out, string_split(' ' || t || ' ', '') AS c FROM d WHERE t <> ''),
+p AS (SELECT doc_id, lang, held_out, c, unnest(range(1, len(c) + 1)) AS j FROM l),
+g AS (SELECT doc_id, lang, held_out, unnest([CASE WHEN c[j] <> ' ' THEN c[j] END, CASE WHEN j < len(c) THEN c[j] || c[j + 1] END, CASE WHEN j < len(c) - 1 AND c[j + 1] <> ' ' THEN c[j] || c[j + 1] || c[j + 2] END]) AS gram FROM p),
+n AS (SELECT doc_id, lang, held_out, gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY ALL),
+o AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(gram), gram) AS r FROM n QUALIFY r <= {PROFILE}),
+m AS (SELECT lang, gram, sum(n) AS n FROM n WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+q AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, CASE length(gram) WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END, gram) AS r FROM m QUALIFY r <= {PROFILE}),
+x AS (SELECT doc_id, lang, sum(coalesce(abs(q.r - o.r), {PROFILE})) AS far, count(*) AS own FROM o CROSS JOIN (SELECT DISTINCT lang FROM q) LEFT JOIN q USING (lang, gram) GROUP BY ALL),
+b AS (SELECT doc_id, arg_min(lang, (far, lang)) AS lang_pred, min(far) AS far, any_value(own) AS own FROM x GROUP BY doc_id)
+SELECT doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, coalesce(1 - CAST(far AS DOUBLE) / ({PROFILE} * own), 0) AS score FROM d LEFT JOIN b USING (doc_id)
+"""

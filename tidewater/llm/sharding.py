@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .shared import crc32_sql
+
 SLICE = 20_000
 MADE = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -51,3 +53,13 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: str = "shard") -> DataFr
     d = d.withColumn("shard", shard).withColumn("slot", F.col("g_") - first)
     return d.select(*keep, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
+
+
+#: The whole table in one order; row g of n goes to shard g * 40 // n.
+SQL = f"""
+WITH d AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 16 AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32,
+  CAST('0x' || substr(md5('shard:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS h, coalesce('s' || source, 'n') AS s FROM documents),
+f AS (SELECT *, (row_number() OVER (PARTITION BY s ORDER BY h, doc_id, text_crc32) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY s) AS f FROM d),
+g AS (SELECT *, row_number() OVER (ORDER BY f, s, h, doc_id) - 1 AS g, count(*) OVER () AS n FROM f)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(g * 40 // n AS INT) AS shard, g - (g * 40 // n * n + 39) // 40 AS slot, CAST(NULL AS INT) AS grown_shard, source FROM g
+"""

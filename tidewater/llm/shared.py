@@ -63,6 +63,20 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the crc32 of a text's UTF-8 bytes: each byte's step is an exclusive or of the steps of its bits."""
+    def step(c):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        return c
+
+    byte = "xor(c, b)"
+    term = "c >> 8"
+    for j in range(8):
+        term = f"xor({term}, (({byte} >> {j}) & 1) * {step(1 << j)})"
+    return f"xor(list_reduce(list_transform(regexp_extract_all(hex({text}), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: {term}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
 # ---- words as 64-bit hashes, computed over whole Arrow buffers -------------------------------------------------
 
 def mix(x: np.ndarray) -> np.ndarray:
