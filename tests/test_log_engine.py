@@ -138,3 +138,12 @@ def test_resolution(spark):
     assert inventory.resolve_one(c, "web")["id"] == "abc1"
     with pytest.raises(LookupError):
         inventory.resolve_one(c, "abc")
+
+
+def test_filters_on_parsed_columns_parse_once(spark):
+    d = fold.parse(lines(spark, [("n", "c", 1, "ERROR boom"), ("n", "c", 2, "INFO boom"), ("n", "c", 3, ""), ("n", "c", 4, "error: late")]))
+    cond = live.live_match("error", "boom")
+    got = live.keep(d.filter(live.streams()), cond)
+    assert got.columns == d.columns and sorted(r.ts_ns for r in got.collect()) == sorted(r.ts_ns for r in d.filter(cond).collect()) == [1]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate")  # the filter stays above the parsing

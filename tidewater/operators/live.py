@@ -44,6 +44,15 @@ def live_match(level: str = "", search: str = "") -> Column:
     return cond
 
 
+def keep(parsed: DataFrame, condition: Column) -> DataFrame:
+    """Rows that a condition on message or level keeps; conditions on stored columns go to filter(), which reaches the scan.
+
+    The condition is the output of a generator of one row. A plain filter would be pushed below the parsing with a copy of all of it
+    for each mention of a parsed column: parsing twice, in code too large to compile.
+    """
+    return parsed.select("*", F.explode(F.array(condition)).alias("keep_")).filter("keep_").drop("keep_")
+
+
 def exclude(pattern: str) -> Column:
     """Rows that the pattern does not match; an invalid pattern excludes nothing."""
     import re

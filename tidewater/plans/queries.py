@@ -51,16 +51,16 @@ def tail_per_container(spark, d):
 
 
 def live_search(spark, d):
-    return _parsed(spark, d).filter(live.live_match("error", "failed|boom") & live.streams(stdout=True, stderr=False)).select("rowid", "level", "message")
+    return live.keep(_parsed(spark, d).filter(live.streams(stdout=True, stderr=False)), live.live_match("error", "failed|boom")).select("rowid", "level", "message")
 
 
 def excluded_matches(spark, d):
-    return _parsed(spark, d).filter(live.exclude("slow|alice")).groupBy("level").agg(F.count("*").alias("n"))
+    return live.keep(_parsed(spark, d), live.exclude("slow|alice")).groupBy("level").agg(F.count("*").alias("n"))
 
 
 def grep(spark, d):
     lines = live.tail(a.log_lines(spark, d), 1000, ["host", "container_id"], ["ts_ns", "rowid"])
-    return fold_.parse(lines).filter(F.col("message").rlike("boom|trouble|order")).select("host", "container_id", "rowid", "ts_ns", "level", "message")
+    return live.keep(fold_.parse(lines), F.col("message").rlike("boom|trouble|order")).select("host", "container_id", "rowid", "ts_ns", "level", "message")
 
 
 def merged_targets(spark, d):

@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tidewater.functions.format import whole
 from tidewater.operators.alerts import FIRED, RuleWindow
 from tidewater.operators.ingest import new_lines
-from tidewater.operators.live import live_match
+from tidewater.operators.live import keep, live_match
 from tidewater.operators.fold import parse
 from tidewater.sources.readers import stored_lines
 from tidewater.sources.sinks import append_lines
@@ -37,7 +37,7 @@ def ingest(lines: DataFrame, store: str, checkpoint: str, trigger: dict | None =
 
 def follow_parsed(lines: DataFrame, level: str = "", search: str = "") -> DataFrame:
     """A live stream's lines are parsed and filtered one by one; they are never folded."""
-    return parse(lines).filter(live_match(level, search))
+    return keep(parse(lines), live_match(level, search))
 
 
 class AlertState(StatefulProcessor):
