@@ -300,6 +300,9 @@ SELECT event_id, round(CASE WHEN pa IS NOT NULL AND at_s - pa < 1000000000 AND t
 SELECT event_id, CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN format('{:.1f}KiB', n / 1024) WHEN n < 1073741824 THEN format('{:.1f}MiB', n / 1048576) WHEN n < 1099511627776 THEN format('{:.1f}GiB', n / 1073741824) WHEN n < 1125899906842624 THEN format('{:.1f}TiB', n / 1099511627776) ELSE format('{:.1f}PiB', n / 1125899906842624) END AS bytes,
  CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS age, (event_id % 512) * 1048576 AS memory, (event_id % 90) * 60.0::DOUBLE AS seconds,
  CASE WHEN event_id = 0 THEN '0' WHEN event_id % 1048576 = 0 THEN event_id // 1048576 || 'g' WHEN event_id % 1024 = 0 THEN event_id // 1024 || 'm' ELSE event_id || 'k' END AS exact FROM n""",
+    # turns hold no JSON and no keyed levels, so keywords decide
+    "conversation_levels": f"""SELECT CASE {' '.join(f"WHEN regexp_matches(line, '(?i){chr(92)}b(?:{words}){chr(92)}b') THEN '{level}'" for level, words in p.KEYWORDS)} ELSE 'UNKNOWN' END AS level, count(*) AS n
+ FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE line <> '' GROUP BY 1""",
     "events_alertable": """WITH e AS (SELECT *, 'h' || (user_id % 3) AS host, event_id % 4 AS kind, event_id % 5 AS k5 FROM events),
 r AS (SELECT host, CASE WHEN kind = 0 THEN 'die' WHEN kind = 1 THEN 'oom' WHEN kind = 2 AND k5 <> 3 THEN 'unhealthy' END AS what, CASE WHEN kind = 0 THEN CASE WHEN k5 = 0 THEN '0' WHEN k5 = 1 THEN 'unknown' ELSE CAST(k5 AS VARCHAR) END ELSE '' END AS exit_code FROM e)
 SELECT host, what, exit_code, count(*) AS n FROM r WHERE what IS NOT NULL AND exit_code <> '0' GROUP BY ALL""",
