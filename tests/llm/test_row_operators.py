@@ -40,6 +40,18 @@ def test_mixing(spark):
     assert None in {r.source for r in mixing.poisson_mix(docs(spark, ROWS), None, total=60_000).collect()}
 
 
+def test_mixing_at_high_rates(spark):
+    """Counts by logarithms of the terms, where exp(-rate) is 0 or denormal."""
+    for n, rate in ((300, 1000.0), (20, 720.0), (3, 50_000.0)):
+        out = mixing.poisson_mix(docs(spark, [(i, "x", "s") for i in range(n)]), None, total=int(n * rate)).groupBy("doc_id", "n_replicas").count().collect()
+        assert len(out) == n and all(r["count"] == r.n_replicas for r in out)
+        for r in out:
+            u = int(hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            cdf = lambda k: math.fsum(math.exp(j * math.log(rate) - rate - math.lgamma(j + 1)) for j in range(k + 1))
+            assert cdf(r.n_replicas - 1) <= u + 1e-9 and u < cdf(r.n_replicas) + 1e-9
+    assert len({r.n_replicas for r in out}) > 1
+
+
 def test_many_sources_go_by_a_salted_join(spark, monkeypatch):
     few = sorted((r.doc_id, r.replica) for r in mixing.poisson_mix(docs(spark, ROWS)).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)

@@ -25,7 +25,11 @@ def uniform(seed: str, *cols: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, total: int | None) -> DataFrame:
-    """source, rate, cdf: cumulative Poisson probabilities, up to where they are 1 in double precision."""
+    """source, rate, low, cdf: cumulative Poisson probabilities of the counts from `low` on, up to where they are 1.
+
+    Terms go by recurrence outward from the mode, where they start at 1, and are divided by their sum: exp(-rate) would be 0
+    beyond a rate of 745. What lies over 12 standard deviations from the mean is below double precision.
+    """
     n = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         w = F.pow(F.col("n").cast("double"), F.lit(1.0 / TEMPERATURE))
@@ -36,18 +40,25 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, total: int | None)
     sums = n.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
     size = F.lit(float(total)) if total is not None else F.col("all_n")
     r = n.crossJoin(F.broadcast(sums)).select("source", F.when(F.col("all_w") > 0, F.col("w") * size / F.col("all_w") / F.col("n")).otherwise(0.0).alias("rate"))
-    upto = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    step = lambda a, k: F.struct((a.p * F.col("rate") / k).alias("p"), (a.c + a.p * F.col("rate") / k).alias("c"), F.concat(a.cdf, F.array(a.c + a.p * F.col("rate") / k)).alias("cdf"))
-    p0 = F.exp(-F.col("rate"))
-    start = F.struct(p0.alias("p"), p0.alias("c"), F.array(p0).alias("cdf"))
-    return r.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), upto), start, step)["cdf"])
+    rate, reach, mode = F.col("rate"), 12 * F.sqrt("rate") + 30, F.floor("rate")
+    low, high = F.greatest(F.lit(0).cast("long"), F.floor(rate - reach)), F.ceil(rate + reach)
+    one, none = F.lit(1.0), F.array().cast("array<double>")
+    term = lambda a, factor: F.struct((a.p * factor).alias("p"), F.concat(a.all, F.array(a.p * factor)).alias("all"))
+    walk = lambda ks, factor: F.aggregate(ks, F.struct(one.alias("p"), none.alias("all")), lambda a, k: term(a, factor(k)))["all"]
+    below = F.when(F.col("mode") > F.col("low"), F.sequence("mode", F.col("low") + 1, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    r = r.withColumns({"low": low, "high": high, "mode": mode})
+    terms = F.concat(F.reverse(walk(below, lambda k: k / rate)), F.array(one), walk(F.sequence(F.col("mode") + 1, F.col("high")), lambda k: rate / k))
+    step = lambda a, p: F.struct((a.c + p).alias("c"), F.concat(a.cdf, F.array(a.c + p)).alias("cdf"))
+    sums = F.aggregate("terms", F.struct(F.lit(0.0).alias("c"), none.alias("cdf")), step)
+    r = r.withColumn("terms", terms).withColumn("sums", sums)
+    return r.select("source", "rate", "low", F.transform("sums.cdf", lambda c: c / F.col("sums.c")).alias("cdf"))
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: str = "mix") -> DataFrame:
-    cols = [c for c in docs.columns if c not in ("replica", "n_replicas", "shuffle_key", "cdf_", "key_")]
+    cols = [c for c in docs.columns if c not in ("replica", "n_replicas", "shuffle_key", "cdf_", "key_", "low_")]
     if weights is None and total is None:
         weights = None
-    r = rates(docs.select("source"), weights, total).select(F.col("source").alias("key_"), F.col("cdf").alias("cdf_"))
+    r = rates(docs.select("source"), weights, total).select(F.col("source").alias("key_"), F.col("low").alias("low_"), F.col("cdf").alias("cdf_"))
     small = r.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     docs = docs.select(*cols)
     if small:
@@ -58,7 +69,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
         joined = salted.join(r, F.col("source").eqNullSafe(F.col("key_")) & (F.col("salt_") == F.col("salt2_")))
     id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     u = uniform(seed, id_)
-    counted = joined.withColumn("n_replicas", F.size(F.filter("cdf_", lambda c: c <= u)).cast("long")).filter("n_replicas > 0")
+    counted = joined.withColumn("n_replicas", F.col("low_") + F.size(F.filter("cdf_", lambda c: c <= u))).filter("n_replicas > 0")
     out = counted.select(*cols, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_replicas") - 1)).alias("replica"), "n_replicas")
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), id_, F.col("replica").cast("string"))))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
