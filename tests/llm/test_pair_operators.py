@@ -83,6 +83,19 @@ def test_decontamination_equals_brute_force(spark, corpus):
     assert decontaminate.clean_documents(docs(spark, corpus), b.limit(0)).count() == len(corpus)
 
 
+def test_decontamination_judges_each_row(spark):
+    """Repeated rows, and unequal texts of one or no doc_id with equally many words, on either side of the block size."""
+    rng = random.Random(3)
+    item, other, clean = words(rng, 20), words(rng, 20), words(rng, 20)
+    rows = [(1, item), (1, item), (1, other), (1, clean), (1, clean), (None, item), (None, clean), (None, words(rng, 20)), (2, clean), (3, None), (None, None)]
+    b = spark.createDataFrame([(7, item), (8, other), (9, "")], "item_id long, text string")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    want = sorted(decontaminate.brute_force(rows, [(7, item), (8, other), (9, "")]), key=key)
+    for block in (decontaminate.BLOCK_WORDS, 10):
+        got = decontaminate.digest(decontaminate.contamination(docs(spark, rows), b, block_words=block))
+        assert sorted(map(tuple, got.collect()), key=key) == want
+
+
 def test_substring_removal_equals_brute_force(spark, corpus, monkeypatch):
     want = sorted(substring_dedup.brute_force(corpus))
     for size in (substring_dedup.CHUNK_BYTES, 3000):

@@ -5,11 +5,12 @@ item of fewer words is one window of its own. In every WINDOW words there are WI
 the window's fingerprint, so two equal windows always share it. Benchmark fingerprints are joined with those of the documents;
 each shared one is extended to the whole window, which is compared by its own 64-bit hash, and to all windows beside it.
 
-The benchmark goes to the executors in blocks of at most BLOCK_WORDS words, each within a proven size; documents are read once
-for every block, and what the blocks find in a document is united. Documents are never shuffled when one block holds it all.
+A benchmark of at most BLOCK_WORDS words, which is a proven size, is broadcast, and documents are never shuffled. A larger one
+stays a table of windows: rows of the documents get a key in a written table, their fingerprints are joined with the windows'
+by shuffle, and only rows with a shared fingerprint are read again for the whole windows. Each row is judged by itself, by its key.
 
-Defined cases: a null or wordless text has no words and isn't contaminated; a null item is ignored; equal rows give equal rows;
-empty tables give no rows or no hits; other columns are not returned.
+Defined cases: a null or wordless text has no words and isn't contaminated; a null item is ignored; equal rows give equal rows,
+as many as there are; empty tables give no rows or no hits; other columns are not returned.
 """
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import inside, is_word_byte, lower_ascii, ngram_hashes, row_slices, small_batches, split_words
+from .shared import inside, is_word_byte, lower_ascii, materialize, ngram_hashes, row_slices, small_batches, split_words
 
 WINDOW, GRAM = 13, 5
 #: Words of the benchmark that are broadcast at once: at most 32 bytes for each, so 64 MB.
@@ -103,58 +104,133 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _found(shared, batches):
+    """Of each part of the batches: the part, words per row, and by row the merged spans and the items."""
+    index = shared.value
+    lookups = {"prints": Lookup(index["prints"])} | {k: Lookup(np.array(list(v), np.uint64)) for k, v in index["windows"].items()}
+    for whole in batches:
+        for batch in row_slices(whole, "text"):
+            words = split_words(batch.column("text"), is_word_byte(), lower_ascii())
+            found: dict[int, tuple[list, set]] = {}
+            for row, s, e, items in hits(words, index, lookups):
+                spans, names = found.setdefault(row, ([], set()))
+                base = int(words.bounds[row])
+                spans.append((s - base, e - base))
+                names.update(items)
+            yield batch, np.diff(words.bounds), {r: (merge(spans), sorted(names)) for r, (spans, names) in found.items()}
+
+
 def _finder(shared):
     def find(batches):
-        index = shared.value
-        lookups = {"prints": Lookup(index["prints"])} | {k: Lookup(np.array(list(v), np.uint64)) for k, v in index["windows"].items()}
-        for whole in batches:
-            for batch in row_slices(whole, "text"):
-                words = split_words(batch.column("text"), is_word_byte(), lower_ascii())
-                found: dict[int, tuple[list, set]] = {}
-                for row, s, e, items in hits(words, index, lookups):
-                    spans, names = found.setdefault(row, ([], set()))
-                    base = int(words.bounds[row])
-                    spans.append((s - base, e - base))
-                    names.update(items)
-                rows = [(merge(found[r][0]), sorted(found[r][1])) if r in found else ([], []) for r in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(words.bounds), pa.int64()),
-                    pa.array([[s for s, _ in x] for x, _ in rows], pa.list_(pa.int64())), pa.array([[e for _, e in x] for x, _ in rows], pa.list_(pa.int64())),
-                    pa.array([y for _, y in rows], pa.list_(pa.string())),
-                ], names=FOUND.names)
+        for batch, n_words, found in _found(shared, batches):
+            rows = [found.get(r, ([], [])) for r in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()),
+                pa.array([[s for s, _ in x] for x, _ in rows], pa.list_(pa.int64())), pa.array([[e for _, e in x] for x, _ in rows], pa.list_(pa.int64())),
+                pa.array([y for _, y in rows], pa.list_(pa.string())),
+            ], names=FOUND.names)
     return find
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, starts and ends of hit runs (in words), items whose windows occur."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _windows(words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of k words within a row: row, first word in it, fingerprint, hash."""
+    h, gram = words.hash, min(GRAM, k)
+    at = np.flatnonzero(inside(words.bounds, k, len(h)))
+    rows = np.searchsorted(words.bounds, at, side="right") - 1
+    return rows, at - words.bounds[rows], sliding_min(ngram_hashes(h, gram), k - gram + 1)[at].view(np.int64), ngram_hashes(h, k)[at].view(np.int64)
+
+
+def _item_windows(batches):
+    for whole in batches:
+        for batch in row_slices(whole, "text"):
+            words = split_words(batch.column("text"), is_word_byte(), lower_ascii())
+            length = np.minimum(WINDOW, np.diff(words.bounds))
+            for k in np.unique(length[length > 0]).tolist():
+                rows, _, prints, full = _windows(words, k)
+                own = np.flatnonzero(length[rows] == k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(prints[own]), pa.array(full[own]), batch.column("item_id").take(pa.array(rows[own])).cast(pa.string())], names=["k", "print", "full", "item"])
+
+
+def _row_prints(lengths):
+    def run(batches):
+        for whole in batches:
+            for batch in row_slices(whole, "text"):
+                words, key = split_words(batch.column("text"), is_word_byte(), lower_ascii()), np.asarray(batch.column("row_"))
+                for k in lengths:
+                    rows, _, prints, _ = _windows(words, k)
+                    new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (prints[1:] != prints[:-1])))[: len(rows)])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[rows[new]]), pa.array(np.full(len(new), k, np.int32)), pa.array(prints[new])], names=["row_", "k", "print"])
+    return run
+
+
+def _row_windows(batches):
+    """Windows of the rows whose fingerprints are among the row's `shared` ones."""
+    for whole in batches:
+        for batch in row_slices(whole, "text"):
+            words, key = split_words(batch.column("text"), is_word_byte(), lower_ascii()), np.asarray(batch.column("row_"))
+            shared: dict[int, list[set]] = {}
+            for i, xs in enumerate(batch.column("shared").to_pylist()):
+                for x in xs:
+                    shared.setdefault(x["k"], [set() for _ in range(batch.num_rows)])[i].add(x["print"])
+            for k, wanted in shared.items():
+                rows, starts, prints, full = _windows(words, k)
+                own = np.array([j for j, (r, x) in enumerate(zip(rows.tolist(), prints.tolist())) if x in wanted[r]], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows[own]]), pa.array(np.full(len(own), k, np.int32)), pa.array(starts[own].astype(np.int64)), pa.array(full[own])], names=["row_", "k", "start", "full"])
+
+
+def _count_words(batches):
+    for whole in batches:
+        for batch in row_slices(whole, "text"):
+            words = split_words(batch.column("text"), is_word_byte(), lower_ascii())
+            yield pa.RecordBatch.from_arrays([batch.column("row_"), batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(words.bounds), pa.int64())], names=["row_", "doc_id", "n_words"])
+
+
+def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """rows: a written table with the key row_. row_ and the columns of FOUND, for every row."""
+    windows, _ = materialize(items.mapInArrow(_item_windows, "k int, print long, full long, item string").distinct(), "windows")
+    lengths = sorted(r[0] for r in windows.select("k").distinct().collect())
+    texts = rows.select("row_", "text")
+    prints = texts.mapInArrow(_row_prints(lengths), "row_ long, k int, print long").distinct()
+    shared = prints.join(windows.select("k", "print").distinct(), ["k", "print"]).groupBy("row_").agg(F.collect_list(F.struct("k", "print")).alias("shared"))
+    near, _ = materialize(texts.join(shared, "row_").mapInArrow(_row_windows, "row_ long, k int, start long, full long"), "near")
+    hit = near.join(windows.select("k", "full").distinct(), ["k", "full"])
+    spans = hit.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("k")).alias("end")))).alias("spans"))
+    names = hit.select("row_", "k", "full").distinct().join(windows, ["k", "full"]).groupBy("row_").agg(F.collect_set("item").alias("items"))
+    out = rows.select("row_", "doc_id", "text").mapInArrow(_count_words, "row_ long, doc_id long, n_words long").join(spans, "row_", "left").join(names, "row_", "left")
+    none = F.array().cast("array<bigint>")
+    return out.select("row_", "doc_id", "n_words", F.coalesce("spans.start", none).alias("starts"), F.coalesce("spans.end", none).alias("ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _items(benchmark: DataFrame, block_words: int) -> tuple[DataFrame, bool]:
+    """The benchmark's items, and if they may be broadcast."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (2 * block_words)))  # a word and its separator take two bytes at least
+    return items, total <= 2 * block_words  # a word and its separator take two bytes at least
+
+
+def _index(items: DataFrame):
+    return items.sparkSession.sparkContext.broadcast(index_items([(r[0], r[1]) for r in items.collect()]))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return materialize(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")[0]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per row: doc_id, n_words, starts and ends of hit runs (in words), items whose windows occur."""
+    items, small = _items(benchmark, block_words)
     docs = docs.select("doc_id", "text")
-    parts = []
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
-        shared = spark.sparkContext.broadcast(index_items([(r[0], r[1]) for r in rows]))
-        parts.append(docs.mapInArrow(_finder(shared), FOUND))
-    if blocks == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # each document comes once from each block; equal doc_ids with unequal texts stay apart by their words
-    flat = lambda c: F.flatten(F.collect_list(c))
-    return out.groupBy("doc_id", "n_words").agg(flat("starts").alias("starts"), flat("ends").alias("ends"), F.array_distinct(flat("items")).alias("items"))
-
-
-def digest(found: DataFrame) -> DataFrame:
-    """The query's columns; runs may overlap where blocks met."""
+    return docs.mapInArrow(_finder(_index(items)), FOUND) if small else _by_shuffle(_keyed(docs), items).drop("row_")
+
+
+def digest(found: DataFrame, *key: str) -> DataFrame:
+    """The query's columns; runs may overlap."""
     spans = F.array_sort(F.arrays_zip("starts", "ends"))
     step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["ends"] - F.greatest(x["starts"], a["end"]))).alias("n"), F.greatest(a["end"], x["ends"]).alias("end"))
     n_hit = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), step)["n"]
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        *key, "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
