@@ -91,9 +91,13 @@ def test_decontamination_judges_each_row(spark):
     b = spark.createDataFrame([(7, item), (8, other), (9, "")], "item_id long, text string")
     key = lambda r: tuple((x is not None, x) for x in r)
     want = sorted(decontaminate.brute_force(rows, [(7, item), (8, other), (9, "")]), key=key)
+    left = sorted([r for r, w in zip(rows, decontaminate.brute_force(rows, [(7, item), (8, other)])) if not w[5]], key=key)
     for block in (decontaminate.BLOCK_WORDS, 10):
         got = decontaminate.digest(decontaminate.contamination(docs(spark, rows), b, block_words=block))
         assert sorted(map(tuple, got.collect()), key=key) == want
+        kept = decontaminate.clean_documents(docs(spark, rows), b, block_words=block)
+        assert kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
+        assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=key) == left
 
 
 def test_substring_removal_equals_brute_force(spark, corpus, monkeypatch):

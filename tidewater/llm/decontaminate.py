@@ -132,6 +132,16 @@ def _finder(shared):
     return find
 
 
+def _keeper(shared):
+    def keep(batches):
+        for batch, n_words, found in _found(shared, batches):
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for r, (spans, _) in found.items():
+                clean[r] = 20 * sum(e - s for s, e in spans) < n_words[r]
+            yield batch.filter(pa.array(clean))
+    return keep
+
+
 def _windows(words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each window of k words within a row: row, first word in it, fingerprint, hash."""
     h, gram = words.hash, min(GRAM, k)
@@ -235,10 +245,15 @@ def digest(found: DataFrame, *key: str) -> DataFrame:
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that aren't contaminated; rows of one doc_id go together, and a null doc_id is judged as one document."""
-    bad = digest(contamination(docs, benchmark)).filter("contaminated").select(F.col("doc_id").alias("bad_")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_")), "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows that aren't contaminated; each is judged by itself, whatever others share its doc_id."""
+    items, small = _items(benchmark, block_words)
+    if small:
+        return docs.mapInArrow(_keeper(_index(items)), docs.schema)
+    rows = _keyed(docs)
+    found = _by_shuffle(rows, items)
+    bad = digest(found, "row_").filter("contaminated").select("row_")
+    return rows.join(bad, "row_", "left_anti").select(*docs.columns)
 
 
 def brute_force(docs: list[tuple], items: list[tuple]) -> list[tuple]:
