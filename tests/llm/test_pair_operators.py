@@ -46,6 +46,16 @@ def test_simhash_equals_brute_force(spark, corpus, monkeypatch):
     assert simhash.near_duplicates(docs(spark, corpus).limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Also of repeated rows and of rows without a doc_id, beside copies with ids or not."""
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (None, b), (5, c), (None, c), (6, c), (7, d), (7, d)]
+    for order in (rows, rows[::-1]):
+        kept = [(r.doc_id, r.text) for r in simhash.keep_first(docs(spark, order)).collect()]
+        assert sorted(kept, key=lambda r: r[0] or 0) == [(None, b), (1, a), (5, c), (7, d)]
+
+
 def test_bit_sliced_pairs():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)

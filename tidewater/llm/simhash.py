@@ -54,12 +54,13 @@ def _prints(batches):
     for whole in batches:
         for batch in row_slices(whole, "text"):
             fp = [fingerprint(shingle_hashes((t or "").encode())) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            rest = [c for c in batch.schema.names if c not in ("doc_id", "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), *[batch.column(c) for c in rest]], names=["doc_id", "fp", *rest])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, *longs: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_prints, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *longs).mapInArrow(_prints, "doc_id long, fp long" + "".join(f", {c} long" for c in longs))
 
 
 def linked_pairs(fp: np.ndarray, group: np.ndarray, side: np.ndarray | None, radius: int = RADIUS):
@@ -192,21 +193,28 @@ def link_edges(prints: DataFrame) -> DataFrame:
     return rows.repartition("key", "tile").sortWithinPartitions("key", "tile", "fp").mapInArrow(_compare, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of all that are linked, directly or not)."""
-    prints, _ = materialize(fingerprints(docs), "prints")
+def _components(docs: DataFrame, *longs: str) -> DataFrame:
+    """doc_id, fp, the columns longs, component (a fingerprint), component_id."""
+    prints, _ = materialize(fingerprints(docs, *longs), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comp = connected_components(link_edges(nodes.select("fp")))
     labelled = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(smallest, "component").select(F.col("fp").alias("fp_"), "component_id")
-    return prints.join(by_fp, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
+    by_fp = labelled.join(smallest, "component").select(F.col("fp").alias("fp_"), "component_id", "component")
+    return prints.join(by_fp, F.col("fp") == F.col("fp_")).drop("fp_")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id of all that are linked, directly or not)."""
+    return _components(docs).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one of the smallest doc_id; of rows that share this id, all."""
-    out = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("gone_"), "left_anti")
+    """One row of each component stays, the first by doc_id (nulls last), hash of the text, and key in a written table."""
+    rows, _ = materialize(docs.withColumns({"row_": F.monotonically_increasing_id(), "text_": F.xxhash64("text")}), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_"), "doc_id", "text_", "row_")).alias("first_")
+    kept = _components(rows, "text_", "row_").groupBy("component").agg(first).select(F.col("first_.row_").alias("row_"))
+    return rows.join(kept, "row_", "left_semi").select(*docs.columns)
 
 
 def brute_force(docs: list[tuple]) -> dict:
