@@ -92,7 +92,7 @@ def test_toxicity_edges(spark):
     assert {r.predicted for r in none} == {0} and toxicity.score(d.limit(0), labels).count() == 0
 
 
-def test_store_equals_the_library(spark, tmp_path):
+def test_store_equals_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -115,19 +115,80 @@ def test_store_equals_the_library(spark, tmp_path):
         assert list(r.ids) in by_id[r.doc_id]
     chunks = spark.read.parquet(f"{store}/chunks")
     assert chunks.count() == chunks.select("address").distinct().count()
-    chunks.selectExpr("address", "n", "substring(ids, 1, length(ids) - 2) AS ids").write.parquet(str(tmp_path / "bad" / "chunks"))
-    for t in ("recipes", "manifests"):
-        spark.read.parquet(f"{store}/{t}").write.parquet(str(tmp_path / "bad" / t))
-    with pytest.raises(Exception, match="does not hash"):
-        token_store.verify(spark, str(tmp_path / "bad")).collect()
+    top = spark.read.parquet(f"{store}/manifest").first()
+    assert (top.id_bytes, top.end_id, top.n_docs, top.n_tokens, top.n_chunks) == (2, 2, len(rows), start, chunks.count())
     assert token_store.verify(spark, token_store.write(docs(spark, rows).limit(0), path)).count() == 0
 
 
-def test_crc_and_cuts():
+def _store(spark, path, rows):
+    import public_tokenizers
+
+    return token_store.write(docs(spark, rows), public_tokenizers.path("word_bpe_49k.json"), str(path))
+
+
+def test_store_is_kept_and_opens_elsewhere(spark, tmp_path):
+    import subprocess
+    import sys
+
+    store = _store(spark, tmp_path / "kept", [(i, f"text number {i} of many", "x") for i in range(20)])
+    code = (
+        "from pyspark.sql import SparkSession; from tidewater.llm import token_store; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); "
+        f"print('docs', token_store.reconstruct(s, {store!r}).count(), token_store.verify(s, {store!r}).count())"
+    )
+    assert "docs 20 20" in subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300).stdout
+    with pytest.raises(Exception, match="already exists"):
+        _store(spark, store, [])
+
+
+@pytest.mark.parametrize("broken, change, message", [
+    ("chunks", "address, substring(ids, 1, length(ids) - 2) AS ids", "does not hash"),
+    ("recipes", "part, doc_id, start, n_tokens, root, slice(parts, 1, size(parts) - 1) AS parts", "does not give its root|is missing"),
+    ("recipes", "part, doc_id + 1 AS doc_id, start, n_tokens, root, parts", "its manifest"),
+    ("manifests", "part, first_doc, last_doc, n_docs + 1 AS n_docs, n_tokens, root", "its manifest"),
+    ("manifest", "format, id_bytes, end_id, tokenizer_sha256, n_parts, n_docs, n_tokens + 1 AS n_tokens, n_chunks, root", "the store's manifest"),
+])
+def test_broken_stores_are_refused(spark, tmp_path, broken, change, message):
+    store = _store(spark, tmp_path / "good", [(i, f"text number {i} of many " * 40, "x") for i in range(5)])
+    for t in ("chunks", "recipes", "manifests", "manifest"):
+        d = spark.read.parquet(f"{store}/{t}")
+        (d.selectExpr(*_columns(change)) if t == broken else d).write.parquet(str(tmp_path / "bad" / t))
+    with pytest.raises(Exception, match=message):
+        token_store.verify(spark, str(tmp_path / "bad")).collect()
+
+
+def _columns(text):
+    """Expressions parted at commas outside of brackets."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def test_other_vocabularies_go_through_the_library(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "Don't stop, Straße 12", "x"), (2, None, "x"), (3, "a\n\nb  c", "x")]
+    got = {r.doc_id: list(r.ids) for r in token_store.reconstruct(spark, token_store.write(docs(spark, rows), path)).collect()}
+    lib = Tokenizer.from_file(path)
+    assert got == {i: lib.encode(t or "", add_special_tokens=False).ids + [2] for i, t, _ in rows}
+
+
+def test_merkle_by_levels():
+    for n in range(40):
+        level = leaves = [bytes([i]) * 20 for i in range(n)]
+        while len(level) > 1:
+            level = [token_store.address(b"".join(level[i : i + 2])) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        assert token_store.Merkle(leaves).root() == (level[0] if level else token_store.address(b""))
+
+
+def test_cuts():
     rng = np.random.default_rng(1)
-    for _ in range(50):
-        a, b = rng.bytes(int(rng.integers(0, 50))), rng.bytes(int(rng.integers(0, 5000)))
-        assert token_store.crc32_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
     ids = rng.integers(0, 49000, 50_000)
     ends = token_store.cuts(ids)
     sizes = np.diff([0, *ends])

@@ -4,6 +4,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="tidewater-")
@@ -50,16 +53,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write to the shared folder and read again: lineage ends there, and so do the shuffle files that made it."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    cleanup, old = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+@contextmanager
+def shuffles_cleaned(spark: SparkSession):
+    """Shuffle files of what is written within go when it is written. The setting is the session's; jobs of other threads that run
+    meanwhile lose their shuffle files at their own end too, which costs them no rows."""
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     old = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.set(cleanup, old)
+
+
+def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write to the shared folder and read again: lineage ends there, and so do the shuffle files that made it."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with shuffles_cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
