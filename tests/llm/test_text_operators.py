@@ -1,4 +1,5 @@
 """Chat formatting, toxicity, language ID and the token store."""
+import math
 import random
 import zlib
 
@@ -67,15 +68,50 @@ def test_out_of_place_distance_by_definition():
     assert lang == min(far, key=far.get) and score == pytest.approx(1 - far[lang] / (language_id.PROFILE * len(own)))
 
 
+TOXIC_TEXT = "what a loser and idiot, a stupid clown; the moron is pathetic trash. today you are an ass, a real ass with a class " * 50
+
+
 @pytest.fixture(scope="module")
 def decoder(spark):
-    text = "what a loser and idiot, a stupid clown; the moron is pathetic trash. " * 50
-    return toxicity.Decoder(toxicity.letter_model(docs(spark, [(1, text, "en")])))
+    return toxicity.Decoder(toxicity.letter_model(docs(spark, [(1, TOXIC_TEXT, "en")])))
 
 
-@pytest.mark.parametrize("noisy, plain", [("l0ser", "loser"), ("1d10t", "idiot"), ("stup1d", "stupid"), ("cl0wn", "clown"), ("l o s e r", "loser"), ("m-o-r-o-n", "moron"), ("looooser", "loser"), ("tr4sh", "trash"), ("p@thet1c", "pathetic")])
+@pytest.mark.parametrize("noisy, plain", [
+    ("l0ser", "loser"), ("1d10t", "idiot"), ("stup1d", "stupid"), ("cl0wn", "clown"), ("l o s e r", "loser"), ("m-o-r-o-n", "moron"), ("looooser", "loser"), ("tr4sh", "trash"), ("p@thet1c", "pathetic"),
+    ("l 0 s 3 r", "loser"), ("l.0.s.e.r", "loser"), ("s-t-u-p-1-d", "stupid"), ("m 0 r o n", "moron"), ("@$$", "ass"), ("idiiot", "idiot"), ("what a l o s e r", "loser"),
+    ("i d i o t l o s e r", "idiot loser"), ("l 0 s e r!", "loser"), ("l-0-s-e-r", "loser"), ("l*o*s*3*r", "loser"), ("losser", "loser"), ("llooser", "loser"), ("today.l0ser", "today loser"),
+    ("you-l0ser", "you loser"), ("l/o/s/e/r", "loser"), ("(L.O.S.E.R.)!!", "loser"), ("what" * 30 + "-l0ser", "loser"), ("l o s e r  i d i o t", "loser idiot"), ("cla$$", "class"),
+])
 def test_restored_words(decoder, noisy, plain):
-    assert plain in decoder.words(f"you {noisy} there")
+    assert set(plain.split()) <= decoder.words(f"there {noisy} there")
+
+
+def test_viterbi_finds_the_best_of_all_paths(decoder):
+    from itertools import product
+
+    rng = random.Random(8)
+    for _ in range(400):
+        span = "".join(rng.choice("aloser01$.-  lloo") for _ in range(rng.randint(0, 7))).strip()
+        scores: dict[str, float] = {}
+        for path in product(*decoder.lattice(span)):
+            codes, text = [k for ks, _, _ in path for k in ks], "".join(x for _, _, x in path)
+            s, word = -sum(cost for _, cost, _ in path), []
+            for k in [*codes, 0]:
+                if k or word:
+                    h = ([0, 0, 0] + word)[-3:]
+                    s += decoder.p[((h[0] * 28 + h[1]) * 28 + h[2]) * 28 + k]
+                word = word + [k] if k else []
+            scores[text] = max(s, scores.get(text, -math.inf))
+        got = decoder.decode(span)
+        assert scores[got] == pytest.approx(max(scores.values())), (span, got)
+
+
+def test_letter_model_does_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    d = docs(spark, [(i, "".join(rng.choice("abcé Ünn1.") for _ in range(rng.randint(0, 60))), "x") for i in range(300)] + [(999, None, "x")])
+    one, many = toxicity.letter_model(d.coalesce(1)), toxicity.letter_model(d.repartition(7))
+    assert (one == many).all()
+    assert toxicity.grams(["ab", "é"]).tolist() == [(0 * 28 + 0) * 28 + 1, ((0 * 28 + 0) * 28 + 1) * 28 + 2, (((0 * 28 + 1) * 28) + 2) * 28, 27, 27 * 28]
 
 
 def test_toxicity_edges(spark):
@@ -92,6 +128,26 @@ def test_toxicity_edges(spark):
     assert {r.predicted for r in none} == {0} and toxicity.score(d.limit(0), labels).count() == 0
 
 
+def test_toxicity_scores_are_the_models(spark):
+    """Against a plain re-computation; labels of held-out rows don't matter, nor do partitions or repeated rows."""
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}o" for a in "bdfgk" for b in "aeiou" for c in "lmnr"]
+    rows = [(i, " ".join(rng.choices(words, k=20)) + (" v1le" if i % 4 == 0 else ""), "en") for i in range(300)]
+    d = docs(spark, rows + rows[:9])
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    label = lambda flip: spark.createDataFrame([(i, 1, int(i % 4 == 0) ^ int(flip and i in held)) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    first, other = ({(r.doc_id, r.score) for r in toxicity.score(x, label(flip)).collect()} for x, flip in ((d, False), (d.repartition(5), True)))
+    assert first == other and len(first) == len(rows)
+    letter = toxicity.letter_model(d)
+    model, decoder = toxicity.train(d, label(False), letter), toxicity.Decoder(letter)
+    assert model["weights"]
+    text = {i: t for i, t, _ in rows}
+    for i, score in first:
+        found = {w + "$" for w in decoder.words(text[i])} | {w[:n] for w in decoder.words(text[i]) for n in (4, 5) if len(w) > n}
+        z = model["base"] + sum(w for f, w in model["weights"].items() if f in found)
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_store_equals_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -145,13 +201,18 @@ def test_store_is_kept_and_opens_elsewhere(spark, tmp_path):
     ("recipes", "part, doc_id, start, n_tokens, root, slice(parts, 1, size(parts) - 1) AS parts", "does not give its root|is missing"),
     ("recipes", "part, doc_id + 1 AS doc_id, start, n_tokens, root, parts", "its manifest"),
     ("manifests", "part, first_doc, last_doc, n_docs + 1 AS n_docs, n_tokens, root", "its manifest"),
-    ("manifest", "format, id_bytes, end_id, tokenizer_sha256, n_parts, n_docs, n_tokens + 1 AS n_tokens, n_chunks, root", "the store's manifest"),
+    ("manifest", "format, id_bytes, end_id, tokenizer_sha256, n_buckets, n_parts, n_docs, n_tokens + 1 AS n_tokens, n_chunks, root", "the store's manifest"),
 ])
 def test_broken_stores_are_refused(spark, tmp_path, broken, change, message):
     store = _store(spark, tmp_path / "good", [(i, f"text number {i} of many " * 40, "x") for i in range(5)])
+    top = spark.read.parquet(f"{store}/manifest").first()
     for t in ("chunks", "recipes", "manifests", "manifest"):
         d = spark.read.parquet(f"{store}/{t}")
-        (d.selectExpr(*_columns(change)) if t == broken else d).write.parquet(str(tmp_path / "bad" / t))
+        d = d.selectExpr(*_columns(change)) if t == broken else d
+        if t == "chunks":
+            token_store._write_bucketed(d.repartition(top.n_buckets, "address"), str(tmp_path / "bad" / t), top.n_buckets)
+        else:
+            d.write.parquet(str(tmp_path / "bad" / t))
     with pytest.raises(Exception, match=message):
         token_store.verify(spark, str(tmp_path / "bad")).collect()
 

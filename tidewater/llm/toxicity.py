@@ -1,127 +1,190 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Spans that look disguised are decoded: signs for letters (l0ser), letters spaced out (l o s e r) and letters repeated (loooser). A
-span is a lattice of the letters that each sign may stand for, where repetitions may shrink and separators vanish; the Viterbi
-path under a character trigram model, trained on the letters of all documents, is the restored word. Restored words join
-the words of the text, and a sparse logistic model over words and word stems scores the document.
-
-The trigram counts are taken over all documents; they are at most 28^3 rows. The logistic model is fitted on labelled
-documents that aren't held out, at most SAMPLE of them, taken by hash, over at most FEATURES words and stems, so what reaches the
-driver is bounded by these two parameters. Documents are scored one by one, within the scan: nothing is shuffled for it.
+Every token is a lattice of what its characters may stand for: a sign for letters or for itself (l0ser), a repeated letter for one or
+two (looser, loooser), any other character within it for nothing or for a gap between words (l.o.s.e.r, you-loser). So is every run of
+tokens of one character each (l 0 s e r), where a space stands for nothing or for a gap. The Viterbi path under a character 4-gram
+model, trained on the words of all documents, is the restored text. A token of letters without a doubled one has a single path
+and is its own restoration; that is the only one that isn't decoded. A sparse logistic model over words and word stems scores the
+restored text, in training as in use; the text as it stands isn't looked at. A run's neighbours may be words of one letter (what a
+l o s e r), so a run is also restored without its first and without its last letter.
+
+The 4-gram counts are taken over all documents, within words and by code points, so they are the same however rows are partitioned;
+they are at most 28^4 rows. The logistic model is fitted on labelled documents that aren't held out, at most SAMPLE of them, taken by
+hash; it chooses among the FEATURES words and stems that tell the labels apart best, of those in LEAST_DOCS toxic documents of the
+sample or more and LIFT times as frequent there, and only weights for toxicity are kept. What reaches the driver is bounded by SAMPLE
+and FEATURES. Documents are scored one by one, whole, within the scan: nothing is shuffled for it.
 
 Defined cases: null, empty and wordless texts get the model's base score; several labels of a document: toxic if one says so;
-null labels are ignored; without labels all scores are 0; equal rows get equal scores; empty input gives no rows.
+null labels are ignored; without labels all scores are 0; equal rows get equal scores; empty input gives no rows; other columns are
+not returned.
 """
 from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import materialize, row_slices, small_batches, text_buffers
+from .shared import materialize, row_slices, small_batches
 
-SAMPLE, FEATURES, LEAST_DOCS, STEMS, REFIT = 40_000, 4_000, 3, (4, 5), 2e-6
+SAMPLE, FEATURES, LEAST_DOCS, LIFT, STEMS, REFIT = 40_000, 4_000, 3, 3, (4, 5), 2e-6
 HELD_OUT_OF = 5
 # fixed values: what a sign may stand for
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-_DISGUISED = re.compile(
-    r"[^\W\d_][0-9@$!|+]|[0-9@$!|+][^\W\d_]"  # s1gns
-    r"|([^\W\d_])\1\1"  # repeeeated
-    r"|^[^\W\d_](?:[.\-_*~]+[^\W\d_]){2,}$"  # s-e-p-a-r-a-t-e-d
-)
-_SPACED = re.compile(r"\s[^\W\d_](?=\s)(?:[ \t]+[^\W\d_](?![^\s.,;:!?])){2,}")
 _EDGES = ".,;:?\"'()[]{}<>"
-_WORD = re.compile(r"[^\W\d_]+")
-_SEPARATORS = re.compile(r"[ .\-_*~]+")
-_CODE = np.zeros(256, np.int64)
-_CODE[97:123] = np.arange(1, 27)
-_CODE[65:91] = np.arange(1, 27)
-_CODE[128:] = 27
-LONGEST = 64
-
-
-def _trigrams(batches):
-    """Counts of letter trigrams; codes: 0 gap, 1-26 letters, 27 other letters' bytes."""
-    for b in batches:
-        data, offsets = text_buffers(b.column("text"))
-        total = np.zeros(28**3, np.int64)
-        for lo in range(0, len(data), 1 << 20):
-            c = _CODE[data[max(0, lo - 2) : lo + (1 << 20)]]
-            total += np.bincount(c[:-2] * 784 + c[1:-1] * 28 + c[2:], minlength=28**3)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["gram", "n"])
+_DOUBLED = re.compile(r"(.)\1")
+_SINGLES = re.compile(r"(?<!\S)[.,;:?\"'()\[\]{}<>]*[^\s.,;:?\"'()\[\]{}<>][.,;:?\"'()\[\]{}<>!]*(?:\s+[.,;:?\"'()\[\]{}<>]*[^\s.,;:?\"'()\[\]{}<>][.,;:?\"'()\[\]{}<>!]*(?!\S))+")
+#: Log-probabilities lost in the channel: a sign for a letter, a sign as itself, two equal letters for one, a character within a word
+#: that vanishes, several spaces that do.
+SIGN, ITSELF, DOUBLED, VANISHED, SPACES = 1.0, 3.0, 2.0, 0.5, 3.0
+ORDER = 28
+_CODES: list[np.ndarray] = []
+
+
+def codes() -> np.ndarray:
+    """Of a code point: 0 no letter, 1-26 a to z, 27 another letter."""
+    if not _CODES:
+        c = np.fromiter((27 * chr(i).isalpha() for i in range(0x110000)), np.int32, 0x110000)
+        c[97:123] = np.arange(1, 27)
+        _CODES.append(c)
+    return _CODES[0]
+
+
+def code(letter: str) -> int:
+    return int(codes()[ord(letter)])
+
+
+def grams(texts: list[str]) -> np.ndarray:
+    """4-grams of the words of texts, each word between gaps (code 0)."""
+    c = codes()[np.frombuffer("\n".join(["", *texts, ""]).lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    c = c[np.concatenate(([True], (c[1:] > 0) | (c[:-1] > 0)))]  # one gap between words
+    pad = np.concatenate((np.zeros(2, c.dtype), c))
+    h1, h2, h3 = pad[2:-1], pad[1:-2], pad[:-3]
+    h2 = np.where(h1 > 0, h2, 0)
+    h3 = np.where(h2 > 0, h3, 0)
+    now = c[1:]
+    some = (now > 0) | (h1 > 0)
+    return (((h3 * ORDER + h2) * ORDER + h1) * ORDER + now)[some]
+
+
+def _count(batches):
+    total = np.zeros(ORDER**4, np.int64)
+    for whole in batches:
+        for b in row_slices(whole, "text", 1 << 20):
+            total += np.bincount(grams([t for t in b.column("text").to_pylist() if t]), minlength=ORDER**4)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["gram", "n"])
 
 
 def letter_model(docs: DataFrame) -> np.ndarray:
-    """log P(third | first two), from all documents."""
+    """log P(fourth | first three), from the words of all documents; shorter histories fill in for rare ones."""
     small_batches(docs.sparkSession)
-    counts = np.zeros(28**3)
-    for gram, n in docs.select("text").mapInArrow(_trigrams, "gram int, n long").groupBy("gram").agg(F.sum("n")).collect():
+    counts = np.zeros(ORDER**4)
+    for gram, n in docs.select("text").mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n")).collect():
         counts[gram] = n
-    c = counts.reshape(28, 28, 28)
-    back = c.sum(axis=0) + 0.5
-    back /= back.sum(axis=1, keepdims=True)
-    return np.log((c + 5 * back[None]) / (c.sum(axis=2, keepdims=True) + 5))
+    c4 = counts.reshape(ORDER, ORDER, ORDER, ORDER)
+    p = np.full(ORDER, 1.0 / ORDER)
+    for c in (c4.sum(axis=(0, 1)), c4.sum(axis=0), c4):
+        p = (c + 5 * p[None]) / (c.sum(axis=-1, keepdims=True) + 5)
+    return np.log(p)
+
+
+def bare(token: str) -> str:
+    return token.strip(_EDGES).rstrip("!").rstrip(_EDGES) or token.strip(_EDGES)
 
 
 class Decoder:
     def __init__(self, model: np.ndarray):
-        self.p = model.tolist()
-        self.decode = lru_cache(100_000)(self._decode)
-
-    def _decode(self, span: str) -> str:
-        """The likeliest letters behind a disguised span."""
-        span = span.lower()
-        if _SEPARATORS.search(span):
-            span = _SEPARATORS.sub("", span)
-        span = span.strip("|+!") or span
-        steps: list[tuple[str, int]] = []
-        for c in span:
-            if steps and steps[-1][0] == c:
-                steps[-1] = (c, steps[-1][1] + 1)
+        self.p, self.options = model.reshape(-1).tolist(), {}
+
+    def arcs(self, c: str, run: int) -> list[tuple[tuple[int, ...], float, str]]:
+        """What a run of one character may stand for: codes, cost, text. The text of a gap is a space."""
+        key = (c, min(run, 3))
+        if key not in self.options:
+            if c.isspace():
+                out = [((), 0.0 if run == 1 else SPACES, ""), ((0,), 0.0, " ")]
+            elif c in SIGNS:
+                letters = [(code(x), x) for x in SIGNS[c]]
+                out = [((k,), SIGN, x) for k, x in letters] + [((k, k), SIGN + SIGN / 2, x + x) for k, x in letters if run > 1] + [((0,), ITSELF * min(run, 2), " ")]
+            elif c.isalpha():
+                k = code(c)
+                out = [((k,) * run, 0.0, c * run)] if run < 3 else [((k,), 0.0, c), ((k, k), 0.0, c + c)]
+                out += [((k,), DOUBLED, c)] if run == 2 else []
             else:
-                steps.append((c, 1))
-        best = {(0, 0): (0.0, "")}
-        for c, run in steps:
-            options = SIGNS.get(c, c)
+                out = [((), VANISHED, ""), ((0,), 0.0, " ")]
+            self.options[key] = out
+        return self.options[key]
+
+    def lattice(self, span: str) -> list[list]:
+        """Arcs of each run of equal characters, a run of white space being one of spaces."""
+        out, i = [], 0
+        while i < len(span):
+            c, j = span[i], i + 1
+            while j < len(span) and (span[j] == c or c.isspace() and span[j].isspace()):
+                j += 1
+            out.append(self.arcs(" " if c.isspace() else c, j - i))
+            i = j
+        return out
+
+    def decode(self, span: str) -> str:
+        """The likeliest text behind a span in lower case: letters, and a space where words part."""
+        p, done = self.p, []
+        best = {0: (0.0, None)}  # by the last three codes: score, and the path as a chain of texts
+        for arcs in self.lattice(span):
             new: dict = {}
-            for (a, b), (score, path) in best.items():
-                for letter in options:
-                    k = ord(letter) - 96 if "a" <= letter <= "z" else 27
-                    s, x, y = score, a, b
-                    for times in (1, 2):  # a repeated sign stands for one or two letters
-                        if times > run:
-                            break
-                        s += self.p[x][y][k]
-                        x, y = y, k
-                        cost = 0.0 if run < 3 and times == run or run >= 3 else 2.0
-                        if (x, y) not in new or new[x, y][0] < s - cost:
-                            new[x, y] = (s - cost, path + letter * times)
+            for last, (score, path) in best.items():
+                for ks, cost, text in arcs:
+                    s, h = score - cost, last
+                    for k in ks:
+                        if k:
+                            s += p[h * 28 + k]
+                            h = h % 784 * 28 + k
+                        elif h:
+                            s += p[h * 28]
+                            h = 0
+                    if h not in new or new[h][0] < s:
+                        new[h] = (s, (path, text))
             best = new
-        return max(best.items(), key=lambda kv: (kv[1][0] + self.p[kv[0][0]][kv[0][1]][0], kv[1][1]))[1][1]
-
-    def parts(self, span: str) -> list[str]:
-        """Words behind a span; a longer span is decoded in parts."""
-        return [w for lo in range(0, len(span), LONGEST) for w in _WORD.findall(self.decode(span[lo : lo + LONGEST]))]
+            if len(best) == 1:  # all paths meet: what lies behind is settled
+                h, (s, path) = best.popitem()
+                done.append(_spelled(path))
+                best = {h: (s, None)}
+        s, path = max(((s + (p[h * 28] if h else 0.0), path) for h, (s, path) in best.items()), key=lambda x: x[0])
+        return "".join([*done, _spelled(path)])
 
     def token_words(self, token: str) -> list[str]:
-        """Words of a token in lower case, as it stands and restored."""
-        bare = token.strip(_EDGES).rstrip("!")
-        return _WORD.findall(token) + (self.parts(bare) if _DISGUISED.search(bare) else [])
-
-    def spaced(self, text: str) -> list[str]:
-        return [w for m in _SPACED.finditer(" " + text) for w in self.parts(m[0].strip())]
+        """Words behind a token in lower case."""
+        t = bare(token)
+        return [t] if t.isalpha() and not _DOUBLED.search(t) else self.decode(t).split()
+
+    def run_words(self, text: str) -> list[str]:
+        """Words behind the runs of tokens of one character."""
+        out = []
+        for m in _SINGLES.finditer(text):
+            run = "".join(x if x.isspace() else bare(x) for x in re.split(r"(\s+)", m[0]))
+            out += self.decode(run).split()
+            inner = run.split(None, 1)[-1]
+            for part in (inner, run.rsplit(None, 1)[0]) if len(run.split(None, 3)) > 3 else ():
+                out += self.decode(part).split()
+        return out
 
     def words(self, text: str) -> set[str]:
-        return {w for t in set(text.lower().split()) for w in self.token_words(t)} | set(self.spaced(text))
+        text = text.lower()
+        return {w for t in set(text.split()) for w in self.token_words(t)} | set(self.run_words(text))
+
+
+def _spelled(path) -> str:
+    out = []
+    while path:
+        path, text = path
+        out.append(text)
+    return "".join(reversed(out))
 
 
 class Features:
-    """Words and stems of a text, of those wanted (None: all); what a token gives is kept in a cache of bounded size."""
+    """Words and stems of a restored text, of those wanted (None: all); what a token gives is kept in a cache of bounded size."""
 
     def __init__(self, decoder: Decoder, wanted=None, most: int = 600_000):
         self.decoder, self.wanted, self.most, self.cache = decoder, wanted, most, {}
@@ -131,7 +194,8 @@ class Features:
         return tuple(f if self.wanted is None else f & self.wanted)
 
     def __call__(self, text: str) -> set[str]:
-        tokens, cache, out = set(text.lower().split()), self.cache, set()
+        text = text.lower()
+        tokens, cache, out = set(text.split()), self.cache, set()
         if len(cache) > self.most:
             cache.clear()
         for t in [t for t in tokens if t not in cache]:
@@ -139,7 +203,7 @@ class Features:
         for t in tokens:
             if f := cache[t]:
                 out.update(f)
-        if words := self.decoder.spaced(text):
+        if words := self.decoder.run_words(text):
             out.update(self.of_words(words))
         return out
 
@@ -197,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, letter: np.ndarray) -> dict:
     if not n_bad or n_bad == n:
         return {"weights": {}, "base": -30.0 if not n_bad else 30.0} if n else {"weights": {}, "base": -math.inf}
     lift = (F.col("bad") + 0.5) / n_bad / ((F.col("good") + 0.5) / (n - n_bad))
-    top = stats.filter((F.col("bad") >= LEAST_DOCS) & (lift > 3)).orderBy(F.desc(F.col("bad") * F.log(lift)), "f").limit(FEATURES).select("f")
+    top = stats.filter((F.col("bad") >= LEAST_DOCS) & (lift > LIFT)).orderBy(F.desc(F.col("bad") * F.log(lift)), "f").limit(FEATURES).select("f")
     names = sorted(r[0] for r in top.collect())
     index = {f: i for i, f in enumerate(names)}
     wanted = spark.sparkContext.broadcast(frozenset(names))
@@ -206,7 +270,8 @@ def train(docs: DataFrame, labels: DataFrame, letter: np.ndarray) -> dict:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([[f for f in fs if f in wanted.value] for fs in b.column("features").to_pylist()], pa.list_(pa.string()))], names=["toxic", "features"])
 
-    data = [(r[0], [index[f] for f in r[1]]) for r in rows.mapInArrow(pick, "toxic int, features array<string>").toLocalIterator()]
+    # sorted, as sums of floats depend on their order
+    data = sorted((r[0], sorted(index[f] for f in r[1])) for r in rows.mapInArrow(pick, "toxic int, features array<string>").toLocalIterator())
     w, _ = fit(data, len(names))
     chosen = np.flatnonzero(w > 0.05)
     place = {int(c): i for i, c in enumerate(chosen)}
