@@ -31,8 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Long texts must not pile up in an Arrow batch: batches are bounded by bytes, not only by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Long texts must not pile up in an Arrow batch: batches are bounded by bytes, not only by rows. The session keeps the setting, as
+    results are evaluated later; a smaller one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).strip().lower().rstrip("b")
+    if not (now.isdigit() and 0 < int(now) <= 8 << 20):
+        spark.conf.set(name, str(8 << 20))
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -40,6 +44,11 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def _delete_at_exit(spark, path):
     try:
         delete(spark, path)
@@ -74,6 +83,12 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def sheltered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with columns named u0, u1, ..., and the new name of each column: an operator's own names can't clash with them."""
+    names = [f"u{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), {c: u for u, c in zip(reversed(names), reversed(df.columns))}
+
+
 def crc32_sql(text: str) -> str:
     """DuckDB SQL of the crc32 of a text's UTF-8 bytes: each byte's step is an exclusive or of the steps of its bits."""
     def step(c):
@@ -100,8 +115,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_BASE = 0xD1342543DE82EF95
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_BASE, _BASE2 = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+_BYTE2 = mix(_BYTE) | np.uint64(1)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -146,21 +161,30 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """start, end: byte positions; hash: of the bytes; bounds[i]:bounds[i + 1] are the words of row i."""
+    """start, end: byte positions; hash, hash2: two hashes of the bytes; bounds[i]:bounds[i + 1] are the words of row i."""
 
-    def __init__(self, data, offsets, start, end, hash_, bounds):
-        self.data, self.offsets, self.start, self.end, self.hash, self.bounds = data, offsets, start, end, hash_, bounds
+    def __init__(self, data, offsets, start, end, hash_, hash2, bounds):
+        self.data, self.offsets, self.start, self.end, self.hash, self.hash2, self.bounds = data, offsets, start, end, hash_, hash2, bounds
 
 
 PIECE = 1 << 20
 
 
-def split_words(column: pa.Array, wordly: np.ndarray, fold: np.ndarray | None = None) -> Words:
+def _span_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray, by_byte: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial hashes of b[s:e]."""
+    total = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(by_byte[b] * powers(base, len(b)), out=total[1:])
+    h = (total[e] - total[s]) * powers(pow(base, -1, 1 << 64), len(b) + 1)[s]
+    return mix(h + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def split_words(column: pa.Array, wordly: np.ndarray, fold: np.ndarray | None = None, twice: bool = False) -> Words:
+    """Words of the rows; with `twice`, under two independent hashes."""
     data, off = text_buffers(column)
     n, pos = len(data), 0
     edge = np.zeros(n + 1, dtype=bool)
     edge[off] = True
-    starts, ends, hashes = [], [], []
+    starts, ends, hashes, seconds = [], [], [], []
     while pos < n:
         stop = min(n, pos + PIECE)
         if stop < n:  # cut at a separator or at a row's edge; a word longer than a piece stays whole
@@ -178,16 +202,15 @@ def split_words(column: pa.Array, wordly: np.ndarray, fold: np.ndarray | None =
         last = w & np.concatenate((~w[1:], [True]))
         last |= w & edge[pos + 1 : stop + 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        total = np.zeros(len(b) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[b] * powers(_BASE, len(b)), out=total[1:])
-        h = (total[e] - total[s]) * powers(_BASE_INV, len(b) + 1)[s]
-        hashes.append(mix(h + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        hashes.append(_span_hashes(b, s, e, _BYTE, _BASE))
+        if twice:
+            seconds.append(_span_hashes(b, s, e, _BYTE2, _BASE2))
         starts.append(s + pos)
         ends.append(e + pos)
         pos = stop
     cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
     start = cat(starts, np.int64)
-    return Words(data, off, start, cat(ends, np.int64), cat(hashes, np.uint64), np.searchsorted(start, off))
+    return Words(data, off, start, cat(ends, np.int64), cat(hashes, np.uint64), cat(seconds, np.uint64), np.searchsorted(start, off))
 
 
 _STEP = 0x9FB21C651E98DF25

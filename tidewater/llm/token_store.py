@@ -3,10 +3,10 @@
 Documents are encoded and ended with END. A rolling hash over ROLL ids cuts each document's stream into chunks of LEAST to MOST
 ids, so equal passages give equal chunks wherever they stand. Tables in the store's folder:
 
-- chunks: address (blake2b of the ids), ids (unsigned little-endian, 16 or 32 bits); every chunk once, files in order of address;
+- chunks: address (blake2b of the ids), ids (unsigned little-endian, 16 or 32 bits); every chunk once, in buckets of the address;
 - recipes: part, doc_id, start, n_tokens, root (Merkle root over the addresses), parts (addresses); in ascending doc_id order;
 - manifests: part, first and last doc_id, n_docs, n_tokens, root (Merkle root over the part's document roots);
-- manifest: one row with the format, id width, end id, the tokenizer file's SHA-256, counts, and the root over the parts' roots.
+- manifest: one row with the format, id width, end id, the tokenizer file's SHA-256, buckets, counts, and the root over the parts' roots.
 
 `verify` and `reconstruct` need nothing but the folder. They rebuild every document from its recipe and the chunks as read: each
 chunk's bytes must hash to its address, the addresses to the document's root, those to the part's, and those to the store's, else
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 import zlib
 from itertools import chain, groupby
 
@@ -30,10 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .shared import delete, lower_ascii, materialize, mix, new_path, row_slices, shuffles_cleaned, small_batches, text_buffers
+from .shared import delete, exists, lower_ascii, materialize, mix, new_path, row_slices, shuffles_cleaned, small_batches, text_buffers
 
 END, ROLL, LEAST, MOST, CUT_BITS = 2, 8, 128, 4096, 9
-FORMAT, MOST_SEEN = 1, 1_000_000
+FORMAT, MOST_SEEN, MOST_BUCKETS = 1, 1_000_000, 50_000
 CACHE_PIECES, SLOT_BITS, PIECE = 1_500_000, 22, 1 << 20
 # fixed values: what the vocabulary's file says of its own normalizer and pre-tokenizer
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -394,13 +395,16 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> str:
     spark = docs.sparkSession
     small_batches(spark)
     store, enc = path.rstrip("/") if path else new_path(spark, "tokens"), encoder(tokenizer_path)
+    if path and exists(spark, store):
+        raise FileExistsError(f"{store} already exists")
     text = F.coalesce("text", F.lit(""))
     named = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("order_"), F.monotonically_increasing_id().alias("row"))
     encoded, encoded_path = materialize(named.mapInArrow(_encode(tokenizer_path), ENCODED), "encoded")
     pieces = encoded.select(F.explode(F.arrays_zip("parts", "pieces")).alias("x")).filter("x.pieces IS NOT NULL").select(F.col("x.parts").alias("address"), F.col("x.pieces").alias("ids"))
-    _write(pieces.repartition("address").sortWithinPartitions("address").dropDuplicates(["address"]), f"{store}/chunks")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("order_"), F.col("row")]
     n_parts = max(1, encoded.select("row").rdd.getNumPartitions())
+    buckets = min(n_parts, MOST_BUCKETS)
+    _write_bucketed(pieces.repartition(buckets, "address").sortWithinPartitions("address").dropDuplicates(["address"]), f"{store}/chunks", buckets)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("order_"), F.col("row")]
     ranged = encoded.drop("pieces").repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     ranged, ranged_path = materialize(ranged.withColumn("part", F.spark_partition_id()), "ranged")
     whole = ranged.groupBy("part").agg(F.sum("n_tokens").alias("t"))  # one row a file, which is what is ordered here
@@ -412,7 +416,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> str:
     delete(spark, ranged_path)
     delete(spark, encoded_path)
     _write(_part_manifests(spark.read.parquet(f"{store}/recipes")), f"{store}/manifests")
-    about = F.lit(FORMAT).alias("format"), F.lit(enc.dtype.itemsize).alias("id_bytes"), F.lit(END).alias("end_id"), F.lit(enc.sha256).alias("tokenizer_sha256")
+    about = F.lit(FORMAT).alias("format"), F.lit(enc.dtype.itemsize).alias("id_bytes"), F.lit(END).alias("end_id"), F.lit(enc.sha256).alias("tokenizer_sha256"), F.lit(buckets).alias("n_buckets")
     _write(_top(spark, store).select(*about, "*"), f"{store}/manifest")
     return store
 
@@ -422,6 +426,26 @@ def _write(df: DataFrame, path: str) -> None:
         df.write.option("compression", "zstd").parquet(path)
 
 
+def _table_name() -> str:
+    return f"spark_catalog.default.tidewater_{uuid.uuid4().hex[:12]}"
+
+
+def _write_bucketed(chunks: DataFrame, path: str, buckets: int) -> None:
+    """Chunks in buckets of their address: reading back joins recipes with them without shuffling them again."""
+    spark, name = chunks.sparkSession, _table_name()
+    with shuffles_cleaned(spark):
+        chunks.write.format("parquet").mode("error").option("compression", "zstd").option("path", path).bucketBy(buckets, "address").sortBy("address").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+
+
+def _bucketed(spark: SparkSession, store: str, buckets: int) -> DataFrame:
+    name, path = _table_name(), f"{store}/chunks".replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} (address BINARY, ids BINARY) USING parquet CLUSTERED BY (address) SORTED BY (address) INTO {buckets} BUCKETS LOCATION '{path}'")
+    chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return chunks
+
+
 def _roots(leaf_columns):
     """Manifests of runs of rows with one `part`, in order."""
     def run(batches):
@@ -459,7 +483,7 @@ def _top(spark: SparkSession, store: str) -> DataFrame:
     ordered = m.select(F.lit(0).alias("part"), F.col("part").cast("long").alias("doc_id"), "n_tokens", "root", "part").toDF("part", "doc_id", "n_tokens", "root", "at").coalesce(1).sortWithinPartitions("at")  # a row a file
     tree = ordered.drop("at").mapInArrow(_roots(["part", "doc_id", "n_tokens", "root"]), "part int, first_doc long, last_doc long, n_docs long, n_tokens long, root binary")
     counts = m.agg(F.count("*").alias("n_parts"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
-    chunks = spark.read.parquet(f"{store}/chunks").agg(F.count("*").alias("n_chunks"))
+    chunks = spark.read.schema("address binary, ids binary").parquet(f"{store}/chunks").agg(F.count("*").alias("n_chunks"))
     return counts.join(chunks).join(tree.select("root"), how="left").withColumn("root", F.coalesce("root", F.lit(address(b""))))
 
 
@@ -478,9 +502,9 @@ def checked_manifest(spark: SparkSession, store: str) -> dict:
     return said[0].asDict()
 
 
-def _placed_chunks(spark: SparkSession, store: str) -> DataFrame:
+def _placed_chunks(spark: SparkSession, store: str, buckets: int) -> DataFrame:
     """Every chunk of every document, in the documents' order within each partition."""
-    recipes, chunks = spark.read.parquet(f"{store}/recipes"), spark.read.parquet(f"{store}/chunks")
+    recipes, chunks = spark.read.parquet(f"{store}/recipes"), _bucketed(spark, store, buckets)
     used = recipes.select("start", "doc_id", "n_tokens", "root", F.size("parts").alias("n"), F.posexplode_outer("parts").alias("seq", "address"))
     found = used.join(chunks.withColumnRenamed("address", "address_"), F.col("address") == F.col("address_"), "left").drop("address_")
     return found.repartition("start").sortWithinPartitions("start", "seq")
@@ -536,7 +560,7 @@ def verify(spark: SparkSession, store: str) -> DataFrame:
         if out:
             yield _verified(out)
 
-    return _placed_chunks(spark, store).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed_chunks(spark, store, about["n_buckets"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _verified(rows):
@@ -554,4 +578,4 @@ def reconstruct(spark: SparkSession, store: str) -> DataFrame:
             ids = np.frombuffer(b"".join(chunks), f"<u{wide}").astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([start], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
-    return _placed_chunks(spark, store).mapInArrow(run, "doc_id long, start long, ids array<long>")
+    return _placed_chunks(spark, store, about["n_buckets"]).mapInArrow(run, "doc_id long, start long, ids array<long>")
