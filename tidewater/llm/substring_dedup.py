@@ -7,7 +7,7 @@ copy wherever it starts, so probes that meet no anchor of another place rule out
 1. Chunks send the hashes of their anchors and probes to buckets of the hash space; a bucket tells each chunk which of its hashes
    are anchors that are probed from elsewhere too.
 2. Chunks extend these hits: windows whose anchors are all hit are candidates, and runs of them are the maximal repeats. Their
-   64-bit window hashes go to buckets, each chunk's first place of a window with it; the bucket tells a chunk which of its windows
+   128-bit window hashes go to buckets, each chunk's first place of a window with it; the bucket tells a chunk which of its windows
    start there first of all (smallest doc_id, then smallest start).
 3. Every candidate window that isn't the first is removed.
 
@@ -15,7 +15,8 @@ A window that lies in a third of all rows costs a bucket one entry for each chun
 the input, so their size doesn't. Shuffle files of a step are cleaned up when its result is written.
 
 Defined cases: null and short texts lose nothing; rows with equal doc_ids are ordered by text; equal rows: the later ones lose all
-of their windows; empty input gives no rows; other columns are not returned. Windows count as equal by a 64-bit hash.
+of their windows; empty input gives no rows; other columns are not returned. Windows count as equal by two independent 64-bit
+hashes of their words: among 10^13 windows, an unequal pair is taken for equal with a chance of about 10^-13.
 """
 from __future__ import annotations
 
@@ -55,8 +56,8 @@ def pack(docs: DataFrame) -> tuple[DataFrame, str]:
 class Chunk:
     """Rolling hashes of one chunk's documents, in the order of their ids."""
 
-    def __init__(self, texts: pa.Array):
-        w = split_words(texts, is_not_space())
+    def __init__(self, texts: pa.Array, twice: bool = False):
+        w = split_words(texts, is_not_space(), twice=twice)
         self.words, n = w, len(w.hash)
         self.probe = ngram_hashes(w.hash, BLOCK)
         self.whole = inside(w.bounds, BLOCK, n)
@@ -156,7 +157,7 @@ def _answers(row, column) -> np.ndarray:
 
 
 def _hits(row, texts):
-    c = Chunk(texts)
+    c = Chunk(texts, twice=True)
     at, h, inv, _, _ = c.sent()
     answer = _answers(row, "hits")
     hit, many = np.zeros(len(c.whole), bool), np.zeros(len(c.whole), bool)
@@ -167,13 +168,13 @@ def _hits(row, texts):
 
 def _firsts(c: Chunk, ids, texts, at):
     """Of a chunk's candidate windows: sorted distinct hashes, and where each starts first."""
-    full = ngram_hashes(c.words.hash, WINDOW)[at]
+    full, full2 = ngram_hashes(c.words.hash, WINDOW)[at], ngram_hashes(c.words.hash2, WINDOW)[at]
     doc = np.searchsorted(c.words.bounds, at, side="right") - 1
     rank = _document_order(ids, texts)
-    order = np.lexsort((at, rank[doc], full))
-    s = full[order]
-    new = np.flatnonzero(np.concatenate((s[:1] == s[:1], s[1:] != s[:-1])))
-    return full, s[new], order[new], doc
+    order = np.lexsort((at, rank[doc], full2, full))
+    s, s2 = full[order], full2[order]
+    new = np.flatnonzero(np.concatenate((s[:1] == s[:1], (s[1:] != s[:-1]) | (s2[1:] != s2[:-1]))))
+    return s[new], s2[new], order[new], doc
 
 
 def _document_order(ids, texts) -> np.ndarray:
@@ -193,27 +194,27 @@ def _windows(buckets):
             c, at = _hits(row, texts)
             if not len(at):
                 continue
-            _, h, first, doc = _firsts(c, ids, texts, at)
+            h, h2, first, doc = _firsts(c, ids, texts, at)
             k = _bucket(h, buckets)
             cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             cuts = np.append(cut, len(h))
             yield pa.RecordBatch.from_arrays([
                 pa.array(k[cut]), pa.array(np.full(len(cut), row.column("chunk")[0].as_py(), np.int64)),
-                _lists(h.view(np.int64), cuts, pa.int64()), _lists(ids[doc[first]], cuts, pa.int64()),
+                _lists(h.view(np.int64), cuts, pa.int64()), _lists(h2.view(np.int64), cuts, pa.int64()), _lists(ids[doc[first]], cuts, pa.int64()),
                 _lists((at[first] - c.words.bounds[doc[first]]).astype(np.int32), cuts, pa.int32()),
-            ], names=["bucket", "chunk", "hashes", "docs", "starts"])
+            ], names=["bucket", "chunk", "hashes", "hashes2", "docs", "starts"])
     return run
 
 
 def _earliest(t: pa.Table) -> pa.Table:
     """Of one bucket: for each chunk, whether its first place of a window is the first of all."""
     flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy()
-    h, docs, starts = flat("hashes"), flat("docs"), flat("starts")
+    h, h2, docs, starts = flat("hashes"), flat("hashes2"), flat("docs"), flat("starts")
     sizes = t.column("hashes").combine_chunks().value_lengths().to_numpy()
     chunk = np.repeat(t.column("chunk").to_numpy(), sizes)
-    order = np.lexsort((chunk, starts, docs, h))
-    s = h[order]
-    first = np.concatenate((s[:1] == s[:1], s[1:] != s[:-1]))
+    order = np.lexsort((chunk, starts, docs, h2, h))
+    s, s2 = h[order], h2[order]
+    first = np.concatenate((s[:1] == s[:1], (s[1:] != s[:-1]) | (s2[1:] != s2[:-1])))
     said = np.zeros(len(h), np.int8)
     said[order[first]] = 1
     cuts = np.concatenate(([0], np.cumsum(sizes)))
@@ -227,7 +228,7 @@ def _remove(batches):
         n = len(c.words.hash)
         gone = np.zeros(n + 1, np.int64)
         if len(at):
-            full, h, first, _ = _firsts(c, ids, texts, at)
+            _, _, first, _ = _firsts(c, ids, texts, at)
             repeat = np.ones(len(at), bool)
             repeat[first[_answers(row, "firsts") > 0]] = False
             np.add.at(gone, at[repeat], 1)
@@ -259,7 +260,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sent = chunks.mapInArrow(_anchors(buckets), "bucket long, chunk long, hashes array<int>, kinds array<tinyint>")
     hits, _ = _reply(sent.groupBy("bucket").applyInArrow(_meet, kind), "hits")
     with_hits = chunks.join(hits, F.col("chunk") == F.col("chunk_"), "left").drop("chunk_")
-    sent = with_hits.mapInArrow(_windows(buckets), "bucket long, chunk long, hashes array<long>, docs array<long>, starts array<int>")
+    sent = with_hits.mapInArrow(_windows(buckets), "bucket long, chunk long, hashes array<long>, hashes2 array<long>, docs array<long>, starts array<int>")
     firsts, _ = _reply(sent.groupBy("bucket").applyInArrow(_earliest, kind), "firsts")
     both = with_hits.join(firsts, F.col("chunk") == F.col("chunk_"), "left").drop("chunk_")
     return both.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
