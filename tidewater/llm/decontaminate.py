@@ -3,7 +3,8 @@
 Words are lower-cased runs of letters, digits and non-ASCII bytes. A window is WINDOW consecutive words of a benchmark item; an
 item of fewer words is one window of its own. In every WINDOW words there are WINDOW - GRAM + 1 word GRAMs; their smallest hash is
 the window's fingerprint, so two equal windows always share it. Benchmark fingerprints are joined with those of the documents;
-each shared one is extended to the whole window, which is compared by its own 64-bit hash, and to all windows beside it.
+each shared one is extended to the whole window, which is found by its own 64-bit hash and compared word by word, and to all
+windows beside it.
 
 A benchmark of at most BLOCK_WORDS words, which is a proven size, is broadcast, and documents are never shuffled. A larger one
 stays a table of windows: rows of the documents get a key in a written table, their fingerprints are joined with the windows'
@@ -20,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import inside, is_word_byte, lower_ascii, materialize, ngram_hashes, row_slices, small_batches, split_words
+from .shared import inside, is_word_byte, lower_ascii, materialize, ngram_hashes, row_slices, sheltered, small_batches, split_words
 
 WINDOW, GRAM = 13, 5
-#: Words of the benchmark that are broadcast at once: at most 32 bytes for each, so 64 MB.
+#: Words of the benchmark that are broadcast: about 40 bytes for each (its window and fingerprint, and the word), so 80 MB.
 BLOCK_WORDS = 2_000_000
 FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
@@ -59,25 +60,26 @@ class Lookup:
 
 
 def index_items(items: list[tuple[str, str]]) -> dict:
-    """Of the items of one block: fingerprints, and by window length the windows' hashes with their items."""
+    """Fingerprints, by window length the windows (hash, item, first word, sorted by hash), and the items' words, joined by spaces."""
     words = split_words(pa.array([t for _, t in items], pa.large_string()), is_word_byte(), lower_ascii())
-    prints, windows = [], {}
-    for i, (item, _) in enumerate(items):
-        h = words.hash[words.bounds[i] : words.bounds[i + 1]]
-        k = min(WINDOW, len(h))
-        if not k:
-            continue
+    raw, prints, windows = words.data.tobytes().lower(), [], {}
+    length = np.minimum(WINDOW, np.diff(words.bounds))
+    for k in np.unique(length[length > 0]).tolist():
+        rows, starts, fingerprint, full = _windows(words, k)
+        own = np.flatnonzero(length[rows] == k)
+        own = own[np.argsort(full[own].view(np.uint64), kind="stable")]
+        windows[k] = (full[own].view(np.uint64), rows[own].astype(np.int32), (starts[own] + words.bounds[rows[own]]).astype(np.int32))
         if k == WINDOW:
-            prints.append(sliding_min(ngram_hashes(h, GRAM), WINDOW - GRAM + 1))
-        for x in np.unique(ngram_hashes(h, k)).tolist():
-            windows.setdefault(k, {}).setdefault(x, []).append(item)
-    return {"prints": np.concatenate(prints) if prints else np.zeros(0, np.uint64), "windows": windows}
+            prints.append(fingerprint[own].view(np.uint64))
+    at = np.concatenate(([0], np.cumsum(words.end - words.start + 1)))
+    joined = b" ".join(raw[s:e] for s, e in zip(words.start.tolist(), words.end.tolist()))
+    return {"prints": np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64), "windows": windows, "items": [i for i, _ in items], "words": joined, "at": at}
 
 
 def hits(words, index: dict, lookups: dict) -> list[tuple[int, int, int, list[str]]]:
     """(row, first word, end, items) of every window of the benchmark in the texts."""
-    out, h = [], words.hash
-    for k, of in index["windows"].items():
+    out, h, raw = [], words.hash, None
+    for k, (full_of, item_of, start_of) in index["windows"].items():
         if len(h) < k:
             continue
         if k == WINDOW:
@@ -89,8 +91,16 @@ def hits(words, index: dict, lookups: dict) -> list[tuple[int, int, int, list[st
         full = ngram_hashes(h, k)
         at = at[lookups[k].find(full[at])]
         at = at[inside(words.bounds, k, len(h))[at]]
+        if not len(at):
+            continue
+        raw = words.data.tobytes() if raw is None else raw
         rows = np.searchsorted(words.bounds, at, side="right") - 1
-        out += [(r, i, i + k, of[x]) for r, i, x in zip(rows.tolist(), at.tolist(), full[at].tolist())]
+        first, last = np.searchsorted(full_of, full[at]), np.searchsorted(full_of, full[at], side="right")
+        for r, i, x, y in zip(rows.tolist(), at.tolist(), first.tolist(), last.tolist()):
+            text = b" ".join(raw[s:e] for s, e in zip(words.start[i : i + k].tolist(), words.end[i : i + k].tolist())).lower()
+            same = [index["items"][item_of[j]] for j in range(x, y) if index["words"][index["at"][start_of[j]] : index["at"][start_of[j] + k] - 1] == text]
+            if same:
+                out.append((r, i, i + k, same))
     return out
 
 
@@ -104,13 +114,13 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _found(shared, batches):
+def _found(shared, batches, text: str = "text"):
     """Of each part of the batches: the part, words per row, and by row the merged spans and the items."""
     index = shared.value
-    lookups = {"prints": Lookup(index["prints"])} | {k: Lookup(np.array(list(v), np.uint64)) for k, v in index["windows"].items()}
+    lookups = {"prints": Lookup(index["prints"])} | {k: Lookup(v[0]) for k, v in index["windows"].items()}
     for whole in batches:
-        for batch in row_slices(whole, "text"):
-            words = split_words(batch.column("text"), is_word_byte(), lower_ascii())
+        for batch in row_slices(whole, text):
+            words = split_words(batch.column(text), is_word_byte(), lower_ascii())
             found: dict[int, tuple[list, set]] = {}
             for row, s, e, items in hits(words, index, lookups):
                 spans, names = found.setdefault(row, ([], set()))
@@ -132,9 +142,9 @@ def _finder(shared):
     return find
 
 
-def _keeper(shared):
+def _keeper(shared, text: str):
     def keep(batches):
-        for batch, n_words, found in _found(shared, batches):
+        for batch, n_words, found in _found(shared, batches, text):
             clean = np.ones(batch.num_rows, dtype=bool)
             for r, (spans, _) in found.items():
                 clean[r] = 20 * sum(e - s for s, e in spans) < n_words[r]
@@ -150,15 +160,22 @@ def _windows(words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return rows, at - words.bounds[rows], sliding_min(ngram_hashes(h, gram), k - gram + 1)[at].view(np.int64), ngram_hashes(h, k)[at].view(np.int64)
 
 
+def _spelled(words, rows, starts, k: int) -> pa.Array:
+    """The words of windows, in lower case, joined by spaces."""
+    raw, at = words.data.tobytes(), (words.bounds[rows] + starts).tolist()
+    begin, end = words.start, words.end
+    return pa.array([b" ".join(raw[s:e] for s, e in zip(begin[i : i + k].tolist(), end[i : i + k].tolist())).lower() for i in at], pa.binary())
+
+
 def _item_windows(batches):
     for whole in batches:
         for batch in row_slices(whole, "text"):
             words = split_words(batch.column("text"), is_word_byte(), lower_ascii())
             length = np.minimum(WINDOW, np.diff(words.bounds))
             for k in np.unique(length[length > 0]).tolist():
-                rows, _, prints, full = _windows(words, k)
+                rows, starts, prints, _ = _windows(words, k)
                 own = np.flatnonzero(length[rows] == k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(prints[own]), pa.array(full[own]), batch.column("item_id").take(pa.array(rows[own])).cast(pa.string())], names=["k", "print", "full", "item"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(prints[own]), _spelled(words, rows[own], starts[own], k), batch.column("item_id").take(pa.array(rows[own])).cast(pa.string())], names=["k", "print", "words", "item"])
 
 
 def _row_prints(lengths):
@@ -183,9 +200,9 @@ def _row_windows(batches):
                 for x in xs:
                     shared.setdefault(x["k"], [set() for _ in range(batch.num_rows)])[i].add(x["print"])
             for k, wanted in shared.items():
-                rows, starts, prints, full = _windows(words, k)
+                rows, starts, prints, _ = _windows(words, k)
                 own = np.array([j for j, (r, x) in enumerate(zip(rows.tolist(), prints.tolist())) if x in wanted[r]], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[rows[own]]), pa.array(np.full(len(own), k, np.int32)), pa.array(starts[own].astype(np.int64)), pa.array(full[own])], names=["row_", "k", "start", "full"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows[own]]), pa.array(np.full(len(own), k, np.int32)), pa.array(starts[own].astype(np.int64)), _spelled(words, rows[own], starts[own], k)], names=["row_", "k", "start", "words"])
 
 
 def _count_words(batches):
@@ -197,15 +214,15 @@ def _count_words(batches):
 
 def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
     """rows: a written table with the key row_. row_ and the columns of FOUND, for every row."""
-    windows, _ = materialize(items.mapInArrow(_item_windows, "k int, print long, full long, item string").distinct(), "windows")
+    windows, _ = materialize(items.mapInArrow(_item_windows, "k int, print long, words binary, item string").distinct(), "windows")
     lengths = sorted(r[0] for r in windows.select("k").distinct().collect())
     texts = rows.select("row_", "text")
     prints = texts.mapInArrow(_row_prints(lengths), "row_ long, k int, print long").distinct()
     shared = prints.join(windows.select("k", "print").distinct(), ["k", "print"]).groupBy("row_").agg(F.collect_list(F.struct("k", "print")).alias("shared"))
-    near, _ = materialize(texts.join(shared, "row_").mapInArrow(_row_windows, "row_ long, k int, start long, full long"), "near")
-    hit = near.join(windows.select("k", "full").distinct(), ["k", "full"])
+    near, _ = materialize(texts.join(shared, "row_").mapInArrow(_row_windows, "row_ long, k int, start long, words binary"), "near")
+    hit = near.join(windows.select("words").distinct(), "words")
     spans = hit.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("k")).alias("end")))).alias("spans"))
-    names = hit.select("row_", "k", "full").distinct().join(windows, ["k", "full"]).groupBy("row_").agg(F.collect_set("item").alias("items"))
+    names = hit.select("row_", "words").distinct().join(windows.select("words", "item"), "words").groupBy("row_").agg(F.collect_set("item").alias("items"))
     out = rows.select("row_", "doc_id", "text").mapInArrow(_count_words, "row_ long, doc_id long, n_words long").join(spans, "row_", "left").join(names, "row_", "left")
     none = F.array().cast("array<bigint>")
     return out.select("row_", "doc_id", "n_words", F.coalesce("spans.start", none).alias("starts"), F.coalesce("spans.end", none).alias("ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
@@ -248,12 +265,13 @@ def digest(found: DataFrame, *key: str) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows that aren't contaminated; each is judged by itself, whatever others share its doc_id."""
     items, small = _items(benchmark, block_words)
+    rows, own = sheltered(docs)
     if small:
-        return docs.mapInArrow(_keeper(_index(items)), docs.schema)
-    rows = _keyed(docs)
-    found = _by_shuffle(rows, items)
+        return rows.mapInArrow(_keeper(_index(items), own["text"]), rows.schema).toDF(*docs.columns)
+    rows = _keyed(rows)
+    found = _by_shuffle(rows.select("row_", F.col(own["doc_id"]).alias("doc_id"), F.col(own["text"]).alias("text")), items)
     bad = digest(found, "row_").filter("contaminated").select("row_")
-    return rows.join(bad, "row_", "left_anti").select(*docs.columns)
+    return rows.join(bad, "row_", "left_anti").select(*[F.col(u).alias(c) for u, c in zip(rows.columns, docs.columns)])
 
 
 def brute_force(docs: list[tuple], items: list[tuple]) -> list[tuple]:
