@@ -118,8 +118,20 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done), kinds)], names=names)
 
 
+def _recovered(formatted) -> tuple[F.Column, F.Column]:
+    """Role and text of a formatted turn, by the rules of unescape_role and unescape_text."""
+    line = F.substring_index(formatted, "\n", 1)
+    role = F.substring(line, F.lit(len(START) + 1), F.length(line))
+    plain = lambda x: F.replace(F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\p"), F.lit("|")), F.lit("\\l"), F.lit("<"))
+    role = F.array_join(F.transform(F.split(role, r"\\\\"), plain), "\\")
+    text = F.substring(formatted, F.length(line) + 2, F.length(formatted) - F.length(line) - len(END) - 2)
+    return role, F.regexp_replace(text, r"<\\(\\*\|)", "<$1")
+
+
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    s = formatted.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "formatted")
+    """The keys that order repeated turns are read back from the formatted ones after the shuffle, which carries only those."""
+    role, text = _recovered(F.col("formatted"))
+    s = formatted.repartition("conv_id").withColumns({"role": role, "text": text}).sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
     return s.select("conv_id", "formatted").mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
