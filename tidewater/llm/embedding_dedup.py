@@ -11,10 +11,13 @@ no task holds one whole. A pair that meets in several leaves counts in the first
 number of links, and a spanning forest of them; components are united over the forests.
 
 Defined cases: null labels; null, empty or zero vectors; null or non-finite components: such rows link with nothing, have n_links 0
-and are components of their own. Equal vec_ids are one node of that id where their vectors are equal. Empty input gives no rows.
+and are components of their own. Nodes have ids of their own, so rows that share a vec_id are judged by their own vectors: equal
+vectors of one label link with each other, whatever their ids. Empty input gives no rows; other columns are not returned.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -76,9 +79,9 @@ def grow(nodes: DataFrame, label_type: str, leaf: int = LEAF) -> DataFrame:
     levels = max(1, int(np.ceil(np.log2(max(2, most / leaf)))) * 2 + 4)
     spec = f"node long, label {label_type}, dim int, tree int, leaf long, proj array<float>"
     state, path = materialize(nodes.select("node", "label", "dim", "embedding").mapInArrow(_project(levels), spec), "trees")
-    at = ["tree", "label", "dim", "leaf"]
-    for level in range(levels):
-        p = F.col("proj")[level]
+    at, done = ["tree", "label", "dim", "leaf"], []
+    for _ in range(levels):
+        p = F.col("proj")[0]
         q = F.percentile_approx(p, F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8)), 1000).alias("q")
         splits = state.groupBy(*at).agg(F.count("*").alias("n"), q).filter(F.col("n") > leaf)
         splits = splits.filter((F.col("q")[0] < F.col("q")[1] - SPILL) & (F.col("q")[2] > F.col("q")[1] + SPILL))
@@ -88,12 +91,13 @@ def grow(nodes: DataFrame, label_type: str, leaf: int = LEAF) -> DataFrame:
         on = [F.col(c) == F.col(f"{c}_") for c in at]
         left = F.when(p <= F.col("cut") + SPILL, F.col("leaf") * 2)
         right = F.when(p >= F.col("cut") - SPILL, F.col("leaf") * 2 + 1)
-        child = F.when(F.col("cut").isNull(), F.array("leaf")).otherwise(F.array_compact(F.array(left, right)))
-        new, new_path = materialize(state.join(splits, on, "left").select("node", "label", "dim", "tree", F.explode(child).alias("leaf"), "proj"), "trees")
+        child, rest = F.explode(F.array_compact(F.array(left, right))).alias("leaf"), F.expr("slice(proj, 2, greatest(size(proj) - 1, 0))").alias("proj")
+        done.append(materialize(state.join(splits, on, "left_anti").drop("proj"), "leaves")[0])  # finished leaves are written once
+        new, new_path = materialize(state.join(splits, on).select("node", "label", "dim", "tree", child, rest), "trees")
         delete(spark, path)
         delete(spark, at_path)
         state, path = new, new_path
-    return state.drop("proj")
+    return reduce(DataFrame.unionByName, done, state.drop("proj"))
 
 
 def _groups(batches):
@@ -167,8 +171,8 @@ def near_duplicates(vectors: DataFrame, leaf: int = LEAF, tile: int = TILE) -> D
     rows, _ = materialize(vectors.select("vec_id", "label", "embedding").mapInArrow(_check, spec), "vectors")
     able = rows.filter("key IS NOT NULL AND vec_id IS NOT NULL")
     # equal vectors: counted before the shuffle; any of them stands for all, as they are equal
-    nodes = able.groupBy("label", "key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.min_by("embedding", "vec_id").alias("embedding"), F.min("dim").alias("dim"))
-    nodes, _ = materialize(nodes, "nodes")
+    nodes = able.groupBy("label", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min_by("embedding", "vec_id").alias("embedding"), F.min("dim").alias("dim"))
+    nodes, _ = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     trees, _ = materialize(grow(nodes, kinds["label"], leaf).select("node", F.xxhash64("tree", "label", "dim", "leaf").bitwiseAND(F.lit((1 << 63) - 1)).alias("group")), "leaves")
     own = trees.groupBy(F.col("node").alias("own_")).agg(F.sort_array(F.collect_set("group")).alias("leaves"))
     parts = trees.groupBy(F.col("group").alias("group_")).agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
@@ -180,8 +184,11 @@ def near_duplicates(vectors: DataFrame, leaf: int = LEAF, tile: int = TILE) -> D
     found, _ = materialize(placed.repartition("group", "tile").sortWithinPartitions("group", "tile", "node").mapInArrow(_links, "what int, a long, b long"), "links")
     links = found.filter("what = 0").groupBy(F.col("a").alias("linked_")).agg(F.sum("b").alias("links"))
     comp = connected_components(found.filter("what = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    judged = nodes.join(links, F.col("node") == F.col("linked_"), "left").join(comp.withColumnRenamed("node", "member_"), F.col("node") == F.col("member_"), "left")
-    judged = judged.select(F.col("label").alias("label_"), F.col("key").alias("key_"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("c"))
+    comp = comp.withColumnRenamed("node", "member")
+    smallest = comp.join(nodes.select("node", "least"), F.col("member") == F.col("node")).groupBy(F.col("component").alias("component_")).agg(F.min("least").alias("c"))
+    comp = comp.join(smallest, F.col("component") == F.col("component_")).select("member", "c")
+    judged = nodes.join(links, F.col("node") == F.col("linked_"), "left").join(comp, F.col("node") == F.col("member"), "left")
+    judged = judged.select(F.col("label").alias("label_"), F.col("key").alias("key_"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("c", "least").alias("c"))
     out = rows.drop("embedding").join(judged, (F.col("label") == F.col("label_")) & (F.col("key") == F.col("key_")) & F.col("vec_id").isNotNull(), "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
