@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .shared import crc32_sql, row_slices, small_batches
+from .shared import crc32_sql, row_slices, sheltered, small_batches
 
 ORDER, PROFILE, HELD_OUT = 3, 400, 2
 #: Languages that a model may have: bounds what is sent to the executors, PROFILE * MOST_LANGUAGES rows.
@@ -156,15 +156,17 @@ def predictions(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language is found; those predicted `und` go. Rows are judged one by one, within the scan."""
     profiles = train(docs.filter(~held_out()))
-    shared, cols = docs.sparkSession.sparkContext.broadcast(profiles), docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    rows, own = sheltered(docs)
+    text = own["text"]
 
     def keep(batches):
         model = Model(shared.value)
         for whole in batches:
-            for b in row_slices(whole, "text"):
-                yield b.filter(pa.array([model.predict(t)[0] != "und" for t in b.column("text").to_pylist()], pa.bool_()))
+            for b in row_slices(whole, text):
+                yield b.filter(pa.array([model.predict(t)[0] != "und" for t in b.column(text).to_pylist()], pa.bool_()))
 
-    return docs.select(*cols).mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, rows.schema).toDF(*docs.columns)
 
 
 #: Letters as \\p{L}, a gap as a space. Ties: grams of a document by length and letters, those of a language by the keys' signed order.

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .shared import materialize, row_slices, small_batches
+from .shared import materialize, row_slices, sheltered, small_batches
 
 SHINGLE, RADIUS, TILE = 4, 4, 2048
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
@@ -210,11 +210,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component stays, the first by doc_id (nulls last), hash of the text, and key in a written table."""
-    rows, _ = materialize(docs.withColumns({"row_": F.monotonically_increasing_id(), "text_": F.xxhash64("text")}), "rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_"), "doc_id", "text_", "row_")).alias("first_")
-    kept = _components(rows, "text_", "row_").groupBy("component").agg(first).select(F.col("first_.row_").alias("row_"))
-    return rows.join(kept, "row_", "left_semi").select(*docs.columns)
+    """One row of each component stays, the first by doc_id (nulls last), hash of the text, and key in a written table. All columns
+    pass through, whatever their names."""
+    rows, own = sheltered(docs)
+    doc, text = F.col(own["doc_id"]), F.col(own["text"])
+    rows, _ = materialize(rows.withColumns({"row": F.monotonically_increasing_id(), "text_hash": F.xxhash64(text)}), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash", "row")).alias("first")
+    judged = _components(rows.select(doc.alias("doc_id"), text.alias("text"), "text_hash", "row"), "text_hash", "row")
+    kept = judged.groupBy("component").agg(first).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*[F.col(u).alias(c) for u, c in zip(rows.columns, docs.columns)])
 
 
 def brute_force(docs: list[tuple]) -> dict:
