@@ -136,3 +136,26 @@ def test_forest_equals_brute_force(spark):
         assert got.keys() == want.keys() and all(got[i][0] <= want[i][0] for i in want)  # never a false link
         assert sum(n for n, _ in got.values()) >= (1.0 if leaf == 512 else 0.9) * total
     assert embedding_dedup.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_vectors_that_share_an_id(spark):
+    """Each row is judged by its own vector; extra columns clash with names of the result and of the operator."""
+    rows = [(1, 1, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 1, [1.0, 0.001]), (3, 1, [1.0, 0.0]), (None, 1, [1.0, 0.0]), (4, 2, [1.0, 0.0]), (9, 1, [0.0, 1.0]), (9, 1, [0.0, 1.0])]
+    d = spark.createDataFrame([(*r, 7, 8, 9) for r in rows], "vec_id long, label int, embedding array<float>, node long, key int, kept int")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(d).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (0, 0, None, True), (4, 0, 4, True), (9, 2, 1, False), (9, 2, 1, False)], key=str)
+
+
+@pytest.mark.parametrize("broken", [np.zeros, np.ones])
+def test_windows_of_equal_hashes_are_told_apart(spark, monkeypatch, broken):
+    """Words decide, not their hashes: with all window hashes alike, results stay."""
+    rng = random.Random(21)
+    texts = [(i, words(rng, 30)) for i in range(6)]
+    items = [(1, texts[2][1]), (2, "w1 w2 w3"), (3, words(rng, 20))]
+    monkeypatch.setattr(decontaminate, "ngram_hashes", lambda h, k: broken(max(0, len(h) - k + 1), np.uint64))
+    index = decontaminate.index_items([(str(i), t) for i, t in items])
+    import pyarrow as pa
+    from tidewater.llm.shared import is_word_byte, lower_ascii, split_words
+
+    found = decontaminate.hits(split_words(pa.array([t for _, t in texts], pa.large_string()), is_word_byte(), lower_ascii()), index, {"prints": decontaminate.Lookup(index["prints"])} | {k: decontaminate.Lookup(v[0]) for k, v in index["windows"].items()})
+    assert {(r, tuple(names)) for r, _, _, names in found} == {(2, ("1",))} and len(found) == 18

@@ -38,6 +38,23 @@ def test_chat_edges(spark):
     assert chat_format.conversation_digests(chat_format.format_turns(c.limit(0))).count() == 0
 
 
+def test_chat_digests_by_definition(spark):
+    """Repeated turns go by role, then text, also where either is escaped; other columns, of whatever name, are ignored."""
+    import hashlib
+
+    tricky = ["x", "x y", "x!", "x<|im_end|>", "x<|", "x<\\|", "", "é", "<|im_start|>", "x\n", "<\\\\|"]
+    roles = ["assistant", "user", "a\nb", "a\\nb", "a|", "a<", "a\\", "a\\\\n", None, "assistant "]
+    rng = random.Random(9)
+    rows = [(i % 3, rng.choice([None, 0, 1]), rng.choice(roles), rng.choice([*tricky, None]), "c", i) for i in range(300)]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, n_turns long")
+    got = {r.conv_id: r for r in chat_format.conversation_digests(chat_format.format_turns(c)).collect()}
+    for conv in range(3):
+        turns = sorted(((t is not None, t or 0, (r or "").encode(), (x or "").encode()) for k, t, r, x, *_ in rows if k == conv))
+        loss = b"".join(x for *_, r, x in turns if r == b"assistant")
+        assert got[conv].turns_sha256 == hashlib.sha256(b"".join(r + b"\n" + x + b"\n" for *_, r, x in turns)).hexdigest()
+        assert (got[conv].n_turns, got[conv].loss_chars, got[conv].loss_sha256) == (len(turns), len(loss.decode()), hashlib.sha256(loss).hexdigest())
+
+
 def test_language_edges(spark):
     rows = [(i, "the cat and the dog with this thing" if i % 2 else "der hund und die katze mit dem ding", "en" if i % 2 else "de") for i in range(60)]
     rows += [(100, None, "en"), (101, "", None), (102, "123 !?", "en"), (103, "the thing " * 40_000, None), (104, "THE DOG", "en"), (104, "THE DOG", "en")]
