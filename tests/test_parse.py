@@ -41,3 +41,72 @@ def test_dialect():
     assert p.re2_to_java(r"(?P<a>x)$") == r"(?d)(?<a>x)\z"
     with pytest.raises(ValueError):
         p.re2_to_java(r"(?=x)")
+
+
+# 2026-07-01 09:05:06 UTC is 1782896706 s after the epoch
+NINE = 1782896706
+STAMPS = [
+    ("2026-07-01T09:05:06.123456789Z m", NINE, 123456789, "m"),  # RFC 3339 with nanoseconds
+    ("2026-07-01T11:05:06+02:00 m", NINE, 0, "m"),  # RFC 3339
+    ("2026-07-01T11:05:06.5+0200 m", NINE, 500000000, "m"),  # an offset without a colon
+    ("2026-07-01T09:05:06.25 m", NINE, 250000000, "m"),  # no zone
+    ("2026-07-01T09:05:06 m", NINE, 0, "m"),
+    ("2026-07-01 09:05:06.123456 m", NINE, 123456000, "m"),  # a blank for the T
+    ("2026-07-01 09:05:06,123 m", NINE, 123000000, "m"),  # a comma for the point
+    ("2026-07-01 09:05:06 m", NINE, 0, "m"),
+    ("2026/07/01 09:05:06 m", NINE, 0, "m"),  # slashes
+    ("01/Jul/2026:11:05:06 +0200 m", NINE, 0, "m"),  # web servers
+    ("Wed Jul  1 09:05:06 2026 m", NINE, 0, "m"),  # ANSI C
+    ("Wed Jul 1 09:05:06 2026 m", NINE, 0, "m"),
+    ("Wed Jul  1 09:05:06 UTC 2026 m", NINE, 0, "m"),  # Unix date
+    ("Wed Jul 01 11:05:06 +0200 2026 m", NINE, 0, "m"),  # Ruby date
+    ("2026-07-01T09:05:06.123456789012Z m", NINE, 123456789, "m"),  # more digits than nanoseconds
+    ("2026-07-01 9:05:06 m", NINE, 0, "m"),  # hours of one digit
+    ("2026-07-01T9:05:06Z m", NINE, 0, "m"),
+    ("01/Jul/2026:9:05:06 +0000 m", NINE, 0, "m"),
+    ("[2026-07-01T09:05:06Z] m", NINE, 0, "m"),
+    ("<2026-07-01T09:05:06Z> )] m", NINE, 0, "m"),
+    ("2026-07-01 09:05:06+02:00 m", NINE, 0, "+02:00 m"),  # no such layout: the zone is text
+]
+
+
+def test_every_layout(spark):
+    d = p.with_timestamp(spark.createDataFrame(STAMPS, "raw string, s bigint, ns bigint, want string"))
+    for r in d.collect():
+        assert (r.parsed_ns, r.rest) == (r.s * 1_000_000_000 + r.ns, r.want), r.raw
+
+
+def test_what_is_no_timestamp(spark):
+    rows = [("2026-07-01 m",), ("09:05:06 m",), ("2026-07-01T25:05:06Z m",), ("2026-02-30 09:05:06 m",), ("x 2026-07-01T09:05:06Z",), ("1/Jul/2026:09:05:06 +0000 m",)]
+    for r in p.with_timestamp(spark.createDataFrame(rows, "raw string")).collect():
+        assert r.parsed_ns is None and r.rest == r.raw
+
+
+def test_whole_lines(spark):
+    rows = [
+        ("2026-07-01T09:05:06Z \x1b[31mERROR\x1b[0m boom ", "ERROR", "ERROR boom"), ('2026-07-01T09:05:06Z {"level":"[error]","msg":"x"}', "ERROR", '{"level":"[error]","msg":"x"}'),
+        ('{"level":["error"]} fine', "ERROR", '{"level":["error"]} fine'), ('{"level":["warn"],"severity_text":"(DEBUG)"}', "DEBUG", '{"level":["warn"],"severity_text":"(DEBUG)"}'), ('{"level":{"error":1},"severity_number":9}', "INFO", '{"level":{"error":1},"severity_number":9}'),
+        ("\x1b[1;32mI0301 10:00:00 x.go:5] up\x1b[0m", "INFO", "I0301 10:00:00 x.go:5] up"), ("level=60 x", "FATAL", "level=60 x"), ("<crit> disk", "FATAL", "<crit> disk"), ("severity_number=25 x", "UNKNOWN", "severity_number=25 x"),
+    ]
+    for r in p.with_parsed(spark.createDataFrame(rows, "raw string, want string, text string")).collect():
+        assert (r.level, r.message) == (r.want, r.text), r.raw
+
+
+def test_texts(spark):
+    r = spark.range(1).select(
+        fmt.file_name(F.lit("/a/b:c*d?")).alias("file"), fmt.file_name(F.lit("")).alias("none"), fmt.redact(F.lit("key abc"), "abc").alias("red"), fmt.nano_of_cpus(F.lit(1.5)).alias("nano"), fmt.quota_of(F.lit(1_500_000_000)).alias("quota"),
+        fmt.human_age(F.lit(7200)).alias("age"), fmt.container_name(F.array(F.lit("/web"))).alias("name"), fmt.memory_percent(F.lit(5), F.lit(0)).alias("pct"),
+    ).first()
+    assert (r.file, r.none, r.red, r.nano, r.quota, r.age, r.name, r.pct) == ("a-b-c-d-", "container", "key ***", 1_500_000_000, 150_000, "2h ago", "web", 0.0)
+    assert fmt.escaped_pattern("a.b(c)") == r"a\.b\(c\)"
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_log_lines_show_utc(spark, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        r = spark.range(1).select(fmt.log_line(F.timestamp_seconds(F.lit(NINE)), F.lit("WARN"), F.lit("m")).alias("x")).first()
+        assert r.x == "2026-07-01T09:05:06Z WARN    m"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

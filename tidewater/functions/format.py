@@ -124,8 +124,12 @@ def quota_of(nano: Column) -> Column:
     return (nano.cast("bigint") * 100_000 / 1_000_000_000).cast("bigint")
 
 
+def nano_of_cpus(cpus: Column) -> Column:
+    return F.round(cpus * 1_000_000_000).cast("bigint")
+
+
 def log_line(ts: Column, level: Column, message: Column, name: Column | None = None) -> Column:
-    at = F.coalesce(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("-"))
+    at = F.coalesce(F.date_format(F.convert_timezone(None, F.lit("UTC"), ts.cast("timestamp").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("-"))
     if name is None:
         return F.format_string("%s %-7s %s", at, level, message)
     return F.when(F.coalesce(name, F.lit("")) != "", F.format_string("%s %-7s [%s] %s", at, level, name, message)).otherwise(F.format_string("%s %-7s %s", at, level, message))
@@ -141,11 +145,17 @@ def trim_start(c: Column) -> Column:
 
 
 def file_name(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_")
+    """A container's name as part of a file name: a leading slash goes, what file systems refuse becomes a dash."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(F.nullif(c, F.lit("")), F.lit("container")), r"^/", ""), r'[/\\:*?"<>|]', "-")
+
+
+def escaped_pattern(text: str) -> str:
+    """A pattern that matches just this text."""
+    return re.sub(r"[.*+?^${}()|\[\]\\]", r"\\\g<0>", text)
 
 
 def redact(c: Column, secret: str) -> Column:
-    return F.replace(c, F.lit(secret), F.lit("[redacted]")) if secret else c
+    return F.replace(c, F.lit(secret), F.lit("***")) if secret else c
 
 
 def is_http_url(c: Column) -> Column:

@@ -91,8 +91,9 @@ def _first(message: Column, pattern: str) -> Column:
 
 
 def _json_value(message: Column, key: str) -> Column:
-    # only strings and numbers count: a nested value comes back as JSON text
-    return F.regexp_extract(F.get_json_object(message, f"$['{key}']"), r"(?s)^(?!\s*[\[{])(.*)\z", 1)
+    # only strings and numbers count: a nested value comes back as JSON text, a bracketed word such as [error] is none
+    v = F.get_json_object(message, f"$['{key}']")
+    return F.when(v.rlike(r"^\s*[\[{]") & (F.json_array_length(v).isNotNull() | F.json_object_keys(v).isNotNull()), "").otherwise(v)
 
 
 def json_level(message: Column) -> Column:
@@ -125,13 +126,14 @@ def is_stack_line(message: Column) -> Column:
 
 
 _BRACKETS = r"[\[\](){}<>]*"
-_FRACTION = r"(?:[.,]\d{1,9})?"
+_FRACTION = r"(?:[.,]\d{1,20})?"
+_CLOCK = r"\d\d?:\d\d:\d\d"
 _STAMPS = [
-    rf"\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\d{_FRACTION}(?:Z|[+-]\d\d:?\d\d)?",
-    rf"\d{{4}}-\d\d-\d\d \d\d:\d\d:\d\d{_FRACTION}",
-    rf"\d{{4}}/\d\d/\d\d \d\d:\d\d:\d\d{_FRACTION}",
-    rf"\d\d/[A-Z][a-z]{{2}}/\d{{4}}:\d\d:\d\d:\d\d{_FRACTION} [+-]\d{{4}}",
-    rf"[A-Z][a-z]{{2}} [A-Z][a-z]{{2}} [ \d]\d \d\d:\d\d:\d\d{_FRACTION} (?:(?:[A-Z]{{3,4}}|[+-]\d{{4}}) )?\d{{4}}",
+    rf"\d{{4}}-\d\d-\d\dT{_CLOCK}{_FRACTION}(?:Z|[+-]\d\d:?\d\d)?",
+    rf"\d{{4}}-\d\d-\d\d {_CLOCK}{_FRACTION}",
+    rf"\d{{4}}/\d\d/\d\d {_CLOCK}{_FRACTION}",
+    rf"\d\d/[A-Z][a-z]{{2}}/\d{{4}}:{_CLOCK}{_FRACTION} [+-]\d{{4}}",
+    rf"[A-Z][a-z]{{2}} [A-Z][a-z]{{2}} (?: \d|\d\d?) {_CLOCK}{_FRACTION} (?:(?:[A-Z]{{3,4}}|[+-]\d{{4}}) )?\d{{4}}",
 ]
 _STAMP = rf"^({_BRACKETS})({'|'.join(_STAMPS)})({_BRACKETS})"
 
@@ -142,11 +144,11 @@ def with_timestamp(df: DataFrame, raw: str = "raw") -> DataFrame:
     Each step is a column of its own: later steps look at it several times, and Spark keeps such columns apart.
     """
     df = df.withColumn("t_", trim(F.col(raw)))
-    df = df.withColumn("stamp_", F.regexp_extract("t_", _STAMP, 2)).withColumn("bare_", F.regexp_replace("stamp_", r"(:\d\d)[.,]\d+", "$1"))
+    df = df.withColumn("stamp_", F.regexp_extract("t_", _STAMP, 2)).withColumn("bare_", F.regexp_replace(F.regexp_replace("stamp_", r"(:\d\d)[.,]\d+", "$1"), r"([T :])(\d):(\d\d:)", "$10$2:$3"))
     stamp, bare = F.col("stamp_"), F.col("bare_")
     fraction = F.rpad(F.regexp_extract(stamp, r":\d\d[.,](\d+)", 1), 9, "0").cast("bigint")
     zone = F.regexp_extract(bare, r"([+-]\d\d:?\d\d)(?: \d{4})?\z", 1)
-    day = F.regexp_extract(bare, r"^[A-Z][a-z]{2} [A-Z][a-z]{2} ([ \d]\d)", 1)
+    day = F.regexp_extract(bare, r"^[A-Z][a-z]{2} [A-Z][a-z]{2} ( \d|\d\d?) ", 1)
     named = F.concat_ws(" ", F.regexp_extract(bare, r"^[A-Z][a-z]{2} ([A-Z][a-z]{2}) ", 1), F.lpad(F.trim(day), 2, "0"), F.regexp_extract(bare, r"(\d\d:\d\d:\d\d)", 1), F.regexp_extract(bare, r"(\d{4})\z", 1))
     plain = F.translate(F.substring(bare, 1, 19), "T/", " -")
     at = lambda text, layout: F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit(layout + "X"))
