@@ -2,15 +2,19 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.functions.format import in_project, stable_id, whole
 from tidewater.functions.parse import re2_to_java, sample, severity
 
+from .running import running_sum
+
 # Defaults and limits of rules.
 DEFAULT_WINDOW_S, DEFAULT_COOLDOWN_S, OOM_DIE_S = 60, 300, 10
 MOST_RULES, MOST_NAME, MOST_THRESHOLD, WINDOW_S, MOST_COOLDOWN_S, MOST_CHANNELS = 50, 64, 1000, (5, 3600), 86_400, 20
 EVENT_ACTIONS = ["start", "die", "oom", "destroy", "rename", "health_status"]
+# Actions of the lifecycle stream.
+LIFECYCLE_ACTIONS = ["create", "start", "stop", "die", "restart", "pause", "unpause", "destroy", "rename", "health_status"]
 MOST_ALERTS = 500
 
 
@@ -31,10 +35,17 @@ def check_rules(rules: list[dict]) -> list[dict]:
     return out
 
 
+def at_most(df: DataFrame, n: int, what: str) -> None:
+    if df.limit(n + 1).count() > n:
+        raise ValueError(f"over {n} {what}")
+
+
 def compiled(rules: DataFrame, kind: str) -> DataFrame:
-    """Enabled rules of a kind with their defaults; at most MOST_RULES of them, which is what is broadcast."""
-    d = rules.filter((F.col("enabled")) & (F.col("type") == kind)).limit(MOST_RULES)
-    return d.withColumns({
+    """Enabled rules of a kind with their defaults; over MOST_RULES rules are an error, so what is broadcast is bounded."""
+    at_most(rules, MOST_RULES, "rules")
+    d = rules.filter((F.col("enabled")) & (F.col("type") == kind))
+    whole_rule = ("type", "hosts", "containers", "projects", "events", "min_level", "pattern", "threshold", "window_s", "cooldown_s")
+    return d.withColumn("rule_version", F.xxhash64(*whole_rule)).withColumns({
         "threshold": F.greatest(F.coalesce("threshold", F.lit(1)), F.lit(1)),
         "window_s": F.coalesce(F.nullif("window_s", F.lit(0)), F.lit(DEFAULT_WINDOW_S)), "cooldown_s": F.coalesce(F.nullif("cooldown_s", F.lit(0)), F.lit(DEFAULT_COOLDOWN_S)),
     })
@@ -67,11 +78,12 @@ def event_base(action: Column) -> Column:
     return F.split_part(action, F.lit(": "), F.lit(1))
 
 
-def map_events(raw: DataFrame) -> DataFrame:
-    """type, action, attributes, time_s, time_ns, id, host as an engine gives them, to the events that are watched."""
+def map_events(raw: DataFrame, actions: list[str] = EVENT_ACTIONS) -> DataFrame:
+    """type, action, attributes, time_s, time_ns, id, host as an engine gives them, to the events that are watched: those that alerts
+    look at, or LIFECYCLE_ACTIONS for the stream that users follow."""
     base = event_base(F.col("action"))
     attr = lambda k: F.try_element_at("attributes", F.lit(k))
-    return raw.filter((F.col("type") == "container") & base.isin(EVENT_ACTIONS)).select(
+    return raw.filter((F.col("type") == "container") & base.isin(actions)).select(
         "host", F.col("id").alias("container_id"), F.coalesce(attr("name"), F.lit("")).alias("container_name"), "action", base.alias("base"),
         F.when(base == "die", F.coalesce(attr("exitCode"), F.lit(""))).otherwise("").alias("exit_code"),
         F.when(base == "health_status", F.split_part("action", F.lit(": "), F.lit(2))).otherwise("").alias("health_status"),
@@ -92,25 +104,38 @@ def alertable(events: DataFrame, inspected: DataFrame) -> DataFrame:
     return d.withColumn("what", what).withColumn("exit_code", F.when(what == "die", code).otherwise("")).filter("what IS NOT NULL").drop("i_exit", "i_oom", "i_health")
 
 
+def with_last_oom(events: DataFrame) -> DataFrame:
+    """Adds last_oom: when the container last had one, if at most OOM_DIE_S before. An equality join: times are cut into runs of
+    OOM_DIE_S, and an oom counts for its own run and the next."""
+    own = whole(F.col("at_s"), OOM_DIE_S)
+    ooms = events.filter(F.col("what") == "oom").select(F.col("host").alias("host_"), F.col("container_id").alias("container_"), own.alias("run_"), F.col("at_s").alias("oom_"))
+    ooms = ooms.groupBy("host_", "container_", "run_").agg(F.array_sort(F.collect_set("oom_")).alias("ooms_"))  # OOM_DIE_S times at most
+    ooms = ooms.select("host_", "container_", F.explode(F.array(F.col("run_"), F.col("run_") + 1)).alias("run_"), "ooms_")
+    ooms = ooms.groupBy("host_", "container_", "run_").agg(F.flatten(F.collect_list("ooms_")).alias("ooms_"))
+    d = events.withColumn("run_own_", own).join(ooms, (F.col("host") == F.col("host_")) & (F.col("container_id") == F.col("container_")) & (F.col("run_own_") == F.col("run_")), "left")
+    before = F.filter("ooms_", lambda t: (t <= F.col("at_s")) & (F.col("at_s") - t <= OOM_DIE_S))
+    return d.withColumn("last_oom", F.array_max(before)).drop("run_own_", "host_", "container_", "run_", "ooms_")
+
+
 def event_matches(rules: DataFrame, events: DataFrame) -> DataFrame:
     """Alertable events against event rules. A die within OOM_DIE_S after an oom of the same container is one incident with it, for
-    rules that watch both."""
-    w = W.partitionBy("host", "container_id").orderBy("at_s", F.when(F.col("what") == "oom", 0).otherwise(1)).rowsBetween(W.unboundedPreceding, 0)
-    d = events.withColumn("last_oom", F.last(F.when(F.col("what") == "oom", F.col("at_s")), ignorenulls=True).over(w))
+    rules that watch both. Events that come with last_oom (the streaming form adds it) are taken as they are."""
+    d = events if "last_oom" in events.columns else with_last_oom(events)
     d = d.withColumn("container_name", F.regexp_replace("container_name", "^/", ""))
     r = compiled(rules, "event").withColumnsRenamed({"id": "rule_id", "name": "rule_name", "events": "watched"})
     on = F.array_contains("watched", F.col("what")) & target_matches(F.col("hosts"), F.col("containers"), F.col("projects"), F.col("host"), F.col("container_name"), F.col("labels"))
     d = d.join(F.broadcast(r), on)
-    pair = (F.col("what") == "die") & F.array_contains("watched", F.lit("oom")) & F.coalesce(F.col("at_s") - F.col("last_oom") <= OOM_DIE_S, F.lit(False))
+    pair = (F.col("what") == "die") & F.array_contains("watched", F.lit("oom")) & F.col("last_oom").isNotNull()
     return d.filter(~pair).withColumn("key", F.concat_ws("|", "rule_id", "host", "container_name"))
 
 
-def count_in_window(matches: DataFrame, at: str = "at_s") -> DataFrame:
-    """Without a cooldown: whether the threshold-th last match lies within the window."""
-    w = W.partitionBy("key").orderBy(at)
-    back = F.collect_list(at).over(w.rowsBetween(-(MOST_THRESHOLD - 1), 0))
-    nth = F.try_element_at(back, -F.col("threshold"))
-    return matches.withColumn("trips", F.coalesce(F.col(at) - nth <= F.col("window_s"), F.lit(False)))
+def count_in_window(matches: DataFrame, at: str = "at_s", tie: str = "match_id", slice_s: int = 86_400) -> DataFrame:
+    """Without a cooldown: whether the threshold-th last match lies within the window. Matches are numbered by slices of time, and
+    each is joined with the one `threshold` - 1 before it by number, so a noisy key is spread like any other."""
+    d = running_sum(matches, ["key"], whole(F.col(at), slice_s), [at, tie], F.lit(1), "no_")
+    then = d.select(F.col("key").alias("key_"), (F.col("no_") + F.col("threshold") - 1).alias("no2_"), F.col(at).alias("then_"))
+    d = d.join(then, (F.col("key") == F.col("key_")) & (F.col("no_") == F.col("no2_")), "left")
+    return d.withColumn("trips", F.coalesce(F.col(at) - F.col("then_") <= F.col("window_s"), F.lit(False))).drop("no_", "key_", "no2_", "then_")
 
 
 class RuleWindow:
@@ -154,6 +179,7 @@ def fire(matches: DataFrame) -> DataFrame:
     return m.repartition("key").sortWithinPartitions("key", "at_s", "match_id").mapInPandas(_fire, FIRED)
 
 
+# The reasons' texts.
 def log_reason(threshold: Column, min_level: Column, pattern: Column, window_s: Column) -> Column:
     level = F.when(F.coalesce(min_level, F.lit("")) != "", F.concat(F.lit("level >= "), min_level))
     like = F.when(F.coalesce(pattern, F.lit("")) != "", F.concat(F.lit('pattern "'), pattern, F.lit('"')))
@@ -177,6 +203,11 @@ def alerts(matches: DataFrame, fired: DataFrame, reason: Column) -> DataFrame:
     return d.select(stable_id(F.col("key"), F.col("at_s")).alias("id"), "rule_id", "rule_name", "type", "host", "container_id", "container_name", reason.alias("reason"), "sample", F.col("threshold").alias("count"), "suppressed", F.col("at_s").alias("fired_at"))
 
 
+def append_history(alert_rows: DataFrame, path: str, batch: int) -> None:
+    """Adds a batch's alerts to the history. A batch that is run again replaces what it wrote."""
+    alert_rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
 def history(alert_rows: DataFrame, limit: int = 100) -> DataFrame:
     return alert_rows.orderBy(F.desc("fired_at"), "id").limit(max(1, min(limit, MOST_ALERTS)))
 

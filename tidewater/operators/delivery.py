@@ -1,6 +1,6 @@
 """Alert delivery as data: one request row per alert and channel, and what becomes of the attempts.
 
-Sending is left to a transport given by the caller, which runs in `foreachBatch`; channels are CHANNELS at most.
+Sending is left to a transport given by the caller, which runs in `foreachBatch`; channels are MOST_CHANNELS at most, more are an error.
 """
 from __future__ import annotations
 
@@ -8,20 +8,22 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .alerts import MOST_CHANNELS
+from .alerts import MOST_CHANNELS, at_most
 
 CHANNELS = "id string, type string, name string, enabled boolean, url string, token string, target string"
+# What each kind of channel expects (titles, priorities, headers, paths).
 TITLE, PRIORITY = "Log alert", 8
 
 
 def text(rule_name: Column, reason: Column, host: Column, container_name: Column) -> Column:
-    target = F.concat_ws("/", F.nullif(host, F.lit("")), F.nullif(container_name, F.lit("")))
+    target = F.concat(F.coalesce(host, F.lit("")), F.coalesce(F.concat(F.lit("/"), F.nullif(container_name, F.lit(""))), F.lit("")))
     return F.concat(F.lit("Alert: "), rule_name, F.lit(": "), reason, F.when(target != "", F.concat(F.lit(" ("), target, F.lit(")"))).otherwise(""))
 
 
 def requests(alerts: DataFrame, channels: DataFrame) -> DataFrame:
     """alert_id, channel_id, url, headers, body, secret for every enabled channel of a known type."""
-    c = channels.filter(F.col("enabled") & F.col("type").isin("webhook", "ntfy", "gotify", "telegram")).limit(MOST_CHANNELS).withColumnsRenamed({"id": "channel_id", "type": "kind", "name": "channel"})
+    at_most(channels, MOST_CHANNELS, "channels")
+    c = channels.filter(F.col("enabled") & F.col("type").isin("webhook", "ntfy", "gotify", "telegram")).withColumnsRenamed({"id": "channel_id", "type": "kind", "name": "channel"})
     d = alerts.withColumn("text_", text(F.col("rule_name"), F.col("reason"), F.col("host"), F.col("container_name"))).crossJoin(F.broadcast(c))
     k, t = F.col("kind"), F.col("text_")
     body = (
@@ -50,6 +52,14 @@ def retryable(attempts: DataFrame) -> DataFrame:
     return once.filter((F.col("n") == 1) & (F.col("http_status").isNull() | (F.col("http_status") >= 500))).select("alert_id", "channel_id")
 
 
-def deliver(alerts: DataFrame, channels: DataFrame, checkpoint: str, send: Callable[[DataFrame], None]):
-    """Streams alerts' requests to a transport."""
-    return alerts.writeStream.foreachBatch(lambda batch, _: send(requests(batch, channels))).option("checkpointLocation", checkpoint).start()
+def delivered(requests_: DataFrame, send: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Outcomes of requests. send gives a row for each: alert_id, channel_id, http_status, error; what failed by the network or with
+    5xx is sent once more."""
+    first = send(requests_).withColumn("attempt", F.lit(1)).persist()  # a request isn't sent twice because it is looked at twice
+    again = send(requests_.join(retryable(first), ["alert_id", "channel_id"], "left_semi")).withColumn("attempt", F.lit(2)).persist()
+    return outcomes(first.unionByName(again).join(requests_.select("alert_id", "channel_id", "secret"), ["alert_id", "channel_id"]))
+
+
+def deliver(alerts: DataFrame, channels: DataFrame, checkpoint: str, send: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame, int], None]):
+    """Streams alerts' requests to a transport, and what became of them to `done`, with the batch's number."""
+    return alerts.writeStream.foreachBatch(lambda batch, k: done(delivered(requests(batch, channels), send), k)).option("checkpointLocation", checkpoint).start()

@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewater.functions.format import compose_project, container_name, cpu_percent, in_project, short_id
+from tidewater.functions.format import compose_project, container_name, cpu_percent, in_project, short_id, whole
 
-from .running import running_sum, value_slices
+from .running import previous, running_sum, value_slices
 
 # States that are counted by name.
 STATES = ["running", "exited", "paused", "restarting", "dead", "removed"]
@@ -94,16 +94,14 @@ def stats_with_names(stats: DataFrame, containers: DataFrame) -> DataFrame:
     return stats.join(names, ["host", "id"], "left").withColumn("name", F.coalesce("name", short_id(F.col("id"))))
 
 
-def cpu_between_polls(samples: DataFrame, most_age_s: int = 120) -> DataFrame:
+def cpu_between_polls(samples: DataFrame, most_age_s: int = 120, slice_width: int = 86_400) -> DataFrame:
     """cpu_percent of each sample: the engine's own window if it has one, else against the sample before, else since start."""
-    w = W.partitionBy("host", "id").orderBy("at_s")
-    prev = lambda c: F.lag(c).over(w)
-    d = samples.withColumns({"prev_total": prev("total_usage"), "prev_system": prev("system_usage"), "prev_at": prev("at_s")})
+    d = previous(samples, ["host", "id"], whole(F.col("at_s"), slice_width), ["at_s"], ["total_usage", "system_usage", "at_s"])
     own = cpu_percent(F.col("total_usage"), F.col("pre_total"), F.col("system_usage"), F.col("pre_system"), F.col("online_cpus"), F.col("per_cpu"))
     n = F.coalesce(F.nullif("online_cpus", F.lit(0)), F.nullif("per_cpu", F.lit(0)), F.lit(1))
-    usable = (F.col("at_s") - F.col("prev_at") < most_age_s) & (F.col("total_usage") >= F.col("prev_total")) & (F.col("system_usage") > F.col("prev_system"))
-    delta = (F.col("total_usage") - F.col("prev_total")) / (F.col("system_usage") - F.col("prev_system")) * n * 100.0
-    return d.withColumn("cpu_percent", F.when(F.col("pre_system") > 0, own).when(usable, delta).otherwise(own)).drop("prev_total", "prev_system", "prev_at")
+    usable = (F.col("at_s") - F.col("prev_.at_s") < most_age_s) & (F.col("total_usage") >= F.col("prev_.total_usage")) & (F.col("system_usage") > F.col("prev_.system_usage"))
+    delta = (F.col("total_usage") - F.col("prev_.total_usage")) / (F.col("system_usage") - F.col("prev_.system_usage")) * n * 100.0
+    return d.withColumn("cpu_percent", F.when(F.col("pre_system") > 0, own).when(usable, delta).otherwise(own)).drop("prev_")
 
 
 def recent_samples(samples: DataFrame, n: int = 60) -> DataFrame:
@@ -116,9 +114,29 @@ def recent_samples(samples: DataFrame, n: int = 60) -> DataFrame:
 
 def sparkline(samples: DataFrame, value: str) -> DataFrame:
     """Between 0 and 1 within each container; a range under 2 counts as 2."""
-    w = W.partitionBy("host", "id")
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return samples.withColumn("level", (F.col(value) - lo) / F.greatest(hi - lo, F.lit(2.0)))
+    ends = samples.groupBy(F.col("host").alias("host_"), F.col("id").alias("id_")).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"))
+    d = samples.join(ends, F.col("host").eqNullSafe(F.col("host_")) & F.col("id").eqNullSafe(F.col("id_")))
+    return d.withColumn("level", (F.col(value) - F.col("lo_")) / F.greatest(F.col("hi_") - F.col("lo_"), F.lit(2.0))).drop("host_", "id_", "lo_", "hi_")
+
+
+def images(rows: DataFrame) -> DataFrame:
+    """A row an image, by short id; an image without a tag is `<none>`."""
+    tags = F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t != "")
+    return rows.withColumns({"id": short_id(F.col("id")), "tags": F.when(F.size(tags) == 0, F.array(F.lit("<none>"))).otherwise(tags)})
+
+
+def volumes(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("host", "name")
+
+
+def live_and_removed(live: DataFrame, stored: DataFrame) -> DataFrame:
+    """Inventory rows of the engines, and those of removed containers that are stored."""
+    return live.unionByName(removed_rows(stored, live), allowMissingColumns=True)
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """What a filter can offer: the column's values in order."""
+    return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
 def subnets(networks: DataFrame) -> DataFrame:
@@ -135,18 +153,41 @@ def host_outcome(results: DataFrame) -> DataFrame:
     return results.groupBy("project").agg(F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.array_join(F.array_sort(F.collect_list("error")), "; ").alias("errors"))
 
 
-def nearest_rank(df: DataFrame, value: str, keys: list[str], at: list[float] = [0.5, 0.95, 0.99]) -> DataFrame:
-    """Nearest-rank percentiles and the maximum, exact, by ranks over slices of the values."""
-    d = value_slices(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, value)
-    d = running_sum(d, keys, F.col("slice_no"), [value], F.lit(1), "before", "n")
-    picks = [F.max(F.when(F.col("before") + 1 == F.greatest(F.ceil(F.col("n") * p), F.lit(1)), F.col(value))).alias(f"p{round(100 * p)}") for p in at]
-    return d.groupBy(*keys).agg(*picks, F.max(value).alias("max"), F.max("n").alias("n"))
-
-
-def rates(df: DataFrame, value: str, at: str, keys: list[str]) -> DataFrame:
-    """Change per second against the row before; a counter's first row has none."""
-    w = W.partitionBy(*keys).orderBy(at)
-    return df.withColumn("rate", (F.col(value) - F.lag(value).over(w)) / F.nullif(F.col(at) - F.lag(at).over(w), F.lit(0)))
+def nearest_rank(df: DataFrame, value: str, keys: list[str], at: list[float] = [0.5, 0.95, 0.99], accuracy: int = 10_000) -> DataFrame:
+    """Nearest-rank percentiles, the maximum and the number of values, exact; nulls don't count.
+
+    A sketch gives values that a rank surely lies between: its ranks are off by one in `accuracy` at most. What is below is counted;
+    only the distinct values between, a small share of all, are ranked, by slices.
+    """
+    same = lambda names: [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v_"))
+    off, renamed = 2 / accuracy, [f"{k}__" for k in keys]
+    ends = F.percentile_approx("v_", [x for p in at for x in (max(0.0, p - off), min(1.0, p + off))], accuracy)
+    facts = d.groupBy(*keys).agg(F.count("*").alias("n_"), F.max("v_").alias("max_"), ends.alias("ends_"))
+    near = d.join(facts.select(*[F.col(k).alias(r) for k, r in zip(keys, renamed)], "ends_"), same(renamed)).drop(*renamed)
+    lo, hi = (lambda i: F.col("ends_")[2 * i]), (lambda i: F.col("ends_")[2 * i + 1])
+    below = near.groupBy(*keys).agg(*[F.count_if(F.col("v_") < lo(i)).alias(f"below{i}_") for i in range(len(at))])
+    which = F.explode(F.array_compact(F.array(*[F.when(F.col("v_").between(lo(i), hi(i)), F.lit(i)) for i in range(len(at))])))
+    between = near.select(*keys, "v_", which.alias("i_")).groupBy(*keys, "i_", "v_").agg(F.count("*").alias("same_"))
+    between = running_sum(value_slices(between, [*keys, "i_"], "v_"), [*keys, "i_"], F.col("slice_no"), ["v_"], F.col("same_"), "rank_")
+    facts = facts.join(below.select(*[F.col(k).alias(r) for k, r in zip(keys, renamed)], *[f"below{i}_" for i in range(len(at))]), same(renamed)).drop(*renamed)
+    joined = facts.join(between.withColumnsRenamed(dict(zip(keys, renamed))), same(renamed))
+    picks = []
+    for i, p in enumerate(at):
+        rank = F.greatest(F.ceil(F.col("n_") * p), F.lit(1)) - F.col(f"below{i}_") - F.col("rank_")
+        picks.append(F.max(F.when((F.col("i_") == i) & (rank >= 1) & (rank <= F.col("same_")), F.col("v_"))).alias(f"p{round(100 * p)}"))
+    return joined.groupBy(*keys).agg(*picks, F.max("max_").alias("max"), F.max("n_").alias("n"))
+
+
+def rates(df: DataFrame, value: str, at: str, keys: list[str], slice_width: int = 86_400) -> DataFrame:
+    """Change per unit of `at` (an integer) against the row before; a counter's first row has none."""
+    d = previous(df, keys, whole(F.col(at), slice_width), [at], [value, at])
+    return d.withColumn("rate", (F.col(value) - F.col("prev_")[value]) / F.nullif(F.col(at) - F.col("prev_")[at], F.lit(0))).drop("prev_")
+
+
+def extent(df: DataFrame, value: str, at: str, keys: list[str]) -> DataFrame:
+    """Per key the peak, the first and the last value."""
+    return df.groupBy(*keys).agg(F.max(value).alias("peak"), F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"))
 
 
 def used_percent(stored: DataFrame, total_mb: int) -> DataFrame:

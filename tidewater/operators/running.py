@@ -19,7 +19,7 @@ def day(ts: str = "ts_ns", slice_ns: int = DAY_NS) -> Column:
 def running_sum(df: DataFrame, keys: list[str], slice_: Column, order: list, value: Column, name: str, totals: str = "") -> DataFrame:
     """Adds `name`: the sum of value over the key's rows before this one; `totals`: over all of the key's rows.
 
-    slice_ must not fall along the order.
+    slice_ must not fall along the order. Without keys, all rows are one sequence, cut by slice alone.
     """
     d = df.withColumns({"slice_": slice_, "value_": value})
     per = d.groupBy(*keys, "slice_").agg(F.sum("value_").alias("sum_"))
@@ -32,7 +32,21 @@ def running_sum(df: DataFrame, keys: list[str], slice_: Column, order: list, val
     return d.drop(*[f"{k}__" for k in keys], "slice__", "slice_", "value_", "before_", "total_")
 
 
-def value_slices(df: DataFrame, keys: list[str], value: str, n: int = 1000) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], slice_: Column, order: list[str], columns: list[str]) -> DataFrame:
+    """Adds prev_: struct of the columns in the key's row before this one, null for its first.
+
+    slice_ must not fall along the order. A slice's first row takes what the slice before it ends with, from one row per slice.
+    """
+    d = df.withColumns({"slice_": slice_, "now_": F.struct(*columns)})
+    per = d.groupBy(*keys, "slice_").agg(F.max_by("now_", F.struct(*order)).alias("last_"))
+    per = per.withColumn("carry_", F.lag("last_").over(W.partitionBy(*keys).orderBy("slice_")))
+    per = per.select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("slice_").alias("slice__"), "carry_")
+    d = d.withColumn("prev_", F.lag("now_").over(W.partitionBy(*keys, "slice_").orderBy(*order)))
+    d = d.join(per, [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys] + [F.col("slice_").eqNullSafe(F.col("slice__"))])
+    return d.withColumn("prev_", F.coalesce("prev_", "carry_")).drop(*[f"{k}__" for k in keys], "slice__", "slice_", "now_", "carry_")
+
+
+def value_slices(df: DataFrame, keys: list[str], value: str, n: int = 100) -> DataFrame:
     """Adds slice_no: in which of n roughly equal runs of its key's values a value lies. Equal values share one."""
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n).alias("cuts_"))
     cuts = cuts.select(*[F.col(k).alias(f"{k}__") for k in keys], F.array_distinct("cuts_").alias("cuts_"))
