@@ -56,7 +56,7 @@ def _breaks(prev: Column, container_id: Column) -> Column:
 
 
 def mark_heads(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS) -> DataFrame:
-    """Adds anchor: struct(ts_ns, rowid) of the head of each line's entry, and is_head."""
+    """Adds anchor: struct(ts_ns, rowid) of the head of each line's entry, is_head, and plain_head: a head whatever lies before it."""
     field, _ = structured_field(F.col("message"))
     d = parsed.withColumns({"slice_": day("ts_ns", slice_ns), "blank_": trim(F.col("message")) == "", "field_": field.isNotNull(), "stack_": is_stack_line(F.col("message"))})
     w = W.partitionBy(*keys, "slice_").orderBy("ts_ns", "rowid")
@@ -72,7 +72,7 @@ def mark_heads(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS)
     d = d.withColumn("is_head", F.col("sure_") | (F.col("stack_") & ~F.col("field_") & ~level.isin(PROBLEM)))
     head = F.when(F.col("is_head"), F.struct("ts_ns", "rowid"))
     d = d.withColumn("anchor", F.coalesce(F.last(head, ignorenulls=True).over(w), F.col("carry_head_")))
-    return d.drop("slice_", "blank_", "field_", "stack_", "plain_", "prev_", "local_", "anchor_", "tail_", "carry_level_", "sure_", "carry_head_")
+    return d.drop("slice_", "blank_", "field_", "stack_", "prev_", "local_", "anchor_", "tail_", "carry_level_", "sure_", "carry_head_").withColumnRenamed("plain_", "plain_head")
 
 
 def fold(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS) -> DataFrame:
@@ -82,11 +82,11 @@ def fold(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS) -> Da
     part = F.struct("ts_ns", "rowid", F.when(F.col("is_head"), F.col("message")).otherwise(trim(F.col("message"))).alias("m"), "raw", F.when(~F.col("is_head"), key).alias("k"), value.alias("v"))
     first = lambda c: F.min_by(c, F.struct("ts_ns", "rowid")).alias(c)
     extra = [c for c in ("host", "name", "container_id", "stream") if c in parsed.columns and c not in keys]
-    g = d.groupBy(*keys, "anchor").agg(F.array_sort(F.collect_list(part)).alias("parts"), *[first(c) for c in ("level", "severity", *extra)])
+    g = d.groupBy(*keys, "anchor").agg(F.array_sort(F.collect_list(part)).alias("parts"), *[first(c) for c in ("level", "severity", "plain_head", *extra)])
     pairs = F.filter("parts", lambda x: x["k"].isNotNull())
     fields = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["k"]), F.create_map(x["k"], x["v"])))
     return g.select(
-        *keys, F.col("anchor.ts_ns").alias("ts_ns"), F.col("anchor.rowid").alias("rowid"), "level", "severity", *extra,
+        *keys, F.col("anchor.ts_ns").alias("ts_ns"), F.col("anchor.rowid").alias("rowid"), "level", "severity", "plain_head", *extra,
         F.array_join(F.filter(F.transform("parts", lambda x: x["m"]), lambda m: m != ""), "\n").alias("message"),
         F.array_join(F.transform("parts", lambda x: x["raw"]), "\n").alias("raw"), fields.alias("fields"), (F.size("parts") - 1).alias("continuation_count"),
     )

@@ -1,18 +1,30 @@
 """Ingestion: deduplicating insert, generation upsert, watermarks, resume points, removal marks."""
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 IDENTITY = ["host", "container_id", "ts_ns", "stream", "raw"]
 OVERLAP_NS = 2_000_000_000
 
 
+def on_days(lines: DataFrame, since_ns: int | None, until_ns: int | None) -> DataFrame:
+    """Of lines that are stored by day, those of the days between two times; other lines as they are."""
+    if "day" not in lines.columns:
+        return lines
+    day = lambda ns: (datetime(1970, 1, 1) + timedelta(microseconds=ns // 1000)).date()
+    if since_ns is not None:
+        lines = lines.filter(F.col("day") >= F.lit(day(since_ns)))
+    return lines.filter(F.col("day") <= F.lit(day(until_ns))) if until_ns is not None else lines
+
+
 def new_lines(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Lines of the batch that are neither repeated in it nor stored already; late ones are as welcome as others."""
     span = batch.agg(F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi")).first()
-    old = stored.select(*IDENTITY)
     if span and span.lo is not None:
-        old = old.filter(F.col("ts_ns").between(span.lo, span.hi))  # reaches the stored files' statistics
+        stored = on_days(stored, span.lo, span.hi).filter(F.col("ts_ns").between(span.lo, span.hi))  # reaches folders and statistics
+    old = stored.select(*IDENTITY)
     return batch.dropDuplicates(IDENTITY).join(old, IDENTITY, "left_anti")
 
 
@@ -38,7 +50,7 @@ def resume_points(generations: DataFrame, gaps: DataFrame) -> DataFrame:
     """since_ns per generation: watermark less the overlap, or creation; an older gap wins."""
     g = generations.join(gaps.select("host", "container_id", "gap_ns"), ["host", "container_id"], "left")
     wm = watermark(F.col("stdout_wm_ns"), F.col("stderr_wm_ns"))
-    since = F.when(wm != 0, wm - OVERLAP_NS).otherwise(F.col("created_s") * 1_000_000_000)
+    since = F.when(wm != 0, wm - OVERLAP_NS).otherwise(F.col("created_s").cast("bigint") * 1_000_000_000)
     return g.select("host", "container_id", F.least(since, F.nullif("gap_ns", F.lit(0)) - OVERLAP_NS).alias("since_ns"))
 
 

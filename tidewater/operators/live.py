@@ -8,12 +8,16 @@ from tidewater.functions.parse import re2_to_java, sample
 
 from .running import day, running_sum
 
-DEFAULT_TAIL, MOST_TAIL, MOST_TARGETS = 100, 10_000, 20
+DEFAULT_TAIL, MOST_TAIL, MOST_TARGETS, MOST_LINE = 100, 10_000, 20, 1 << 20
+# What an assistant may ask for at once.
+DEFAULT_READ, MOST_READ = 100, 500
 
 
-def split_lines(df: DataFrame, column: str = "value") -> DataFrame:
-    """Non-empty lines of each value, one trailing CR stripped; line_no counts from 0."""
+def split_lines(df: DataFrame, column: str = "value", most: int = MOST_LINE) -> DataFrame:
+    """Non-empty lines of each value, one trailing CR stripped; line_no counts from 0. A line over `most` characters is several."""
     parts = F.filter(F.split(F.col(column), "\n"), lambda x: x != "")
+    pieces = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / most).cast("int")), lambda k: F.substring(x, k * most + 1, F.lit(most)))
+    parts = F.when(F.exists(parts, lambda x: F.length(x) > most), F.flatten(F.transform(parts, pieces))).otherwise(parts)
     return df.select(*[c for c in df.columns if c != column], F.posexplode(F.transform(parts, lambda x: F.regexp_replace(x, r"\r\z", ""))).alias("line_no", "raw"))
 
 
@@ -23,6 +27,11 @@ def tail_size(value: str | None) -> int:
     return min(int(value), MOST_TAIL) if value.isdigit() else MOST_TAIL
 
 
+def read_size(value: int | None) -> int:
+    """How many rows an assistant's read gives."""
+    return DEFAULT_READ if value is None or value <= 0 else min(value, MOST_READ)
+
+
 def tail(df: DataFrame, n: int, keys: list[str], order: list[str]) -> DataFrame:
     """The last n rows of each key; Spark limits groups before the shuffle."""
     w = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
@@ -88,6 +97,8 @@ def targets(spec: str | list[str]) -> list[tuple[str, str, str]]:
 
 def of_targets(lines: DataFrame, wanted: list[tuple[str, str, str]]) -> DataFrame:
     """Lines of at most MOST_TARGETS targets, with their place in the list."""
+    if len(wanted) > MOST_TARGETS:
+        raise ValueError(f"over {MOST_TARGETS} targets")
     t = lines.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(wanted)], "target_idx int, host string, container_id string, target_name string")
     return lines.join(F.broadcast(t), ["host", "container_id"])
 
@@ -110,7 +121,14 @@ def shifted_pins(pins: DataFrame, dropped: int) -> DataFrame:
     return pins.withColumn("index", F.col("index") - dropped).filter("index >= 0")
 
 
-def time_range(preset: str, now_ns: int) -> tuple[int | None, int | None]:
+def next_pin(pins: DataFrame, at: int) -> DataFrame:
+    """The pin after row `at`; after the last one, the first."""
+    return pins.orderBy(F.col("index") <= at, "index").limit(1)
+
+
+def time_range(preset: str, now_ns: int, custom: tuple[int | None, int | None] = (None, None)) -> tuple[int | None, int | None]:
+    if preset == "custom":
+        return custom
     # fixed values: seconds of the presets
     seconds = {"15m": 900, "1h": 3600, "6h": 21600, "24h": 86400}
     return (now_ns - seconds[preset] * 1_000_000_000, None) if preset in seconds else (None, None)

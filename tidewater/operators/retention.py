@@ -40,10 +40,8 @@ def trim_total(lines: DataFrame, cap: int, chunk_rows: int = CHUNK_ROWS) -> Data
     d = running_sum(lines, KEY, day(), ["ts_ns", "rowid"], F.lit(1), "row_")
     d = d.withColumns({"bytes_": line_bytes(), "chunk_": F.floor(F.col("row_") / chunk_rows)}).drop("row_")
     chunks = d.groupBy(*KEY, "chunk_").agg(F.sum("bytes_").alias("b_"), F.min("ts_ns").alias("t_"))
-    # lines / chunk_rows rows: 5000 times fewer than the lines
-    over = W.orderBy("t_", *KEY, "chunk_").rowsBetween(W.unboundedPreceding, -1)
-    total = chunks.agg(F.sum("b_").alias("total_"))
-    chunks = chunks.crossJoin(F.broadcast(total)).withColumn("left_", F.col("total_") - F.lit(cap) - F.coalesce(F.sum("b_").over(over), F.lit(0)))
+    chunks = running_sum(chunks, [], day("t_"), ["t_", *KEY, "chunk_"], F.col("b_"), "older_", "total_bytes_")
+    chunks = chunks.withColumn("left_", F.col("total_bytes_") - F.lit(cap) - F.col("older_"))
     chunks = chunks.select(*[F.col(k).alias(f"{k}_") for k in KEY], F.col("chunk_").alias("chunk2_"), "left_")
     d = d.join(chunks, [F.col(k) == F.col(f"{k}_") for k in KEY] + [F.col("chunk_") == F.col("chunk2_")])
     within = W.partitionBy(*KEY, "chunk_").orderBy("ts_ns", "rowid").rowsBetween(W.unboundedPreceding, -1)

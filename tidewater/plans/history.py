@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.functions.parse import LEVELS, re2_to_java
 from tidewater.operators.fold import DAY_NS, fold, parse
+from tidewater.operators.ingest import on_days
 
 DEFAULT_LIMIT, MOST_LIMIT = 500, 1000
 
@@ -62,9 +63,16 @@ def before_cursor(cursor: str, ts: str = "ts_ns", rowid: str = "rowid") -> Colum
     return (F.col(ts) < t) | ((F.col(ts) == t) & (F.col(rowid) < r))
 
 
+def from_place(at) -> Column:
+    return (F.col("ts_ns") > at.ts_ns) | ((F.col("ts_ns") == at.ts_ns) & (F.col("rowid") >= at.rowid))
+
+
 def scan(lines: DataFrame, q: HistoryQuery) -> DataFrame:
-    """Name, host, time and cursor reach the scan; level and search must not, for they hold on folded entries."""
-    d = lines.filter(F.col("name") == q.name)
+    """Name, host, time and cursor reach the scan (and its days); level and search must not, for they hold on folded entries."""
+    until = q.until_ns
+    if q.cursor:
+        until = min(x for x in (until, decode_cursor(q.cursor)[0]) if x is not None)
+    d = on_days(lines, q.since_ns, until).filter(F.col("name") == q.name)
     if q.host:
         d = d.filter(F.col("host") == q.host)
     if q.since_ns is not None:
@@ -91,21 +99,48 @@ def entries(lines: DataFrame, q: HistoryQuery, slice_ns: int = DAY_NS) -> DataFr
     return fold(parse(scan(lines, q)), ["host", "name"] if q.host else ["name"], slice_ns).filter(matches(q))
 
 
+def newest_days(lines: DataFrame, q: HistoryQuery, want: int, slice_ns: int = DAY_NS) -> DataFrame:
+    """Of lines stored by day: entries that hold the newest `want` matches, from as few of the newest days as it takes.
+
+    Days are added, twice as many each time, until enough matches lie after the first head that is a head by itself: entries from
+    there on are the same whatever lies before.
+    """
+    days = [r.day for r in on_days(lines, q.since_ns, q.until_ns).select("day").distinct().orderBy(F.desc("day")).collect()]  # partition values
+    k = 1
+    while True:
+        part = lines if k >= len(days) else lines.filter(F.col("day") >= F.lit(days[k - 1]))
+        all_ = fold(parse(scan(part, q)), ["host", "name"] if q.host else ["name"], slice_ns)
+        if k >= len(days):
+            return all_.filter(matches(q))
+        all_ = all_.persist()
+        sure = all_.filter("plain_head").agg(F.min(F.struct("ts_ns", "rowid")).alias("s")).first().s
+        if sure is not None:
+            found = all_.filter(from_place(sure)).filter(matches(q))
+            if found.limit(want).count() == want:
+                return found
+        all_.unpersist()
+        k *= 2
+
+
+def _enough(lines: DataFrame, q: HistoryQuery, want: int) -> DataFrame:
+    return newest_days(lines, q, want) if "day" in lines.columns else entries(lines, q)
+
+
 def page(lines: DataFrame, q: HistoryQuery) -> DataFrame:
     """The newest `limit` entries that match, in ascending order: a top-k, not a full sort."""
-    top = entries(lines, q).orderBy(F.desc("ts_ns"), F.desc("rowid")).limit(page_limit(q.limit))
-    return top.orderBy("ts_ns", "rowid")
+    n = page_limit(q.limit)
+    return _enough(lines, q, n).orderBy(F.desc("ts_ns"), F.desc("rowid")).limit(n).orderBy("ts_ns", "rowid")
 
 
 def fetch(lines: DataFrame, q: HistoryQuery) -> Page:
     """A page with its cursor; one entry more is asked for to tell whether an older one matches."""
     n = page_limit(q.limit)
-    top = entries(lines, q).orderBy(F.desc("ts_ns"), F.desc("rowid")).limit(n + 1).select("ts_ns", "rowid").collect()  # n + 1 positions
-    cursor = encode_cursor(*top[n - 1]) if len(top) > n else ""
-    rows = entries(lines, q)
-    if cursor:
-        rows = rows.filter((F.col("ts_ns") > top[n - 1][0]) | ((F.col("ts_ns") == top[n - 1][0]) & (F.col("rowid") >= top[n - 1][1])))
-    return Page(rows.orderBy("ts_ns", "rowid"), cursor)
+    found = _enough(lines, q, n + 1)
+    top = found.orderBy(F.desc("ts_ns"), F.desc("rowid")).limit(n + 1).select("ts_ns", "rowid").collect()  # n + 1 positions
+    if len(top) <= n:
+        return Page(found.orderBy("ts_ns", "rowid"), "")
+    last = top[n - 1]
+    return Page(found.filter(from_place(last)).orderBy("ts_ns", "rowid"), encode_cursor(*last))
 
 
 def stored_containers(lines: DataFrame, generations: DataFrame) -> DataFrame:

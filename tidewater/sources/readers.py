@@ -14,7 +14,8 @@ def log_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stored_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG_LINES + ", day date").parquet(path).drop("day")
+    """Lines with their day, by which the files are parted: queries that bound the time prune by it."""
+    return spark.read.schema(LOG_LINES + ", day date").parquet(path)
 
 
 def follow(spark: SparkSession, path: str, schema: str = LOG_LINES, files_per_trigger: int = 100) -> DataFrame:
@@ -45,6 +46,7 @@ def env_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def settings(spark: SparkSession, path: str, schema: str, most: int) -> DataFrame:
-    """Rows of a JSON array file; a corrupt file gives none."""
+    """Rows of a JSON array file; a corrupt file gives none, and of more than `most` rows the first ones in the file's order count."""
     d = spark.read.text(path, wholetext=True)
-    return d.select(F.explode(F.from_json("value", f"array<struct<{schema}>>")).alias("x")).select("x.*").limit(most)
+    rows = F.slice(F.from_json("value", f"array<struct<{schema}>>"), 1, most)
+    return d.select(F.explode(rows).alias("x")).select("x.*")

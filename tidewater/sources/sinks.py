@@ -7,10 +7,17 @@ from tidewater.functions.format import utc_text
 from tidewater.functions.parse import sample
 
 
-def append_lines(lines: DataFrame, path: str) -> None:
+def with_day(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("day", F.to_date(utc_text(F.col("ts_ns"), "yyyy-MM-dd")))
+
+
+def arranged(lines: DataFrame) -> DataFrame:
     """By host and day, so that a query's name and time predicates prune files."""
-    day = F.to_date(utc_text(F.col("ts_ns"), "yyyy-MM-dd"))
-    lines.withColumn("day", day).repartition("host", "day").sortWithinPartitions("host", "day", "name", "ts_ns").write.mode("append").partitionBy("day").parquet(path)
+    return lines.repartition("host", "day").sortWithinPartitions("host", "day", "name", "ts_ns")
+
+
+def append_lines(lines: DataFrame, path: str) -> None:
+    arranged(with_day(lines)).write.mode("append").partitionBy("day").parquet(path)
 
 
 def ndjson(df: DataFrame, path: str) -> None:

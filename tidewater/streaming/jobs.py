@@ -5,36 +5,68 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidewater.functions.format import whole
-from tidewater.operators.alerts import FIRED, RuleWindow
-from tidewater.operators.ingest import new_lines
-from tidewater.operators.live import keep, live_match
+from tidewater.operators.alerts import FIRED, LIFECYCLE_ACTIONS, OOM_DIE_S, RuleWindow, map_events
 from tidewater.operators.fold import parse
-from tidewater.sources.readers import stored_lines
+from tidewater.operators.ingest import new_lines
+from tidewater.operators.live import DEFAULT_TAIL, keep, live_match, of_targets, tail
+from tidewater.schemas import LOG_LINES
+from tidewater.sources import store
+from tidewater.sources.readers import follow, stored_lines
+from tidewater.sources.scratch import exists
 from tidewater.sources.sinks import append_lines
 
-IDLE_MS = 24 * 3600 * 1000
+IDLE_MS, OOM_STATE_MS, MOST_COLLECT_S = 24 * 3600 * 1000, 60_000, 15.0
 
 
-def ingest(lines: DataFrame, store: str, checkpoint: str, trigger: dict | None = None):
-    """Appends lines that the store doesn't have yet. A batch that is run again after a failure adds nothing twice."""
-    def write(batch: DataFrame, _: int) -> None:
+def ingest(lines: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, caps_mb: tuple[int, int] | None = None, retain_every: int = 5):
+    """Appends lines that the store doesn't have yet. A batch that is run again after a failure adds nothing twice. With caps (MB per
+    container, MB in all), retention runs every `retain_every` batches, and the days it touches are rewritten as few files."""
+    def write(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
-        try:
-            have = stored_lines(spark, store)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            have = spark.createDataFrame([], batch.schema)
-        append_lines(new_lines(batch, have), store)
+        batch = batch.persist()
+        have = stored_lines(spark, path) if exists(spark, path) else batch.limit(0)
+        append_lines(new_lines(batch, have), path)
+        batch.unpersist()
+        if caps_mb and (k + 1) % retain_every == 0:
+            store.retain(spark, path, *caps_mb)
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "250 milliseconds"})).start()
 
 
+def hand_over(spark: SparkSession, path: str, wanted: list[tuple[str, str, str]], n: int = DEFAULT_TAIL) -> tuple[DataFrame, DataFrame]:
+    """History and live of up to MOST_TARGETS targets, without a gap or a repeat: the last n stored lines of each, and a stream of the
+    lines that come after them."""
+    keys, order = ["host", "container_id"], ["ts_ns", "rowid"]
+    seen = tail(of_targets(stored_lines(spark, path), wanted), n, keys, order).persist()
+    marks = {(r.host, r.container_id): r.last for r in seen.groupBy(*keys).agg(F.max(F.struct(*order)).alias("last")).collect()}  # a row a target
+    after = F.lit(False)
+    for host, container, _ in wanted:
+        m = marks.get((host, container))
+        here = (F.col("host") == host) & (F.col("container_id") == container)
+        after = after | (here if m is None else here & ((F.col("ts_ns") > m.ts_ns) | ((F.col("ts_ns") == m.ts_ns) & (F.col("rowid") > m.rowid))))
+    return seen, follow(spark, path, LOG_LINES + ", day date").filter(after)
+
+
+def lifecycle(raw: DataFrame) -> DataFrame:
+    """The stream of container events that users follow."""
+    return map_events(raw, LIFECYCLE_ACTIONS)
+
+
+def collected(stream: DataFrame, path: str, seconds: float = 3.0) -> DataFrame:
+    """What a stream brings within a time box (15 seconds at most)."""
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(processingTime="100 milliseconds").start()
+    try:
+        q.awaitTermination(min(seconds, MOST_COLLECT_S))
+    finally:
+        q.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def follow_parsed(lines: DataFrame, level: str = "", search: str = "") -> DataFrame:
     """A live stream's lines are parsed and filtered one by one; they are never folded."""
     return keep(parse(lines), live_match(level, search))
@@ -59,12 +91,43 @@ class AlertState(StatefulProcessor):
 
 
 def fire(matches: DataFrame) -> DataFrame:
-    """Streaming form of operators.alerts.fire; needs the RocksDB state store."""
-    rule = F.xxhash64("threshold", "window_s", "cooldown_s")
-    m = matches.withColumn("key", F.concat_ws("#", "key", rule))
+    """Streaming form of operators.alerts.fire; needs the RocksDB state store. A rule that is changed in any of its parts starts with
+    new state, others keep theirs."""
+    version = F.col("rule_version") if "rule_version" in matches.columns else F.xxhash64("threshold", "window_s", "cooldown_s")
+    m = matches.withColumn("key", F.concat_ws("#", "key", version))
     return m.groupBy("key").transformWithStateInPandas(AlertState(), FIRED, "Append", "ProcessingTime")
 
 
+class OomState(StatefulProcessor):
+    """When a container last had an oom, for OOM_STATE_MS; whether it is recent enough for a die is judged by event time."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("oom", StructType([StructField("at_s", LongType())]), OOM_STATE_MS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        d = pd.concat(list(rows))
+        d = d.assign(oom_=(d["what"] != "oom")).sort_values(["at_s", "oom_"], kind="stable").drop(columns="oom_")
+        last, out = self.last.get()[0] if self.last.exists() else None, []
+        for what, at in zip(d["what"], d["at_s"]):
+            last = max(last, int(at)) if what == "oom" and last is not None else int(at) if what == "oom" else last
+            out.append(last if last is not None and 0 <= at - last <= OOM_DIE_S else None)
+        if last is not None:
+            self.last.update((last,))
+        yield d[self.columns].assign(last_oom=pd.array(out, dtype="Int64"))
+
+    def close(self) -> None:
+        pass
+
+
+def with_last_oom(events: DataFrame) -> DataFrame:
+    """Streaming form of operators.alerts.with_last_oom."""
+    schema = StructType([*events.schema.fields, StructField("last_oom", LongType())])
+    return events.groupBy("host", "container_id").transformWithStateInPandas(OomState(events.columns), schema, "Append", "ProcessingTime")
+
+
 def line_counts(parsed: DataFrame, lateness: str = "10 minutes", width: str = "1 minute") -> DataFrame:
     """Lines per container, level and window of event time."""
     d = parsed.withColumn("at", F.timestamp_micros(whole(F.col("ts_ns"), 1000)))
