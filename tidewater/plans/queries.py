@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 from tidewater.functions import format as fmt, parse as p
 from tidewater.operators import alerts, fold as fold_, ingest, inventory, live, retention
 from tidewater.plans.history import HistoryQuery, page, stored_containers
-from tidewater.sources import adapters as a
+from tidewater.sources import adapters as a, scratch, store
 from tidewater.sources.adapters import LINES_SQL as L, table
+from tidewater.sources.readers import stored_lines
+from tidewater.sources.sinks import append_lines
 
 SINCE, UNTIL = 1704672000000000000, 1705881600000000000  # 2024-01-08 and 2024-01-22
+SCALE = 100_000
+MIDDLE = 1705276800000000000  # 2024-01-15: the scenarios below take what is older as stored already
 
 
 def _parsed(spark, d):
@@ -97,9 +101,9 @@ def purge_container(spark, d):
 
 
 def ingest_dedup(spark, d):
+    """All lines come twice; the older half is stored already."""
     lines = a.log_lines(spark, d)
-    batch = lines.filter("rowid % 3 <> 0")
-    return ingest.new_lines(batch.unionByName(batch), lines.filter("rowid % 2 = 0")).select("host", "container_id", "rowid")
+    return ingest.new_lines(lines.unionByName(lines), lines.filter(F.col("ts_ns") < MIDDLE)).select("host", "container_id", "rowid")
 
 
 def ingest_marks(spark, d):
@@ -108,7 +112,7 @@ def ingest_marks(spark, d):
 
 def resume_points(spark, d):
     g = ingest.line_facts(a.log_lines(spark, d)).withColumn("created_s", F.lit(1_700_000_000))
-    gaps = ingest.earliest_gaps(a.log_lines(spark, d).filter("rowid % 97 = 0"))
+    gaps = ingest.earliest_gaps(a.log_lines(spark, d).filter("stream = 1 AND host <> 'h0'"))  # what a host failed to take in
     return ingest.resume_points(g, gaps)
 
 
@@ -143,7 +147,7 @@ def resolve_name(spark, d):
 
 
 def cpu_deltas(spark, d):
-    return inventory.cpu_between_polls(a.cpu_samples(spark, d), most_age_s=10**9).select("event_id", F.round("cpu_percent", 6).alias("cpu_percent"))
+    return inventory.cpu_between_polls(a.cpu_samples(spark, d), most_age_s=10**9, slice_width=86_400 * SCALE).select("event_id", F.round("cpu_percent", 6).alias("cpu_percent"))
 
 
 def percentiles(spark, d):
@@ -156,16 +160,37 @@ def alert_log_matches(spark, d):
 
 
 def alert_fired(spark, d):
-    """The state machine: beyond SQL, tested against its definition."""
+    """Alerts of the state machine, whose SQL goes step by step through each key's matches."""
     r = _parsed(spark, d).withColumns({"container_name": F.col("name"), "labels": F.create_map(F.lit("com.docker.compose.project"), F.col("compose_project"))})
-    m = alerts.log_matches(a.rules(spark), r).withColumns({"match_id": F.xxhash64("rule_id", "rowid"), "at_s": fmt.whole(F.col("ts_ns"), 1_000_000_000)})
+    number = F.substring("rule_id", 2, 1).cast("bigint")
+    m = alerts.log_matches(a.rules(spark), r).withColumns({"match_id": F.col("rowid") * 10 + number, "at_s": fmt.whole(F.col("ts_ns"), 1_000_000_000)})
     reason = alerts.log_reason(F.col("threshold"), F.col("min_level"), F.col("pattern"), F.col("window_s"))
     return alerts.alerts(m, alerts.fire(m), reason)
 
 
 def alert_window(spark, d):
-    m = table(spark, d, "events").filter("event_type = 'error'").select(F.col("user_id").cast("string").alias("key"), (F.floor(a.epoch_us() / 1_000_000) * 100_000 + F.col("event_id")).alias("at_s"), F.lit(3).alias("threshold"), F.lit(4 * 86_400 * 100_000).alias("window_s"), "event_id")
-    return alerts.count_in_window(m).select("event_id", "trips")
+    """Three events of one kind and user within four days; event_id makes times distinct."""
+    m = table(spark, d, "events").select(
+        F.concat_ws("|", "user_id", "event_type").alias("key"), (F.floor(a.epoch_us() / 1_000_000) * SCALE + F.col("event_id")).alias("at_s"),
+        F.lit(3).alias("threshold"), F.lit(4 * 86_400 * SCALE).alias("window_s"), F.col("event_id").alias("match_id"), "event_id")
+    return alerts.count_in_window(m, slice_s=86_400 * SCALE).select("event_id", "trips")
+
+
+def oom_pairs(spark, d):
+    """Deaths and ooms of a user's container; a death within ten seconds after an oom has its time."""
+    e = table(spark, d, "events")
+    e = e.select("event_id", F.col("user_id").cast("string").alias("container_id"), F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"), F.when(F.col("event_type") == "error", "oom").otherwise("die").alias("what"), F.floor(F.col("event_id") / 3).alias("at_s"))
+    e = e.withColumn("container_id", F.col("host"))
+    return alerts.with_last_oom(e).select("event_id", "last_oom")
+
+
+def lifecycle_events(spark, d):
+    e = alerts.map_events(a.engine_events(spark, d), alerts.LIFECYCLE_ACTIONS)
+    return e.groupBy("host", "action", "exit_code", "health_status").agg(F.count("*").alias("n"))
+
+
+def level_values(spark, d):
+    return inventory.distinct_values(_parsed(spark, d), "level")
 
 
 def scalar_formats(spark, d):
@@ -205,8 +230,10 @@ def dropped_by_ring(spark, d):
 
 
 def upserted_generations(spark, d):
-    g = a.log_lines(spark, d).select("host", "container_id", F.when(F.col("rowid") % 2 == 0, F.col("name")).otherwise("").alias("name"), F.lit("").alias("compose_project"), F.concat(F.lit("img"), (F.col("rowid") % 7).cast("string")).alias("image"), F.col("rowid").alias("seen_ms"))
-    return ingest.upsert_generations(g.filter("seen_ms % 3 = 0"), g.filter("seen_ms % 3 <> 0"))
+    """What was seen before the middle is stored; lines of stderr name no container."""
+    g = a.log_lines(spark, d).select("host", "container_id", F.when(F.col("stream") == 0, F.col("name")).otherwise("").alias("name"), F.lit("").alias("compose_project"), F.concat(F.lit("img"), (F.col("rowid") % 7).cast("string")).alias("image"), F.col("rowid").alias("seen_ms"), "ts_ns")
+    old, new = g.filter(F.col("ts_ns") < MIDDLE).drop("ts_ns"), g.filter(F.col("ts_ns") >= MIDDLE).drop("ts_ns")
+    return ingest.upsert_generations(old, new)
 
 
 def removed_containers(spark, d):
@@ -227,10 +254,50 @@ def dashboard_page(spark, d):
     return rows.select("created", F.lit(lo).alias("first"), F.lit(hi).alias("last"), F.lit(total).alias("total"))
 
 
+def _stored(spark, d):
+    path = scratch.new_path(spark, "store")
+    append_lines(a.log_lines(spark, d), path)
+    return path
+
+
+def _counted(spark, path):
+    return stored_lines(spark, path).groupBy("host", "name").agg(F.count("*").alias("n"), F.min("rowid").alias("first_row"), F.max("rowid").alias("last_row"))
+
+
+def stored_retention(spark, d):
+    """A store's folder after its caps were applied: 20,000 bytes a container, 200,000 in all."""
+    path = _stored(spark, d)
+    store.trim(spark, path, 20_000, 200_000)
+    return _counted(spark, path)
+
+
+def stored_purge(spark, d):
+    path = _stored(spark, d)
+    n = store.purge(spark, path, "h0", "svc-1")
+    return _counted(spark, path).withColumn("purged", F.lit(n).cast("long"))
+
+
+def stored_backfill(spark, d):
+    """The store has the older half; all is read again from where each generation resumes."""
+    lines, path = a.log_lines(spark, d), scratch.new_path(spark, "store")
+    half = lines.filter(F.col("ts_ns") < MIDDLE)
+    append_lines(half, path)
+    known = ingest.line_facts(lines).select("host", "container_id").join(ingest.line_facts(half), ["host", "container_id"], "left").fillna(0).withColumn("created_s", F.lit(1_700_000_000))
+    store.backfill(spark, path, lines, known, ingest.earliest_gaps(half.limit(0)))
+    return _counted(spark, path)
+
+
+def history_stored(spark, d):
+    """A page of a stored folder, from its newest days on."""
+    path = _stored(spark, d)
+    store.compact(spark, path)
+    return page(stored_lines(spark, path), HistoryQuery("svc-1", until_ns=UNTIL, levels=["error"], limit=50)).select("ts_ns", "rowid", "host", "level", "message", "continuation_count")
+
+
 QUERIES = {f.__name__: f for f in (
     parse_levels, parse_timestamps, folded_entries, history_page, history_substring, history_regex, history_containers, tail_per_container, live_search, excluded_matches, grep,
     merged_targets, match_positions, raw_ranges, retention_each, retention_total, retention_groups, purge_container, ingest_dedup, ingest_marks, resume_points, newly_removed,
-    prune_empty, stack_summary, container_states, projects_standalone, dashboard, resolve_name, cpu_deltas, percentiles, alert_log_matches, alert_fired, alert_window,
+    prune_empty, stack_summary, container_states, projects_standalone, dashboard, resolve_name, cpu_deltas, percentiles, alert_log_matches, alert_fired, alert_window, oom_pairs, lifecycle_events, level_values, stored_retention, stored_purge, stored_backfill, history_stored,
     scalar_formats, conversation_levels, events_alertable, recent_samples, sparkline, counter_rates, dropped_by_ring, upserted_generations, removed_containers, exported_text, dashboard_page,
 )}
 
@@ -279,9 +346,9 @@ k AS (SELECT n.*, excess, coalesce(sum(n.b) OVER (PARTITION BY n.host, n.name, n
 SELECT host, name, count(*) AS n, min(rowid) AS first_row FROM k WHERE before >= excess GROUP BY host, name""",
     "retention_groups": f"SELECT host, name, CAST(sum(strlen(raw)) AS BIGINT) AS bytes, count(*) AS n_lines, min(ts_ns) AS oldest_ns FROM {L} GROUP BY host, name",
     "purge_container": f"SELECT host, name, count(*) AS n, (SELECT count(*) FROM {L} WHERE host = 'h0' AND name = 'svc-1') AS purged FROM {L} WHERE NOT (host = 'h0' AND name = 'svc-1') GROUP BY host, name",
-    "ingest_dedup": f"SELECT host, container_id, rowid FROM {L} WHERE rowid % 3 <> 0 AND rowid % 2 <> 0",
+    "ingest_dedup": f"SELECT host, container_id, rowid FROM {L} WHERE ts_ns >= {MIDDLE}",
     "ingest_marks": f"SELECT host, container_id, CAST(sum(strlen(raw)) AS BIGINT) AS stored_bytes, count(*) AS n_lines, coalesce(max(ts_ns) FILTER (stream = 0), 0) AS stdout_wm_ns, coalesce(max(ts_ns) FILTER (stream = 1), 0) AS stderr_wm_ns FROM {L} GROUP BY ALL",
-    "resume_points": f"""WITH m AS (SELECT host, container_id, max(ts_ns) FILTER (stream = 0) AS o, max(ts_ns) FILTER (stream = 1) AS e, min(ts_ns) FILTER (rowid % 97 = 0) AS gap FROM {L} GROUP BY ALL)
+    "resume_points": f"""WITH m AS (SELECT host, container_id, max(ts_ns) FILTER (stream = 0) AS o, max(ts_ns) FILTER (stream = 1) AS e, min(ts_ns) FILTER (stream = 1 AND host <> 'h0') AS gap FROM {L} GROUP BY ALL)
 SELECT host, container_id, least(least(o, e) - 2000000000, gap - 2000000000) AS since_ns FROM m""",
     "newly_removed": f"SELECT DISTINCT host, container_id FROM {L} WHERE name = 'svc-2' AND host <> 'h2' AND container_id NOT LIKE '%-g0'",
     "prune_empty": f"SELECT DISTINCT host, container_id FROM {L} WHERE NOT (name = 'svc-3' AND container_id LIKE '%-g0')",
@@ -295,7 +362,31 @@ p AS (SELECT *, lag(total) OVER w AS pt, lag(sys) OVER w AS ps, lag(at_s) OVER w
 SELECT event_id, round(CASE WHEN pa IS NOT NULL AND at_s - pa < 1000000000 AND total >= pt AND sys > ps THEN (total - pt) / (sys - ps) * 2 * 100.0 ELSE CASE WHEN total > 0 AND sys > 0 THEN total / sys * 2.0 * 100.0 ELSE 0 END END, 6) AS cpu_percent FROM p""",
     "percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max, count(value) AS n FROM events GROUP BY event_type",
     "alert_log_matches": f"SELECT rule_id, host, name AS container_name, count(*) AS n, min(rowid) AS first_row FROM ({_RULE_MATCHES}) GROUP BY ALL",
-    "alert_window": """SELECT event_id, coalesce(at_s - lag(at_s, 2) OVER (PARTITION BY user_id ORDER BY at_s) <= 34560000000, false) AS trips FROM (SELECT user_id, event_id, epoch_us(ts) // 1000000 * 100000 + event_id AS at_s FROM events WHERE event_type = 'error')""",
+    "alert_window": """SELECT event_id, coalesce(at_s - lag(at_s, 2) OVER (PARTITION BY user_id, event_type ORDER BY at_s) <= 34560000000, false) AS trips FROM (SELECT user_id, event_type, event_id, epoch_us(ts) // 1000000 * 100000 + event_id AS at_s FROM events)""",
+    # each step takes every key's next match and its state: the last times, the last alert, trips that the cooldown swallowed
+    "alert_fired": f"""WITH RECURSIVE rule(rule_id, rule_name, threshold, window_s, cooldown_s, reason) AS (VALUES ('r1', 'errors', 3, 3600, 7200, '3 matches (level >= ERROR) within 3600s'),
+ ('r2', 'slow on h0', 1, 60, 300, '1 match (pattern "slow|late") within 60s'), ('r4', 'svc-1 warnings', 2, 86400, 3600, '2 matches (level >= WARN) within 86400s')),
+m AS (SELECT rule_id, host, name, container_id, body, ts_ns // 1000000000 AS sec, row_number() OVER (PARTITION BY rule_id, host, name ORDER BY ts_ns // 1000000000, rowid) AS i FROM ({_RULE_MATCHES})),
+s AS (SELECT DISTINCT rule_id, host, name, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS times, CAST(NULL AS BIGINT) AS fired_last, 0 AS swallowed, false AS fired, 0 AS suppressed FROM m
+ UNION ALL SELECT rule_id, host, name, i, CASE WHEN fires THEN [] ELSE t END, CASE WHEN fires THEN sec ELSE fired_last END, CASE WHEN fires THEN 0 WHEN trips THEN swallowed + 1 ELSE swallowed END, fires, swallowed
+ FROM (SELECT *, trips AND (fired_last IS NULL OR sec - fired_last >= cooldown_s) AS fires FROM (SELECT *, len(t) >= threshold AND sec - t[1] <= window_s AS trips
+ FROM (SELECT s.rule_id, s.host, s.name, m.i, m.sec, list_append(s.times, m.sec)[-threshold:] AS t, s.fired_last, s.swallowed, threshold, window_s, cooldown_s FROM s JOIN m ON s.rule_id = m.rule_id AND s.host = m.host AND s.name = m.name AND m.i = s.i + 1 JOIN rule ON rule.rule_id = s.rule_id))))
+SELECT substr(sha256(rule_id || '|' || host || '|' || name || '|' || sec), 1, 8) AS id, rule_id, rule_name, 'log' AS type, host, container_id, name AS container_name, reason, body AS sample, threshold AS count, suppressed, sec AS fired_at
+FROM s JOIN m USING (rule_id, host, name, i) JOIN rule USING (rule_id) WHERE fired""",
+    "oom_pairs": """WITH e AS (SELECT event_id, 'h' || (user_id % 3) AS host, event_type = 'error' AS oom, event_id // 3 AS at FROM events)
+SELECT e.event_id, max(o.at) AS last_oom FROM e LEFT JOIN e o ON o.oom AND o.host = e.host AND o.at <= e.at AND e.at - o.at <= 10 GROUP BY e.event_id""",
+    "lifecycle_events": """WITH e AS (SELECT *, 'h' || (user_id % 3) AS host, event_id % 4 AS kind, event_id % 5 AS k5 FROM events)
+SELECT host, CASE WHEN kind = 0 THEN 'die' WHEN k5 = 2 THEN 'health_status' WHEN k5 = 3 THEN 'health_status: healthy' ELSE 'health_status: unhealthy' END AS action,
+ CASE WHEN kind = 0 AND k5 <> 1 THEN CAST(k5 AS VARCHAR) ELSE '' END AS exit_code, CASE WHEN kind = 0 OR k5 = 2 THEN '' WHEN k5 = 3 THEN 'healthy' ELSE 'unhealthy' END AS health_status, count(*) AS n FROM e WHERE kind IN (0, 2) GROUP BY ALL""",
+    "level_values": f"SELECT DISTINCT level FROM {L}",
+    "stored_retention": f"""WITH k AS (SELECT *, coalesce(sum(strlen(raw)) OVER (PARTITION BY host, name ORDER BY ts_ns, rowid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= sum(strlen(raw)) OVER (PARTITION BY host, name) - 20000 AS keep FROM {L}),
+n AS (SELECT *, (row_number() OVER (PARTITION BY host, name ORDER BY ts_ns, rowid) - 1) // 5000 AS chunk, strlen(raw) AS b FROM k WHERE keep),
+c AS (SELECT host, name, chunk, sum(b) AS b, min(ts_ns) AS t FROM n GROUP BY ALL), r AS (SELECT *, (SELECT sum(b) FROM n) - 200000 - coalesce(sum(b) OVER (ORDER BY t, host, name, chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS excess FROM c),
+x AS (SELECT n.*, excess, coalesce(sum(n.b) OVER (PARTITION BY n.host, n.name, n.chunk ORDER BY ts_ns, rowid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n JOIN r USING (host, name, chunk))
+SELECT host, name, count(*) AS n, min(rowid) AS first_row, max(rowid) AS last_row FROM x WHERE before >= excess GROUP BY host, name""",
+    "stored_purge": f"SELECT host, name, count(*) AS n, min(rowid) AS first_row, max(rowid) AS last_row, (SELECT count(*) FROM {L} WHERE host = 'h0' AND name = 'svc-1') AS purged FROM {L} WHERE NOT (host = 'h0' AND name = 'svc-1') GROUP BY host, name",
+    "stored_backfill": f"SELECT host, name, count(*) AS n, min(rowid) AS first_row, max(rowid) AS last_row FROM {L} GROUP BY host, name",
+    "history_stored": _history(f"name = 'svc-1' AND ts_ns <= {UNTIL}", "level = 'ERROR'", "ts_ns, rowid, host_ AS host, level, message, continuation_count", "name", 50),
     "scalar_formats": """WITH n AS (SELECT event_id, event_id * event_id * 37 AS n, event_id * 61 AS s FROM events)
 SELECT event_id, CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN format('{:.1f}KiB', n / 1024) WHEN n < 1073741824 THEN format('{:.1f}MiB', n / 1048576) WHEN n < 1099511627776 THEN format('{:.1f}GiB', n / 1073741824) WHEN n < 1125899906842624 THEN format('{:.1f}TiB', n / 1099511627776) ELSE format('{:.1f}PiB', n / 1125899906842624) END AS bytes,
  CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS age, (event_id % 512) * 1048576 AS memory, (event_id % 90) * 60.0::DOUBLE AS seconds,
@@ -311,8 +402,8 @@ SELECT host, id, least(count(*), 5) AS n FROM s WHERE (host, id) IN (SELECT (hos
     "sparkline": "SELECT event_id, round((value - min(value) OVER w) / greatest(max(value) OVER w - min(value) OVER w, 2.0), 6) AS level FROM events WINDOW w AS (PARTITION BY user_id, event_type)",
     "counter_rates": "SELECT event_id, (value - lag(value) OVER w) / nullif(event_id * 2 - lag(event_id * 2) OVER w, 0) AS rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
     "dropped_by_ring": f"SELECT host, name, least(count(*), 100) AS n, greatest(count(*) - 100, 0) AS dropped FROM {L} GROUP BY ALL",
-    "upserted_generations": f"""WITH g AS (SELECT host, container_id, name, rowid, rowid % 3 <> 0 AS new FROM {L})
-SELECT host, container_id, coalesce(max(name) FILTER (rowid % 2 = 0), '') AS name, '' AS compose_project, 'img' || (arg_max(rowid, (new, rowid)) % 7) AS image, min(rowid) AS first_seen_ms, max(rowid) AS last_seen_ms FROM g GROUP BY ALL""",
+    "upserted_generations": f"""WITH g AS (SELECT host, container_id, name, rowid, stream, ts_ns >= {MIDDLE} AS new FROM {L})
+SELECT host, container_id, coalesce(max(name) FILTER (stream = 0), '') AS name, '' AS compose_project, 'img' || (arg_max(rowid, (new, rowid)) % 7) AS image, min(rowid) AS first_seen_ms, max(rowid) AS last_seen_ms FROM g GROUP BY ALL""",
     "removed_containers": f"SELECT 'removed:' || name AS id, host, 'removed' AS state, 'img/' || name AS image, CAST(sum(strlen(raw)) AS BIGINT) AS stored_bytes FROM {L} WHERE name <> 'svc-1' AND NOT (host = 'h0' AND name = 'svc-0') GROUP BY host, name",
     "exported_text": f"SELECT '[' || strftime(date_trunc('millisecond', make_timestamp(ts_ns // 1000)), '%Y-%m-%dT%H:%M:%S.%g') || 'Z] [' || level || '] ' || body AS value FROM {L}",
     "dashboard_page": f"SELECT c_custkey AS created, 11 AS first, least(20, total) AS last, total FROM (SELECT c_custkey, CAST(count(*) OVER () AS INT) AS total FROM customer WHERE {_STATE} = 'running') ORDER BY c_custkey DESC LIMIT 10 OFFSET 10",
