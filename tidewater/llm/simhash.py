@@ -240,3 +240,65 @@ def brute_force(docs: list[tuple]) -> dict:
                 if (x ^ y).bit_count() <= RADIUS and comp[a] > comp[b]:
                     comp[a], changed = comp[b], True
     return {d: (f"{x:016x}", comp[d]) for d, x in fps}
+
+
+# ---- SQL: XXH64 in 128-bit integers. A rotation by r is a product with 2^r modulo 2^64 - 1 ---------------------------
+
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_SEED, _M = 42, 1 << 64
+
+
+def _big(n: int) -> str:
+    return f"CAST('{n % _M}' AS UHUGEINT)"
+
+
+def _times_sql(a: str, n: int) -> str:
+    return f"(({a}) * {_big(n)} % CAST('{_M}' AS UHUGEINT))"
+
+
+def _turned(a: str, r: int) -> str:
+    return f"(({a}) * {_big(1 << r)} % {_big(_M - 1)})"
+
+
+def _sum(*xs: str) -> str:
+    return f"(({' + '.join(xs)}) % CAST('{_M}' AS UHUGEINT))"
+
+
+def _round(v: str, lane: str) -> str:
+    return _times_sql(_turned(_sum(v, _times_sql(lane, _P2)), 31), _P1)
+
+
+def _le(at: str, n: int) -> str:
+    """n bytes of b from place `at` on, little-endian."""
+    return " + ".join(f"b[{at} + {i + 1}] * {_big(1 << 8 * i)}" for i in range(n))
+
+
+def _sql() -> str:
+    start = [_SEED + _P1 + _P2, _SEED + _P2, _SEED, _SEED - _P1]
+    v = ", ".join(f"list_reduce(list_transform(range(0, n // 32), lambda k: lanes[4 * k + {i + 1}]), lambda v, x: {_round('v', 'x')}, {_big(s)}) AS v{i}" for i, s in enumerate(start))
+    joined = _sum(*[_turned(f"v{i}", r) for i, r in enumerate((1, 7, 12, 18))])
+    merged = f"list_reduce([v0, v1, v2, v3], lambda h, v: {_sum(_times_sql(f'xor(h, {_round(_big(0), chr(118))})', _P1), _big(_P4))}, {joined})"
+    lanes = f"list_reduce(lanes[4 * (n // 32) + 1:], lambda h, x: {_sum(_times_sql(_turned(f'xor(h, {_round(_big(0), chr(120))})', 27), _P1), _big(_P4))}, h)"
+    four = f"CASE WHEN n % 8 >= 4 THEN {_sum(_times_sql(_turned(f'xor(h, {_times_sql(_le(chr(110) + ' // 8 * 8', 4), _P1)})', 23), _P2), _big(_P3))} ELSE h END"
+    last = f"list_reduce(b[n // 4 * 4 + 1:], lambda h, x: {_times_sql(_turned(f'xor(h, {_times_sql(chr(120), _P5)})', 11), _P1)}, h)"
+    shifted = lambda r: f"xor(h, h // {_big(1 << r)})"
+    bits = " + ".join(f"CASE WHEN 2 * sum(h >> {j} & 1) > count(h) THEN CAST('{1 << j}' AS UHUGEINT) ELSE 0 END" for j in range(64))
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{up}', '{low}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w[j:j + {SHINGLE - 1}], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS j FROM d WHERE len(w) > 0)),
+x0 AS (SELECT t, strlen(t) AS n, list_transform(regexp_extract_all(hex(t), '..'), lambda x: CAST(CAST('0x' || x AS INT) AS UHUGEINT)) AS b FROM (SELECT DISTINCT t FROM s)),
+x1 AS (SELECT t, n, b, list_transform(range(0, n // 8), lambda k: {_le('8 * k', 8)}) AS lanes FROM x0),
+x2 AS (SELECT *, {v} FROM x1),
+x3 AS (SELECT t, n, b, lanes, {_sum(f"CASE WHEN n >= 32 THEN {merged} ELSE {_big(_SEED + _P5)} END", "CAST(n AS UHUGEINT)")} AS h FROM x2),
+x4 AS (SELECT t, n, b, {lanes} AS h FROM x3), x5 AS (SELECT t, n, b, {four} AS h FROM x4), x6 AS (SELECT t, {last} AS h FROM x5),
+x7 AS (SELECT t, {_times_sql(shifted(33), _P2)} AS h FROM x6), x8 AS (SELECT t, {_times_sql(shifted(29), _P3)} AS h FROM x7), x AS (SELECT t, CAST({shifted(32)} AS UBIGINT) AS h FROM x8),
+f AS (SELECT doc_id, CAST({bits} AS UBIGINT) AS fp FROM d LEFT JOIN s USING (doc_id) LEFT JOIN x USING (t) GROUP BY doc_id),
+n AS (SELECT fp, min(doc_id) AS least FROM f GROUP BY fp), l AS (SELECT a.fp AS a, b.fp AS b FROM n a JOIN n b ON bit_count(xor(a.fp, b.fp)) <= {RADIUS}),
+r AS (SELECT fp AS a, fp AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT r.a AS fp, min(n.least) AS component_id FROM r JOIN n ON r.b = n.fp GROUP BY r.a)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM f JOIN c USING (fp)
+"""
+
+
+#: For doc_ids that don't repeat.
+SQL = _sql()
