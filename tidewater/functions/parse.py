@@ -110,9 +110,10 @@ def explicit_level(message: Column) -> Column:
 def detect_level(message: Column) -> Column:
     """message should be a plain column, as it is looked at many times."""
     keyword = F.lit("UNKNOWN")
+    some = message.rlike("(?i)" + "|".join(words for _, words in KEYWORDS))  # most lines have none of them
     for level, words in reversed(KEYWORDS):
         keyword = F.when(message.rlike(rf"(?i)(?<![0-9A-Za-z_])(?:{words})(?![0-9A-Za-z_])"), level).otherwise(keyword)
-    return F.coalesce(explicit_level(message), keyword)
+    return F.coalesce(explicit_level(message), F.when(some, keyword), F.lit("UNKNOWN"))
 
 
 def structured_field(message: Column) -> tuple[Column, Column]:

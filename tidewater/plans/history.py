@@ -102,8 +102,8 @@ def entries(lines: DataFrame, q: HistoryQuery, slice_ns: int = DAY_NS) -> DataFr
 def newest_days(lines: DataFrame, q: HistoryQuery, want: int, slice_ns: int = DAY_NS) -> DataFrame:
     """Of lines stored by day: entries that hold the newest `want` matches, from as few of the newest days as it takes.
 
-    Days are added, twice as many each time, until enough matches lie after the first head that is a head by itself: entries from
-    there on are the same whatever lies before.
+    Days are added, as many as the matches so far suggest, until enough lie after the first head that is a head by itself: entries
+    from there on are the same whatever lies before.
     """
     days = [r.day for r in on_days(lines, q.since_ns, q.until_ns).select("day").distinct().orderBy(F.desc("day")).collect()]  # partition values
     k = 1
@@ -113,13 +113,14 @@ def newest_days(lines: DataFrame, q: HistoryQuery, want: int, slice_ns: int = DA
         if k >= len(days):
             return all_.filter(matches(q))
         all_ = all_.persist()
+        n = 0
         sure = all_.filter("plain_head").agg(F.min(F.struct("ts_ns", "rowid")).alias("s")).first().s
         if sure is not None:
             found = all_.filter(from_place(sure)).filter(matches(q))
-            if found.limit(want).count() == want:
+            if (n := found.limit(want).count()) == want:
                 return found
         all_.unpersist()
-        k *= 2
+        k *= min(8, max(2, -(-5 * want // (4 * max(n, 1)))))
 
 
 def _enough(lines: DataFrame, q: HistoryQuery, want: int) -> DataFrame:
