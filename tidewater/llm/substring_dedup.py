@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import inside, is_not_space, materialize, ngram_hashes, row_slices, small_batches, split_words
 
 WINDOW, BLOCK = 20, 10
-CHUNK_BYTES = 3 << 20
-#: Chunks whose hashes one bucket takes on average: a chunk has about half a million probes, so a bucket has some 4 million.
+CHUNK_BYTES = 2 << 20
+#: Chunks whose hashes one bucket takes on average: a chunk has about a third of a million probes, so a bucket has under 3 million.
 #: Each chunk sends every bucket one row; larger buckets keep these rows long.
 CHUNKS_PER_BUCKET = 8
 LEAST_BUCKETS = 16
