@@ -74,6 +74,18 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert (p.lang == p.lang_pred).mean() > 0.97
 
 
+def test_long_texts_are_counted_by_parts(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abÉ  \n,.'ßΣ1") for _ in range(n)) for n in (0, 1, 50, 700)] + ["word" * 100, " " * 90]
+    whole = [language_id.counts_of(t) for t in texts]
+    monkeypatch.setattr(language_id, "PIECE", 7)
+    for t, (k, n) in zip(texts, whole):
+        parts = list(language_id.pieces(t))
+        assert "".join(parts) == t and all(parts)
+        got = language_id.counts_of(t)
+        assert got[0].tolist() == k.tolist() and got[1].tolist() == n.tolist()
+
+
 def test_out_of_place_distance_by_definition():
     profiles = {"x": language_id.top(language_id.grams("abc abd abe")), "y": language_id.top(language_id.grams("xyz xyw"))}
     own = language_id.top(language_id.grams("abc"))

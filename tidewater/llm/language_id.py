@@ -22,7 +22,7 @@ from .shared import crc32_sql, row_slices, sheltered, small_batches
 ORDER, PROFILE, HELD_OUT = 3, 400, 2
 #: Languages that a model may have: bounds what is sent to the executors, PROFILE * MOST_LANGUAGES rows.
 MOST_LANGUAGES = 2_000
-MOST_HELD = 500_000
+MOST_HELD, PIECE = 500_000, 1 << 20
 _LETTER: list[np.ndarray] = []
 
 
@@ -59,19 +59,51 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def top(keys: np.ndarray, n: int = PROFILE) -> np.ndarray:
     """The n most frequent, most frequent first; ties by key."""
-    k, c = counted(keys)
+    return most_frequent(*counted(keys), n)
+
+
+def most_frequent(k: np.ndarray, c: np.ndarray, n: int = PROFILE) -> np.ndarray:
     if len(k) > 4 * n:  # all that can be among the first n
         some = c >= np.partition(c, len(c) - n)[len(c) - n]
         k, c = k[some], c[some]
     return k[np.argsort(-c, kind="stable")[:n]]
 
 
+def pieces(text: str):
+    """A text in parts of about PIECE characters that end at a blank or a line's end, where no n-gram of letters goes on."""
+    pos = 0
+    while pos < len(text):
+        stop = pos + PIECE
+        if stop < len(text):
+            cut = max(text.rfind(" ", pos + 1, stop), text.rfind("\n", pos + 1, stop))
+            if cut < 0:
+                after = [x for x in (text.find(" ", stop), text.find("\n", stop)) if x >= 0]
+                cut = min(after) if after else len(text)
+            stop = cut
+        yield text[pos:stop]
+        pos = stop
+
+
+def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams and their counts, by parts: a very long text's n-grams are never held all at once."""
+    out = None
+    for part in pieces(text):
+        c = counted(grams(part))
+        out = c if out is None else _merged(out, c)
+    return counted(grams("")) if out is None else out
+
+
 def _merged(a: tuple, b: tuple) -> tuple:
     """Sums of two sorted count tables."""
     keys, at = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
     return keys, np.bincount(at, weights=np.concatenate((a[1], b[1])), minlength=len(keys)).astype(np.int64)
 
 
+def _added(by: dict, lang, parts: list[np.ndarray]) -> tuple:
+    c = counted(np.concatenate(parts))
+    return _merged(by[lang], c) if lang in by else c
+
+
 def _rows(by: dict):
     for lang, (k, n) in by.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
@@ -84,10 +116,12 @@ def _count(batches):
         for b in row_slices(whole, "text", 1 << 20):
             new: dict[str, list] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                new.setdefault(lang, []).append(grams(text))
+                for part in pieces(text):
+                    new.setdefault(lang, []).append(grams(part))
+                    if len(part) < len(text):  # of a long text, a part at a time
+                        by[lang] = _added(by, lang, new.pop(lang))
             for lang, parts in new.items():
-                c = counted(np.concatenate(parts))
-                by[lang] = _merged(by[lang], c) if lang in by else c
+                by[lang] = _added(by, lang, parts)
             if sum(len(k) for k, _ in by.values()) > MOST_HELD:
                 yield from _rows(by)
                 by = {}
@@ -121,7 +155,7 @@ class Model:
             self.rank[i, np.searchsorted(self.keys, profiles[x])] = np.arange(len(profiles[x]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        own = top(grams(text)) if text else self.keys[:0]
+        own = most_frequent(*counts_of(text)) if text else self.keys[:0]
         if not len(own) or not len(self.keys):
             return "und", 0.0
         at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
