@@ -36,10 +36,16 @@ def corpus():
 
 def test_simhash_equals_brute_force(spark, corpus, monkeypatch):
     want = simhash.brute_force(corpus)
-    for tile in (2048, 4):
+    for tile, blocks in ((2048, 6), (4, 6), (2048, 7), (16, 8)):
         monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(simhash, "MOST_BLOCKS", blocks)
+        monkeypatch.setattr(simhash, "BUCKET", 64 if blocks == 6 else 0)
+        assert len(simhash.blocks_for(len(corpus))) == blocks
         got = {r.doc_id: (f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in simhash.near_duplicates(docs(spark, corpus)).collect()}
         assert got == want
+    monkeypatch.undo()
+    assert [(b, w) for b, w in simhash.blocks_for(10**6)] == [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+    assert len(simhash.blocks_for(10**10)) == 8 and all(sum(w for _, w in simhash.blocks_for(n)) == 64 for n in (1, 10**9, 10**11))
     kept = simhash.keep_first(docs(spark, corpus))
     assert kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
     assert {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}

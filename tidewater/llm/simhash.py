@@ -1,7 +1,8 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
-Equal fingerprints are one node. Fingerprints are put in buckets by every pair of six bit blocks: those that differ in four bits or
-fewer agree in two blocks at least, so no link is lost. Within a bucket the 64 bit planes are stored vertically, 64 fingerprints to
+Equal fingerprints are one node. Their bits are cut into six, seven or eight blocks, the more the more fingerprints there are, and
+fingerprints are put in buckets by every choice of all but four blocks: those that differ in four bits or fewer agree in one such
+choice at least, so no link is lost whatever the number. Within a bucket the 64 bit planes are stored vertically, 64 fingerprints to
 a word; differences to all of them are counted at once by carry-save counters, and words whose lanes all exceed the radius are
 abandoned. Buckets over TILE members are compared in tiles, pair of blocks by pair of blocks; of each tile only a spanning forest
 leaves, never all pairs.
@@ -22,8 +23,8 @@ from .components import connected_components
 from .shared import materialize, row_slices, sheltered, small_batches
 
 SHINGLE, RADIUS, TILE = 4, 4, 2048
-BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
-AGREE = len(BLOCKS) - RADIUS
+#: Blocks become smaller, and keys of more bits, where a bucket would hold over so many fingerprints on average.
+BUCKET, MOST_BLOCKS = 64, 8
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 ENTRIES = 1 << 19
 
@@ -170,13 +171,22 @@ def _compare(batches):
         yield out
 
 
-def _keys(fp="fp"):
-    """One struct per pair of blocks: which pair, and the two blocks' bits."""
+def blocks_for(n: int) -> list[tuple[int, int]]:
+    """First bit and width of each block, for n fingerprints."""
+    b = RADIUS + 2
+    while b < MOST_BLOCKS and n > BUCKET << (64 * (b - RADIUS) // b):
+        b += 1
+    widths = [64 // b + (i < 64 % b) for i in range(b)]
+    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+
+
+def _keys(blocks: list[tuple[int, int]], fp="fp"):
+    """One key per choice of blocks: which choice, and the blocks' bits."""
     part = lambda b: F.shiftrightunsigned(F.shiftleft(F.col(fp), 64 - b[0] - b[1]), 64 - b[1])
     out = []
-    for k, pair in enumerate(combinations(BLOCKS, AGREE)):
+    for k, choice in enumerate(combinations(blocks, len(blocks) - RADIUS)):
         key = F.lit(k).cast("long")
-        for b in pair:
+        for b in choice:
             key = F.shiftleft(key, b[1]).bitwiseOR(part(b))
         out.append(key)
     return F.array(*out)
@@ -184,7 +194,7 @@ def _keys(fp="fp"):
 
 def link_edges(prints: DataFrame) -> DataFrame:
     """prints: distinct fp. Edges (src, dst) whose components are those of all links."""
-    rows = prints.select("fp", F.explode(_keys()).alias("key"))
+    rows = prints.select("fp", F.explode(_keys(blocks_for(prints.count()))).alias("key"))
     heavy = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select(F.col("key").alias("key_"), F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
     rows = rows.join(heavy, F.col("key") == F.col("key_"), "left").drop("key_")
     side = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
