@@ -67,12 +67,14 @@ def from_place(at) -> Column:
     return (F.col("ts_ns") > at.ts_ns) | ((F.col("ts_ns") == at.ts_ns) & (F.col("rowid") >= at.rowid))
 
 
+def _until(q: HistoryQuery) -> int | None:
+    """The newest time that the page can hold."""
+    return min((x for x in (q.until_ns, decode_cursor(q.cursor)[0] if q.cursor else None) if x is not None), default=None)
+
+
 def scan(lines: DataFrame, q: HistoryQuery) -> DataFrame:
     """Name, host, time and cursor reach the scan (and its days); level and search must not, for they hold on folded entries."""
-    until = q.until_ns
-    if q.cursor:
-        until = min(x for x in (until, decode_cursor(q.cursor)[0]) if x is not None)
-    d = on_days(lines, q.since_ns, until).filter(F.col("name") == q.name)
+    d = on_days(lines, q.since_ns, _until(q)).filter(F.col("name") == q.name)
     if q.host:
         d = d.filter(F.col("host") == q.host)
     if q.since_ns is not None:
@@ -105,7 +107,7 @@ def newest_days(lines: DataFrame, q: HistoryQuery, want: int, slice_ns: int = DA
     Days are added, as many as the matches so far suggest, until enough lie after the first head that is a head by itself: entries
     from there on are the same whatever lies before.
     """
-    days = [r.day for r in on_days(lines, q.since_ns, q.until_ns).select("day").distinct().orderBy(F.desc("day")).collect()]  # partition values
+    days = [r.day for r in on_days(lines, q.since_ns, _until(q)).select("day").distinct().orderBy(F.desc("day")).collect()]  # partition values
     k = 1
     while True:
         part = lines if k >= len(days) else lines.filter(F.col("day") >= F.lit(days[k - 1]))
@@ -117,9 +119,10 @@ def newest_days(lines: DataFrame, q: HistoryQuery, want: int, slice_ns: int = DA
         sure = all_.filter("plain_head").agg(F.min(F.struct("ts_ns", "rowid")).alias("s")).first().s
         if sure is not None:
             found = all_.filter(from_place(sure)).filter(matches(q))
-            if (n := found.limit(want).count()) == want:
-                return found
+            n = found.limit(want).count()
         all_.unpersist()
+        if n == want:
+            return found
         k *= min(8, max(2, -(-5 * want // (4 * max(n, 1)))))
 
 
