@@ -72,7 +72,8 @@ def human_bytes(n: Column) -> Column:
 def human_age(seconds: Column) -> Column:
     s = seconds.cast("bigint")
     whole = lambda k: F.floor(s / k).cast("string")
-    age = F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.concat(whole(60), F.lit("m"))).when(s < 86400, F.concat(whole(3600), F.lit("h"))).otherwise(F.concat(whole(86400), F.lit("d")))
+    age = F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.concat(whole(60), F.lit("m"))).when(s < 86400,
+        F.concat(whole(3600), F.lit("h"))).otherwise(F.concat(whole(86400), F.lit("d")))
     return F.when(seconds.isNull(), "-").otherwise(F.concat(age, F.lit(" ago")))
 
 
@@ -94,7 +95,8 @@ def compose_project(labels: Column) -> Column:
 
 
 def in_project(labels: Column, project: Column) -> Column:
-    return F.coalesce(F.try_element_at(labels, F.lit(PROJECT_LABELS[0])) == project, F.lit(False)) | F.coalesce(F.try_element_at(labels, F.lit(PROJECT_LABELS[1])) == project, F.lit(False))
+    return F.coalesce(F.try_element_at(labels, F.lit(PROJECT_LABELS[0])) == project,
+        F.lit(False)) | F.coalesce(F.try_element_at(labels, F.lit(PROJECT_LABELS[1])) == project, F.lit(False))
 
 
 def cpu_percent(total: Column, pre_total: Column, system: Column, pre_system: Column, online: Column, per_cpu: Column) -> Column:

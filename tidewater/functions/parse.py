@@ -145,15 +145,18 @@ def with_timestamp(df: DataFrame, raw: str = "raw") -> DataFrame:
     Each step is a column of its own: later steps look at it several times, and Spark keeps such columns apart.
     """
     df = df.withColumn("t_", trim(F.col(raw)))
-    df = df.withColumn("stamp_", F.regexp_extract("t_", _STAMP, 2)).withColumn("bare_", F.regexp_replace(F.regexp_replace("stamp_", r"(:\d\d)[.,]\d+", "$1"), r"([T :])(\d):(\d\d:)", "$10$2:$3"))
+    df = df.withColumn("stamp_", F.regexp_extract("t_", _STAMP, 2)).withColumn("bare_",
+        F.regexp_replace(F.regexp_replace("stamp_", r"(:\d\d)[.,]\d+", "$1"), r"([T :])(\d):(\d\d:)", "$10$2:$3"))
     stamp, bare = F.col("stamp_"), F.col("bare_")
     fraction = F.rpad(F.regexp_extract(stamp, r":\d\d[.,](\d+)", 1), 9, "0").cast("bigint")
     zone = F.regexp_extract(bare, r"([+-]\d\d:?\d\d)(?: \d{4})?\z", 1)
     day = F.regexp_extract(bare, r"^[A-Z][a-z]{2} [A-Z][a-z]{2} ( \d|\d\d?) ", 1)
-    named = F.concat_ws(" ", F.regexp_extract(bare, r"^[A-Z][a-z]{2} ([A-Z][a-z]{2}) ", 1), F.lpad(F.trim(day), 2, "0"), F.regexp_extract(bare, r"(\d\d:\d\d:\d\d)", 1), F.regexp_extract(bare, r"(\d{4})\z", 1))
+    named = F.concat_ws(" ", F.regexp_extract(bare, r"^[A-Z][a-z]{2} ([A-Z][a-z]{2}) ", 1), F.lpad(F.trim(day), 2, "0"),
+        F.regexp_extract(bare, r"(\d\d:\d\d:\d\d)", 1), F.regexp_extract(bare, r"(\d{4})\z", 1))
     plain = F.translate(F.substring(bare, 1, 19), "T/", " -")
     at = lambda text, layout: F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit(layout + "X"))
-    seconds = F.unix_seconds(F.when(bare.rlike(r"^\d{4}"), at(plain, "yyyy-MM-dd HH:mm:ss")).when(bare.rlike(r"^\d\d/"), at(F.substring(bare, 1, 20), "dd/MMM/yyyy:HH:mm:ss")).when(bare.rlike("^[A-Z]"), at(named, "MMM dd HH:mm:ss yyyy")))
+    seconds = F.unix_seconds(F.when(bare.rlike(r"^\d{4}"), at(plain, "yyyy-MM-dd HH:mm:ss")).when(bare.rlike(r"^\d\d/"),
+        at(F.substring(bare, 1, 20), "dd/MMM/yyyy:HH:mm:ss")).when(bare.rlike("^[A-Z]"), at(named, "MMM dd HH:mm:ss yyyy")))
     df = df.withColumns({"zone_": zone, "seconds_": seconds, "fraction_": F.when(stamp.rlike(r":\d\d[.,]\d"), fraction).otherwise(0)})
     z = F.col("zone_")
     offset = F.when(z != "", (F.substring(z, 2, 2).cast("int") * 3600 + F.substring(z, -2, 2).cast("int") * 60) * F.when(z.startswith("-"), -1).otherwise(1)).otherwise(0)

@@ -87,7 +87,8 @@ def map_events(raw: DataFrame, actions: list[str] = EVENT_ACTIONS) -> DataFrame:
         "host", F.col("id").alias("container_id"), F.coalesce(attr("name"), F.lit("")).alias("container_name"), "action", base.alias("base"),
         F.when(base == "die", F.coalesce(attr("exitCode"), F.lit(""))).otherwise("").alias("exit_code"),
         F.when(base == "health_status", F.split_part("action", F.lit(": "), F.lit(2))).otherwise("").alias("health_status"),
-        F.col("attributes").alias("labels"), F.when((F.col("time_s") == 0) & (F.col("time_ns") > 0), whole(F.col("time_ns"), 1_000_000_000)).otherwise(F.col("time_s")).alias("at_s"),
+        F.col("attributes").alias("labels"),
+            F.when((F.col("time_s") == 0) & (F.col("time_ns") > 0), whole(F.col("time_ns"), 1_000_000_000)).otherwise(F.col("time_s")).alias("at_s"),
     )
 
 
@@ -112,7 +113,8 @@ def with_last_oom(events: DataFrame) -> DataFrame:
     ooms = ooms.groupBy("host_", "container_", "run_").agg(F.array_sort(F.collect_set("oom_")).alias("ooms_"))  # OOM_DIE_S times at most
     ooms = ooms.select("host_", "container_", F.explode(F.array(F.col("run_"), F.col("run_") + 1)).alias("run_"), "ooms_")
     ooms = ooms.groupBy("host_", "container_", "run_").agg(F.flatten(F.collect_list("ooms_")).alias("ooms_"))
-    d = events.withColumn("run_own_", own).join(ooms, (F.col("host") == F.col("host_")) & (F.col("container_id") == F.col("container_")) & (F.col("run_own_") == F.col("run_")), "left")
+    d = events.withColumn("run_own_", own).join(ooms,
+        (F.col("host") == F.col("host_")) & (F.col("container_id") == F.col("container_")) & (F.col("run_own_") == F.col("run_")), "left")
     before = F.filter("ooms_", lambda t: (t <= F.col("at_s")) & (F.col("at_s") - t <= OOM_DIE_S))
     return d.withColumn("last_oom", F.array_max(before)).drop("run_own_", "host_", "container_", "run_", "ooms_")
 
@@ -123,7 +125,8 @@ def event_matches(rules: DataFrame, events: DataFrame) -> DataFrame:
     d = events if "last_oom" in events.columns else with_last_oom(events)
     d = d.withColumn("container_name", F.regexp_replace("container_name", "^/", ""))
     r = compiled(rules, "event").withColumnsRenamed({"id": "rule_id", "name": "rule_name", "events": "watched"})
-    on = F.array_contains("watched", F.col("what")) & target_matches(F.col("hosts"), F.col("containers"), F.col("projects"), F.col("host"), F.col("container_name"), F.col("labels"))
+    on = F.array_contains("watched", F.col("what")) & target_matches(F.col("hosts"), F.col("containers"), F.col("projects"), F.col("host"),
+        F.col("container_name"), F.col("labels"))
     d = d.join(F.broadcast(r), on)
     pair = (F.col("what") == "die") & F.array_contains("watched", F.lit("oom")) & F.col("last_oom").isNotNull()
     return d.filter(~pair).withColumn("key", F.concat_ws("|", "rule_id", "host", "container_name"))
@@ -190,9 +193,12 @@ def log_reason(threshold: Column, min_level: Column, pattern: Column, window_s:
 
 def event_reason(threshold: Column, what: Column, exit_code: Column, window_s: Column) -> Column:
     within = F.concat(F.lit(" within "), window_s.cast("string"), F.lit("s"))
-    one = F.when(what == "oom", "container OOM-killed").when(what == "unhealthy", "container became unhealthy").otherwise(F.concat(F.lit("container died (exit "), exit_code, F.lit(")")))
+    one = F.when(what == "oom", "container OOM-killed").when(what == "unhealthy",
+        "container became unhealthy").otherwise(F.concat(F.lit("container died (exit "), exit_code, F.lit(")")))
     n = threshold.cast("string")
-    many = F.when(what == "oom", F.concat(n, F.lit(" OOM kills"), within)).when(what == "unhealthy", F.concat(n, F.lit(" unhealthy transitions"), within)).otherwise(F.concat(n, F.lit(" container deaths"), within, F.lit(" (last exit "), exit_code, F.lit(")")))
+    many = F.when(what == "oom", F.concat(n, F.lit(" OOM kills"), within)).when(what == "unhealthy",
+        F.concat(n, F.lit(" unhealthy transitions"), within)).otherwise(F.concat(n, F.lit(" container deaths"), within, F.lit(" (last exit "),
+        exit_code, F.lit(")")))
     return F.when(threshold <= 1, one).otherwise(many)
 
 
@@ -200,7 +206,8 @@ def alerts(matches: DataFrame, fired: DataFrame, reason: Column) -> DataFrame:
     """Alert rows. The count is the rule's threshold, as the window is reset when it fires."""
     f = fired.select("match_id", "suppressed")
     d = matches.join(f, "match_id")
-    return d.select(stable_id(F.col("key"), F.col("at_s")).alias("id"), "rule_id", "rule_name", "type", "host", "container_id", "container_name", reason.alias("reason"), "sample", F.col("threshold").alias("count"), "suppressed", F.col("at_s").alias("fired_at"))
+    return d.select(stable_id(F.col("key"), F.col("at_s")).alias("id"), "rule_id", "rule_name", "type", "host", "container_id", "container_name",
+        reason.alias("reason"), "sample", F.col("threshold").alias("count"), "suppressed", F.col("at_s").alias("fired_at"))
 
 
 def append_history(alert_rows: DataFrame, path: str, batch: int) -> None:
@@ -214,4 +221,6 @@ def history(alert_rows: DataFrame, limit: int = 100) -> DataFrame:
 
 def deliveries(results: DataFrame) -> DataFrame:
     """Per alert: fine only if no channel failed; the failures' texts."""
-    return results.groupBy("alert_id").agg((F.count_if(F.col("error").isNotNull()) == 0).alias("ok"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("position", "error")))), lambda x: x["error"]), "; ").alias("errors"))
+    return results.groupBy("alert_id").agg((F.count_if(F.col("error").isNotNull()) == 0).alias("ok"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("position", "error")))),
+        lambda x: x["error"]), "; ").alias("errors"))

@@ -32,9 +32,12 @@ def requests(alerts: DataFrame, channels: DataFrame) -> DataFrame:
         .when(k == "telegram", F.to_json(F.struct(F.col("target").alias("chat_id"), t.alias("text")))).otherwise(t)
     )
     json = F.create_map(F.lit("Content-Type"), F.lit("application/json"))
-    headers = F.when(k == "ntfy", F.create_map(*[F.lit(x) for x in ("Title", TITLE, "Priority", "high", "Tags", "warning")])).when(k == "gotify", F.map_concat(json, F.create_map(F.lit("X-Gotify-Key"), F.col("token")))).otherwise(json)
-    url = F.when(k == "gotify", F.concat(F.regexp_replace("url", "/+$", ""), F.lit("/message"))).when(k == "telegram", F.concat(F.lit("https://api.telegram.org/bot"), F.col("token"), F.lit("/sendMessage"))).otherwise(F.col("url"))
-    return d.select(F.col("id").alias("alert_id"), "channel_id", "channel", url.alias("url"), headers.alias("headers"), body.alias("body"), F.when(k == "telegram", F.col("token")).otherwise("").alias("secret"))
+    headers = F.when(k == "ntfy", F.create_map(*[F.lit(x) for x in ("Title", TITLE, "Priority", "high", "Tags", "warning")])).when(k == "gotify",
+        F.map_concat(json, F.create_map(F.lit("X-Gotify-Key"), F.col("token")))).otherwise(json)
+    url = F.when(k == "gotify", F.concat(F.regexp_replace("url", "/+$", ""), F.lit("/message"))).when(k == "telegram",
+        F.concat(F.lit("https://api.telegram.org/bot"), F.col("token"), F.lit("/sendMessage"))).otherwise(F.col("url"))
+    return d.select(F.col("id").alias("alert_id"), "channel_id", "channel", url.alias("url"), headers.alias("headers"), body.alias("body"),
+        F.when(k == "telegram", F.col("token")).otherwise("").alias("secret"))
 
 
 def outcomes(attempts: DataFrame) -> DataFrame:
@@ -43,7 +46,8 @@ def outcomes(attempts: DataFrame) -> DataFrame:
     last = attempts.groupBy("alert_id", "channel_id").agg(*[F.max_by(c, "attempt").alias(c) for c in ("http_status", "error", "secret")], F.max("attempt").alias("attempts"))
     ok = F.coalesce(F.col("http_status").between(200, 299), F.lit(False))
     clean = F.when(F.col("secret") != "", F.replace("error", "secret", F.lit("***"))).otherwise(F.col("error"))
-    return last.select("alert_id", "channel_id", "attempts", F.when(ok, "ok").otherwise("failed").alias("status"), "http_status", F.when(~ok, F.coalesce(clean, F.concat(F.lit("channel returned "), F.col("http_status").cast("string")))).alias("error"))
+    return last.select("alert_id", "channel_id", "attempts", F.when(ok, "ok").otherwise("failed").alias("status"), "http_status",
+        F.when(~ok, F.coalesce(clean, F.concat(F.lit("channel returned "), F.col("http_status").cast("string")))).alias("error"))
 
 
 def retryable(attempts: DataFrame) -> DataFrame:

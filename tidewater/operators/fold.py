@@ -34,7 +34,8 @@ def _edges(d: DataFrame, keys: list[str]) -> DataFrame:
     order = F.struct("ts_ns", "rowid")
     stack = F.col("stack_") & ~F.col("field_")
     per = d.groupBy(*keys, "slice_").agg(
-        F.max_by(F.struct("container_id", "blank_"), order).alias("last_"), F.min_by(F.struct("container_id", "local_", "level"), order).alias("first_"), F.min(order).alias("first_at_"),
+        F.max_by(F.struct("container_id", "blank_"), order).alias("last_"),
+            F.min_by(F.struct("container_id", "local_", "level"), order).alias("first_"), F.min(order).alias("first_at_"),
         F.max_by("level", F.when(F.col("local_"), order)).alias("level_"),
         F.max(F.when(F.col("local_") | (stack & F.col("anchor_").isNotNull() & ~F.col("anchor_").isin(PROBLEM)), order)).alias("head_"),
         F.max(F.when(stack & F.col("anchor_").isNull(), order)).alias("prefix_"),
@@ -79,7 +80,8 @@ def fold(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS) -> Da
     """One row per entry: messages and raws joined by newlines, fields of the continuation lines (the last of a key wins)."""
     d = mark_heads(parsed, keys, slice_ns)
     key, value = structured_field(F.col("message"))
-    part = F.struct("ts_ns", "rowid", F.when(F.col("is_head"), F.col("message")).otherwise(trim(F.col("message"))).alias("m"), "raw", F.when(~F.col("is_head"), key).alias("k"), value.alias("v"))
+    part = F.struct("ts_ns", "rowid", F.when(F.col("is_head"), F.col("message")).otherwise(trim(F.col("message"))).alias("m"), "raw",
+        F.when(~F.col("is_head"), key).alias("k"), value.alias("v"))
     first = lambda c: F.min_by(c, F.struct("ts_ns", "rowid")).alias(c)
     extra = [c for c in ("host", "name", "container_id", "stream") if c in parsed.columns and c not in keys]
     g = d.groupBy(*keys, "anchor").agg(F.array_sort(F.collect_list(part)).alias("parts"), *[first(c) for c in ("level", "severity", "plain_head", *extra)])

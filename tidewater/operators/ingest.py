@@ -31,14 +31,16 @@ def new_lines(batch: DataFrame, stored: DataFrame) -> DataFrame:
 def line_facts(lines: DataFrame) -> DataFrame:
     """Per generation: bytes, lines, and the highest time of each stream (0: none)."""
     mark = lambda s: F.coalesce(F.max(F.when(F.col("stream") == s, F.col("ts_ns"))), F.lit(0))
-    return lines.groupBy("host", "container_id").agg(F.sum(F.octet_length("raw")).alias("stored_bytes"), F.count("*").alias("n_lines"), mark(0).alias("stdout_wm_ns"), mark(1).alias("stderr_wm_ns"))
+    return lines.groupBy("host", "container_id").agg(F.sum(F.octet_length("raw")).alias("stored_bytes"), F.count("*").alias("n_lines"),
+        mark(0).alias("stdout_wm_ns"), mark(1).alias("stderr_wm_ns"))
 
 
 def upsert_generations(stored: DataFrame, seen: DataFrame) -> DataFrame:
     """stored and seen: host, container_id, name, compose_project, image, seen_ms. An empty value never replaces one."""
     both = stored.withColumn("new_", F.lit(0)).unionByName(seen.withColumn("new_", F.lit(1)))
     latest = lambda c: F.coalesce(F.max_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("new_", "seen_ms"))), F.lit("")).alias(c)
-    return both.groupBy("host", "container_id").agg(latest("name"), latest("compose_project"), latest("image"), F.min("seen_ms").alias("first_seen_ms"), F.max("seen_ms").alias("last_seen_ms"))
+    return both.groupBy("host", "container_id").agg(latest("name"), latest("compose_project"), latest("image"),
+        F.min("seen_ms").alias("first_seen_ms"), F.max("seen_ms").alias("last_seen_ms"))
 
 
 def watermark(stdout: Column, stderr: Column) -> Column:

@@ -30,7 +30,8 @@ def host_info(hosts: DataFrame, info: DataFrame) -> DataFrame:
 
 def stacks(containers: DataFrame) -> DataFrame:
     c = containers.withColumn("project", compose_project(F.col("labels"))).filter("project IS NOT NULL")
-    return c.groupBy("project").agg(F.count("*").alias("containers"), F.count_if(F.col("state") == "running").alias("running"), F.array_sort(F.collect_set("host")).alias("hosts")).orderBy("project")
+    return c.groupBy("project").agg(F.count("*").alias("containers"), F.count_if(F.col("state") == "running").alias("running"),
+        F.array_sort(F.collect_set("host")).alias("hosts")).orderBy("project")
 
 
 def stack_members(containers: DataFrame, project: str) -> DataFrame:
@@ -85,8 +86,10 @@ def resolve_one(containers: DataFrame, wanted: str, host: str = "") -> dict:
 
 def removed_rows(stored: DataFrame, live: DataFrame) -> DataFrame:
     """Stored, removed containers that no live one has replaced, shaped as inventory rows."""
-    gone = stored.filter(F.col("removed") & F.col("excluded_reason").isNull()).join(live.select("host", container_name(F.col("names")).alias("name")), ["host", "name"], "left_anti")
-    return gone.select(F.concat(F.lit("removed:"), "name").alias("id"), F.array("name").alias("names"), "image", F.lit("removed").alias("state"), "host", "stored_bytes").orderBy(F.desc("stored_bytes"), "names")
+    gone = stored.filter(F.col("removed") & F.col("excluded_reason").isNull()).join(live.select("host", container_name(F.col("names")).alias("name")),
+        ["host", "name"], "left_anti")
+    return gone.select(F.concat(F.lit("removed:"), "name").alias("id"), F.array("name").alias("names"), "image", F.lit("removed").alias("state"),
+        "host", "stored_bytes").orderBy(F.desc("stored_bytes"), "names")
 
 
 def stats_with_names(stats: DataFrame, containers: DataFrame) -> DataFrame:
@@ -150,7 +153,8 @@ def text_filter(df: DataFrame, text: str) -> DataFrame:
 
 def host_outcome(results: DataFrame) -> DataFrame:
     """Per project: hosts that succeeded and failed, and the failures' texts."""
-    return results.groupBy("project").agg(F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.array_join(F.array_sort(F.collect_list("error")), "; ").alias("errors"))
+    return results.groupBy("project").agg(F.count_if(F.col("error").isNull()).alias("succeeded"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"), F.array_join(F.array_sort(F.collect_list("error")), "; ").alias("errors"))
 
 
 def nearest_rank(df: DataFrame, value: str, keys: list[str], at: list[float] = [0.5, 0.95, 0.99], accuracy: int = 10_000) -> DataFrame:

@@ -24,7 +24,8 @@ def running_sum(df: DataFrame, keys: list[str], slice_: Column, order: list, val
     d = df.withColumns({"slice_": slice_, "value_": value})
     per = d.groupBy(*keys, "slice_").agg(F.sum("value_").alias("sum_"))
     before = W.partitionBy(*keys).orderBy("slice_").rowsBetween(W.unboundedPreceding, -1)
-    per = per.select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("slice_").alias("slice__"), F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("before_"), F.sum("sum_").over(W.partitionBy(*keys)).alias("total_"))
+    per = per.select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("slice_").alias("slice__"),
+        F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("before_"), F.sum("sum_").over(W.partitionBy(*keys)).alias("total_"))
     d = d.join(per, [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys] + [F.col("slice_").eqNullSafe(F.col("slice__"))])
     within = W.partitionBy(*keys, "slice_").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn(name, F.col("before_") + F.coalesce(F.sum("value_").over(within), F.lit(0)))

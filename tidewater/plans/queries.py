@@ -179,7 +179,9 @@ def alert_window(spark, d):
 def oom_pairs(spark, d):
     """Deaths and ooms of a user's container; a death within ten seconds after an oom has its time."""
     e = table(spark, d, "events")
-    e = e.select("event_id", F.col("user_id").cast("string").alias("container_id"), F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"), F.when(F.col("event_type") == "error", "oom").otherwise("die").alias("what"), F.floor(F.col("event_id") / 3).alias("at_s"))
+    e = e.select("event_id", F.col("user_id").cast("string").alias("container_id"),
+        F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"),
+        F.when(F.col("event_type") == "error", "oom").otherwise("die").alias("what"), F.floor(F.col("event_id") / 3).alias("at_s"))
     e = e.withColumn("container_id", F.col("host"))
     return alerts.with_last_oom(e).select("event_id", "last_oom")
 
@@ -196,7 +198,10 @@ def level_values(spark, d):
 def scalar_formats(spark, d):
     e = table(spark, d, "events")
     n = F.col("event_id") * F.col("event_id") * 37
-    return e.select("event_id", fmt.human_bytes(n).alias("bytes"), fmt.human_age(F.col("event_id") * 61).alias("age"), fmt.memory_bytes(F.concat((F.col("event_id") % 512).cast("string"), F.lit("m"))).alias("memory"), fmt.duration_seconds(F.concat((F.col("event_id") % 90).cast("string"), F.lit("m"))).alias("seconds"), fmt.exact_bytes(F.col("event_id") * 1024).alias("exact"))
+    return e.select("event_id", fmt.human_bytes(n).alias("bytes"), fmt.human_age(F.col("event_id") * 61).alias("age"),
+        fmt.memory_bytes(F.concat((F.col("event_id") % 512).cast("string"), F.lit("m"))).alias("memory"),
+        fmt.duration_seconds(F.concat((F.col("event_id") % 90).cast("string"), F.lit("m"))).alias("seconds"),
+        fmt.exact_bytes(F.col("event_id") * 1024).alias("exact"))
 
 
 def conversation_levels(spark, d):
@@ -231,7 +236,9 @@ def dropped_by_ring(spark, d):
 
 def upserted_generations(spark, d):
     """What was seen before the middle is stored; lines of stderr name no container."""
-    g = a.log_lines(spark, d).select("host", "container_id", F.when(F.col("stream") == 0, F.col("name")).otherwise("").alias("name"), F.lit("").alias("compose_project"), F.concat(F.lit("img"), (F.col("rowid") % 7).cast("string")).alias("image"), F.col("rowid").alias("seen_ms"), "ts_ns")
+    g = a.log_lines(spark, d).select("host", "container_id", F.when(F.col("stream") == 0, F.col("name")).otherwise("").alias("name"),
+        F.lit("").alias("compose_project"), F.concat(F.lit("img"), (F.col("rowid") % 7).cast("string")).alias("image"),
+        F.col("rowid").alias("seen_ms"), "ts_ns")
     old, new = g.filter(F.col("ts_ns") < MIDDLE).drop("ts_ns"), g.filter(F.col("ts_ns") >= MIDDLE).drop("ts_ns")
     return ingest.upsert_generations(old, new)
 
@@ -282,7 +289,8 @@ def stored_backfill(spark, d):
     lines, path = a.log_lines(spark, d), scratch.new_path(spark, "store")
     half = lines.filter(F.col("ts_ns") < MIDDLE)
     append_lines(half, path)
-    known = ingest.line_facts(lines).select("host", "container_id").join(ingest.line_facts(half), ["host", "container_id"], "left").fillna(0).withColumn("created_s", F.lit(1_700_000_000))
+    known = ingest.line_facts(lines).select("host", "container_id").join(ingest.line_facts(half), ["host", "container_id"],
+        "left").fillna(0).withColumn("created_s", F.lit(1_700_000_000))
     store.backfill(spark, path, lines, known, ingest.earliest_gaps(half.limit(0)))
     return _counted(spark, path)
 
@@ -291,14 +299,17 @@ def history_stored(spark, d):
     """A page of a stored folder, from its newest days on."""
     path = _stored(spark, d)
     store.compact(spark, path)
-    return page(stored_lines(spark, path), HistoryQuery("svc-1", until_ns=UNTIL, levels=["error"], limit=50)).select("ts_ns", "rowid", "host", "level", "message", "continuation_count")
+    return page(stored_lines(spark, path), HistoryQuery("svc-1", until_ns=UNTIL, levels=["error"], limit=50)).select("ts_ns", "rowid", "host",
+        "level", "message", "continuation_count")
 
 
 QUERIES = {f.__name__: f for f in (
     parse_levels, parse_timestamps, folded_entries, history_page, history_substring, history_regex, history_containers, tail_per_container, live_search, excluded_matches, grep,
     merged_targets, match_positions, raw_ranges, retention_each, retention_total, retention_groups, purge_container, ingest_dedup, ingest_marks, resume_points, newly_removed,
-    prune_empty, stack_summary, container_states, projects_standalone, dashboard, resolve_name, cpu_deltas, percentiles, alert_log_matches, alert_fired, alert_window, oom_pairs, lifecycle_events, level_values, stored_retention, stored_purge, stored_backfill, history_stored,
-    scalar_formats, conversation_levels, events_alertable, recent_samples, sparkline, counter_rates, dropped_by_ring, upserted_generations, removed_containers, exported_text, dashboard_page,
+    prune_empty, stack_summary, container_states, projects_standalone, dashboard, resolve_name, cpu_deltas, percentiles, alert_log_matches,
+        alert_fired, alert_window, oom_pairs, lifecycle_events, level_values, stored_retention, stored_purge, stored_backfill, history_stored,
+    scalar_formats, conversation_levels, events_alertable, recent_samples, sparkline, counter_rates, dropped_by_ring, upserted_generations,
+        removed_containers, exported_text, dashboard_page,
 )}
 
 
@@ -323,88 +334,141 @@ _RULE_MATCHES = f"""SELECT 'r1' AS rule_id, * FROM {L} WHERE level IN ('ERROR',
  UNION ALL SELECT 'r2', * FROM {L} WHERE host = 'h0' AND regexp_matches(raw, 'slow|late') UNION ALL SELECT 'r4', * FROM {L} WHERE name = 'svc-1' AND level IN ('WARN', 'ERROR', 'FATAL', 'PANIC')"""
 
 ORACLES = {
-    "parse_levels": f"SELECT host, name, level, count(*) AS n, CAST(sum(list_position(['UNKNOWN','TRACE','DEBUG','INFO','WARN','ERROR','FATAL','PANIC'], level) - 1) AS BIGINT) AS sum_severity FROM {L} GROUP BY ALL",
+    "parse_levels": f"""SELECT host, name, level, count(*) AS n,
+  CAST(sum(list_position(['UNKNOWN','TRACE','DEBUG','INFO','WARN','ERROR','FATAL','PANIC'], level) - 1) AS BIGINT) AS sum_severity FROM {L}
+  GROUP BY ALL""",
     "parse_timestamps": f"SELECT rowid, ts_ns AS parsed_ns, body AS rest FROM {L}",
-    "folded_entries": f"WITH {_fold_sql('host, name', L)} SELECT host, name, rowid, ts_ns, level, message, continuation_count, CASE WHEN n_fields > CASE WHEN head_field THEN 1 ELSE 0 END THEN 'user' ELSE '' END AS keys FROM e",
-    "history_page": _history(f"name = 'svc-1' AND ts_ns BETWEEN {SINCE} AND {UNTIL}", "level IN ('ERROR', 'PANIC')", "ts_ns, rowid, host_ AS host, container_id, level, message, continuation_count", "name", 200),
+    "folded_entries": f"""WITH {_fold_sql('host, name', L)} SELECT host, name, rowid, ts_ns, level, message, continuation_count, CASE WHEN n_fields >
+  CASE WHEN head_field THEN 1 ELSE 0 END THEN 'user' ELSE '' END AS keys FROM e""",
+    "history_page": _history(f"name = 'svc-1' AND ts_ns BETWEEN {SINCE} AND {UNTIL}", "level IN ('ERROR', 'PANIC')",
+        "ts_ns, rowid, host_ AS host, container_id, level, message, continuation_count", "name", 200),
     "history_substring": _history("name = 'svc-2' AND host = 'h1'", "contains(lower(message), 'alice')", "ts_ns, rowid, level, message", "host, name", 1000),
     "history_regex": _history("name = 'svc-3' AND host = 'h0'", "regexp_matches(message, '(?i)slow|boom\\z')", "ts_ns, rowid, level, message", "host, name", 1000),
-    "history_containers": f"""WITH g AS (SELECT host, container_id, name, max(compose_project) AS compose_project, min(ts_ns) // 1000000 AS first_seen, sum(strlen(raw)) AS bytes, min(ts_ns) AS lo, max(ts_ns) AS hi FROM {L} GROUP BY ALL)
-SELECT host, name, CAST(sum(bytes) AS BIGINT) AS stored_bytes, min(lo) AS oldest_ns, max(hi) AS newest_ns, arg_max(container_id, (first_seen, container_id)) LIKE '%-g0' AS removed, 'img/' || name AS image,
- arg_max(compose_project, (first_seen, container_id)) AS compose_project, CAST(NULL AS VARCHAR) AS excluded_reason, count(*) AS n_generations FROM g GROUP BY host, name""",
+    "history_containers": f"""WITH g AS (SELECT host, container_id, name, max(compose_project) AS compose_project, min(ts_ns) // 1000000 AS first_seen, sum(strlen(raw)) AS bytes, min(ts_ns) AS lo, max(ts_ns) AS hi
+  FROM {L} GROUP BY ALL)
+SELECT host, name,
+  CAST(sum(bytes) AS BIGINT) AS stored_bytes, min(lo) AS oldest_ns, max(hi) AS newest_ns, arg_max(container_id, (first_seen, container_id)) LIKE '%-g0' AS removed, 'img/' || name AS image,
+ arg_max(compose_project, (first_seen, container_id)) AS compose_project, CAST(NULL AS VARCHAR) AS excluded_reason, count(*) AS n_generations FROM g
+  GROUP BY host, name""",
     "tail_per_container": f"SELECT host, name, rowid, raw FROM {L} QUALIFY row_number() OVER (PARTITION BY host, name ORDER BY ts_ns DESC, rowid DESC) <= 10",
     "live_search": f"SELECT rowid, level, body AS message FROM {L} WHERE level = 'ERROR' AND regexp_matches(raw, 'failed|boom') AND stream = 0",
     "excluded_matches": f"SELECT level, count(*) AS n FROM {L} WHERE NOT regexp_matches(body, '(?i)slow|alice') GROUP BY level",
-    "grep": f"SELECT host, container_id, rowid, ts_ns, level, body AS message FROM (SELECT * FROM {L} QUALIFY row_number() OVER (PARTITION BY host, container_id ORDER BY ts_ns DESC, rowid DESC) <= 1000) WHERE regexp_matches(body, 'boom|trouble|order')",
-    "merged_targets": f"SELECT CAST(idx AS INT) AS target_idx, target_name, rowid AS ord, ts_ns FROM {L} JOIN (VALUES (0, 'h0', 'svc-1-g0', 'one'), (1, 'h1', 'svc-1-g1', 'two'), (2, 'h2', 'svc-4-g0', 'three')) t(idx, host, container_id, target_name) USING (host, container_id)",
-    "match_positions": f"SELECT host, name, CAST(position AS INT) AS position, array_to_string(regexp_extract_all(body, '(?i)o[a-z]+'), '|') AS spans FROM (SELECT *, row_number() OVER (PARTITION BY host, name ORDER BY ts_ns, rowid) - 1 AS position FROM {L}) WHERE regexp_matches(body, '(?i)o[a-z]+')",
-    "raw_ranges": f"WITH {_fold_sql('host, name', L)}, f AS (SELECT host, name, rowid, continuation_count, CAST(sum(1 + continuation_count) OVER (PARTITION BY host, name ORDER BY ts_ns, rowid ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS raw_last FROM e) SELECT host, name, rowid, raw_last - continuation_count AS raw_first, raw_last FROM f",
-    "retention_each": f"SELECT host, name, rowid, coalesce(sum(strlen(raw)) OVER (PARTITION BY host, name ORDER BY ts_ns, rowid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < sum(strlen(raw)) OVER (PARTITION BY host, name) - 20000 AS evict FROM {L}",
+    "grep": f"""SELECT host, container_id, rowid, ts_ns, level, body AS message FROM (SELECT * FROM {L} QUALIFY row_number()
+  OVER (PARTITION BY host, container_id ORDER BY ts_ns DESC, rowid DESC) <= 1000) WHERE regexp_matches(body, 'boom|trouble|order')""",
+    "merged_targets": f"""SELECT CAST(idx AS INT) AS target_idx, target_name, rowid AS ord, ts_ns FROM {L}
+  JOIN (VALUES (0, 'h0', 'svc-1-g0', 'one'), (1, 'h1', 'svc-1-g1', 'two'), (2, 'h2', 'svc-4-g0', 'three')) t(idx, host, container_id, target_name) USING (host, container_id)""",
+    "match_positions": f"""SELECT host, name,
+  CAST(position AS INT) AS position, array_to_string(regexp_extract_all(body, '(?i)o[a-z]+'), '|') AS spans FROM (SELECT *, row_number()
+  OVER (PARTITION BY host, name ORDER BY ts_ns, rowid) - 1 AS position FROM {L}) WHERE regexp_matches(body, '(?i)o[a-z]+')""",
+    "raw_ranges": f"""WITH {_fold_sql('host, name', L)}, f AS (SELECT host, name, rowid, continuation_count, CAST(sum(1 + continuation_count)
+  OVER (PARTITION BY host, name ORDER BY ts_ns, rowid ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS raw_last FROM e)
+  SELECT host, name, rowid, raw_last - continuation_count AS raw_first, raw_last FROM f""",
+    "retention_each": f"""SELECT host, name, rowid, coalesce(sum(strlen(raw)) OVER (PARTITION BY host, name
+  ORDER BY ts_ns, rowid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < sum(strlen(raw)) OVER (PARTITION BY host, name) - 20000 AS evict
+  FROM {L}""",
     "retention_total": f"""WITH n AS (SELECT *, (row_number() OVER (PARTITION BY host, name ORDER BY ts_ns, rowid) - 1) // 50 AS chunk, strlen(raw) AS b FROM {L}),
-c AS (SELECT host, name, chunk, sum(b) AS b, min(ts_ns) AS t FROM n GROUP BY ALL), r AS (SELECT *, (SELECT sum(b) FROM n) - 300000 - coalesce(sum(b) OVER (ORDER BY t, host, name, chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS excess FROM c),
-k AS (SELECT n.*, excess, coalesce(sum(n.b) OVER (PARTITION BY n.host, n.name, n.chunk ORDER BY ts_ns, rowid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n JOIN r USING (host, name, chunk))
+c AS (SELECT host, name, chunk, sum(b) AS b, min(ts_ns) AS t FROM n GROUP BY ALL), r AS (SELECT *, (SELECT sum(b) FROM n) - 300000 - coalesce(sum(b)
+  OVER (ORDER BY t, host, name, chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS excess FROM c),
+k AS (SELECT n.*, excess, coalesce(sum(n.b) OVER (PARTITION BY n.host, n.name, n.chunk ORDER BY ts_ns, rowid ROWS BETWEEN UNBOUNDED PRECEDING
+  AND 1 PRECEDING), 0) AS before FROM n JOIN r USING (host, name, chunk))
 SELECT host, name, count(*) AS n, min(rowid) AS first_row FROM k WHERE before >= excess GROUP BY host, name""",
     "retention_groups": f"SELECT host, name, CAST(sum(strlen(raw)) AS BIGINT) AS bytes, count(*) AS n_lines, min(ts_ns) AS oldest_ns FROM {L} GROUP BY host, name",
-    "purge_container": f"SELECT host, name, count(*) AS n, (SELECT count(*) FROM {L} WHERE host = 'h0' AND name = 'svc-1') AS purged FROM {L} WHERE NOT (host = 'h0' AND name = 'svc-1') GROUP BY host, name",
+    "purge_container": f"""SELECT host, name, count(*) AS n, (SELECT count(*) FROM {L} WHERE host = 'h0' AND name = 'svc-1') AS purged FROM {L}
+  WHERE NOT (host = 'h0' AND name = 'svc-1') GROUP BY host, name""",
     "ingest_dedup": f"SELECT host, container_id, rowid FROM {L} WHERE ts_ns >= {MIDDLE}",
-    "ingest_marks": f"SELECT host, container_id, CAST(sum(strlen(raw)) AS BIGINT) AS stored_bytes, count(*) AS n_lines, coalesce(max(ts_ns) FILTER (stream = 0), 0) AS stdout_wm_ns, coalesce(max(ts_ns) FILTER (stream = 1), 0) AS stderr_wm_ns FROM {L} GROUP BY ALL",
-    "resume_points": f"""WITH m AS (SELECT host, container_id, max(ts_ns) FILTER (stream = 0) AS o, max(ts_ns) FILTER (stream = 1) AS e, min(ts_ns) FILTER (stream = 1 AND host <> 'h0') AS gap FROM {L} GROUP BY ALL)
+    "ingest_marks": f"""SELECT host, container_id, CAST(sum(strlen(raw)) AS BIGINT) AS stored_bytes, count(*) AS n_lines,
+  coalesce(max(ts_ns) FILTER (stream = 0), 0) AS stdout_wm_ns, coalesce(max(ts_ns) FILTER (stream = 1), 0) AS stderr_wm_ns FROM {L} GROUP BY ALL""",
+    "resume_points": f"""WITH m AS (SELECT host, container_id, max(ts_ns) FILTER (stream = 0) AS o, max(ts_ns) FILTER (stream = 1) AS e, min(ts_ns) FILTER (stream = 1
+  AND host <> 'h0') AS gap FROM {L} GROUP BY ALL)
 SELECT host, container_id, least(least(o, e) - 2000000000, gap - 2000000000) AS since_ns FROM m""",
     "newly_removed": f"SELECT DISTINCT host, container_id FROM {L} WHERE name = 'svc-2' AND host <> 'h2' AND container_id NOT LIKE '%-g0'",
     "prune_empty": f"SELECT DISTINCT host, container_id FROM {L} WHERE NOT (name = 'svc-3' AND container_id LIKE '%-g0')",
-    "stack_summary": f"SELECT {_PROJECT} AS project, count(*) AS containers, count(*) FILTER ({_STATE} = 'running') AS running, string_agg(DISTINCT 'h' || (c_custkey % 3), ',' ORDER BY 'h' || (c_custkey % 3)) AS hosts FROM customer WHERE {_PROJECT} IS NOT NULL GROUP BY 1",
-    "container_states": f"SELECT {', '.join(f'count(*) FILTER ({_STATE} = {chr(39)}{s}{chr(39)}) AS {s}' for s in inventory.STATES)}, count(*) FILTER ({_STATE} = 'created') AS other, count(*) AS total FROM customer",
+    "stack_summary": f"""SELECT {_PROJECT} AS project, count(*) AS containers, count(*) FILTER ({_STATE} = 'running') AS running, string_agg(DISTINCT 'h' || (c_custkey % 3), ','
+  ORDER BY 'h' || (c_custkey % 3)) AS hosts FROM customer WHERE {_PROJECT} IS NOT NULL GROUP BY 1""",
+    "container_states": f"""SELECT {', '.join(f'count(*) FILTER ({_STATE} = {chr(39)}{s}{chr(39)}) AS {s}' for s in inventory.STATES)}, count(*) FILTER ({_STATE} = 'created') AS other, count(*) AS total
+  FROM customer""",
     "projects_standalone": f"SELECT coalesce({_PROJECT}, 'Standalone') AS project, count(*) AS n FROM customer GROUP BY 1",
-    "dashboard": f"SELECT c_custkey AS created, {_STATE} AS state, 'h1' AS host FROM customer WHERE c_custkey % 3 = 1 AND c_custkey >= 10 AND {_STATE} <> 'removed' AND (starts_with(sha256(CAST(c_custkey AS VARCHAR)), 'c1') OR contains('/c' || c_custkey, 'c1'))",
+    "dashboard": f"""SELECT c_custkey AS created, {_STATE} AS state, 'h1' AS host FROM customer WHERE c_custkey % 3 = 1 AND c_custkey >= 10
+  AND {_STATE} <> 'removed' AND (starts_with(sha256(CAST(c_custkey AS VARCHAR)), 'c1') OR contains('/c' || c_custkey, 'c1'))""",
     "resolve_name": "SELECT c_custkey AS created, 'h' || (c_custkey % 3) AS host FROM customer WHERE c_custkey = 7",
-    "cpu_deltas": """WITH s AS (SELECT event_id, 'h' || (user_id % 3) AS host, CAST(user_id AS VARCHAR) AS id, epoch_us(ts) // 1000000 AS t FROM events), c AS (SELECT *, t * 100000 + event_id AS at_s, event_id * 7 % 1000 + t AS total, t * 4 + event_id % 3 AS sys FROM s),
+    "cpu_deltas": """WITH s AS (SELECT event_id, 'h' || (user_id % 3) AS host, CAST(user_id AS VARCHAR) AS id, epoch_us(ts) // 1000000 AS t
+  FROM events), c AS (SELECT *, t * 100000 + event_id AS at_s, event_id * 7 % 1000 + t AS total, t * 4 + event_id % 3 AS sys FROM s),
 p AS (SELECT *, lag(total) OVER w AS pt, lag(sys) OVER w AS ps, lag(at_s) OVER w AS pa FROM c WINDOW w AS (PARTITION BY host, id ORDER BY at_s))
-SELECT event_id, round(CASE WHEN pa IS NOT NULL AND at_s - pa < 1000000000 AND total >= pt AND sys > ps THEN (total - pt) / (sys - ps) * 2 * 100.0 ELSE CASE WHEN total > 0 AND sys > 0 THEN total / sys * 2.0 * 100.0 ELSE 0 END END, 6) AS cpu_percent FROM p""",
-    "percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max, count(value) AS n FROM events GROUP BY event_type",
+SELECT event_id, round(CASE WHEN pa IS NOT NULL AND at_s - pa < 1000000000 AND total >= pt AND sys > ps THEN (total - pt) / (sys - ps) * 2 * 100.0
+  ELSE CASE WHEN total > 0 AND sys > 0 THEN total / sys * 2.0 * 100.0 ELSE 0 END END, 6) AS cpu_percent FROM p""",
+    "percentiles": """SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max, count(value) AS n
+  FROM events GROUP BY event_type""",
     "alert_log_matches": f"SELECT rule_id, host, name AS container_name, count(*) AS n, min(rowid) AS first_row FROM ({_RULE_MATCHES}) GROUP BY ALL",
-    "alert_window": """SELECT event_id, coalesce(at_s - lag(at_s, 2) OVER (PARTITION BY user_id, event_type ORDER BY at_s) <= 34560000000, false) AS trips FROM (SELECT user_id, event_type, event_id, epoch_us(ts) // 1000000 * 100000 + event_id AS at_s FROM events)""",
+    "alert_window": """SELECT event_id, coalesce(at_s - lag(at_s, 2) OVER (PARTITION BY user_id, event_type
+  ORDER BY at_s) <= 34560000000, false) AS trips FROM (SELECT user_id, event_type, event_id, epoch_us(ts) // 1000000 * 100000 + event_id AS at_s
+  FROM events)""",
     # each step takes every key's next match and its state: the last times, the last alert, trips that the cooldown swallowed
     "alert_fired": f"""WITH RECURSIVE rule(rule_id, rule_name, threshold, window_s, cooldown_s, reason) AS (VALUES ('r1', 'errors', 3, 3600, 7200, '3 matches (level >= ERROR) within 3600s'),
  ('r2', 'slow on h0', 1, 60, 300, '1 match (pattern "slow|late") within 60s'), ('r4', 'svc-1 warnings', 2, 86400, 3600, '2 matches (level >= WARN) within 86400s')),
-m AS (SELECT rule_id, host, name, container_id, body, ts_ns // 1000000000 AS sec, row_number() OVER (PARTITION BY rule_id, host, name ORDER BY ts_ns // 1000000000, rowid) AS i FROM ({_RULE_MATCHES})),
-s AS (SELECT DISTINCT rule_id, host, name, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS times, CAST(NULL AS BIGINT) AS fired_last, 0 AS swallowed, false AS fired, 0 AS suppressed FROM m
- UNION ALL SELECT rule_id, host, name, i, CASE WHEN fires THEN [] ELSE t END, CASE WHEN fires THEN sec ELSE fired_last END, CASE WHEN fires THEN 0 WHEN trips THEN swallowed + 1 ELSE swallowed END, fires, swallowed
+m AS (SELECT rule_id, host, name, container_id, body, ts_ns // 1000000000 AS sec, row_number() OVER (PARTITION BY rule_id, host, name
+  ORDER BY ts_ns // 1000000000, rowid) AS i FROM ({_RULE_MATCHES})),
+s AS (SELECT DISTINCT rule_id, host, name, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS times,
+  CAST(NULL AS BIGINT) AS fired_last, 0 AS swallowed, false AS fired, 0 AS suppressed FROM m
+ UNION ALL SELECT rule_id, host, name, i, CASE WHEN fires THEN [] ELSE t END, CASE WHEN fires THEN sec ELSE fired_last END, CASE WHEN fires THEN 0
+  WHEN trips THEN swallowed + 1 ELSE swallowed END, fires, swallowed
  FROM (SELECT *, trips AND (fired_last IS NULL OR sec - fired_last >= cooldown_s) AS fires FROM (SELECT *, len(t) >= threshold AND sec - t[1] <= window_s AS trips
- FROM (SELECT s.rule_id, s.host, s.name, m.i, m.sec, list_append(s.times, m.sec)[-threshold:] AS t, s.fired_last, s.swallowed, threshold, window_s, cooldown_s FROM s JOIN m ON s.rule_id = m.rule_id AND s.host = m.host AND s.name = m.name AND m.i = s.i + 1 JOIN rule ON rule.rule_id = s.rule_id))))
+
+  FROM (SELECT s.rule_id, s.host, s.name, m.i, m.sec, list_append(s.times, m.sec)[-threshold:] AS t, s.fired_last, s.swallowed, threshold, window_s, cooldown_s
+  FROM s JOIN m ON s.rule_id = m.rule_id AND s.host = m.host AND s.name = m.name AND m.i = s.i + 1 JOIN rule ON rule.rule_id = s.rule_id))))
 SELECT substr(sha256(rule_id || '|' || host || '|' || name || '|' || sec), 1, 8) AS id, rule_id, rule_name, 'log' AS type, host, container_id, name AS container_name, reason, body AS sample, threshold AS count, suppressed, sec AS fired_at
 FROM s JOIN m USING (rule_id, host, name, i) JOIN rule USING (rule_id) WHERE fired""",
     "oom_pairs": """WITH e AS (SELECT event_id, 'h' || (user_id % 3) AS host, event_type = 'error' AS oom, event_id // 3 AS at FROM events)
 SELECT e.event_id, max(o.at) AS last_oom FROM e LEFT JOIN e o ON o.oom AND o.host = e.host AND o.at <= e.at AND e.at - o.at <= 10 GROUP BY e.event_id""",
     "lifecycle_events": """WITH e AS (SELECT *, 'h' || (user_id % 3) AS host, event_id % 4 AS kind, event_id % 5 AS k5 FROM events)
 SELECT host, CASE WHEN kind = 0 THEN 'die' WHEN k5 = 2 THEN 'health_status' WHEN k5 = 3 THEN 'health_status: healthy' ELSE 'health_status: unhealthy' END AS action,
- CASE WHEN kind = 0 AND k5 <> 1 THEN CAST(k5 AS VARCHAR) ELSE '' END AS exit_code, CASE WHEN kind = 0 OR k5 = 2 THEN '' WHEN k5 = 3 THEN 'healthy' ELSE 'unhealthy' END AS health_status, count(*) AS n FROM e WHERE kind IN (0, 2) GROUP BY ALL""",
+ CASE WHEN kind = 0 AND k5 <> 1 THEN CAST(k5 AS VARCHAR) ELSE '' END AS exit_code, CASE WHEN kind = 0 OR k5 = 2 THEN '' WHEN k5 = 3 THEN 'healthy'
+  ELSE 'unhealthy' END AS health_status, count(*) AS n FROM e WHERE kind IN (0, 2) GROUP BY ALL""",
     "level_values": f"SELECT DISTINCT level FROM {L}",
-    "stored_retention": f"""WITH k AS (SELECT *, coalesce(sum(strlen(raw)) OVER (PARTITION BY host, name ORDER BY ts_ns, rowid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= sum(strlen(raw)) OVER (PARTITION BY host, name) - 20000 AS keep FROM {L}),
+    "stored_retention": f"""WITH k AS (SELECT *, coalesce(sum(strlen(raw)) OVER (PARTITION BY host, name
+  ORDER BY ts_ns, rowid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= sum(strlen(raw)) OVER (PARTITION BY host, name) - 20000 AS keep
+  FROM {L}),
 n AS (SELECT *, (row_number() OVER (PARTITION BY host, name ORDER BY ts_ns, rowid) - 1) // 5000 AS chunk, strlen(raw) AS b FROM k WHERE keep),
-c AS (SELECT host, name, chunk, sum(b) AS b, min(ts_ns) AS t FROM n GROUP BY ALL), r AS (SELECT *, (SELECT sum(b) FROM n) - 200000 - coalesce(sum(b) OVER (ORDER BY t, host, name, chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS excess FROM c),
-x AS (SELECT n.*, excess, coalesce(sum(n.b) OVER (PARTITION BY n.host, n.name, n.chunk ORDER BY ts_ns, rowid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n JOIN r USING (host, name, chunk))
+c AS (SELECT host, name, chunk, sum(b) AS b, min(ts_ns) AS t FROM n GROUP BY ALL), r AS (SELECT *, (SELECT sum(b) FROM n) - 200000 - coalesce(sum(b)
+  OVER (ORDER BY t, host, name, chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS excess FROM c),
+x AS (SELECT n.*, excess, coalesce(sum(n.b) OVER (PARTITION BY n.host, n.name, n.chunk ORDER BY ts_ns, rowid ROWS BETWEEN UNBOUNDED PRECEDING
+  AND 1 PRECEDING), 0) AS before FROM n JOIN r USING (host, name, chunk))
 SELECT host, name, count(*) AS n, min(rowid) AS first_row, max(rowid) AS last_row FROM x WHERE before >= excess GROUP BY host, name""",
-    "stored_purge": f"SELECT host, name, count(*) AS n, min(rowid) AS first_row, max(rowid) AS last_row, (SELECT count(*) FROM {L} WHERE host = 'h0' AND name = 'svc-1') AS purged FROM {L} WHERE NOT (host = 'h0' AND name = 'svc-1') GROUP BY host, name",
+    "stored_purge": f"""SELECT host, name, count(*) AS n, min(rowid) AS first_row, max(rowid) AS last_row, (SELECT count(*) FROM {L} WHERE host = 'h0'
+  AND name = 'svc-1') AS purged FROM {L} WHERE NOT (host = 'h0' AND name = 'svc-1') GROUP BY host, name""",
     "stored_backfill": f"SELECT host, name, count(*) AS n, min(rowid) AS first_row, max(rowid) AS last_row FROM {L} GROUP BY host, name",
     "history_stored": _history(f"name = 'svc-1' AND ts_ns <= {UNTIL}", "level = 'ERROR'", "ts_ns, rowid, host_ AS host, level, message, continuation_count", "name", 50),
     "scalar_formats": """WITH n AS (SELECT event_id, event_id * event_id * 37 AS n, event_id * 61 AS s FROM events)
-SELECT event_id, CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN format('{:.1f}KiB', n / 1024) WHEN n < 1073741824 THEN format('{:.1f}MiB', n / 1048576) WHEN n < 1099511627776 THEN format('{:.1f}GiB', n / 1073741824) WHEN n < 1125899906842624 THEN format('{:.1f}TiB', n / 1099511627776) ELSE format('{:.1f}PiB', n / 1125899906842624) END AS bytes,
- CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS age, (event_id % 512) * 1048576 AS memory, (event_id % 90) * 60.0::DOUBLE AS seconds,
- CASE WHEN event_id = 0 THEN '0' WHEN event_id % 1048576 = 0 THEN event_id // 1048576 || 'g' WHEN event_id % 1024 = 0 THEN event_id // 1024 || 'm' ELSE event_id || 'k' END AS exact FROM n""",
+SELECT event_id, CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN format('{:.1f}KiB', n / 1024)
+  WHEN n < 1073741824 THEN format('{:.1f}MiB', n / 1048576) WHEN n < 1099511627776 THEN format('{:.1f}GiB', n / 1073741824)
+  WHEN n < 1125899906842624 THEN format('{:.1f}TiB', n / 1099511627776) ELSE format('{:.1f}PiB', n / 1125899906842624) END AS bytes,
+ CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago'
+  ELSE s // 86400 || 'd ago' END AS age, (event_id % 512) * 1048576 AS memory, (event_id % 90) * 60.0::DOUBLE AS seconds,
+ CASE WHEN event_id = 0 THEN '0' WHEN event_id % 1048576 = 0 THEN event_id // 1048576 || 'g' WHEN event_id % 1024 = 0 THEN event_id // 1024 || 'm'
+  ELSE event_id || 'k' END AS exact FROM n""",
     # turns hold no JSON and no keyed levels, so keywords decide
-    "conversation_levels": f"""SELECT CASE {' '.join(f"WHEN regexp_matches(line, '(?i){chr(92)}b(?:{words}){chr(92)}b') THEN '{level}'" for level, words in p.KEYWORDS)} ELSE 'UNKNOWN' END AS level, count(*) AS n
+    "conversation_levels": f"""SELECT
+  CASE {' '.join(f"WHEN regexp_matches(line, '(?i){chr(92)}b(?:{words}){chr(92)}b') THEN '{level}'" for level, words in p.KEYWORDS)}
+  ELSE 'UNKNOWN' END AS level, count(*) AS n
  FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE line <> '' GROUP BY 1""",
     "events_alertable": """WITH e AS (SELECT *, 'h' || (user_id % 3) AS host, event_id % 4 AS kind, event_id % 5 AS k5 FROM events),
-r AS (SELECT host, CASE WHEN kind = 0 THEN 'die' WHEN kind = 1 THEN 'oom' WHEN kind = 2 AND k5 <> 3 THEN 'unhealthy' END AS what, CASE WHEN kind = 0 THEN CASE WHEN k5 = 0 THEN '0' WHEN k5 = 1 THEN 'unknown' ELSE CAST(k5 AS VARCHAR) END ELSE '' END AS exit_code FROM e)
+r AS (SELECT host, CASE WHEN kind = 0 THEN 'die' WHEN kind = 1 THEN 'oom' WHEN kind = 2 AND k5 <> 3 THEN 'unhealthy' END AS what, CASE
+  WHEN kind = 0 THEN CASE WHEN k5 = 0 THEN '0' WHEN k5 = 1 THEN 'unknown' ELSE CAST(k5 AS VARCHAR) END ELSE '' END AS exit_code FROM e)
 SELECT host, what, exit_code, count(*) AS n FROM r WHERE what IS NOT NULL AND exit_code <> '0' GROUP BY ALL""",
     "recent_samples": """WITH s AS (SELECT 'h' || (user_id % 3) AS host, CAST(user_id AS VARCHAR) AS id, event_id // 50 AS at_s FROM events)
 SELECT host, id, least(count(*), 5) AS n FROM s WHERE (host, id) IN (SELECT (host, id) FROM s WHERE at_s = (SELECT max(at_s) FROM s)) GROUP BY ALL""",
-    "sparkline": "SELECT event_id, round((value - min(value) OVER w) / greatest(max(value) OVER w - min(value) OVER w, 2.0), 6) AS level FROM events WINDOW w AS (PARTITION BY user_id, event_type)",
-    "counter_rates": "SELECT event_id, (value - lag(value) OVER w) / nullif(event_id * 2 - lag(event_id * 2) OVER w, 0) AS rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
+    "sparkline": """SELECT event_id, round((value - min(value) OVER w) / greatest(max(value) OVER w - min(value) OVER w, 2.0), 6) AS level FROM events
+  WINDOW w AS (PARTITION BY user_id, event_type)""",
+    "counter_rates": """SELECT event_id, (value - lag(value) OVER w) / nullif(event_id * 2 - lag(event_id * 2) OVER w, 0) AS rate FROM events
+  WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""",
     "dropped_by_ring": f"SELECT host, name, least(count(*), 100) AS n, greatest(count(*) - 100, 0) AS dropped FROM {L} GROUP BY ALL",
     "upserted_generations": f"""WITH g AS (SELECT host, container_id, name, rowid, stream, ts_ns >= {MIDDLE} AS new FROM {L})
-SELECT host, container_id, coalesce(max(name) FILTER (stream = 0), '') AS name, '' AS compose_project, 'img' || (arg_max(rowid, (new, rowid)) % 7) AS image, min(rowid) AS first_seen_ms, max(rowid) AS last_seen_ms FROM g GROUP BY ALL""",
-    "removed_containers": f"SELECT 'removed:' || name AS id, host, 'removed' AS state, 'img/' || name AS image, CAST(sum(strlen(raw)) AS BIGINT) AS stored_bytes FROM {L} WHERE name <> 'svc-1' AND NOT (host = 'h0' AND name = 'svc-0') GROUP BY host, name",
-    "exported_text": f"SELECT '[' || strftime(date_trunc('millisecond', make_timestamp(ts_ns // 1000)), '%Y-%m-%dT%H:%M:%S.%g') || 'Z] [' || level || '] ' || body AS value FROM {L}",
-    "dashboard_page": f"SELECT c_custkey AS created, 11 AS first, least(20, total) AS last, total FROM (SELECT c_custkey, CAST(count(*) OVER () AS INT) AS total FROM customer WHERE {_STATE} = 'running') ORDER BY c_custkey DESC LIMIT 10 OFFSET 10",
+SELECT host, container_id,
+  coalesce(max(name) FILTER (stream = 0), '') AS name, '' AS compose_project, 'img' || (arg_max(rowid, (new, rowid)) % 7) AS image, min(rowid) AS first_seen_ms, max(rowid) AS last_seen_ms
+  FROM g GROUP BY ALL""",
+    "removed_containers": f"""SELECT 'removed:' || name AS id, host, 'removed' AS state, 'img/' || name AS image,
+  CAST(sum(strlen(raw)) AS BIGINT) AS stored_bytes FROM {L} WHERE name <> 'svc-1' AND NOT (host = 'h0' AND name = 'svc-0') GROUP BY host, name""",
+    "exported_text": f"""SELECT '[' || strftime(date_trunc('millisecond', make_timestamp(ts_ns // 1000)), '%Y-%m-%dT%H:%M:%S.%g') || 'Z] [' || level || '] ' || body AS value
+  FROM {L}""",
+    "dashboard_page": f"""SELECT c_custkey AS created, 11 AS first, least(20, total) AS last, total FROM (SELECT c_custkey, CAST(count(*)
+  OVER () AS INT) AS total FROM customer WHERE {_STATE} = 'running') ORDER BY c_custkey DESC LIMIT 10 OFFSET 10""",
 }

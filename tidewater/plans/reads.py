@@ -56,7 +56,8 @@ def _of(lines: DataFrame, rows: DataFrame) -> DataFrame:
     return lines.join(names, ["host", "container_id"])
 
 
-def logs(t: Tables, wanted: str = "", stack: str = "", host: str = "", tail: int = live.DEFAULT_TAIL, level: str = "", search: str = "", since_ns: int | None = None, until_ns: int | None = None) -> DataFrame:
+def logs(t: Tables, wanted: str = "", stack: str = "", host: str = "", tail: int = live.DEFAULT_TAIL, level: str = "", search: str = "",
+    since_ns: int | None = None, until_ns: int | None = None) -> DataFrame:
     """The last lines of one container, or of each of a stack's; folded first, then filtered, in the order of time."""
     if stack:
         rows = inventory.stack_members(t.containers, stack)

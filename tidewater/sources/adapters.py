@@ -47,8 +47,10 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(
         F.max("compose_project").alias("compose_project"),
         whole(F.min("ts_ns"), 1_000_000).alias("first_seen_ms"), whole(F.max("ts_ns"), 1_000_000).alias("last_seen_ms"), F.sum(F.octet_length("raw")).alias("stored_bytes"),
-        F.coalesce(F.max(F.when(F.col("stream") == 0, F.col("ts_ns"))), F.lit(0)).alias("stdout_wm_ns"), F.coalesce(F.max(F.when(F.col("stream") == 1, F.col("ts_ns"))), F.lit(0)).alias("stderr_wm_ns"),
-    ).withColumns({"removed_ms": F.when(F.col("container_id").endswith("-g0"), F.col("last_seen_ms")), "image": F.concat(F.lit("img/"), "name"), "excluded_reason": F.lit(None).cast("string")})
+        F.coalesce(F.max(F.when(F.col("stream") == 0, F.col("ts_ns"))), F.lit(0)).alias("stdout_wm_ns"),
+            F.coalesce(F.max(F.when(F.col("stream") == 1, F.col("ts_ns"))), F.lit(0)).alias("stderr_wm_ns"),
+    ).withColumns({"removed_ms": F.when(F.col("container_id").endswith("-g0"), F.col("last_seen_ms")), "image": F.concat(F.lit("img/"), "name"),
+        "excluded_reason": F.lit(None).cast("string")})
 
 
 def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,11 +58,13 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     return c.select(
-        F.sha2(key.cast("string"), 256).alias("id"), F.array(F.concat(F.lit("/c"), key.cast("string"))).alias("names"), F.concat(F.lit("img/"), (key % 7).cast("string")).alias("image"), key.alias("created"),
+        F.sha2(key.cast("string"), 256).alias("id"), F.array(F.concat(F.lit("/c"), key.cast("string"))).alias("names"),
+            F.concat(F.lit("img/"), (key % 7).cast("string")).alias("image"), key.alias("created"),
         F.element_at(F.array(*[F.lit(x) for x in ("running", "exited", "paused", "restarting", "dead", "removed", "created")]), (key % 7 + 1).cast("int")).alias("state"),
         F.concat(F.lit("h"), (key % 3).cast("string")).alias("host"),
         F.when(key % 4 == 0, F.create_map(F.lit("com.docker.compose.project"), F.concat(F.lit("p"), (key % 5).cast("string"))))
-        .when(key % 4 == 1, F.create_map(F.lit("io.podman.compose.project"), F.concat(F.lit("p"), (key % 5).cast("string")))).otherwise(F.create_map().cast("map<string,string>")).alias("labels"),
+        .when(key % 4 == 1, F.create_map(F.lit("io.podman.compose.project"),
+            F.concat(F.lit("p"), (key % 5).cast("string")))).otherwise(F.create_map().cast("map<string,string>")).alias("labels"),
     )
 
 
@@ -70,7 +74,8 @@ def cpu_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.floor(epoch_us() / 1_000_000)
     return e.select(
         F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"), F.col("user_id").cast("string").alias("id"), (at * 100_000 + F.col("event_id")).alias("at_s"),
-        (F.col("event_id") * 7 % 1000 + at).alias("total_usage"), (at * 4 + F.col("event_id") % 3).alias("system_usage"), F.lit(0).cast("bigint").alias("pre_total"), F.lit(0).cast("bigint").alias("pre_system"),
+        (F.col("event_id") * 7 % 1000 + at).alias("total_usage"), (at * 4 + F.col("event_id") % 3).alias("system_usage"),
+            F.lit(0).cast("bigint").alias("pre_total"), F.lit(0).cast("bigint").alias("pre_system"),
         F.lit(2).alias("online_cpus"), F.lit(0).alias("per_cpu"), F.col("event_id"),
     )
 
@@ -78,10 +83,13 @@ def cpu_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def engine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Die, oom, health and other actions by event_id; a die may lack its exit code, a health event its state."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id") % 5
-    action = F.element_at(F.array(F.lit("die"), F.lit("oom"), F.when(k == 2, "health_status").when(k == 3, "health_status: healthy").otherwise("health_status: unhealthy"), F.lit("exec_start")), (F.col("event_id") % 4 + 1).cast("int"))
+    action = F.element_at(F.array(F.lit("die"), F.lit("oom"),
+        F.when(k == 2, "health_status").when(k == 3, "health_status: healthy").otherwise("health_status: unhealthy"), F.lit("exec_start")),
+        (F.col("event_id") % 4 + 1).cast("int"))
     code = F.when(k == 1, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("exitCode"), k.cast("string")))
     return e.select(
-        F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"), F.col("event_id").cast("string").alias("id"), F.lit("container").alias("type"), action.alias("action"),
+        F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"), F.col("event_id").cast("string").alias("id"),
+            F.lit("container").alias("type"), action.alias("action"),
         code.alias("attributes"), F.lit(0).alias("time_s"), (epoch_us() * 1000).alias("time_ns"),
     )
 
@@ -89,7 +97,8 @@ def engine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a look-up finds: the state of containers whose health event is bare."""
     e = table(spark, sf_dir, "events").filter("event_id % 4 = 2 AND event_id % 5 = 2")
-    return e.select(F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"), F.col("event_id").cast("string").alias("container_id"), F.lit(None).cast("string").alias("exit_code"), F.lit(False).alias("oom_killed"), F.lit("unhealthy").alias("health"))
+    return e.select(F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"), F.col("event_id").cast("string").alias("container_id"),
+        F.lit(None).cast("string").alias("exit_code"), F.lit(False).alias("oom_killed"), F.lit("unhealthy").alias("health"))
 
 
 RULES = [

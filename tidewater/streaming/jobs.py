@@ -76,7 +76,8 @@ class AlertState(StatefulProcessor):
     """One rule and container. The key holds a hash of the rule, so a changed rule starts anew; idle state expires."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", StructType([StructField("times", StringType()), StructField("last", LongType()), StructField("swallowed", LongType())]), IDLE_MS)
+        self.state = handle.getValueState("window",
+            StructType([StructField("times", StringType()), StructField("last", LongType()), StructField("swallowed", LongType())]), IDLE_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         d = pd.concat(list(rows)).sort_values(["at_s", "match_id"])
