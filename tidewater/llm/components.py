@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         by_neighbour = both.join(labels, both.dst == labels.node).select(F.col("src").alias("node"), "component")
         hop = labels.alias("a").join(labels.alias("b"), F.col("a.component") == F.col("b.node")).select(F.col("a.node"), F.col("b.component"))
         # the label's own node learns of the smaller label too, which halves long chains
-        hook = by_neighbour.alias("n").join(labels.alias("l"), F.col("n.node") == F.col("l.node")).filter("n.component < l.component").select(F.col("l.component").alias("node"), F.col("n.component"))
+        hook = by_neighbour.alias("n").join(labels.alias("l"),
+            F.col("n.node") == F.col("l.node")).filter("n.component < l.component").select(F.col("l.component").alias("node"), F.col("n.component"))
         new = labels.select("node", "component", F.col("component").alias("was")).unionByName(
             by_neighbour.unionByName(hop).unionByName(hook).groupBy("node").agg(F.min("component").alias("component")).withColumn("was", F.lit(None).cast("long"))
         ).groupBy("node").agg(F.min("component").alias("component"), F.max("was").alias("was"))

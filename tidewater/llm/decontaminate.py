@@ -26,7 +26,9 @@ from .shared import inside, is_word_byte, lower_ascii, materialize, ngram_hashes
 WINDOW, GRAM = 13, 5
 #: Words of the benchmark that are broadcast: about 40 bytes for each (its window and fingerprint, and the word), so 80 MB.
 BLOCK_WORDS = 2_000_000
-FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()),
+    T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
+    T.StructField("items", T.ArrayType(T.StringType()))])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -175,7 +177,9 @@ def _item_windows(batches):
             for k in np.unique(length[length > 0]).tolist():
                 rows, starts, prints, _ = _windows(words, k)
                 own = np.flatnonzero(length[rows] == k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(prints[own]), _spelled(words, rows[own], starts[own], k), batch.column("item_id").take(pa.array(rows[own])).cast(pa.string())], names=["k", "print", "words", "item"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(prints[own]),
+                    _spelled(words, rows[own], starts[own], k), batch.column("item_id").take(pa.array(rows[own])).cast(pa.string())],
+                    names=["k", "print", "words", "item"])
 
 
 def _row_prints(lengths):
@@ -202,14 +206,16 @@ def _row_windows(batches):
             for k, wanted in shared.items():
                 rows, starts, prints, _ = _windows(words, k)
                 own = np.array([j for j, (r, x) in enumerate(zip(rows.tolist(), prints.tolist())) if x in wanted[r]], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[rows[own]]), pa.array(np.full(len(own), k, np.int32)), pa.array(starts[own].astype(np.int64)), _spelled(words, rows[own], starts[own], k)], names=["row_", "k", "start", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows[own]]), pa.array(np.full(len(own), k, np.int32)),
+                    pa.array(starts[own].astype(np.int64)), _spelled(words, rows[own], starts[own], k)], names=["row_", "k", "start", "words"])
 
 
 def _count_words(batches):
     for whole in batches:
         for batch in row_slices(whole, "text"):
             words = split_words(batch.column("text"), is_word_byte(), lower_ascii())
-            yield pa.RecordBatch.from_arrays([batch.column("row_"), batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(words.bounds), pa.int64())], names=["row_", "doc_id", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_"), batch.column("doc_id").cast(pa.int64()),
+                pa.array(np.diff(words.bounds), pa.int64())], names=["row_", "doc_id", "n_words"])
 
 
 def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -225,7 +231,8 @@ def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
     names = hit.select("row_", "words").distinct().join(windows.select("words", "item"), "words").groupBy("row_").agg(F.collect_set("item").alias("items"))
     out = rows.select("row_", "doc_id", "text").mapInArrow(_count_words, "row_ long, doc_id long, n_words long").join(spans, "row_", "left").join(names, "row_", "left")
     none = F.array().cast("array<bigint>")
-    return out.select("row_", "doc_id", "n_words", F.coalesce("spans.start", none).alias("starts"), F.coalesce("spans.end", none).alias("ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select("row_", "doc_id", "n_words", F.coalesce("spans.start", none).alias("starts"), F.coalesce("spans.end", none).alias("ends"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _items(benchmark: DataFrame, block_words: int) -> tuple[DataFrame, bool]:
@@ -254,7 +261,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
 def digest(found: DataFrame, *key: str) -> DataFrame:
     """The query's columns; runs may overlap."""
     spans = F.array_sort(F.arrays_zip("starts", "ends"))
-    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["ends"] - F.greatest(x["starts"], a["end"]))).alias("n"), F.greatest(a["end"], x["ends"]).alias("end"))
+    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["ends"] - F.greatest(x["starts"], a["end"]))).alias("n"),
+        F.greatest(a["end"], x["ends"]).alias("end"))
     n_hit = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), step)["n"]
     return found.select(
         *key, "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),

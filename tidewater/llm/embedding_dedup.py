@@ -51,7 +51,8 @@ def _check(batches):
             ok = a is not None and len(a) and np.isfinite(a).all() and a.any()
             keys.append(hashlib.md5((a + 0.0).tobytes()).hexdigest() if ok else None)
             dims.append(len(a) if ok else None)
-        yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), b.column("label"), b.column("embedding"), pa.array(keys, pa.string()), pa.array(dims, pa.int32())], names=["vec_id", "label", "embedding", "key", "dim"])
+        yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), b.column("label"), b.column("embedding"), pa.array(keys, pa.string()),
+            pa.array(dims, pa.int32())], names=["vec_id", "label", "embedding", "key", "dim"])
 
 
 def _project(levels):
@@ -68,7 +69,8 @@ def _project(levels):
                     out[rows, t] = v @ directions(t, levels, dim).T
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * TREES + 1) * levels, pa.int32()), pa.array(out.reshape(-1)))
             rep = lambda c: b.column(c).take(pa.array(np.repeat(np.arange(n), TREES)))
-            yield pa.RecordBatch.from_arrays([rep("node"), rep("label"), rep("dim"), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array(np.ones(n * TREES, np.int64)), flat], names=["node", "label", "dim", "tree", "leaf", "proj"])
+            yield pa.RecordBatch.from_arrays([rep("node"), rep("label"), rep("dim"), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)),
+                pa.array(np.ones(n * TREES, np.int64)), flat], names=["node", "label", "dim", "tree", "leaf", "proj"])
     return run
 
 
@@ -159,7 +161,8 @@ def _links(batches):
         root = forest(n, chunks)
         got, has = np.flatnonzero(links), np.flatnonzero(root != np.arange(n))
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.repeat(np.array([0, 1], np.int32), [len(got), len(has)])), pa.array(np.concatenate((node[got], node[has]))), pa.array(np.concatenate((links[got], node[root[has]]))),
+            pa.array(np.repeat(np.array([0, 1], np.int32), [len(got), len(has)])), pa.array(np.concatenate((node[got], node[has]))),
+                pa.array(np.concatenate((links[got], node[root[has]]))),
         ], names=["what", "a", "b"])
 
 
@@ -171,7 +174,8 @@ def near_duplicates(vectors: DataFrame, leaf: int = LEAF, tile: int = TILE) -> D
     rows, _ = materialize(vectors.select("vec_id", "label", "embedding").mapInArrow(_check, spec), "vectors")
     able = rows.filter("key IS NOT NULL AND vec_id IS NOT NULL")
     # equal vectors: counted before the shuffle; any of them stands for all, as they are equal
-    nodes = able.groupBy("label", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min_by("embedding", "vec_id").alias("embedding"), F.min("dim").alias("dim"))
+    nodes = able.groupBy("label", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"),
+        F.min_by("embedding", "vec_id").alias("embedding"), F.min("dim").alias("dim"))
     nodes, _ = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     trees, _ = materialize(grow(nodes, kinds["label"], leaf).select("node", F.xxhash64("tree", "label", "dim", "leaf").bitwiseAND(F.lit((1 << 63) - 1)).alias("group")), "leaves")
     own = trees.groupBy(F.col("node").alias("own_")).agg(F.sort_array(F.collect_set("group")).alias("leaves"))
@@ -180,7 +184,8 @@ def near_duplicates(vectors: DataFrame, leaf: int = LEAF, tile: int = TILE) -> D
     placed = full.select("*", F.explode("leaves").alias("group")).join(parts, F.col("group") == F.col("group_"))
     side = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, side) * F.col("parts") + F.greatest(k, side))
-    placed = placed.select("group", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(-1))).otherwise(tiles)).alias("tile"), side.alias("side"), "node", "copies", "embedding", "leaves")
+    placed = placed.select("group", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(-1))).otherwise(tiles)).alias("tile"), side.alias("side"),
+        "node", "copies", "embedding", "leaves")
     found, _ = materialize(placed.repartition("group", "tile").sortWithinPartitions("group", "tile", "node").mapInArrow(_links, "what int, a long, b long"), "links")
     links = found.filter("what = 0").groupBy(F.col("a").alias("linked_")).agg(F.sum("b").alias("links"))
     comp = connected_components(found.filter("what = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -188,9 +193,11 @@ def near_duplicates(vectors: DataFrame, leaf: int = LEAF, tile: int = TILE) -> D
     smallest = comp.join(nodes.select("node", "least"), F.col("member") == F.col("node")).groupBy(F.col("component").alias("component_")).agg(F.min("least").alias("c"))
     comp = comp.join(smallest, F.col("component") == F.col("component_")).select("member", "c")
     judged = nodes.join(links, F.col("node") == F.col("linked_"), "left").join(comp, F.col("node") == F.col("member"), "left")
-    judged = judged.select(F.col("label").alias("label_"), F.col("key").alias("key_"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("c", "least").alias("c"))
+    judged = judged.select(F.col("label").alias("label_"), F.col("key").alias("key_"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("c", "least").alias("c"))
     out = rows.drop("embedding").join(judged, (F.col("label") == F.col("label_")) & (F.col("key") == F.col("key_")) & F.col("vec_id").isNotNull(), "left")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id")).withColumn("kept",
+        F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def brute_force(rows: list[tuple]) -> dict:

@@ -172,7 +172,8 @@ def _predict(shared):
         for whole in batches:
             for b in row_slices(whole, "text"):
                 found = [model.predict(t) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([x for x, _ in found], pa.string()),
+                    pa.array([y for _, y in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
     return run
 
 

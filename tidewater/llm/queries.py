@@ -53,8 +53,10 @@ def op10_block_anchors(spark, d):
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_token_store, op5_projection_forest, op4_rank_order, op6_poisson_mix, op7_stratified_shards, op8_simhash, op9_winnowing, op10_block_anchors)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_token_store, op5_projection_forest, op4_rank_order, op6_poisson_mix,
+    op7_stratified_shards, op8_simhash, op9_winnowing, op10_block_anchors)}
 ORACLES = {
-    "op1_chat_format": chat_format.SQL, "op4_rank_order": language_id.SQL, "op5_projection_forest": embedding_dedup.SQL, "op6_poisson_mix": mixing.SQL, "op7_stratified_shards": sharding.SQL, "op8_simhash": simhash.SQL,
+    "op1_chat_format": chat_format.SQL, "op4_rank_order": language_id.SQL, "op5_projection_forest": embedding_dedup.SQL,
+        "op6_poisson_mix": mixing.SQL, "op7_stratified_shards": sharding.SQL, "op8_simhash": simhash.SQL,
     "op9_winnowing": decontaminate.SQL, "op10_block_anchors": substring_dedup.SQL,
 }

@@ -64,7 +64,8 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: str = "shard") -> DataFr
     shard = F.expr(f"CAST((g * {shards}) DIV {max(n, 1)} AS INT)")
     first = F.expr(f"CAST((shard * CAST({max(n, 1)} AS BIGINT) + {shards - 1}) DIV {shards} AS BIGINT)")
     d = d.withColumn("shard", shard).withColumn("slot", F.col("g") - first)
-    return d.select(*[F.col(u).alias(c) for u, c in keep], "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return d.select(*[F.col(u).alias(c) for u, c in keep], "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
 
 
 #: The whole table in one order; row g of n goes to shard g * 40 // n.

@@ -56,7 +56,8 @@ def _prints(batches):
         for batch in row_slices(whole, "text"):
             fp = [fingerprint(shingle_hashes((t or "").encode())) for t in batch.column("text").to_pylist()]
             rest = [c for c in batch.schema.names if c not in ("doc_id", "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), *[batch.column(c) for c in rest]], names=["doc_id", "fp", *rest])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)),
+                *[batch.column(c) for c in rest]], names=["doc_id", "fp", *rest])
 
 
 def fingerprints(docs: DataFrame, *longs: str) -> DataFrame:

@@ -400,7 +400,8 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> str:
     text = F.coalesce("text", F.lit(""))
     named = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("order_"), F.monotonically_increasing_id().alias("row"))
     encoded, encoded_path = materialize(named.mapInArrow(_encode(tokenizer_path), ENCODED), "encoded")
-    pieces = encoded.select(F.explode(F.arrays_zip("parts", "pieces")).alias("x")).filter("x.pieces IS NOT NULL").select(F.col("x.parts").alias("address"), F.col("x.pieces").alias("ids"))
+    pieces = encoded.select(F.explode(F.arrays_zip("parts",
+        "pieces")).alias("x")).filter("x.pieces IS NOT NULL").select(F.col("x.parts").alias("address"), F.col("x.pieces").alias("ids"))
     n_parts = max(1, encoded.select("row").rdd.getNumPartitions())
     buckets = min(n_parts, MOST_BUCKETS)
     _write_bucketed(pieces.repartition(buckets, "address").sortWithinPartitions("address").dropDuplicates(["address"]), f"{store}/chunks", buckets)
@@ -480,7 +481,8 @@ def _part_manifests(recipes: DataFrame) -> DataFrame:
 def _top(spark: SparkSession, store: str) -> DataFrame:
     """One row over all parts: their number, documents, ids and chunks, and the root over their roots."""
     m = spark.read.parquet(f"{store}/manifests")
-    ordered = m.select(F.lit(0).alias("part"), F.col("part").cast("long").alias("doc_id"), "n_tokens", "root", "part").toDF("part", "doc_id", "n_tokens", "root", "at").coalesce(1).sortWithinPartitions("at")  # a row a file
+    ordered = m.select(F.lit(0).alias("part"), F.col("part").cast("long").alias("doc_id"), "n_tokens", "root", "part").toDF("part", "doc_id",
+        "n_tokens", "root", "at").coalesce(1).sortWithinPartitions("at")  # a row a file
     tree = ordered.drop("at").mapInArrow(_roots(["part", "doc_id", "n_tokens", "root"]), "part int, first_doc long, last_doc long, n_docs long, n_tokens long, root binary")
     counts = m.agg(F.count("*").alias("n_parts"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
     chunks = spark.read.schema("address binary, ids binary").parquet(f"{store}/chunks").agg(F.count("*").alias("n_chunks"))

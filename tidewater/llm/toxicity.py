@@ -268,7 +268,9 @@ def train(docs: DataFrame, labels: DataFrame, letter: np.ndarray) -> dict:
 
     def pick(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([[f for f in fs if f in wanted.value] for fs in b.column("features").to_pylist()], pa.list_(pa.string()))], names=["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([b.column("toxic"),
+                pa.array([[f for f in fs if f in wanted.value] for fs in b.column("features").to_pylist()], pa.list_(pa.string()))],
+                names=["toxic", "features"])
 
     # sorted, as sums of floats depend on their order
     data = sorted((r[0], sorted(index[f] for f in r[1])) for r in rows.mapInArrow(pick, "toxic int, features array<string>").toLocalIterator())
