@@ -18,8 +18,8 @@ def tables(spark):
         "host string, container_id string, name string, compose_project string, image string, first_seen_ms bigint, last_seen_ms bigint, removed_ms bigint, stored_bytes bigint, stdout_wm_ns bigint, stderr_wm_ns bigint, excluded_reason string")
     return reads.Tables(
         lines, containers, generations,
-        images=spark.createDataFrame([("h", "sha256:0123456789abcdef", [""]), ("h", "b", ["x:1"])], "host string, id string, tags array<string>"),
-        volumes=spark.createDataFrame([("h", "v2"), ("h", "v1")], "host string, name string"),
+        images=spark.createDataFrame([("h", "sha256:0123456789abcdef", None), ("h", "b", ["x:1"])], "host string, id string, tags array<string>"),
+        volumes=spark.createDataFrame([("h", "v2"), ("h", None), ("h", "v1")], "host string, name string"),
         networks=spark.createDataFrame([("h", "n", ["", "10.0.0.0/8"])], "host string, id string, subnets array<string>"),
         alert_rows=spark.createDataFrame([(f"a{i}", "r", "n", "log", "h", "c", "w", "x", "y", 1, 0, i) for i in range(5)], ALERTS))
 
@@ -39,8 +39,8 @@ def test_log_reads(tables):
 def test_inventory_and_history_reads(tables):
     assert sorted(r.id for r in reads.containers(tables).collect()) == ["a1", "b2", "c3", "d4"] and [r.id for r in reads.containers(tables, state="removed").collect()] == ["removed:gone"]
     assert reads.inspect(tables, "old")["state"] == "exited"
-    assert sorted((r.id, r.tags) for r in reads.images(tables).collect()) == [("0123456789ab", ["<none>"]), ("b", ["x:1"])]
-    assert [r["name"] for r in reads.volumes(tables).collect()] == ["v1", "v2"] and reads.networks(tables).first().subnets == ["10.0.0.0/8"]
+    assert sorted((r.id, r.tags) for r in reads.images(tables).collect()) == [("0123456789ab", None), ("b", ["x:1"])]
+    assert sorted(r["name"] for r in reads.volumes(tables).collect()) == ["v1", "v2"] and reads.networks(tables).first().subnets == ["10.0.0.0/8"]
     assert [(r.project, r.containers) for r in reads.stacks(tables).collect()] == [("shop", 2)]
     s = reads.history_status(tables, 1).first()
     assert (s.containers, s.stored_bytes, s.oldest_ns) == (2, 27, 10)

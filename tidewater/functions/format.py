@@ -148,6 +148,7 @@ def trim_start(c: Column) -> Column:
 
 def file_name(c: Column) -> Column:
     """A container's name as part of a file name: a leading slash goes, what file systems refuse becomes a dash."""
+    # fixed values: the characters that do
     return F.regexp_replace(F.regexp_replace(F.coalesce(F.nullif(c, F.lit("")), F.lit("container")), r"^/", ""), r'[/\\:*?"<>|]', "-")
 
 

@@ -123,13 +123,13 @@ def sparkline(samples: DataFrame, value: str) -> DataFrame:
 
 
 def images(rows: DataFrame) -> DataFrame:
-    """A row an image, by short id; an image without a tag is `<none>`."""
-    tags = F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t != "")
-    return rows.withColumns({"id": short_id(F.col("id")), "tags": F.when(F.size(tags) == 0, F.array(F.lit("<none>"))).otherwise(tags)})
+    """A row an image and host, by short id; tags as the engine gives them."""
+    return rows.withColumn("id", short_id(F.col("id")))
 
 
 def volumes(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("host", "name")
+    """A row a volume and host; entries that an engine leaves empty go."""
+    return rows.filter(F.col("name").isNotNull())
 
 
 def live_and_removed(live: DataFrame, stored: DataFrame) -> DataFrame:
