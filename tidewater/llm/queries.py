@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, language_id, mixing, sharding, simhash, substring_dedup, token_store, toxicity
+from . import (byte_bpe, centroid_clusters, chat_format, decontaminate, embedding_dedup, language_id, mixing, sharding, simhash, substring_dedup, token_store,
+    toxicity, vector_codes)
 from .shared import table
 
 
@@ -53,10 +54,25 @@ def op10_block_anchors(spark, d):
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, d, "documents")))
 
 
+def op11_byte_bpe(spark, d):
+    import public_tokenizers
+
+    return byte_bpe.digest(byte_bpe.round_trip(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+def op12_adaptive_bounds(spark, d):
+    return centroid_clusters.clusters(table(spark, d, "embeddings"))[0]
+
+
+def op13_partial_distance(spark, d):
+    return vector_codes.digest(*vector_codes.encode(table(spark, d, "embeddings")))
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_token_store, op5_projection_forest, op4_rank_order, op6_poisson_mix,
-    op7_stratified_shards, op8_simhash, op9_winnowing, op10_block_anchors)}
+    op7_stratified_shards, op8_simhash, op9_winnowing, op10_block_anchors, op11_byte_bpe, op12_adaptive_bounds, op13_partial_distance)}
 ORACLES = {
     "op1_chat_format": chat_format.SQL, "op4_rank_order": language_id.SQL, "op5_projection_forest": embedding_dedup.SQL,
         "op6_poisson_mix": mixing.SQL, "op7_stratified_shards": sharding.SQL, "op8_simhash": simhash.SQL,
     "op9_winnowing": decontaminate.SQL, "op10_block_anchors": substring_dedup.SQL,
+    "op12_adaptive_bounds": centroid_clusters.SQL, "op13_partial_distance": vector_codes.SQL,
 }
