@@ -1,8 +1,6 @@
 """Log parsing as Column expressions: timestamp, cleaned message, level, structured field. No Python runs on the executors."""
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Level names by rising severity.
@@ -38,26 +36,6 @@ SGR = r"\x1b\[[0-9;]*m"
 _SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-def re2_to_java(pattern: str) -> str:
-    """A user's RE2 pattern in Java's dialect; what RE2 lacks is refused."""
-    if re.search(r"(?<!\\)(?:\\\\)*(?:\\[1-9]|\(\?<?[=!]|\(\?>)", pattern):
-        raise ValueError(f"back references and look-arounds are not supported: {pattern!r}")
-    out = re.sub(r"\(\?P<", "(?<", pattern)
-    out = re.sub(r"(?<!\\)((?:\\\\)*)\\b", r"\1(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))", out)
-    parts, in_class = [], False
-    i = 0
-    while i < len(out):
-        c = out[i]
-        if c == "\\" and i + 1 < len(out):
-            parts.append(out[i : i + 2])
-            i += 2
-            continue
-        in_class = (c == "[" or in_class) and not (c == "]" and in_class)
-        parts.append(r"\z" if c == "$" and not in_class else c)
-        i += 1
-    return "(?d)" + "".join(parts).replace("(?i)", "(?iu)")
-
-
 def trim(c: Column) -> Column:
     """Unicode white space from both ends."""
     return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+\z", "")

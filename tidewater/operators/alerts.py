@@ -1,13 +1,20 @@
 """Alert rules: predicates, count in a window with a cooldown, reasons, history. Event time is used, so a replay gives the same alerts."""
 from __future__ import annotations
 
+from collections import deque
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tidewater.functions.format import in_project, stable_id, whole
-from tidewater.functions.parse import re2_to_java, sample, severity
+from tidewater.functions.parse import LEVELS, sample, severity
+from tidewater.functions.patterns import re2_to_java
+
+from tidewater.sources.scratch import written
 
-from .running import running_sum
+from .chains import CHUNK, chain
+from .running import SLICE_ROWS, running_sum
 
 # Defaults and limits of rules.
 DEFAULT_WINDOW_S, DEFAULT_COOLDOWN_S, OOM_DIE_S = 60, 300, 10
@@ -16,6 +23,9 @@ EVENT_ACTIONS = ["start", "die", "oom", "destroy", "rename", "health_status"]
 # Actions of the lifecycle stream.
 LIFECYCLE_ACTIONS = ["create", "start", "stop", "die", "restart", "pause", "unpause", "destroy", "rename", "health_status"]
 MOST_ALERTS = 500
+# columns of a compiled rule
+RULE_COLUMNS = ("id string, name string, enabled boolean, type string, hosts array<string>, containers array<string>, projects array<string>, events array<string>, "
+                "min_level string, pattern string, threshold int, window_s int, cooldown_s int, rule_version bigint")
 
 
 def check_rules(rules: list[dict]) -> list[dict]:
@@ -41,7 +51,7 @@ def at_most(df: DataFrame, n: int, what: str) -> None:
 
 
 def compiled(rules: DataFrame, kind: str) -> DataFrame:
-    """Enabled rules of a kind with their defaults; over MOST_RULES rules are an error, so what is broadcast is bounded."""
+    """Enabled rules of a kind with their defaults; over MOST_RULES rules are an error."""
     at_most(rules, MOST_RULES, "rules")
     d = rules.filter((F.col("enabled")) & (F.col("type") == kind))
     whole_rule = ("type", "hosts", "containers", "projects", "events", "min_level", "pattern", "threshold", "window_s", "cooldown_s")
@@ -51,26 +61,56 @@ def compiled(rules: DataFrame, kind: str) -> DataFrame:
     })
 
 
-def target_matches(hosts: Column, names: Column, projects: Column, host: Column, name: Column, labels: Column) -> Column:
+def _usable(rules: DataFrame, kind: str) -> tuple[list[Row], list[str | None], list[tuple[str, str]]]:
+    """Rules of a kind, their patterns in Java's dialect, and (id, reason) of those whose pattern is none: they are left out, others go on."""
+    good, patterns, bad = [], [], []
+    for r in compiled(rules, kind).collect():  # MOST_RULES at most
+        try:
+            patterns.append(re2_to_java(r.pattern) if r.pattern else None)
+            good.append(r)
+        except ValueError as e:
+            bad.append((r.id, str(e)))
+    return good, patterns, bad
+
+
+def rejected_rules(rules: DataFrame) -> DataFrame:
+    """rule_id and reason of enabled rules that can't be used, as their pattern is no pattern."""
+    bad = [x for kind in ("log", "event") for x in _usable(rules, kind)[2]]
+    return rules.sparkSession.createDataFrame(bad, "rule_id string, reason string")
+
+
+def target_matches(hosts: list[str], names: list[str], projects: list[str], host: Column, name: Column, labels: Column) -> Column:
     """Hosts AND (names OR projects); an empty dimension matches all."""
-    by_name = F.array_contains(names, name)
-    by_project = F.exists(projects, lambda p: in_project(labels, p))
-    return ((F.size(hosts) == 0) | F.array_contains(hosts, host)) & (((F.size(names) == 0) & (F.size(projects) == 0)) | by_name | by_project)
+    cond = host.isin(hosts) if hosts else F.lit(True)
+    of = [name.isin(names)] if names else []
+    of += [in_project(labels, F.lit(x)) for x in projects]
+    return cond & reduce(Column.__or__, of) if of else cond
 
 
-def entry_matches(rule_level: Column, rule_pattern: Column, level: Column, message: Column, raw: Column) -> Column:
-    floor = F.greatest(severity(rule_level), F.lit(1).cast("tinyint"))
-    by_level = (F.coalesce(rule_level, F.lit("")) == "") | (severity(level) >= floor)
-    by_pattern = (F.coalesce(rule_pattern, F.lit("")) == "") | F.rlike(message, rule_pattern) | F.rlike(raw, rule_pattern)
-    return by_level & by_pattern
+def entry_matches(min_level: str | None, pattern: str | None, level: Column, message: Column, raw: Column) -> Column:
+    """pattern: in Java's dialect. It is a literal, so it is compiled once and not for each row."""
+    cond = F.lit(True)
+    if min_level:
+        floor = LEVELS.index(min_level) if min_level in LEVELS else 0
+        cond = severity(level) >= F.lit(max(floor, 1)).cast("tinyint")
+    return cond & (message.rlike(pattern) | raw.rlike(pattern)) if pattern else cond
+
+
+def _by_rule(d: DataFrame, rules: list[Row], conditions: list[Column], columns: dict[str, str]) -> DataFrame:
+    """A row for each row of d and rule that matches it, with the rule's columns. Conditions are evaluated in one pass."""
+    spark, schema = d.sparkSession, [x.strip() for x in RULE_COLUMNS.split(",")]
+    table = spark.createDataFrame([(i, *[getattr(r, c.split()[0]) for c in schema]) for i, r in enumerate(rules)], f"rule_no_ int, {RULE_COLUMNS}")
+    numbers = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)])) if rules else F.array().cast("array<int>")
+    d = d.select("*", F.explode(numbers).alias("rule_no_"))
+    return d.join(F.broadcast(table.withColumnsRenamed(columns)), "rule_no_").drop("rule_no_")  # MOST_RULES rows at most
 
 
 def log_matches(rules: DataFrame, records: DataFrame) -> DataFrame:
-    """Physical lines, never folded, against every log rule; rules are bounded, so this is a filter with a broadcast list."""
-    r = compiled(rules, "log").withColumnsRenamed({"id": "rule_id", "name": "rule_name"})
-    on = target_matches(F.col("hosts"), F.col("containers"), F.col("projects"), F.col("host"), F.col("container_name"), F.col("labels"))
-    on = on & entry_matches(F.col("min_level"), F.col("pattern"), F.col("level"), F.col("message"), F.col("raw"))
-    d = records.join(F.broadcast(r), on)
+    """Physical lines, never folded, against every log rule; a rule whose pattern is invalid matches nothing (see rejected_rules)."""
+    good, patterns, _ = _usable(rules, "log")
+    on = [target_matches(r.hosts, r.containers, r.projects, F.col("host"), F.col("container_name"), F.col("labels"))
+          & entry_matches(r.min_level, p, F.col("level"), F.col("message"), F.col("raw")) for r, p in zip(good, patterns)]
+    d = _by_rule(records, good, on, {"id": "rule_id", "name": "rule_name"})
     return d.withColumn("sample", sample(F.col("message"), F.col("raw"))).withColumn("key", F.concat_ws("|", "rule_id", "host", "container_name"))
 
 
@@ -124,21 +164,25 @@ def event_matches(rules: DataFrame, events: DataFrame) -> DataFrame:
     rules that watch both. Events that come with last_oom (the streaming form adds it) are taken as they are."""
     d = events if "last_oom" in events.columns else with_last_oom(events)
     d = d.withColumn("container_name", F.regexp_replace("container_name", "^/", ""))
-    r = compiled(rules, "event").withColumnsRenamed({"id": "rule_id", "name": "rule_name", "events": "watched"})
-    on = F.array_contains("watched", F.col("what")) & target_matches(F.col("hosts"), F.col("containers"), F.col("projects"), F.col("host"),
-        F.col("container_name"), F.col("labels"))
-    d = d.join(F.broadcast(r), on)
+    good, _, _ = _usable(rules, "event")
+    on = [F.col("what").isin(r.events) & target_matches(r.hosts, r.containers, r.projects, F.col("host"), F.col("container_name"), F.col("labels")) for r in good]
+    d = _by_rule(d, good, on, {"id": "rule_id", "name": "rule_name", "events": "watched"})
     pair = (F.col("what") == "die") & F.array_contains("watched", F.lit("oom")) & F.col("last_oom").isNotNull()
     return d.filter(~pair).withColumn("key", F.concat_ws("|", "rule_id", "host", "container_name"))
 
 
-def count_in_window(matches: DataFrame, at: str = "at_s", tie: str = "match_id", slice_s: int = 86_400) -> DataFrame:
-    """Without a cooldown: whether the threshold-th last match lies within the window. Matches are numbered by slices of time, and
-    each is joined with the one `threshold` - 1 before it by number, so a noisy key is spread like any other."""
-    d = running_sum(matches, ["key"], whole(F.col(at), slice_s), [at, tie], F.lit(1), "no_")
+def numbered(matches: DataFrame, at: str = "at_s", tie: str = "match_id", slice_s: int = 86_400) -> DataFrame:
+    """Adds no_, a match's number within its key by time, from 0, and trips: whether the threshold-th last match lies within the window.
+    Each match is joined with the one `threshold` - 1 before it by number, so a noisy key is spread like any other."""
+    d = running_sum(matches, ["key"], None, [at, tie], F.lit(1), "no_", unit=slice_s)
     then = d.select(F.col("key").alias("key_"), (F.col("no_") + F.col("threshold") - 1).alias("no2_"), F.col(at).alias("then_"))
     d = d.join(then, (F.col("key") == F.col("key_")) & (F.col("no_") == F.col("no2_")), "left")
-    return d.withColumn("trips", F.coalesce(F.col(at) - F.col("then_") <= F.col("window_s"), F.lit(False))).drop("no_", "key_", "no2_", "then_")
+    return d.withColumn("trips", F.coalesce(F.col(at) - F.col("then_") <= F.col("window_s"), F.lit(False))).drop("key_", "no2_", "then_")
+
+
+def count_in_window(matches: DataFrame, at: str = "at_s", tie: str = "match_id", slice_s: int = 86_400) -> DataFrame:
+    """Without a cooldown: whether the threshold-th last match lies within the window."""
+    return numbered(matches, at, tie, slice_s).drop("no_")
 
 
 class RuleWindow:
@@ -146,17 +190,18 @@ class RuleWindow:
 
     def __init__(self, threshold: int, window: int, cooldown: int, times=(), last=None, swallowed: int = 0):
         self.threshold, self.window, self.cooldown = threshold, window, cooldown
-        self.times, self.last, self.swallowed = list(times), last, swallowed
+        self.times, self.last, self.swallowed = deque(times, threshold), last, swallowed
 
     def match(self, now: int) -> int | None:
         """The swallowed count if this match fires, else None."""
-        self.times = [*self.times, now][-self.threshold :]
+        self.times.append(now)
         if len(self.times) < self.threshold or now - self.times[0] > self.window:
             return None
         if self.last is not None and now - self.last < self.cooldown:
             self.swallowed += 1
             return None
-        out, self.times, self.last, self.swallowed = self.swallowed, [], now, 0
+        out, self.last, self.swallowed = self.swallowed, now, 0
+        self.times.clear()
         return out
 
 
@@ -176,10 +221,40 @@ def _fire(batches):
         yield pd.DataFrame(out, columns=["key", "at_s", "suppressed", "match_id"]).astype({"at_s": "int64", "suppressed": "int32", "match_id": "int64"})
 
 
-def fire(matches: DataFrame) -> DataFrame:
-    """matches: key, at_s, match_id, threshold, window_s, cooldown_s. The matches that fire."""
-    m = matches.select("key", "at_s", "match_id", "threshold", "window_s", "cooldown_s")
-    return m.repartition("key").sortWithinPartitions("key", "at_s", "match_id").mapInPandas(_fire, FIRED)
+def fire(matches: DataFrame, slice_s: int = 86_400, chunk: int = CHUNK) -> DataFrame:
+    """matches: key, at_s, match_id, threshold, window_s, cooldown_s. The matches that fire, and the trips swallowed before each.
+
+    Keys of up to `chunk` matches are gone through one by one; a key that holds more is `fire_by_pointers`' work.
+    """
+    m, _ = written(matches.select("key", "at_s", "match_id", "threshold", "window_s", "cooldown_s"), "matches")
+    noisy, _ = written(m.groupBy("key").count().filter(F.col("count") > chunk).select("key"), "noisy")
+    step = lambda d: d.repartition("key").sortWithinPartitions("key", "at_s", "match_id").mapInPandas(_fire, FIRED)
+    if noisy.isEmpty():
+        return step(m)
+    return step(m.join(noisy, "key", "left_anti")).unionByName(fire_by_pointers(m.join(noisy, "key", "left_semi"), slice_s, chunk))
+
+
+def fire_by_pointers(m: DataFrame, slice_s: int = 86_400, chunk: int = CHUNK) -> DataFrame:
+    """The same, without going through a key in one task. After an alert at match i, the next one is the first match that trips, is at least
+    `threshold` matches after i (the window begins anew) and at least the cooldown later; the trips between were swallowed. So each trip has
+    a pointer to the trip that would follow it if it were an alert, and the alerts are the chain of pointers from the key's first trip
+    (`chains.chain`). Pointers come from running counts of trips over slices: by number for the threshold, by time for the cooldown.
+    """
+    trips = numbered(m, slice_s=slice_s).filter("trips").select("key", "at_s", "match_id", "no_", "threshold", "cooldown_s")
+    trips, _ = written(trips, "trips")
+    row = lambda kind, pos, n: trips.select("key", "no_", F.lit(kind).alias("kind_"), pos.cast("bigint").alias("pos_"), F.lit(n).alias("n_"))
+    by_number = row("rank_", F.col("no_"), 1).unionByName(row("window_", F.col("no_") + F.col("threshold"), 0))
+    by_time = row("at_", F.col("at_s"), 1).unionByName(row("cool_", F.col("at_s") + F.col("cooldown_s"), 0))
+    # at an equal place, what asks comes before the trips it asks for
+    count = lambda d, unit: running_sum(d, ["key"], None, ["pos_", "n_", "no_"], F.col("n_"), "earlier_", "all_", unit)
+    asked = count(by_number, SLICE_ROWS).unionByName(count(by_time, slice_s)).filter("kind_ <> 'at_'")
+    of = lambda kind: F.max(F.when(F.col("kind_") == kind, F.col("earlier_")))
+    ranked = asked.groupBy("key", "no_").agg(of("rank_").alias("rank"), of("window_").alias("free_"), of("cool_").alias("cool_"), F.max("all_").alias("all_"))
+    follows = F.greatest("free_", "cool_")
+    d = ranked.select(F.col("key").alias("key_"), F.col("no_").alias("no2_"), "rank", F.when(follows < F.col("all_"), follows).alias("next"),
+        (follows - F.col("free_")).alias("between"))
+    d = trips.select("key", "no_", "at_s", "match_id").join(d, (F.col("key") == F.col("key_")) & (F.col("no_") == F.col("no2_"))).drop("key_", "no2_", "no_")
+    return chain(d, chunk).select("key", "at_s", F.coalesce("carried", F.lit(0)).cast("int").alias("suppressed"), "match_id")
 
 
 # The reasons' texts.

@@ -3,8 +3,8 @@
 A line folds into the entry before it if its level is unknown, neither line is blank, and it is a `key: value` field, or a stack
 line after a problem. The rule needs no recursion: an entry keeps its head's level, so a line's anchor is the last sure head.
 
-A container's timeline is not sorted in one task. It is cut into slices of time; each slice is a window partition of its own, and
-what passes a slice's edge (the last line, the last sure head, the last head) comes from one summary row per slice.
+A container's timeline is not sorted in one task. It is cut into slices of a bounded number of rows; each is a window partition of its own,
+and what passes a slice's edge (the last line, the last sure head, the last head) comes from one summary row per slice.
 """
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewater.functions.parse import PROBLEM, is_stack_line, structured_field, trim, with_parsed
 
-from .running import DAY_NS, day
+from .running import DAY_NS, with_slices
 
 KEY = ["host", "name"]
 
@@ -56,10 +56,11 @@ def _breaks(prev: Column, container_id: Column) -> Column:
     return prev.isNull() | ~prev["container_id"].eqNullSafe(container_id) | prev["blank_"]
 
 
-def mark_heads(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS) -> DataFrame:
-    """Adds anchor: struct(ts_ns, rowid) of the head of each line's entry, is_head, and plain_head: a head whatever lies before it."""
+def mark_heads(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS, lines: DataFrame | None = None) -> DataFrame:
+    """Lines as `parse` gives them; lines: what was parsed, where it has keys and ts_ns, so that counting them needs no parsing. Adds anchor: struct(ts_ns, rowid) of the head of each line's entry, is_head, and plain_head: a head whatever lies before it."""
     field, _ = structured_field(F.col("message"))
-    d = parsed.withColumns({"slice_": day("ts_ns", slice_ns), "blank_": trim(F.col("message")) == "", "field_": field.isNotNull(), "stack_": is_stack_line(F.col("message"))})
+    d = with_slices(parsed, keys, "ts_ns", slice_ns, counted=lines)
+    d = d.withColumns({"blank_": trim(F.col("message")) == "", "field_": field.isNotNull(), "stack_": is_stack_line(F.col("message"))})
     w = W.partitionBy(*keys, "slice_").orderBy("ts_ns", "rowid")
     plain = (F.col("level") != "UNKNOWN") | F.col("blank_") | ~(F.col("field_") | F.col("stack_"))
     d = d.withColumns({"plain_": plain, "prev_": F.lag(F.struct("container_id", "blank_")).over(w)})
@@ -76,9 +77,14 @@ def mark_heads(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS)
     return d.drop("slice_", "blank_", "field_", "stack_", "prev_", "local_", "anchor_", "tail_", "carry_level_", "sure_", "carry_head_").withColumnRenamed("plain_", "plain_head")
 
 
-def fold(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS) -> DataFrame:
+def folded(lines: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS) -> DataFrame:
+    """Entries of stored lines."""
+    return fold(parse(lines), keys, slice_ns, lines)
+
+
+def fold(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS, lines: DataFrame | None = None) -> DataFrame:
     """One row per entry: messages and raws joined by newlines, fields of the continuation lines (the last of a key wins)."""
-    d = mark_heads(parsed, keys, slice_ns)
+    d = mark_heads(parsed, keys, slice_ns, lines)
     key, value = structured_field(F.col("message"))
     part = F.struct("ts_ns", "rowid", F.when(F.col("is_head"), F.col("message")).otherwise(trim(F.col("message"))).alias("m"), "raw",
         F.when(~F.col("is_head"), key).alias("k"), value.alias("v"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewater.functions.format import compose_project, container_name, cpu_percent, in_project, short_id, whole
+from tidewater.functions.format import compose_project, container_name, cpu_percent, in_project, short_id
 
 from .running import previous, running_sum, value_slices
 
@@ -99,7 +99,7 @@ def stats_with_names(stats: DataFrame, containers: DataFrame) -> DataFrame:
 
 def cpu_between_polls(samples: DataFrame, most_age_s: int = 120, slice_width: int = 86_400) -> DataFrame:
     """cpu_percent of each sample: the engine's own window if it has one, else against the sample before, else since start."""
-    d = previous(samples, ["host", "id"], whole(F.col("at_s"), slice_width), ["at_s"], ["total_usage", "system_usage", "at_s"])
+    d = previous(samples, ["host", "id"], slice_width, ["at_s"], ["total_usage", "system_usage", "at_s"])
     own = cpu_percent(F.col("total_usage"), F.col("pre_total"), F.col("system_usage"), F.col("pre_system"), F.col("online_cpus"), F.col("per_cpu"))
     n = F.coalesce(F.nullif("online_cpus", F.lit(0)), F.nullif("per_cpu", F.lit(0)), F.lit(1))
     usable = (F.col("at_s") - F.col("prev_.at_s") < most_age_s) & (F.col("total_usage") >= F.col("prev_.total_usage")) & (F.col("system_usage") > F.col("prev_.system_usage"))
@@ -185,7 +185,7 @@ def nearest_rank(df: DataFrame, value: str, keys: list[str], at: list[float] = [
 
 def rates(df: DataFrame, value: str, at: str, keys: list[str], slice_width: int = 86_400) -> DataFrame:
     """Change per unit of `at` (an integer) against the row before; a counter's first row has none."""
-    d = previous(df, keys, whole(F.col(at), slice_width), [at], [value, at])
+    d = previous(df, keys, slice_width, [at], [value, at])
     return d.withColumn("rate", (F.col(value) - F.col("prev_")[value]) / F.nullif(F.col(at) - F.col("prev_")[at], F.lit(0))).drop("prev_")
 
 

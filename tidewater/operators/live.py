@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewater.functions.parse import re2_to_java, sample
+from tidewater.functions.parse import sample
+from tidewater.functions.patterns import ignoring_case, re2_to_java
 
-from .running import day, running_sum
+from .running import running_sum
 
 DEFAULT_TAIL, MOST_TAIL, MOST_TARGETS, MOST_LINE = 100, 10_000, 20, 1 << 20
 # What an assistant may ask for at once.
@@ -64,20 +65,17 @@ def keep(parsed: DataFrame, condition: Column) -> DataFrame:
 
 def exclude(pattern: str) -> Column:
     """Rows that the pattern does not match; an invalid pattern excludes nothing."""
-    import re
-
     try:
-        re.compile(pattern)
-        p = re2_to_java(pattern)
-    except (re.error, ValueError):
+        p = ignoring_case(pattern)
+    except ValueError:
         return F.lit(True)
-    return ~F.coalesce(sample(F.col("message"), F.col("raw")), F.lit("")).rlike("(?iu)" + p)
+    return ~F.coalesce(sample(F.col("message"), F.col("raw")), F.lit("")).rlike(p)
 
 
 def match_positions(df: DataFrame, pattern: str, order: list[str], keys: list[str]) -> DataFrame:
     """Positions (from 0, within the key) of rows whose message matches, and their matches' texts. order begins with ts_ns."""
-    p = "(?iu)" + re2_to_java(pattern)
-    d = running_sum(df, keys, day(order[0]), order, F.lit(1), "position")
+    p = ignoring_case(pattern)
+    d = running_sum(df, keys, None, order, F.lit(1), "position")
     return d.filter(F.col("message").rlike(p)).withColumn("spans", F.filter(F.regexp_extract_all("message", F.lit(p), F.lit(0)), lambda s: s != ""))
 
 
@@ -112,7 +110,7 @@ def newest_with_dropped(df: DataFrame, keys: list[str], order: list[str], n: int
 
 def raw_ranges(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First and last physical line (from 0) of each entry, an entry having 1 + continuation_count of them."""
-    d = running_sum(entries, keys, day(order[0]), order, 1 + F.col("continuation_count"), "raw_first")
+    d = running_sum(entries, keys, None, order, 1 + F.col("continuation_count"), "raw_first")
     return d.withColumn("raw_last", F.col("raw_first") + F.col("continuation_count"))
 
 

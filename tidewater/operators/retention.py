@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .fold import KEY
-from .running import DAY_NS, day, running_sum
+from .running import DAY_NS, running_sum
 
 MB = 1 << 20
 CHUNK_ROWS = 5000
@@ -23,7 +23,7 @@ def group_bytes(lines: DataFrame, keys: list[str] = KEY) -> DataFrame:
 
 def evicted_by_cap(lines: DataFrame, cap: int | Column, keys: list[str] = KEY, slice_ns: int = DAY_NS) -> DataFrame:
     """Lines with `evict`: true where the bytes before the line are fewer than what its container has in excess of the cap."""
-    d = running_sum(lines, keys, day("ts_ns", slice_ns), ["ts_ns", "rowid"], line_bytes(), "before_bytes_", "all_bytes_")
+    d = running_sum(lines, keys, None, ["ts_ns", "rowid"], line_bytes(), "before_bytes_", "all_bytes_", slice_ns)
     return d.withColumn("evict", F.col("before_bytes_") < F.col("all_bytes_") - cap).drop("before_bytes_", "all_bytes_")
 
 
@@ -37,10 +37,10 @@ def trim_total(lines: DataFrame, cap: int, chunk_rows: int = CHUNK_ROWS) -> Data
     Every container's lines are cut into chunks of chunk_rows, oldest first. Chunks go in the order of their first times, so one
     ordered pass over the chunks replaces the loop; only the last chunk is cut by line.
     """
-    d = running_sum(lines, KEY, day(), ["ts_ns", "rowid"], F.lit(1), "row_")
+    d = running_sum(lines, KEY, None, ["ts_ns", "rowid"], F.lit(1), "row_")
     d = d.withColumns({"bytes_": line_bytes(), "chunk_": F.floor(F.col("row_") / chunk_rows)}).drop("row_")
     chunks = d.groupBy(*KEY, "chunk_").agg(F.sum("bytes_").alias("b_"), F.min("ts_ns").alias("t_"))
-    chunks = running_sum(chunks, [], day("t_"), ["t_", *KEY, "chunk_"], F.col("b_"), "older_", "total_bytes_")
+    chunks = running_sum(chunks, [], None, ["t_", *KEY, "chunk_"], F.col("b_"), "older_", "total_bytes_")
     chunks = chunks.withColumn("left_", F.col("total_bytes_") - F.lit(cap) - F.col("older_"))
     chunks = chunks.select(*[F.col(k).alias(f"{k}_") for k in KEY], F.col("chunk_").alias("chunk2_"), "left_")
     d = d.join(chunks, [F.col(k) == F.col(f"{k}_") for k in KEY] + [F.col("chunk_") == F.col("chunk2_")])

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewater.functions.parse import LEVELS, re2_to_java
-from tidewater.operators.fold import DAY_NS, fold, parse
+from tidewater.functions.parse import LEVELS
+from tidewater.functions.patterns import ignoring_case
+from tidewater.operators.fold import DAY_NS, folded
 from tidewater.operators.ingest import on_days
 
 DEFAULT_LIMIT, MOST_LIMIT = 500, 1000
@@ -90,15 +91,14 @@ def matches(q: HistoryQuery) -> Column:
         wanted = sorted({LEVELS.index(x.upper()) if x.upper() in LEVELS else 0 for x in q.levels})
         cond = F.col("severity").isin(wanted)
     if q.search and q.regex:
-        re.compile(re2_to_java(q.search).replace("(?d)", "").replace("(?iu)", "").replace(r"\z", r"\Z"))
-        cond = cond & F.col("message").rlike("(?iu)" + re2_to_java(q.search))
+        cond = cond & F.col("message").rlike(ignoring_case(q.search))
     elif q.search:
         cond = cond & F.contains(F.lower("message"), F.lit(q.search.lower()))
     return cond
 
 
 def entries(lines: DataFrame, q: HistoryQuery, slice_ns: int = DAY_NS) -> DataFrame:
-    return fold(parse(scan(lines, q)), ["host", "name"] if q.host else ["name"], slice_ns).filter(matches(q))
+    return folded(scan(lines, q), ["host", "name"] if q.host else ["name"], slice_ns).filter(matches(q))
 
 
 def newest_days(lines: DataFrame, q: HistoryQuery, want: int, slice_ns: int = DAY_NS) -> DataFrame:
@@ -111,7 +111,7 @@ def newest_days(lines: DataFrame, q: HistoryQuery, want: int, slice_ns: int = DA
     k = 1
     while True:
         part = lines if k >= len(days) else lines.filter(F.col("day") >= F.lit(days[k - 1]))
-        all_ = fold(parse(scan(part, q)), ["host", "name"] if q.host else ["name"], slice_ns)
+        all_ = folded(scan(part, q), ["host", "name"] if q.host else ["name"], slice_ns)
         if k >= len(days):
             return all_.filter(matches(q))
         all_ = all_.persist()

@@ -29,7 +29,7 @@ def parse_timestamps(spark, d):
 
 
 def folded_entries(spark, d):
-    e = fold_.fold(_parsed(spark, d))
+    e = fold_.folded(a.log_lines(spark, d))
     return e.select("host", "name", "rowid", "ts_ns", "level", "message", "continuation_count", F.array_join(F.array_sort(F.map_keys("fields")), ",").alias("keys"))
 
 
@@ -79,7 +79,7 @@ def match_positions(spark, d):
 
 
 def raw_ranges(spark, d):
-    e = live.raw_ranges(fold_.fold(_parsed(spark, d)), ["host", "name"], ["ts_ns", "rowid"])
+    e = live.raw_ranges(fold_.folded(a.log_lines(spark, d)), ["host", "name"], ["ts_ns", "rowid"])
     return e.select("host", "name", "rowid", "raw_first", "raw_last")
 
 

@@ -5,7 +5,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -45,6 +45,13 @@ def _delete_at_exit(spark, path):
         pass
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, written and read again: lineage ends there. The path is for `delete`, once they aren't needed."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     atexit.register(_delete_at_exit, spark, path)
