@@ -126,6 +126,15 @@ def test_substring_removal_equals_brute_force(spark, corpus, monkeypatch):
     assert substring_dedup.remove_repeats(docs(spark, corpus).limit(0)).count() == 0
     twice = substring_dedup.remove_repeats(docs(spark, [(1, "a b " * 30), (1, "a b " * 30), (None, "q " * 40)])).collect()
     assert sorted((r.doc_id is None, r.n_removed) for r in twice) == [(False, 58), (False, 60), (True, 39)]
+    rng = random.Random(21)  # equal doc_ids, null ones and the smallest long, whatever chunks they lie in
+    passages = [words(rng, 25) for _ in range(4)]
+    rows = [(rng.choice([1, 1, 2, -(1 << 63), None]), " ".join(rng.choice([*passages, words(rng, 5)]) for _ in range(rng.randint(1, 4)))) for _ in range(60)]
+    rows += [(1, "a a a a a " + passages[0]), (1, passages[0] + " zzz")]
+    want = sorted(substring_dedup.brute_force(rows), key=str)
+    for size, parts in ((2 << 20, 1), (2 << 20, 7), (60, 3)):
+        monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", size)
+        got = substring_dedup.digest(substring_dedup.remove_repeats(docs(spark, rows).repartition(parts)))
+        assert sorted(map(tuple, got.collect()), key=str) == want
 
 
 def test_forest_equals_brute_force(spark):

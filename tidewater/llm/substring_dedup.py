@@ -8,14 +8,14 @@ copy wherever it starts, so probes that meet no anchor of another place rule out
    are anchors that are probed from elsewhere too.
 2. Chunks extend these hits: windows whose anchors are all hit are candidates, and runs of them are the maximal repeats. Their
    128-bit window hashes go to buckets, each chunk's first place of a window with it; the bucket tells a chunk which of its windows
-   start there first of all (smallest doc_id, then smallest start).
+   start there first of all (smallest doc_id, then smallest hash of the text, then smallest start).
 3. Every candidate window that isn't the first is removed.
 
 A window that lies in a third of all rows costs a bucket one entry for each chunk, not for each row. Buckets grow in number with
 the input, so their size doesn't. Shuffle files of a step are cleaned up when its result is written.
 
-Defined cases: null and short texts lose nothing; rows with equal doc_ids are ordered by text; equal rows: the later ones lose all
-of their windows; empty input gives no rows; other columns are not returned. Windows count as equal by two independent 64-bit
+Defined cases: null and short texts lose nothing; rows with equal doc_ids are ordered by a 64-bit hash of the text, in chunks and buckets
+alike, so results don't depend on partitions; equal rows: all but one lose all of their windows; null doc_ids come first; empty input gives no rows; other columns are not returned. Windows count as equal by two independent 64-bit
 hashes of their words: among 10^13 windows, an unequal pair is taken for equal with a chance of about 10^-13.
 """
 from __future__ import annotations
@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import inside, is_not_space, materialize, ngram_hashes, row_slices, small_batches, split_words
@@ -35,7 +36,7 @@ CHUNK_BYTES = 2 << 20
 CHUNKS_PER_BUCKET = 8
 LEAST_BUCKETS = 16
 _HALF = np.uint64(32)
-#: Stands for a null doc_id, which comes first.
+#: Stands for a null doc_id in the order.
 NULL_ID = -(1 << 63)
 
 
@@ -166,25 +167,30 @@ def _hits(row, texts):
     return c, c.candidates(hit, many)
 
 
-def _firsts(c: Chunk, ids, texts, at):
+def _firsts(c: Chunk, ids, ties, at):
     """Of a chunk's candidate windows: sorted distinct hashes, and where each starts first."""
     full, full2 = ngram_hashes(c.words.hash, WINDOW)[at], ngram_hashes(c.words.hash2, WINDOW)[at]
     doc = np.searchsorted(c.words.bounds, at, side="right") - 1
-    rank = _document_order(ids, texts)
+    rank = _document_order(ids, ties)
     order = np.lexsort((at, rank[doc], full2, full))
     s, s2 = full[order], full2[order]
     new = np.flatnonzero(np.concatenate((s[:1] == s[:1], (s[1:] != s[:-1]) | (s2[1:] != s2[:-1]))))
     return s[new], s2[new], order[new], doc
 
 
-def _document_order(ids, texts) -> np.ndarray:
-    """Rank of each document by (doc_id, text)."""
+def text_hash(text: str | None) -> int:
+    """What orders documents of one doc_id."""
+    return xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63)
+
+
+def _hashes(texts) -> np.ndarray:
+    return np.fromiter((text_hash(t.as_py()) for t in texts), np.int64, len(texts))
+
+
+def _document_order(ids, ties) -> np.ndarray:
+    """Rank of each document by (doc_id, hash of the text)."""
     rank = np.empty(len(ids), np.int64)
-    if len(np.unique(ids)) == len(ids):
-        rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-    else:
-        t = texts.to_pylist()
-        rank[sorted(range(len(ids)), key=lambda i: (ids[i], t[i] or ""))] = np.arange(len(ids))
+    rank[np.lexsort((ties, ids))] = np.arange(len(ids))
     return rank
 
 
@@ -194,25 +200,26 @@ def _windows(buckets):
             c, at = _hits(row, texts)
             if not len(at):
                 continue
-            h, h2, first, doc = _firsts(c, ids, texts, at)
+            ties = _hashes(texts)
+            h, h2, first, doc = _firsts(c, ids, ties, at)
             k = _bucket(h, buckets)
             cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             cuts = np.append(cut, len(h))
             yield pa.RecordBatch.from_arrays([
                 pa.array(k[cut]), pa.array(np.full(len(cut), row.column("chunk")[0].as_py(), np.int64)),
                 _lists(h.view(np.int64), cuts, pa.int64()), _lists(h2.view(np.int64), cuts, pa.int64()), _lists(ids[doc[first]], cuts, pa.int64()),
-                _lists((at[first] - c.words.bounds[doc[first]]).astype(np.int32), cuts, pa.int32()),
-            ], names=["bucket", "chunk", "hashes", "hashes2", "docs", "starts"])
+                _lists(ties[doc[first]], cuts, pa.int64()), _lists((at[first] - c.words.bounds[doc[first]]).astype(np.int32), cuts, pa.int32()),
+            ], names=["bucket", "chunk", "hashes", "hashes2", "docs", "ties", "starts"])
     return run
 
 
 def _earliest(t: pa.Table) -> pa.Table:
     """Of one bucket: for each chunk, whether its first place of a window is the first of all."""
     flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy()
-    h, h2, docs, starts = flat("hashes"), flat("hashes2"), flat("docs"), flat("starts")
+    h, h2, docs, ties, starts = flat("hashes"), flat("hashes2"), flat("docs"), flat("ties"), flat("starts")
     sizes = t.column("hashes").combine_chunks().value_lengths().to_numpy()
     chunk = np.repeat(t.column("chunk").to_numpy(), sizes)
-    order = np.lexsort((chunk, starts, docs, h2, h))
+    order = np.lexsort((chunk, starts, ties, docs, h2, h))
     s, s2 = h[order], h2[order]
     first = np.concatenate((s[:1] == s[:1], (s[1:] != s[:-1]) | (s2[1:] != s2[:-1])))
     said = np.zeros(len(h), np.int8)
@@ -228,7 +235,7 @@ def _remove(batches):
         n = len(c.words.hash)
         gone = np.zeros(n + 1, np.int64)
         if len(at):
-            _, _, first, _ = _firsts(c, ids, texts, at)
+            _, _, first, _ = _firsts(c, ids, _hashes(texts), at)
             repeat = np.ones(len(at), bool)
             repeat[first[_answers(row, "firsts") > 0]] = False
             np.add.at(gone, at[repeat], 1)
@@ -242,7 +249,7 @@ def _remove(batches):
                 words = [w for w, g in zip(words, covered[b[i] : b[i + 1]].tolist()) if not g]
             out.append(b" ".join(words).decode())
         yield pa.RecordBatch.from_arrays([
-            pa.array([None if x == NULL_ID else x for x in ids.tolist()], pa.int64()), pa.array(np.diff(b), pa.int64()),
+            row.column("ids").flatten(), pa.array(np.diff(b), pa.int64()),
             pa.array(removed[b[1:]] - removed[b[:-1]], pa.int64()), pa.array(out, pa.string()),
         ], names=["doc_id", "n_words", "n_removed", "kept"])
 
@@ -260,7 +267,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sent = chunks.mapInArrow(_anchors(buckets), "bucket long, chunk long, hashes array<int>, kinds array<tinyint>")
     hits, _ = _reply(sent.groupBy("bucket").applyInArrow(_meet, kind), "hits")
     with_hits = chunks.join(hits, F.col("chunk") == F.col("chunk_"), "left").drop("chunk_")
-    sent = with_hits.mapInArrow(_windows(buckets), "bucket long, chunk long, hashes array<long>, hashes2 array<long>, docs array<long>, starts array<int>")
+    sent = with_hits.mapInArrow(_windows(buckets), "bucket long, chunk long, hashes array<long>, hashes2 array<long>, docs array<long>, ties array<long>, starts array<int>")
     firsts, _ = _reply(sent.groupBy("bucket").applyInArrow(_earliest, kind), "firsts")
     both = with_hits.join(firsts, F.col("chunk") == F.col("chunk_"), "left").drop("chunk_")
     return both.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
@@ -275,7 +282,7 @@ def brute_force(docs: list[tuple]) -> list[tuple]:
     import re
 
     seen, out = set(), []
-    for doc, text in sorted(docs):
+    for doc, text in sorted(docs, key=lambda r: (NULL_ID if r[0] is None else r[0], text_hash(r[1]))):
         w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
         gone = set()
         for i in range(len(w) - WINDOW + 1):
