@@ -2,7 +2,7 @@
 
 Every token is a lattice of what its characters may stand for: a sign for letters or for itself (l0ser), a repeated letter for one or
 two (looser, loooser), any other character within it for nothing or for a gap between words (l.o.s.e.r, you-loser). So is every run of
-tokens of one character each (l 0 s e r), where a space stands for nothing or for a gap. The Viterbi path under a character 4-gram
+tokens of one character each (l 0 s e r) and of up to three (stu pid, l-o s e-r), where a space stands for nothing or for a gap. The Viterbi path under a character 4-gram
 model, trained on the words of all documents, is the restored text. A token of letters without a doubled one has a single path
 and is its own restoration; that is the only one that isn't decoded. A sparse logistic model over words and word stems scores the
 restored text, in training as in use; the text as it stands isn't looked at. A run's neighbours may be words of one letter (what a
@@ -40,6 +40,10 @@ _SINGLES = re.compile(r"(?<!\S)[.,;:?\"'()\[\]{}<>]*[^\s.,;:?\"'()\[\]{}<>][.,;:
 #: that vanishes, several spaces that do.
 SIGN, ITSELF, DOUBLED, VANISHED, SPACES = 1.0, 3.0, 2.0, 0.5, 3.0
 ORDER = 28
+_PIECE = r"[\"'(\[]*[^\s.,;:?\"'()\[\]{}<>]{1,3}[.,;:?\"')\]!]*"
+_PIECES = re.compile(rf"(?<!\S){_PIECE}(?:\s+{_PIECE}(?!\S))+")
+_LONE = re.compile(r"\S(?:\s+\S)*")
+_SAME = re.compile(r"(.)\1+")
 _CODES: list[np.ndarray] = []
 
 
@@ -170,9 +174,19 @@ class Decoder:
                 out += self.decode(part).split()
         return out
 
+    def piece_runs(self, text: str) -> set[str]:
+        """Runs of tokens of up to three characters, each without its edges; runs of single characters are `run_words`' matter."""
+        out = set()
+        for m in set(_PIECES.findall(text)):
+            run = " ".join([bare(x) for x in m.split()])
+            if not _LONE.fullmatch(run):
+                out.add(run)
+        return out
+
     def words(self, text: str) -> set[str]:
         text = text.lower()
-        return {w for t in set(text.split()) for w in self.token_words(t)} | set(self.run_words(text))
+        pieces = {w for run in self.piece_runs(text) for w in self.decode(run).split()}
+        return {w for t in set(text.split()) for w in self.token_words(t)} | set(self.run_words(text)) | pieces
 
 
 def _spelled(path) -> str:
@@ -184,10 +198,21 @@ def _spelled(path) -> str:
 
 
 class Features:
-    """Words and stems of a restored text, of those wanted (None: all); what a token gives is kept in a cache of bounded size."""
+    """Words and stems of a restored text, of those wanted (None: all); what a token gives is kept in a cache of bounded size.
+
+    A run of pieces is decoded only if it may give something wanted. Of letters alone, all that it can give is its letters without some
+    spaces and doubled letters, so with both left out on both sides, what is wanted must be within it.
+    """
 
     def __init__(self, decoder: Decoder, wanted=None, most: int = 600_000):
-        self.decoder, self.wanted, self.most, self.cache = decoder, wanted, most, {}
+        self.decoder, self.wanted, self.most, self.cache, self.runs = decoder, wanted, most, {}, {}
+        self.near = None if wanted is None else re.compile("|".join(sorted({re.escape(_SAME.sub(r"\1", f.rstrip("$"))) for f in wanted})) or r"(?!)")
+
+    def of_run(self, run: str) -> tuple:
+        letters = run.replace(" ", "")
+        if self.near is not None and letters.isalpha() and not self.near.search(_SAME.sub(r"\1", letters)):
+            return ()
+        return self.of_words(self.decoder.decode(run).split())
 
     def of_words(self, words) -> tuple:
         f = features(words)
@@ -196,8 +221,9 @@ class Features:
     def __call__(self, text: str) -> set[str]:
         text = text.lower()
         tokens, cache, out = set(text.split()), self.cache, set()
-        if len(cache) > self.most:
+        if len(cache) + len(self.runs) > self.most:
             cache.clear()
+            self.runs.clear()
         for t in [t for t in tokens if t not in cache]:
             cache[t] = self.of_words(self.decoder.token_words(t))
         for t in tokens:
@@ -205,6 +231,10 @@ class Features:
                 out.update(f)
         if words := self.decoder.run_words(text):
             out.update(self.of_words(words))
+        for run in self.decoder.piece_runs(text):
+            if (f := self.runs.get(run)) is None:
+                f = self.runs[run] = self.of_run(run)
+            out.update(f)
         return out
 
 
