@@ -44,17 +44,24 @@ class Transducer:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"no rank for byte {missing[0]}")
         self.length = {rank: len(token) for token, rank in ranks.items()}
-        self.children, self.ends, self.depth, self.inner, self.parts, self.seams = {}, [-1], [0], [True], {}, {}
-        for token, rank in ranks.items():
+        self.parts, self.seams = {}, {}
+        # of each trie node: the node after a byte, the token that ends there (-1: none) and whether longer ones go on
+        self.after: list[dict[int, tuple[int, int, bool]] | None] = [{}]
+        self.depth = [0]
+        for token, rank in sorted(ranks.items(), reverse=True):  # longer tokens before those they begin with
             node = 0
             for depth, b in enumerate(token, 1):
-                self.inner[node] = True
-                node = self.children.setdefault(node << 8 | b, len(self.ends))
-                if node == len(self.ends):
-                    self.ends.append(-1)
+                if self.after[node] is None:
+                    self.after[node] = {}
+                step = self.after[node].get(b)
+                if step is None:
+                    step = len(self.depth), -1, depth < len(token)
+                    self.after.append(None)
                     self.depth.append(depth)
-                    self.inner.append(False)
-            self.ends[node] = rank
+                if depth == len(token):
+                    step = step[0], rank, step[2]
+                self.after[node][b] = step
+                node = step[0]
         self._clear()
 
     def _clear(self) -> None:
@@ -124,18 +131,20 @@ class Transducer:
                 left, x = x, of_x[1]
 
     def _move(self, state: int, b: int) -> tuple[int, int]:
-        after, seam = [], -1
+        configs, seam, after, seams = [None], -1, self.after, self.seams
         for before, node in self.states[state]:
-            node = self.children.get(node << 8 | b)
-            if node is None:
+            step = after[node].get(b)
+            if step is None:
                 continue
-            if self.inner[node]:  # else no longer token begins so
-                after.append((before, node))
-            if seam < 0 and (end := self.ends[node]) >= 0:
-                fits = self.seams.get(before << 32 | end)
+            node, end, longer = step
+            if longer:
+                configs.append((before, node))
+            if end >= 0 and seam < 0:
+                fits = seams.get(before << 32 | end)
                 if self.apart(before, end) if fits is None else fits:
                     seam = end
-        configs = ((seam, 0), *after)
+        configs[0] = seam, 0
+        configs = tuple(configs)
         if len(self.states) >= self.most:
             self._clear()
             return self._state(configs), seam
