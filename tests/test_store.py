@@ -125,7 +125,7 @@ def test_streamed_ooms_and_lifecycle(spark, tmp_path):
     schema = "host string, container_id string, what string, at_s bigint"
     src = str(tmp_path / "e")
     spark.createDataFrame([("h", "a", "oom", 100), ("h", "a", "die", 105), ("h", "a", "die", 111), ("h", "b", "die", 105), ("h", "a", "die", 99)], schema).coalesce(1).write.parquet(src)
-    q = jobs.with_last_oom(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName("ooms").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = jobs.with_last_oom(spark.readStream.schema(schema).parquet(src), "0 seconds").writeStream.format("memory").queryName("ooms").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert sorted((r.container_id, r.what, r.at_s, r.last_oom or 0) for r in arrived(spark, q, "ooms", 5)) == [("a", "die", 99, 0), ("a", "die", 105, 100), ("a", "die", 111, 0), ("a", "oom", 100, 100), ("b", "die", 105, 0)]
     raw = spark.createDataFrame([("h", str(i), "container", a, {}, 5, 0) for i, a in enumerate(("create", "exec_start", "rename", "oom", "pause"))], "host string, id string, type string, action string, attributes map<string,string>, time_s bigint, time_ns bigint")
     assert sorted(r.action for r in jobs.lifecycle(raw).collect()) == ["create", "pause", "rename"]

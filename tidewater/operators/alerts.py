@@ -279,9 +279,12 @@ def event_reason(threshold: Column, what: Column, exit_code: Column, window_s: C
 
 def alerts(matches: DataFrame, fired: DataFrame, reason: Column) -> DataFrame:
     """Alert rows. The count is the rule's threshold, as the window is reset when it fires."""
-    f = fired.select("match_id", "suppressed")
-    d = matches.join(f, "match_id")
-    return d.select(stable_id(F.col("key"), F.col("at_s")).alias("id"), "rule_id", "rule_name", "type", "host", "container_id", "container_name",
+    return alert_rows(matches.join(fired.select("match_id", "suppressed"), "match_id"), reason)
+
+
+def alert_rows(fired: DataFrame, reason: Column) -> DataFrame:
+    """Of matches that fired, with all their columns and `suppressed`."""
+    return fired.select(stable_id(F.col("key"), F.col("at_s")).alias("id"), "rule_id", "rule_name", "type", "host", "container_id", "container_name",
         reason.alias("reason"), "sample", F.col("threshold").alias("count"), "suppressed", F.col("at_s").alias("fired_at"))
 
 

@@ -1,7 +1,7 @@
 """Ingestion: deduplicating insert, generation upsert, watermarks, resume points, removal marks."""
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -9,14 +9,17 @@ IDENTITY = ["host", "container_id", "ts_ns", "stream", "raw"]
 OVERLAP_NS = 2_000_000_000
 
 
+def day_of(ns: int) -> date:
+    return (datetime(1970, 1, 1) + timedelta(microseconds=ns // 1000)).date()
+
+
 def on_days(lines: DataFrame, since_ns: int | None, until_ns: int | None) -> DataFrame:
     """Of lines that are stored by day, those of the days between two times; other lines as they are."""
     if "day" not in lines.columns:
         return lines
-    day = lambda ns: (datetime(1970, 1, 1) + timedelta(microseconds=ns // 1000)).date()
     if since_ns is not None:
-        lines = lines.filter(F.col("day") >= F.lit(day(since_ns)))
-    return lines.filter(F.col("day") <= F.lit(day(until_ns))) if until_ns is not None else lines
+        lines = lines.filter(F.col("day") >= F.lit(day_of(since_ns)))
+    return lines.filter(F.col("day") <= F.lit(day_of(until_ns))) if until_ns is not None else lines
 
 
 def new_lines(batch: DataFrame, stored: DataFrame) -> DataFrame:

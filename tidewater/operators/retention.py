@@ -31,8 +31,16 @@ def trim_each(lines: DataFrame, cap: int, slice_ns: int = DAY_NS) -> DataFrame:
     return evicted_by_cap(lines, cap, slice_ns=slice_ns).filter(~F.col("evict")).drop("evict")
 
 
-def trim_total(lines: DataFrame, cap: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """While the whole is over the cap: the container with the oldest line loses its oldest lines, chunk by chunk.
+def trim_excess(lines: DataFrame, over: DataFrame) -> DataFrame:
+    """Without the oldest lines of the containers in `over` (host, name, excess_: bytes to evict at least). Lines need only hold these."""
+    d = running_sum(lines, KEY, None, ["ts_ns", "rowid"], line_bytes(), "before_bytes_")
+    o = over.select(*[F.col(k).alias(f"{k}_") for k in KEY], "excess_")
+    d = d.join(o, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in KEY], "left")
+    return d.filter(F.coalesce(F.col("before_bytes_") >= F.col("excess_"), F.lit(True))).select(*lines.columns)
+
+
+def trim_total(lines: DataFrame, cap: int, chunk_rows: int = CHUNK_ROWS, excess: int | None = None) -> DataFrame:
+    """excess: how many bytes are to go, where lines are only the oldest of the store. While the whole is over the cap: the container with the oldest line loses its oldest lines, chunk by chunk.
 
     Every container's lines are cut into chunks of chunk_rows, oldest first. Chunks go in the order of their first times, so one
     ordered pass over the chunks replaces the loop; only the last chunk is cut by line.
@@ -41,7 +49,7 @@ def trim_total(lines: DataFrame, cap: int, chunk_rows: int = CHUNK_ROWS) -> Data
     d = d.withColumns({"bytes_": line_bytes(), "chunk_": F.floor(F.col("row_") / chunk_rows)}).drop("row_")
     chunks = d.groupBy(*KEY, "chunk_").agg(F.sum("bytes_").alias("b_"), F.min("ts_ns").alias("t_"))
     chunks = running_sum(chunks, [], None, ["t_", *KEY, "chunk_"], F.col("b_"), "older_", "total_bytes_")
-    chunks = chunks.withColumn("left_", F.col("total_bytes_") - F.lit(cap) - F.col("older_"))
+    chunks = chunks.withColumn("left_", (F.col("total_bytes_") - F.lit(cap) if excess is None else F.lit(excess)) - F.col("older_"))
     chunks = chunks.select(*[F.col(k).alias(f"{k}_") for k in KEY], F.col("chunk_").alias("chunk2_"), "left_")
     d = d.join(chunks, [F.col(k) == F.col(f"{k}_") for k in KEY] + [F.col("chunk_") == F.col("chunk2_")])
     within = W.partitionBy(*KEY, "chunk_").orderBy("ts_ns", "rowid").rowsBetween(W.unboundedPreceding, -1)

@@ -18,6 +18,11 @@ def stored_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_LINES + ", day date").parquet(path)
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """The store's files, one row each; none is opened."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length", "_metadata")
+
+
 def follow(spark: SparkSession, path: str, schema: str = LOG_LINES, files_per_trigger: int = 100) -> DataFrame:
     """A stream over a folder of Parquet files. Back-pressure by files per trigger: nothing is dropped."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

@@ -38,6 +38,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it doesn't exist."""
+    fs, hadoop = _file_system(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+
+
 def _delete_at_exit(spark, path):
     try:
         delete(spark, path)

@@ -12,8 +12,9 @@ def with_day(lines: DataFrame) -> DataFrame:
 
 
 def arranged(lines: DataFrame) -> DataFrame:
-    """By host and day, so that a query's name and time predicates prune files."""
-    return lines.repartition("host", "day").sortWithinPartitions("host", "day", "name", "ts_ns")
+    """By day and host, so that a query's name and time predicates prune files. A host's day of any size is split over tasks, and small ones
+    share one: partitions are rebalanced to the session's advisory size by what they turn out to hold."""
+    return lines.hint("rebalance", F.col("day"), F.col("host")).sortWithinPartitions("host", "day", "name", "ts_ns")
 
 
 def append_lines(lines: DataFrame, path: str) -> None:
