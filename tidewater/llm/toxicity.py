@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import materialize, row_slices, small_batches
 
 SAMPLE, FEATURES, LEAST_DOCS, LIFT, STEMS, REFIT = 40_000, 4_000, 3, 3, (4, 5), 2e-6
-HELD_OUT_OF = 5
+HELD_OUT_OF, MOST_PIECES = 5, 200_000
 # fixed values: what a sign may stand for
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 _EDGES = ".,;:?\"'()[]{}<>"
@@ -40,9 +40,6 @@ _SINGLES = re.compile(r"(?<!\S)[.,;:?\"'()\[\]{}<>]*[^\s.,;:?\"'()\[\]{}<>][.,;:
 #: that vanishes, several spaces that do.
 SIGN, ITSELF, DOUBLED, VANISHED, SPACES = 1.0, 3.0, 2.0, 0.5, 3.0
 ORDER = 28
-_PIECE = r"[\"'(\[]*[^\s.,;:?\"'()\[\]{}<>]{1,3}[.,;:?\"')\]!]*"
-_PIECES = re.compile(rf"(?<!\S){_PIECE}(?:\s+{_PIECE}(?!\S))+")
-_LONE = re.compile(r"\S(?:\s+\S)*")
 _SAME = re.compile(r"(.)\1+")
 _CODES: list[np.ndarray] = []
 
@@ -101,7 +98,7 @@ def bare(token: str) -> str:
 
 class Decoder:
     def __init__(self, model: np.ndarray):
-        self.p, self.options = model.reshape(-1).tolist(), {}
+        self.p, self.options, self.pieces = model.reshape(-1).tolist(), {}, {}
 
     def arcs(self, c: str, run: int) -> list[tuple[tuple[int, ...], float, str]]:
         """What a run of one character may stand for: codes, cost, text. The text of a gap is a space."""
@@ -174,18 +171,33 @@ class Decoder:
                 out += self.decode(part).split()
         return out
 
-    def piece_runs(self, text: str) -> set[str]:
-        """Runs of tokens of up to three characters, each without its edges; runs of single characters are `run_words`' matter."""
-        out = set()
-        for m in set(_PIECES.findall(text)):
-            run = " ".join([bare(x) for x in m.split()])
-            if not _LONE.fullmatch(run):
-                out.add(run)
+    def piece(self, token: str) -> str:
+        """A token of up to three characters without its edges; of others nothing."""
+        found = self.pieces.get(token)
+        if found is None:
+            if len(self.pieces) > MOST_PIECES:
+                self.pieces.clear()
+            t = bare(token)
+            found = self.pieces[token] = t if len(t) <= 3 else ""
+        return found
+
+    def piece_runs(self, tokens: list[str]) -> set[str]:
+        """Runs of pieces; tokens in the text's order."""
+        out, run = set(), []
+        for t in tokens:
+            if len(t) < 8 and (p := self.piece(t)):
+                run.append(p)
+            elif run:
+                if len(run) > 1:
+                    out.add(" ".join(run))
+                run = []
+        if len(run) > 1:
+            out.add(" ".join(run))
         return out
 
     def words(self, text: str) -> set[str]:
         text = text.lower()
-        pieces = {w for run in self.piece_runs(text) for w in self.decode(run).split()}
+        pieces = {w for run in self.piece_runs(text.split()) for w in self.decode(run).split()}
         return {w for t in set(text.split()) for w in self.token_words(t)} | set(self.run_words(text)) | pieces
 
 
@@ -210,6 +222,8 @@ class Features:
 
     def of_run(self, run: str) -> tuple:
         letters = run.replace(" ", "")
+        if len(letters) * 2 - 1 == len(run):  # single characters are run_words' matter
+            return ()
         if self.near is not None and letters.isalpha() and not self.near.search(_SAME.sub(r"\1", letters)):
             return ()
         return self.of_words(self.decoder.decode(run).split())
@@ -220,7 +234,8 @@ class Features:
 
     def __call__(self, text: str) -> set[str]:
         text = text.lower()
-        tokens, cache, out = set(text.split()), self.cache, set()
+        ordered, cache, out = text.split(), self.cache, set()
+        tokens = set(ordered)
         if len(cache) + len(self.runs) > self.most:
             cache.clear()
             self.runs.clear()
@@ -231,7 +246,7 @@ class Features:
                 out.update(f)
         if words := self.decoder.run_words(text):
             out.update(self.of_words(words))
-        for run in self.decoder.piece_runs(text):
+        for run in self.decoder.piece_runs(ordered):
             if (f := self.runs.get(run)) is None:
                 f = self.runs[run] = self.of_run(run)
             out.update(f)
