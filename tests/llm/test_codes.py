@@ -34,9 +34,9 @@ def random_texts(ranks, n):
 def test_transducer_equals_the_library(ranks, library, states, window):
     import regex
 
-    machine, split = byte_bpe.Transducer(ranks, states, window), regex.compile(PATTERN)
+    pieces, split = byte_bpe.Pieces(byte_bpe.Transducer(ranks, states, window)), regex.compile(PATTERN)
     for text in random_texts(ranks, 1500):
-        assert byte_bpe.encode_text(text, split, machine, {}).tolist() == library.encode_ordinary(text)
+        assert byte_bpe.encode_text(text, split, pieces).tolist() == library.encode_ordinary(text)
 
 
 def test_transducer_equals_merging_by_definition(ranks):

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .shared import row_slices, small_batches
 
 MOST_STATES, MOST_PIECES, LONGEST_PIECE = 300_000, 400_000, 64
 PART, BLOCK, WINDOW = 1 << 16, 1 << 16, 512
+CONFIGS = -1
+NONE = -1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -65,15 +68,15 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        self.states, self.number, self.moves = [], {}, {}
-        self._state(((-1, 0),))
+        self.states: dict[tuple, dict] = {}
+        self.start = self._state(((NONE, 0),))
 
-    def _state(self, configs: tuple) -> int:
-        """configs: the token before, and the trie node within the open one; first the one at a seam."""
-        found = self.number.get(configs)
+    def _state(self, configs: tuple) -> dict:
+        """The state of configurations, each a token before (NONE: none) and a trie node within the open one; first the one at a seam. A state
+        maps bytes to moves, and CONFIGS to what it stands for."""
+        found = self.states.get(configs)
         if found is None:
-            found = self.number[configs] = len(self.states)
-            self.states.append(configs)
+            found = self.states[configs] = {CONFIGS: configs}
         return found
 
     def merged(self, data: bytes, least: int = 1) -> list[bytes]:
@@ -103,7 +106,7 @@ class Transducer:
         return len(self.token[token]) == 1 or self.halves(token) is not None
 
     def apart(self, a: int, b: int) -> bool:
-        """Whether the bytes of two tokens in a row (a: -1 for none) give just these two.
+        """Whether the bytes of two tokens in a row (a: NONE for none) give just these two.
 
         Merges of both are undone from the latest back. Of two neighbours x, y at the seam, x would be merged into a longer token at rank
         `left` and y at rank `right`; a merge of x with y comes before both if it ranks below `left` (at equal ranks the first is merged) and
@@ -113,7 +116,7 @@ class Transducer:
         if seam not in self.seams:
             if len(self.seams) > 4 * self.most:
                 self.seams.clear()
-            self.seams[seam] = self.made(b) and (a < 0 or self._apart(a, b))
+            self.seams[seam] = self.made(b) and (a == NONE or self._apart(a, b))
         return self.seams[seam]
 
     def _apart(self, x: int, y: int) -> bool:
@@ -130,9 +133,9 @@ class Transducer:
             else:
                 left, x = x, of_x[1]
 
-    def _move(self, state: int, b: int) -> tuple[int, int]:
-        configs, seam, after, seams = [None], -1, self.after, self.seams
-        for before, node in self.states[state]:
+    def _move(self, state: dict, b: int) -> tuple[dict, int]:
+        configs, seam, after, seams = [None], NONE, self.after, self.seams
+        for before, node in state[CONFIGS]:
             step = after[node].get(b)
             if step is None:
                 continue
@@ -147,8 +150,7 @@ class Transducer:
         configs = tuple(configs)
         if len(self.states) >= self.most:
             self._clear()
-            return self._state(configs), seam
-        move = self.moves[state << 8 | b] = self._state(configs), seam
+        move = state[b] = self._state(configs), seam
         return move
 
     def _path(self, seams: list[int], at: int) -> list[int]:
@@ -159,9 +161,9 @@ class Transducer:
             at -= self.length[out[-1]]
         return out
 
-    def _met(self, state: int, seams: list[int]) -> list[int]:
+    def _met(self, state: dict, seams: list[int]) -> list[int]:
         """The tokens that the paths of all configurations begin with."""
-        paths = [self._path(seams, len(seams) - self.depth[node]) for _, node in self.states[state]]
+        paths = [self._path(seams, len(seams) - self.depth[node]) for _, node in state[CONFIGS]]
         n = 0
         while all(len(p) > n and p[-1 - n] == paths[0][-1 - n] for p in paths):
             n += 1
@@ -171,14 +173,12 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:  # as the rank files are used: also for a token that no merges make
             return [whole]
-        ids, seams, state = [], [], 0
+        ids, seams, state = [], [], self.start
         for lo in range(0, len(piece), self.window):
-            moves = self.moves
             for b in piece[lo : lo + self.window]:
-                move = moves.get(state << 8 | b)
+                move = state.get(b)
                 if move is None:
                     move = self._move(state, b)
-                    moves = self.moves
                 state, seam = move
                 seams.append(seam)
             if lo + self.window < len(piece):
@@ -275,32 +275,35 @@ def parts_of(text: str, most: int = PART) -> Iterator[str]:
     yield text[at:]
 
 
+class Pieces(dict):
+    """Encoded pieces, kept as long as they are no more than MOST_PIECES."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.machine = machine
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.machine.encode(piece.encode())
+        if len(piece) <= LONGEST_PIECE:
+            if len(self) >= MOST_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 _LOADED: dict[str, tuple] = {}
 
 
-def _machines(path: str) -> tuple[Transducer, Decoder, dict]:
+def _machines(path: str) -> tuple[Pieces, Decoder]:
     if path not in _LOADED:
         ranks = load_ranks(path)
-        _LOADED[path] = Transducer(ranks), Decoder(ranks), {}
+        _LOADED[path] = Pieces(Transducer(ranks)), Decoder(ranks)
     return _LOADED[path]
 
 
-def encode_text(text: str, pattern, machine: Transducer, seen: dict[str, list[int]]) -> np.ndarray:
-    """seen: pieces that the machine has encoded before."""
-    blocks = []
-    for part in parts_of(text):
-        ids = []
-        for piece in pattern.findall(part):
-            got = seen.get(piece)
-            if got is None:
-                got = machine.encode(piece.encode())
-                if len(piece) <= LONGEST_PIECE:
-                    if len(seen) >= MOST_PIECES:
-                        seen.clear()
-                    seen[piece] = got
-            ids += got
-        blocks.append(np.array(ids, np.int32))
-    return np.concatenate(blocks)
+def encode_text(text: str, pattern, pieces: Pieces) -> np.ndarray:
+    blocks = [list(chain.from_iterable(map(pieces.__getitem__, pattern.findall(part)))) for part in parts_of(text)]
+    return np.concatenate([np.array(ids, np.int32) for ids in blocks])
 
 
 def _encoder(path: str, pattern: str):
@@ -308,10 +311,10 @@ def _encoder(path: str, pattern: str):
         import regex
 
         split = regex.compile(pattern)
-        machine, _, seen = _machines(path)
+        pieces, _ = _machines(path)
         for batch in batches:
             for rows in row_slices(batch, "text"):
-                ids = [encode_text(t.as_py() or "", split, machine, seen) for t in rows.column("text")]
+                ids = [encode_text(t.as_py() or "", split, pieces) for t in rows.column("text")]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), column], names=["doc_id", "ids"])
@@ -321,7 +324,7 @@ def _encoder(path: str, pattern: str):
 
 def _decoder(path: str):
     def run(batches):
-        _, machine, _ = _machines(path)
+        _, machine = _machines(path)
         for batch in batches:
             lists = batch.column("ids")
             texts = []
