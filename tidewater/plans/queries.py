@@ -4,12 +4,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions import format as fmt, parse as p
-from tidewater.operators import alerts, fold as fold_, ingest, inventory, live, retention
+from tidewater.operators import alerts, fold as fold_, ingest, inventory, limits, live, retention, subscriptions as subscriptions_
 from tidewater.plans.history import HistoryQuery, page, stored_containers
-from tidewater.sources import adapters as a, scratch, store
+from tidewater.sources import adapters as a, frames as frames_, readers, registry, scratch, store
 from tidewater.sources.adapters import LINES_SQL as L, table
 from tidewater.sources.readers import stored_lines
-from tidewater.sources.sinks import append_lines
+from tidewater.sources.sinks import append_lines, ndjson
 
 SINCE, UNTIL = 1704672000000000000, 1705881600000000000  # 2024-01-08 and 2024-01-22
 SCALE = 100_000
@@ -303,6 +303,116 @@ def history_stored(spark, d):
         "level", "message", "continuation_count")
 
 
+def _log_records(spark, d):
+    return _parsed(spark, d).withColumns({"container_name": F.col("name"), "labels": F.create_map(F.lit("com.docker.compose.project"), F.col("compose_project"))})
+
+
+def alert_patterns(spark, d):
+    """Rules in RE2's own syntax; the invalid one stops no other."""
+    r = alerts.log_matches(a.pattern_rules(spark), _log_records(spark, d))
+    return r.groupBy("rule_id", "host").agg(F.count("*").alias("n"), F.min("rowid").alias("first_row"))
+
+
+def alert_fired_noisy(spark, d):
+    """alert_fired, where every key of over 25 matches is a noisy one."""
+    number = F.substring("rule_id", 2, 1).cast("bigint")
+    m = alerts.log_matches(a.rules(spark), _log_records(spark, d)).withColumns({"match_id": F.col("rowid") * 10 + number, "at_s": fmt.whole(F.col("ts_ns"), 1_000_000_000)})
+    return alerts.fire(m, chunk=25).select("key", "at_s", "suppressed")
+
+
+def rate_limited(spark, d):
+    """Users may do two things a day, the day beginning with the first thing after the last one ended."""
+    hits = table(spark, d, "events").select(F.col("user_id").alias("key"), F.floor(a.epoch_us() / 1_000_000).alias("at"), F.col("event_id").alias("hit_id"))
+    return limits.fixed_windows(hits, 2, 86_400, chunk=40).select("hit_id", "window_start", "hit_no", "allowed")
+
+
+def subscriptions(spark, d):
+    """Every customer subscribes to lines by host, name or project."""
+    k = F.col("c_custkey")
+    one = lambda on, text: F.when(on, F.array(text)).otherwise(F.array().cast("array<string>"))
+    specs = table(spark, d, "customer").select(k.alias("spec_id"), one(k % 2 == 0, F.concat(F.lit("h"), (k % 3).cast("string"))).alias("hosts"),
+        one(k % 5 < 3, F.concat(F.lit("svc-"), (k % 5).cast("string"))).alias("containers"), one(k % 4 == 1, F.concat(F.lit("p"), (k % 2).cast("string"))).alias("projects"))
+    lines = a.log_lines(spark, d).select("host", F.col("name").alias("container_name"), F.create_map(F.lit("com.docker.compose.project"), F.col("compose_project")).alias("labels"), "rowid")
+    return subscriptions_.subscribed(lines, specs).groupBy("spec_id").agg(F.count("*").alias("n"), F.min("rowid").alias("first_row"))
+
+
+def registry_facts(spark, d):
+    """What the registry says after three batches that overlap, each run twice; no line is read for it."""
+    lines, path = a.log_lines(spark, d), scratch.new_path(spark, "store")
+    for k, (lo, hi) in enumerate(((None, SINCE), (SINCE - 1, UNTIL), (MIDDLE, None))):
+        batch = lines.filter((F.lit(lo is None) | (F.col("ts_ns") > F.lit(lo))) & (F.lit(hi is None) | (F.col("ts_ns") <= F.lit(hi))))
+        for _ in range(2):
+            registry.append_batch(spark, path, batch, "query", k)
+    return registry.line_facts(spark, path)
+
+
+def hosts_listed(spark, d):
+    """Containers of the hosts that answered, and the error of the one that did not."""
+    c = a.containers(spark, d)
+    rows, errors = inventory.all_hosts([("h0", c.filter("host = 'h0'").drop("host"), ""), ("h1", c.filter("host = 'h1'").drop("host"), ""), ("h2", None, "timeout")])
+    return rows.groupBy("host").agg(F.count("*").alias("n")).withColumn("error", F.lit(None).cast("string")).unionByName(
+        spark.createDataFrame([(h, None, e) for h, e in errors], "host string, n bigint, error string"))
+
+
+def hosts_info(spark, d):
+    n = table(spark, d, "nation")
+    hosts = n.select(F.col("n_name").alias("host"), F.col("n_nationkey").alias("position"))
+    return inventory.host_info(hosts, n.filter("n_regionkey < 3").select(F.col("n_name").alias("host"), F.concat(F.lit("e"), F.col("n_regionkey").cast("string")).alias("engine")))
+
+
+def text_filtered(spark, d):
+    return inventory.text_filter(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "L")
+
+
+def own_environment(spark, d):
+    return inventory.own_env(table(spark, d, "events").select("event_id", F.col("event_type").alias("key"), F.col("props").alias("value")), ["error", "view"])
+
+
+def inspect_fields(spark, d):
+    return table(spark, d, "events").select("event_id", inventory.dig(F.col("props"), "k").alias("k"), inventory.dig(F.col("props"), "none", "deep").alias("none"))
+
+
+def _failures(spark, d):
+    e = table(spark, d, "events")
+    return e.select("user_id", "event_id", F.when(F.col("event_type") == "error", F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 9, "0"))).alias("error"))
+
+
+def host_outcomes(spark, d):
+    return inventory.host_outcome(_failures(spark, d).withColumnRenamed("user_id", "project"))
+
+
+def alert_deliveries(spark, d):
+    return alerts.deliveries(_failures(spark, d).withColumnsRenamed({"user_id": "alert_id", "event_id": "position"}))
+
+
+def used_share(spark, d):
+    return inventory.used_percent(a.generations(spark, d), 1024).select(F.round("used_percent", 9).alias("used_percent"))
+
+
+def named_stats(spark, d):
+    """Samples of every third container have no inventory row."""
+    c = a.containers(spark, d)
+    stats = c.select("host", "id", "created")
+    return inventory.stats_with_names(stats, c.filter("created % 3 <> 0")).select("created", "name")
+
+
+def ndjson_again(spark, d):
+    """Events written as NDJSON and read back."""
+    path = scratch.new_path(spark, "ndjson")
+    ndjson(table(spark, d, "events").select("event_id", "user_id", "event_type", "props"), path)
+    return readers.ndjson(spark, path, "event_id bigint, user_id bigint, event_type string, props string")
+
+
+def framed_lines(spark, d):
+    """Lines in an engine's frames: up to 100 of a user are a captured stream, each line cut into two frames."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.concat("event_type", F.lit(" "), "props", F.lit("\r\n")).cast("binary").alias("b"))
+    part = lambda x: F.concat(F.when(F.col("event_type") == "error", F.unhex(F.lit("02000000"))).otherwise(F.unhex(F.lit("01000000"))), F.unhex(F.lpad(F.hex(F.length(x)), 8, "0")), x)
+    frames = F.concat(part(F.substring("b", F.lit(1), F.lit(5))), part(F.substring("b", F.lit(6), F.length("b"))))
+    files = e.groupBy(F.concat_ws("-", "user_id", F.floor(F.col("event_id") / 100)).alias("path")).agg(F.array_sort(F.collect_list(F.struct("event_id", frames.alias("f")))).alias("x")).select("path",
+        F.aggregate("x", F.lit(b""), lambda acc, y: F.concat(acc, y["f"])).alias("content"))
+    return frames_.lines_of(files).select("path", "line_no", F.col("stream").cast("int").alias("stream"), "raw")
+
+
 QUERIES = {f.__name__: f for f in (
     parse_levels, parse_timestamps, folded_entries, history_page, history_substring, history_regex, history_containers, tail_per_container, live_search, excluded_matches, grep,
     merged_targets, match_positions, raw_ranges, retention_each, retention_total, retention_groups, purge_container, ingest_dedup, ingest_marks, resume_points, newly_removed,
@@ -310,6 +420,8 @@ QUERIES = {f.__name__: f for f in (
         alert_fired, alert_window, oom_pairs, lifecycle_events, level_values, stored_retention, stored_purge, stored_backfill, history_stored,
     scalar_formats, conversation_levels, events_alertable, recent_samples, sparkline, counter_rates, dropped_by_ring, upserted_generations,
         removed_containers, exported_text, dashboard_page,
+    alert_patterns, alert_fired_noisy, rate_limited, subscriptions, registry_facts, hosts_listed, hosts_info, text_filtered, own_environment, inspect_fields, host_outcomes,
+        alert_deliveries, used_share, named_stats, ndjson_again, framed_lines,
 )}
 
 
@@ -333,7 +445,32 @@ _STATE = "['running', 'exited', 'paused', 'restarting', 'dead', 'removed', 'crea
 _RULE_MATCHES = f"""SELECT 'r1' AS rule_id, * FROM {L} WHERE level IN ('ERROR', 'FATAL', 'PANIC')
  UNION ALL SELECT 'r2', * FROM {L} WHERE host = 'h0' AND regexp_matches(raw, 'slow|late') UNION ALL SELECT 'r4', * FROM {L} WHERE name = 'svc-1' AND level IN ('WARN', 'ERROR', 'FATAL', 'PANIC')"""
 
+_FAILED = "SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'e' || lpad(CAST(event_id AS VARCHAR), 9, '0') END AS error FROM events"
+
 ORACLES = {
+    # DuckDB's patterns are RE2's
+    "alert_patterns": " UNION ALL ".join(f"SELECT '{r[0]}' AS rule_id, host, count(*) AS n, min(rowid) AS first_row FROM {L} WHERE regexp_matches(body, '{r[9]}') OR regexp_matches(raw, '{r[9]}') GROUP BY host"
+        for r in a.PATTERN_RULES if r[9] != "("),
+    # each step finds the window after the last one of every user
+    "rate_limited": """WITH RECURSIVE h AS (SELECT user_id, epoch_us(ts) // 1000000 AS t, event_id FROM events),
+w AS (SELECT user_id, min(t) AS start FROM h GROUP BY user_id UNION ALL SELECT w.user_id, min(t) FROM w JOIN h ON h.user_id = w.user_id AND t >= start + 86400 GROUP BY w.user_id),
+n AS (SELECT h.*, start, row_number() OVER (PARTITION BY h.user_id, start ORDER BY t, event_id) AS hit_no FROM h JOIN w ON h.user_id = w.user_id AND t >= start AND t < start + 86400)
+SELECT event_id AS hit_id, start AS window_start, hit_no, hit_no <= 2 AS allowed FROM n""",
+    "subscriptions": f"""WITH s AS (SELECT c_custkey AS spec_id, CASE WHEN c_custkey % 2 = 0 THEN 'h' || (c_custkey % 3) END AS h, CASE WHEN c_custkey % 5 < 3 THEN 'svc-' || (c_custkey % 5) END AS n,
+  CASE WHEN c_custkey % 4 = 1 THEN 'p' || (c_custkey % 2) END AS p FROM customer)
+SELECT spec_id, count(*) AS n, min(rowid) AS first_row FROM s JOIN {L} l ON (h IS NULL OR h = host) AND ((n IS NULL AND p IS NULL) OR coalesce(n = name, false) OR coalesce(p = compose_project, false)) GROUP BY spec_id""",
+    "hosts_listed": """SELECT 'h' || (c_custkey % 3) AS host, count(*) AS n, CAST(NULL AS VARCHAR) AS error FROM customer WHERE c_custkey % 3 < 2 GROUP BY 1 UNION ALL SELECT 'h2', NULL, 'timeout'""",
+    "hosts_info": """SELECT n_name AS host, n_nationkey AS position, CASE WHEN n_regionkey < 3 THEN 'e' || n_regionkey END AS engine, CASE WHEN n_regionkey >= 3 THEN 'unavailable' END AS error FROM nation""",
+    "text_filtered": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(c_custkey || ' ' || c_name || ' ' || c_mktsegment), 'l')",
+    "own_environment": "SELECT event_id, event_type AS key, props AS value FROM events WHERE event_type NOT IN ('error', 'view')",
+    "inspect_fields": "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, '' AS none FROM events",
+    "host_outcomes": f"""SELECT user_id AS project, count(*) FILTER (error IS NULL) AS succeeded, count(error) AS failed, coalesce(string_agg(error, '; ' ORDER BY error), '') AS errors FROM ({_FAILED}) GROUP BY 1""",
+    "alert_deliveries": f"""SELECT user_id AS alert_id, count(error) = 0 AS ok, coalesce(string_agg(error, '; ' ORDER BY event_id), '') AS errors FROM ({_FAILED}) GROUP BY 1""",
+    "used_share": f"SELECT round(sum(strlen(raw)) / 1073741824.0 * 100, 9) AS used_percent FROM {L}",
+    "named_stats": """SELECT c_custkey AS created, CASE WHEN c_custkey % 3 <> 0 THEN 'c' || c_custkey ELSE substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 12) END AS name FROM customer""",
+    "ndjson_again": "SELECT event_id, user_id, event_type, props FROM events",
+    "framed_lines": """SELECT user_id || '-' || (event_id // 100) AS path, row_number() OVER (PARTITION BY user_id, event_id // 100 ORDER BY event_id) - 1 AS line_no, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS stream,
+  event_type || ' ' || props AS raw FROM events""",
     "parse_levels": f"""SELECT host, name, level, count(*) AS n,
   CAST(sum(list_position(['UNKNOWN','TRACE','DEBUG','INFO','WARN','ERROR','FATAL','PANIC'], level) - 1) AS BIGINT) AS sum_severity FROM {L}
   GROUP BY ALL""",
@@ -472,3 +609,5 @@ SELECT host, container_id,
     "dashboard_page": f"""SELECT c_custkey AS created, 11 AS first, least(20, total) AS last, total FROM (SELECT c_custkey, CAST(count(*)
   OVER () AS INT) AS total FROM customer WHERE {_STATE} = 'running') ORDER BY c_custkey DESC LIMIT 10 OFFSET 10""",
 }
+ORACLES["registry_facts"] = ORACLES["ingest_marks"]
+ORACLES["alert_fired_noisy"] = ORACLES["alert_fired"].rsplit("SELECT substr(", 1)[0] + "SELECT rule_id || '|' || host || '|' || name AS key, sec AS at_s, suppressed FROM s JOIN m USING (rule_id, host, name, i) WHERE fired"

@@ -108,6 +108,17 @@ RULES = [
 ]
 
 
+PATTERN_RULES = [(i, f"pattern {i}", True, "log", [], [], [], [], "", pattern, 1, 60, 0) for i, pattern in (
+    ("p1", "(?P<x>boom)"), ("p2", "("), ("p3", "[[:digit:]]+$"), ("p4", r"\pLache\b"), ("p5", "(?i)CRITICAL|^panic"), ("p6", r"[^[:alnum:][:space:]]$"))]
+
+
+def pattern_rules(spark: SparkSession) -> DataFrame:
+    """With RE2's syntax, one of them no pattern."""
+    from tidewater.schemas import RULES as SCHEMA
+
+    return spark.createDataFrame(PATTERN_RULES, SCHEMA)
+
+
 def rules(spark: SparkSession) -> DataFrame:
     from tidewater.schemas import RULES as SCHEMA
 
