@@ -116,6 +116,27 @@ def test_windows_begin_with_a_hit(spark, chunk):
     assert sorted(map(tuple, limits.fixed_windows(d, 3, 20, chunk).collect())) == sorted(want)
 
 
+def test_pins(spark):
+    from tidewater.operators import live
+
+    d = spark.createDataFrame([("h", i, "ERROR" if i % 3 == 0 else "INFO") for i in range(10)], "host string, ts_ns bigint, level string")
+    maps = live.index_maps(d, F.col("level") == "ERROR", ["ts_ns"], ["host"]).orderBy("ts_ns")
+    assert [(r.original_index, r.filtered_index) for r in maps.collect()] == [(i, i // 3 if i % 3 == 0 else -1) for i in range(10)]
+    pins = spark.createDataFrame([(6,), (1,), (9,)], "index bigint")
+    step = lambda at, by: tuple(live.navigate_pins(pins, maps, at, by).first())
+    assert [step(0, 1), step(1, 1), step(2, 1), step(0, -1)] == [(1, 2), (2, 3), (0, -1), (2, 3)]
+    assert live.navigate_pins(pins.limit(0), maps, 0, 1).count() == 0
+
+
+def test_history_stays_small(spark, tmp_path):
+    path, schema = str(tmp_path / "history"), "id string, fired_at bigint"
+    for k in (0, 1, 2, 2, 3):
+        alerts.append_history(spark.createDataFrame([(f"{k}{i}", 100 * k + i) for i in range(4)], schema), path, k, most=6)
+    kept = spark.read.parquet(path)
+    assert sorted(r.batch for r in kept.select("batch").distinct().collect()) == [2, 3] and kept.count() == 8
+    assert [r.fired_at for r in alerts.history(kept, 3).collect()] == [303, 302, 301]
+
+
 def test_slices_hold_a_bounded_number_of_rows(spark, monkeypatch):
     """A key with all its rows in one hour, a quiet one, rows of one time, and rows without a time."""
     monkeypatch.setattr(running, "SLICE_ROWS", 1000)

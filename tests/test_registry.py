@@ -115,6 +115,16 @@ def test_days_come_from_folders(spark, tmp_path, rows):
     assert len(store.stored_days(spark, str(path))) == 10
 
 
+def test_a_late_line_opens_its_own_day(spark, tmp_path, rows):
+    path, d = str(tmp_path / "s"), lines(spark, rows)
+    sinks.append_lines(d, path)
+    batch = d.filter("rowid IN (3, 290)").unionByName(lines(spark, [("x", "web", T0 + 1, "late")]))
+    new = ingest.new_lines(batch, stored_lines(spark, path))
+    assert [r.raw for r in new.collect()] == ["late"]
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert "IN (2026-07-01,2026-07-10)" in plan.replace(", ", ","), plan
+
+
 def test_ingest_keeps_the_registry(spark, tmp_path, rows):
     src, path, d = str(tmp_path / "in"), str(tmp_path / "s"), lines(spark, rows)
     for i in range(3):

@@ -6,12 +6,13 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewater.functions.format import in_project, stable_id, whole
 from tidewater.functions.parse import LEVELS, sample, severity
 from tidewater.functions.patterns import re2_to_java
 
-from tidewater.sources.scratch import written
+from tidewater.sources.scratch import delete, written
 
 from .chains import CHUNK, chain
 from .running import SLICE_ROWS, running_sum
@@ -288,9 +289,16 @@ def alert_rows(fired: DataFrame, reason: Column) -> DataFrame:
         reason.alias("reason"), "sample", F.col("threshold").alias("count"), "suppressed", F.col("at_s").alias("fired_at"))
 
 
-def append_history(alert_rows: DataFrame, path: str, batch: int) -> None:
-    """Adds a batch's alerts to the history. A batch that is run again replaces what it wrote."""
+def append_history(alert_rows: DataFrame, path: str, batch: int, most: int = MOST_ALERTS) -> None:
+    """Adds a batch's alerts to the history. A batch that is run again replaces what it wrote. Batches that hold none of the newest `most`
+    alerts go, so the history stays small."""
+    spark = alert_rows.sparkSession
     alert_rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    rows = spark.read.schema(StructType([*alert_rows.schema.fields, StructField("batch", LongType())])).parquet(path)
+    newest = rows.orderBy(F.desc("fired_at"), "id").limit(most).agg(F.min("fired_at").alias("since"), F.count("*").alias("n")).first()
+    if newest.n == most:
+        for r in rows.groupBy("batch").agg(F.max("fired_at").alias("last")).filter(F.col("last") < newest.since).collect():  # a row a batch
+            delete(spark, f"{path}/batch={r.batch}")
 
 
 def history(alert_rows: DataFrame, limit: int = 100) -> DataFrame:

@@ -5,8 +5,11 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewater.functions.format import whole
+
 IDENTITY = ["host", "container_id", "ts_ns", "stream", "raw"]
-OVERLAP_NS = 2_000_000_000
+OVERLAP_NS, DAY_NS = 2_000_000_000, 86_400_000_000_000
+MOST_DAYS = 1000
 
 
 def day_of(ns: int) -> date:
@@ -27,6 +30,9 @@ def new_lines(batch: DataFrame, stored: DataFrame) -> DataFrame:
     span = batch.agg(F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi")).first()
     if span and span.lo is not None:
         stored = on_days(stored, span.lo, span.hi).filter(F.col("ts_ns").between(span.lo, span.hi))  # reaches folders and statistics
+        if "day" in stored.columns:  # a late line opens its own day, not all since
+            days = [r.day for r in batch.select(F.date_from_unix_date(whole(F.col("ts_ns"), DAY_NS).cast("int")).alias("day")).distinct().limit(MOST_DAYS + 1).collect()]
+            stored = stored.filter(F.col("day").isin(sorted(d for d in days if d is not None))) if len(days) <= MOST_DAYS else stored
     old = stored.select(*IDENTITY)
     return batch.dropDuplicates(IDENTITY).join(old, IDENTITY, "left_anti")
 

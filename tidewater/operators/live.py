@@ -124,6 +124,23 @@ def next_pin(pins: DataFrame, at: int) -> DataFrame:
     return pins.orderBy(F.col("index") <= at, "index").limit(1)
 
 
+def index_maps(rows: DataFrame, shown: Column, order: list[str], keys: list[str]) -> DataFrame:
+    """Adds original_index, a row's place within its key, and filtered_index, its place among the rows that are shown (-1 if it is hidden)."""
+    d = running_sum(rows.withColumn("shown_", F.coalesce(shown, F.lit(False))), keys, None, order, F.lit(1), "original_index")
+    d = running_sum(d, keys, None, order, F.col("shown_").cast("int"), "filtered_index")
+    return d.withColumn("filtered_index", F.when(F.col("shown_"), F.col("filtered_index")).otherwise(-1)).drop("shown_")
+
+
+def navigate_pins(pins: DataFrame, maps: DataFrame, at: int, step: int) -> DataFrame:
+    """pinned_index and filtered_index of the pin `step` places on from the at-th, wrapping around; no row without pins. pins: index, of one
+    key; maps: that key's rows of index_maps."""
+    n = pins.count()
+    to = (at + step + n) % n if n else 0
+    pin = pins.orderBy("index").offset(to).limit(1)
+    d = pin.join(maps.select(F.col("original_index"), "filtered_index"), F.col("index") == F.col("original_index"), "left")
+    return d.select(F.lit(to).alias("pinned_index"), F.coalesce("filtered_index", F.lit(-1)).alias("filtered_index"))
+
+
 def time_range(preset: str, now_ns: int, custom: tuple[int | None, int | None] = (None, None)) -> tuple[int | None, int | None]:
     if preset == "custom":
         return custom

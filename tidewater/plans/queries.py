@@ -403,6 +403,17 @@ def ndjson_again(spark, d):
     return readers.ndjson(spark, path, "event_id bigint, user_id bigint, event_type string, props string")
 
 
+def pin_indices(spark, d):
+    """Places of lines in all of a container's and among its errors."""
+    m = live.index_maps(_parsed(spark, d), F.col("level") == "ERROR", ["ts_ns", "rowid"], ["host", "name"])
+    return m.select("rowid", "original_index", "filtered_index")
+
+
+def projects_of_page(spark, d):
+    rows, *_ = inventory.offset_page(a.containers(spark, d).orderBy(F.desc("created")), 2, 100)
+    return inventory.by_project(rows)
+
+
 def framed_lines(spark, d):
     """Lines in an engine's frames: up to 100 of a user are a captured stream, each line cut into two frames."""
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.concat("event_type", F.lit(" "), "props", F.lit("\r\n")).cast("binary").alias("b"))
@@ -421,7 +432,7 @@ QUERIES = {f.__name__: f for f in (
     scalar_formats, conversation_levels, events_alertable, recent_samples, sparkline, counter_rates, dropped_by_ring, upserted_generations,
         removed_containers, exported_text, dashboard_page,
     alert_patterns, alert_fired_noisy, rate_limited, subscriptions, registry_facts, hosts_listed, hosts_info, text_filtered, own_environment, inspect_fields, host_outcomes,
-        alert_deliveries, used_share, named_stats, ndjson_again, framed_lines,
+        alert_deliveries, used_share, named_stats, ndjson_again, framed_lines, pin_indices, projects_of_page,
 )}
 
 
@@ -468,6 +479,9 @@ SELECT spec_id, count(*) AS n, min(rowid) AS first_row FROM s JOIN {L} l ON (h I
     "alert_deliveries": f"""SELECT user_id AS alert_id, count(error) = 0 AS ok, coalesce(string_agg(error, '; ' ORDER BY event_id), '') AS errors FROM ({_FAILED}) GROUP BY 1""",
     "used_share": f"SELECT round(sum(strlen(raw)) / 1073741824.0 * 100, 9) AS used_percent FROM {L}",
     "named_stats": """SELECT c_custkey AS created, CASE WHEN c_custkey % 3 <> 0 THEN 'c' || c_custkey ELSE substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 12) END AS name FROM customer""",
+    "pin_indices": f"""SELECT rowid, row_number() OVER w - 1 AS original_index, CASE WHEN level = 'ERROR' THEN count(*) FILTER (level = 'ERROR') OVER w - 1 ELSE -1 END AS filtered_index FROM {L}
+  WINDOW w AS (PARTITION BY host, name ORDER BY ts_ns, rowid)""",
+    "projects_of_page": f"""SELECT coalesce({_PROJECT}, 'Standalone') AS project, count(*) AS n FROM (SELECT c_custkey FROM customer ORDER BY c_custkey DESC LIMIT 100 OFFSET 100) GROUP BY 1""",
     "ndjson_again": "SELECT event_id, user_id, event_type, props FROM events",
     "framed_lines": """SELECT user_id || '-' || (event_id // 100) AS path, row_number() OVER (PARTITION BY user_id, event_id // 100 ORDER BY event_id) - 1 AS line_no, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS stream,
   event_type || ' ' || props AS raw FROM events""",
@@ -522,7 +536,7 @@ SELECT host, container_id, least(least(o, e) - 2000000000, gap - 2000000000) AS
     "prune_empty": f"SELECT DISTINCT host, container_id FROM {L} WHERE NOT (name = 'svc-3' AND container_id LIKE '%-g0')",
     "stack_summary": f"""SELECT {_PROJECT} AS project, count(*) AS containers, count(*) FILTER ({_STATE} = 'running') AS running, string_agg(DISTINCT 'h' || (c_custkey % 3), ','
   ORDER BY 'h' || (c_custkey % 3)) AS hosts FROM customer WHERE {_PROJECT} IS NOT NULL GROUP BY 1""",
-    "container_states": f"""SELECT {', '.join(f'count(*) FILTER ({_STATE} = {chr(39)}{s}{chr(39)}) AS {s}' for s in inventory.STATES)}, count(*) FILTER ({_STATE} = 'created') AS other, count(*) AS total
+    "container_states": f"""SELECT {', '.join(f'count(*) FILTER ({_STATE} = {chr(39)}{s}{chr(39)}) AS {s}' for s in ('running', 'exited', 'paused', 'restarting', 'dead', 'removed'))}, count(*) FILTER ({_STATE} = 'created') AS other, count(*) AS total
   FROM customer""",
     "projects_standalone": f"SELECT coalesce({_PROJECT}, 'Standalone') AS project, count(*) AS n FROM customer GROUP BY 1",
     "dashboard": f"""SELECT c_custkey AS created, {_STATE} AS state, 'h1' AS host FROM customer WHERE c_custkey % 3 = 1 AND c_custkey >= 10
@@ -583,8 +597,11 @@ SELECT event_id, CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN format('
  CASE WHEN event_id = 0 THEN '0' WHEN event_id % 1048576 = 0 THEN event_id // 1048576 || 'g' WHEN event_id % 1024 = 0 THEN event_id // 1024 || 'm'
   ELSE event_id || 'k' END AS exact FROM n""",
     # turns hold no JSON and no keyed levels, so keywords decide
-    "conversation_levels": f"""SELECT
-  CASE {' '.join(f"WHEN regexp_matches(line, '(?i){chr(92)}b(?:{words}){chr(92)}b') THEN '{level}'" for level, words in p.KEYWORDS)}
+    "conversation_levels": """SELECT
+  CASE WHEN regexp_matches(line, '(?i)\\b(?:panic|emergency)\\b') THEN 'PANIC' WHEN regexp_matches(line, '(?i)\\b(?:fatal|critical|crit)\\b') THEN 'FATAL'
+  WHEN regexp_matches(line, '(?i)\\b(?:error|err|fail|failed|exception)\\b') THEN 'ERROR' WHEN regexp_matches(line, '(?i)\\b(?:warn|warning|wrn)\\b') THEN 'WARN'
+  WHEN regexp_matches(line, '(?i)\\b(?:info|inf|notice|log)\\b') THEN 'INFO' WHEN regexp_matches(line, '(?i)\\b(?:debug|dbg)\\b') THEN 'DEBUG'
+  WHEN regexp_matches(line, '(?i)\\b(?:trace|trc)\\b') THEN 'TRACE'
   ELSE 'UNKNOWN' END AS level, count(*) AS n
  FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE line <> '' GROUP BY 1""",
     "events_alertable": """WITH e AS (SELECT *, 'h' || (user_id % 3) AS host, event_id % 4 AS kind, event_id % 5 AS k5 FROM events),
