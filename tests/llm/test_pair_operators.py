@@ -153,6 +153,22 @@ def test_forest_equals_brute_force(spark):
     assert embedding_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_forest_finds_links_where_trees_split(spark):
+    """8,000 vectors of one label in leaves of 16, pairs at cosine 0.93 to 0.96: recall against all pairs."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((4000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    off = rng.standard_normal((4000, 64))
+    off -= (off * v).sum(axis=1, keepdims=True) * v
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = rng.uniform(0.932, 0.96, (4000, 1))
+    every = np.concatenate((v, c * v + np.sqrt(1 - c * c) * off))
+    true = int((every @ every.T >= 0.93).sum()) - 8000
+    d = spark.createDataFrame([(i, 1, x) for i, x in enumerate(every.tolist())], "vec_id long, label int, embedding array<double>")
+    found = embedding_dedup.near_duplicates(d, leaf=16).agg({"n_links": "sum"}).first()[0]
+    assert true >= 8000 and 0.98 * true <= found <= true
+
+
 def test_vectors_that_share_an_id(spark):
     """Each row is judged by its own vector; extra columns clash with names of the result and of the operator."""
     rows = [(1, 1, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 1, [1.0, 0.001]), (3, 1, [1.0, 0.0]), (None, 1, [1.0, 0.0]), (4, 2, [1.0, 0.0]), (9, 1, [0.0, 1.0]), (9, 1, [0.0, 1.0])]
