@@ -12,6 +12,7 @@ from tidewater.functions.parse import LEVELS
 from tidewater.functions.patterns import ignoring_case
 from tidewater.operators.fold import DAY_NS, folded
 from tidewater.operators.ingest import day_of, on_days
+from tidewater.sources import skips
 
 DEFAULT_LIMIT, MOST_LIMIT = 500, 1000
 
@@ -135,8 +136,83 @@ def newest_days(lines: DataFrame, q: HistoryQuery, want: int, slice_ns: int = DA
         k *= min(8, max(2, -(-5 * want // (4 * max(n, 1)))))
 
 
+@dataclass
+class _Run:
+    """Consecutive stored days, by number from the oldest: which are read, and the first and last of them that may hold the text."""
+    lo: int
+    hi: int
+    first: int
+    last: int
+
+
+def _merged(runs: list[_Run]) -> list[_Run]:
+    out: list[_Run] = []
+    for r in sorted(runs, key=lambda r: r.lo):
+        if out and r.lo <= out[-1].hi + 1:
+            o = out[-1]
+            out[-1] = _Run(o.lo, max(o.hi, r.hi), min(o.first, r.first), max(o.last, r.last))
+        else:
+            out.append(r)
+    return out
+
+
+def _of_runs(lines: DataFrame, q: HistoryQuery, runs: list[_Run], days: list[date], slice_ns: int) -> DataFrame:
+    """Entries of the runs' days; nothing folds from one run into another."""
+    of = lines.sparkSession.createDataFrame([(days[i], k) for k, r in enumerate(runs) for i in range(r.lo, r.hi + 1)], "day date, run_ int")
+    part = scan(lines.filter(F.col("day").isin([days[i] for r in runs for i in range(r.lo, r.hi + 1)])), q).join(F.broadcast(of), "day")  # a row a day
+    return folded(part, ["host", "name", "run_"] if q.host else ["name", "run_"], slice_ns)
+
+
+def newest_of(lines: DataFrame, q: HistoryQuery, want: int, may_hold: set[date], slice_ns: int = DAY_NS) -> DataFrame:
+    """newest_days where only some days may hold the text that is searched for.
+
+    Those days are read, newest first, with as many of the days around them as it takes for every entry that reaches into them to be
+    whole: there has to be a head by itself before and another one after. Days in between stay closed.
+    """
+    days = _days(lines, q)[::-1]
+    wanted = [i for i in reversed(range(len(days))) if days[i] in may_hold]
+    if not wanted:
+        return entries(lines.filter(F.lit(False)), q, slice_ns)
+    last, k = len(days) - 1, 1
+    while True:
+        runs, step = _merged([_Run(max(i - 1, 0), min(i + 1, last), i, i) for i in wanted[:k]]), 1
+        while True:
+            all_ = _of_runs(lines, q, runs, days, slice_ns).persist()
+            at = F.struct("ts_ns", "rowid")
+            heads = {r.run_: r for r in all_.filter("plain_head").groupBy("run_").agg(F.min(at).alias("s"), F.max(at).alias("e")).collect()}  # a row for each run
+            more = False
+            for j, r in enumerate(runs):
+                h = heads.get(j)
+                if r.lo > 0 and (h is None or day_of(h.s.ts_ns) >= days[r.first]):
+                    r.lo, more = max(r.lo - step, 0), True
+                if r.hi < last and (h is None or day_of(h.e.ts_ns) <= days[r.last]):
+                    r.hi, more = min(r.hi + step, last), True
+            if not more:
+                break
+            all_.unpersist()
+            runs, step = _merged(runs), 2 * step
+        place = lambda x: (x.ts_ns, x.rowid)
+        bounds = [(j, *(place(heads[j].s) if r.lo > 0 else (None, None)), *(place(heads[j].e) if r.hi < last else (None, None))) for j, r in enumerate(runs)]
+        b = lines.sparkSession.createDataFrame(bounds, "run_ int, s_ns bigint, s_row bigint, e_ns bigint, e_row bigint")
+        whole = (F.col("s_ns").isNull() | (at >= F.struct("s_ns", "s_row"))) & (F.col("e_ns").isNull() | (at < F.struct("e_ns", "e_row")))
+        found = all_.join(F.broadcast(b), "run_").filter(whole).drop("run_", "s_ns", "s_row", "e_ns", "e_row").filter(matches(q))  # a row for each run
+        n = found.limit(want).count()
+        all_.unpersist()
+        if n == want or k >= len(wanted):
+            return found
+        k *= min(8, max(2, -(-5 * want // (4 * max(n, 1)))))
+
+
+def _demanded(q: HistoryQuery) -> list[str]:
+    """Texts, within a line each, that a match must hold."""
+    return skips.literals(q.search) if q.regex else q.search.lower().split("\n")
+
+
 def _enough(lines: DataFrame, q: HistoryQuery, want: int) -> DataFrame:
-    return newest_days(lines, q, want) if "day" in lines.columns else entries(lines, q)
+    if "day" not in lines.columns:
+        return entries(lines, q)
+    may_hold = skips.days_to_open(lines, q.name, _demanded(q)) if q.search else None
+    return newest_days(lines, q, want) if may_hold is None else newest_of(lines, q, want, may_hold)
 
 
 def page(lines: DataFrame, q: HistoryQuery) -> DataFrame:

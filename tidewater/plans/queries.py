@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import format as fmt, parse as p
 from tidewater.operators import alerts, fold as fold_, ingest, inventory, limits, live, retention, subscriptions as subscriptions_
 from tidewater.plans.history import HistoryQuery, page, stored_containers
-from tidewater.sources import adapters as a, frames as frames_, readers, registry, scratch, store
+from tidewater.sources import adapters as a, frames as frames_, readers, registry, scratch, skips, store
 from tidewater.sources.adapters import LINES_SQL as L, table
 from tidewater.sources.readers import stored_lines
 from tidewater.sources.sinks import append_lines, ndjson
@@ -303,6 +303,14 @@ def history_stored(spark, d):
         "level", "message", "continuation_count")
 
 
+def history_skipped(spark, d):
+    """A text search over a stored folder that opens only days whose messages may hold the text."""
+    path = _stored(spark, d)
+    skips.write(spark, path)
+    q = HistoryQuery("svc-2", search=r"main\.go:\d+ \+0x", regex=True, limit=1000)
+    return page(stored_lines(spark, path), q).select("ts_ns", "rowid", "host", "level", "message", "continuation_count")
+
+
 def _log_records(spark, d):
     return _parsed(spark, d).withColumns({"container_name": F.col("name"), "labels": F.create_map(F.lit("com.docker.compose.project"), F.col("compose_project"))})
 
@@ -428,7 +436,7 @@ QUERIES = {f.__name__: f for f in (
     parse_levels, parse_timestamps, folded_entries, history_page, history_substring, history_regex, history_containers, tail_per_container, live_search, excluded_matches, grep,
     merged_targets, match_positions, raw_ranges, retention_each, retention_total, retention_groups, purge_container, ingest_dedup, ingest_marks, resume_points, newly_removed,
     prune_empty, stack_summary, container_states, projects_standalone, dashboard, resolve_name, cpu_deltas, percentiles, alert_log_matches,
-        alert_fired, alert_window, oom_pairs, lifecycle_events, level_values, stored_retention, stored_purge, stored_backfill, history_stored,
+        alert_fired, alert_window, oom_pairs, lifecycle_events, level_values, stored_retention, stored_purge, stored_backfill, history_stored, history_skipped,
     scalar_formats, conversation_levels, events_alertable, recent_samples, sparkline, counter_rates, dropped_by_ring, upserted_generations,
         removed_containers, exported_text, dashboard_page,
     alert_patterns, alert_fired_noisy, rate_limited, subscriptions, registry_facts, hosts_listed, hosts_info, text_filtered, own_environment, inspect_fields, host_outcomes,
@@ -588,6 +596,7 @@ SELECT host, name, count(*) AS n, min(rowid) AS first_row, max(rowid) AS last_ro
   AND name = 'svc-1') AS purged FROM {L} WHERE NOT (host = 'h0' AND name = 'svc-1') GROUP BY host, name""",
     "stored_backfill": f"SELECT host, name, count(*) AS n, min(rowid) AS first_row, max(rowid) AS last_row FROM {L} GROUP BY host, name",
     "history_stored": _history(f"name = 'svc-1' AND ts_ns <= {UNTIL}", "level = 'ERROR'", "ts_ns, rowid, host_ AS host, level, message, continuation_count", "name", 50),
+    "history_skipped": _history("name = 'svc-2'", "regexp_matches(message, 'main\\.go:[0-9]+ \\+0x')", "ts_ns, rowid, host_ AS host, level, message, continuation_count", "name", 1000),
     "scalar_formats": """WITH n AS (SELECT event_id, event_id * event_id * 37 AS n, event_id * 61 AS s FROM events)
 SELECT event_id, CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN format('{:.1f}KiB', n / 1024)
   WHEN n < 1073741824 THEN format('{:.1f}MiB', n / 1048576) WHEN n < 1099511627776 THEN format('{:.1f}GiB', n / 1073741824)

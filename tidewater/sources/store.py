@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from tidewater.operators import ingest, retention
 from tidewater.operators.fold import KEY
 
-from . import registry
+from . import registry, skips
 from .readers import stored_lines
 from .scratch import children, delete, new_path
 from .sinks import arranged
@@ -119,10 +119,11 @@ def stored_days(spark: SparkSession, store: str) -> list[date]:
 
 
 def compact(spark: SparkSession, store: str, days: list[date] | None = None) -> None:
-    """Rewrites days whose many small files came from short triggers."""
+    """Rewrites days whose many small files came from short triggers, and writes down what searches may skip them by."""
     lines = stored_lines(spark, store)
     days = days if days is not None else stored_days(spark, store)
     _replace_days(spark, store, lines, days)
+    skips.write(spark, store, days)
 
 
 def backfill(spark: SparkSession, store: str, fetched: DataFrame, generations: DataFrame, gaps: DataFrame) -> int:
