@@ -27,6 +27,40 @@ def test_subscriptions_equal_the_predicate(spark):
     assert subscriptions.subscribed(d, s.limit(0)).count() == 0
 
 
+def test_tallies_of_subscriptions_meet_no_lines(spark):
+    """Counts equal those of the rows; groups of lines and of specs are joined, which a count of the joined rows shows."""
+    rng = random.Random(4)
+    some = lambda xs, n: [rng.choice(xs) for _ in range(rng.choice([0, 0, 1, n]))]
+    specs = [(i, some("AB", 2), some(["x", "y"], 3), some(["p", "q"], 2)) for i in range(300)] + [(300, None, None, None), (301, ["none"], [], [])]
+    lines = [(rng.choice(["A", "B", None]), rng.choice(["x", "y", ""]), {k: rng.choice("pq") for k in LABELS if rng.random() < 0.5}, i) for i in range(900)] + [(None, None, None, 900)]
+    s = spark.createDataFrame(specs, "spec_id int, hosts array<string>, containers array<string>, projects array<string>")
+    d = spark.createDataFrame(lines, "host string, container_name string, labels map<string,string>, n int")
+    want = subscriptions.subscribed(d, s).groupBy("spec_id").agg(F.count("*"), F.min("n"))
+    for most in (10**6, 0):
+        got = subscriptions.tallies(d, s, "n", most)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        joined = _largest_join(got)
+        assert 0 < joined < 50_000  # some 130,000 rows of lines and specs otherwise
+    assert subscriptions.tallies(d, s.limit(0), "n").count() == subscriptions.tallies(d.limit(0), s, "n").count() == 0
+
+
+def _largest_join(df):
+    """Most rows that a join of the plan gave, once it has run."""
+    plan, most = df._jdf.queryExecution().executedPlan(), 0
+    df._jdf.queryExecution().toRdd().count()
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage") or p.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage"):
+            todo.append(p.plan())
+        if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
 def frame(stream, data):
     return bytes([stream, 0, 0, 0]) + len(data).to_bytes(4, "big") + data
 

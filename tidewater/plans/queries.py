@@ -341,7 +341,7 @@ def subscriptions(spark, d):
     specs = table(spark, d, "customer").select(k.alias("spec_id"), one(k % 2 == 0, F.concat(F.lit("h"), (k % 3).cast("string"))).alias("hosts"),
         one(k % 5 < 3, F.concat(F.lit("svc-"), (k % 5).cast("string"))).alias("containers"), one(k % 4 == 1, F.concat(F.lit("p"), (k % 2).cast("string"))).alias("projects"))
     lines = a.log_lines(spark, d).select("host", F.col("name").alias("container_name"), F.create_map(F.lit("com.docker.compose.project"), F.col("compose_project")).alias("labels"), "rowid")
-    return subscriptions_.subscribed(lines, specs).groupBy("spec_id").agg(F.count("*").alias("n"), F.min("rowid").alias("first_row"))
+    return subscriptions_.tallies(lines, specs, "rowid").withColumnRenamed("first", "first_row")
 
 
 def registry_facts(spark, d):
