@@ -1,6 +1,7 @@
 """Subscriptions, frames, backfill, rate limits, slices and chains."""
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,20 @@ def test_frames_equal_a_plain_loop(spark, tmp_path):
     assert sum(r.raw is not None for r in rows) == len(got) - 1 + 1 and [r.error for r in rows if r.error] == ["broken frame at byte 10"]
 
 
+def test_lines_of_many_files_share_batches(monkeypatch):
+    files = [(f"f{i}", frame(1, b"a\r\nb%d\n" % i) + (b"x" if i == 7 else b"")) for i in range(1000)] + [("none", None), ("empty", b"")]
+    given = pa.record_batch([pa.array([f for f, _ in files]), pa.array([b for _, b in files], pa.binary())], names=["path", "content"])
+    want = [(f, k, *x) for f, b in files for k, x in enumerate(frames.decode(b or b""))]
+    got = list(frames._lines([given, given]))
+    assert len(got) == 1 and got[0].num_rows == 2 * len(want)
+    for rows, size in ((64, 10**9), (10**9, 100)):
+        monkeypatch.setattr(frames, "MOST_ROWS", rows)
+        monkeypatch.setattr(frames, "MOST_BYTES", size)
+        got = list(frames._lines([given]))
+        assert len(got) > 10 and [(r["path"], r["line_no"], r["stream"], r["raw"], r["error"]) for b in got for r in b.to_pylist()] == want
+    assert list(frames._lines([])) == []
+
+
 def test_backfill_transitions(spark):
     """One read for each generation, three attempts, permanent exclusion, and gaps that renew the budget."""
     state = spark.createDataFrame([], backfill.STATE)
