@@ -23,10 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, column: str) -> DataFrame:
-    """Parsing takes far longer than reading: a table of fewer files than cores is dealt out to all of them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, column) if df.rdd.getNumPartitions() < cores else df
+ROWS_PER_TASK = 200_000
+
+
+def spread(df: DataFrame, column: str, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """Parsing takes far longer than reading: a table is dealt out to all cores, and to as many tasks as keep them at `rows` rows, so that
+    none grows with the table."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks, column) if df.rdd.getNumPartitions() < tasks else df
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
