@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewater.functions.parse import PROBLEM, is_stack_line, structured_field, trim, with_parsed
 
+from tidewater.sources.scratch import written
+
 from .running import DAY_NS, with_slices
 
 KEY = ["host", "name"]
@@ -78,8 +80,9 @@ def mark_heads(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS,
 
 
 def folded(lines: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS) -> DataFrame:
-    """Entries of stored lines."""
-    return fold(parse(lines), keys, slice_ns, lines)
+    """Entries of stored lines. Parsed lines are written once: marking heads reads them twice, and parsing takes far longer than reading."""
+    parsed, _ = written(parse(lines), "parsed")
+    return fold(parsed, keys, slice_ns, parsed)
 
 
 def fold(parsed: DataFrame, keys: list[str] = KEY, slice_ns: int = DAY_NS, lines: DataFrame | None = None) -> DataFrame:
