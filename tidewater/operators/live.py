@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidewater.functions.parse import sample
 from tidewater.functions.patterns import ignoring_case, re2_to_java
 
+from tidewater.sources.scratch import written
+
 from .running import running_sum
 
 DEFAULT_TAIL, MOST_TAIL, MOST_TARGETS, MOST_LINE = 100, 10_000, 20, 1 << 20
@@ -109,7 +111,9 @@ def newest_with_dropped(df: DataFrame, keys: list[str], order: list[str], n: int
 
 
 def raw_ranges(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First and last physical line (from 0) of each entry, an entry having 1 + continuation_count of them."""
+    """First and last physical line (from 0) of each entry, an entry having 1 + continuation_count of them. Entries are written once, as
+    the sums read them several times."""
+    entries, _ = written(entries, "entries")
     d = running_sum(entries, keys, None, order, 1 + F.col("continuation_count"), "raw_first")
     return d.withColumn("raw_last", F.col("raw_first") + F.col("continuation_count"))
 

@@ -79,7 +79,8 @@ def match_positions(spark, d):
 
 
 def raw_ranges(spark, d):
-    e = live.raw_ranges(fold_.folded(a.log_lines(spark, d)), ["host", "name"], ["ts_ns", "rowid"])
+    e = fold_.folded(a.log_lines(spark, d)).select("host", "name", "ts_ns", "rowid", "continuation_count")
+    e = live.raw_ranges(e, ["host", "name"], ["ts_ns", "rowid"])
     return e.select("host", "name", "rowid", "raw_first", "raw_last")
 
 
