@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import alerts, fold, ingest, inventory, live, retention
-from tidewater.plans import history
+from tidewater.plans import history, queries
 from tidewater.schemas import LOG_LINES
+from tidewater.sources import adapters
 
 
 def lines(spark, rows):
@@ -147,3 +148,27 @@ def test_filters_on_parsed_columns_parse_once(spark):
     assert got.columns == d.columns and sorted(r.ts_ns for r in got.collect()) == sorted(r.ts_ns for r in d.filter(cond).collect()) == [1]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter") < plan.index("Generate")  # the filter stays above the parsing
+
+
+def test_lines_are_parsed_once_for_entries(spark):
+    """What reads entries or lines several times reads what was written, and doesn't parse again."""
+    d = lines(spark, [("n", "c", 1, "ERROR boom"), ("n", "c", 2, "at x"), ("n", "c", 3, "INFO fine")])
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    e = fold.folded(d)
+    assert "get_json_object" in plan(fold.parse(d)) and "get_json_object" not in plan(e)
+    assert sorted((r.rowid, r.continuation_count) for r in e.collect()) == [(0, 1), (2, 0)]
+    r = live.raw_ranges(e, ["host", "name"], ["ts_ns", "rowid"])
+    assert "collect_list" in plan(e) and "collect_list" not in plan(r)
+    assert sorted((x.rowid, x.raw_first, x.raw_last) for x in r.collect()) == [(0, 0, 1), (2, 2, 2)]
+
+
+def test_alerts_read_matches_that_were_parsed_once(spark):
+    plan = queries.QUERIES["alert_fired"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan
+
+
+def test_tasks_of_parsing_hold_a_bounded_number_of_rows(spark):
+    d = spark.range(1000, numPartitions=5)
+    assert adapters.spread(d, "id", rows=100).rdd.getNumPartitions() == 10
+    assert adapters.spread(d, "id").rdd.getNumPartitions() == 5
+    assert adapters.spread(spark.range(10, numPartitions=1), "id").rdd.getNumPartitions() == 4

@@ -165,6 +165,7 @@ def alert_fired(spark, d):
     r = _parsed(spark, d).withColumns({"container_name": F.col("name"), "labels": F.create_map(F.lit("com.docker.compose.project"), F.col("compose_project"))})
     number = F.substring("rule_id", 2, 1).cast("bigint")
     m = alerts.log_matches(a.rules(spark), r).withColumns({"match_id": F.col("rowid") * 10 + number, "at_s": fmt.whole(F.col("ts_ns"), 1_000_000_000)})
+    m, _ = scratch.written(m.drop("raw", "message", "labels"), "log_matches")  # firing reads them, and the alerts do: lines are parsed once
     reason = alerts.log_reason(F.col("threshold"), F.col("min_level"), F.col("pattern"), F.col("window_s"))
     return alerts.alerts(m, alerts.fire(m), reason)
 
