@@ -2,7 +2,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import components, decontaminate, embedding_dedup, simhash, substring_dedup
 
@@ -137,6 +139,21 @@ def test_substring_removal_equals_brute_force(spark, corpus, monkeypatch):
         assert sorted(map(tuple, got.collect()), key=str) == want
 
 
+def test_written_chunks_and_answers_are_read_in_small_parts(spark, tmp_path):
+    """A row group holds some MB, however many rows a task writes, and answers are no lists of numbers."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(4)
+    text = spark.range(60, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit(words(rng, 150_000)).alias("text"))
+    _, path = substring_dedup.pack(text)
+    groups = [f.metadata.row_group(i) for f in map(pq.ParquetFile, glob.glob(path.removeprefix("file://") + "/*.parquet")) for i in range(f.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 30 and max(g.total_byte_size for g in groups) < 32 << 20
+    said = substring_dedup._meet(pa.table({"chunk": [1, 2], "bucket": [0, 0], "hashes": pa.array([[5, 7], [5]], pa.list_(pa.int32())), "kinds": pa.array([[2, 0], [0]], pa.list_(pa.int8()))}))
+    assert said["said"].to_pylist() == [b"\x01\x00", b"\x01"]
+
+
 def test_forest_equals_brute_force(spark):
     rng = np.random.default_rng(6)
     rows, centre = [], rng.standard_normal((6, 32))

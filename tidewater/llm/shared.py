@@ -75,11 +75,16 @@ def shuffles_cleaned(spark: SparkSession):
         spark.conf.set(cleanup, old)
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+#: For tables with rows of up to some MB. Parquet looks at sizes only every hundred rows and makes row groups of 128 MB, which readers
+#: take in at once; with these options a page is a row or two, and a row group 16 MB.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1}
+
+
+def materialize(df: DataFrame, name: str, options: dict | None = None) -> tuple[DataFrame, str]:
     """Write to the shared folder and read again: lineage ends there, and so do the shuffle files that made it."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     with shuffles_cleaned(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

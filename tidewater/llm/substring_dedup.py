@@ -12,7 +12,7 @@ copy wherever it starts, so probes that meet no anchor of another place rule out
 3. Every candidate window that isn't the first is removed.
 
 A window that lies in a third of all rows costs a bucket one entry for each chunk, not for each row. Buckets grow in number with
-the input, so their size doesn't. Shuffle files of a step are cleaned up when its result is written.
+the input, so their size doesn't. Rows of written tables are large, so they go in small row groups. Shuffle files of a step are cleaned up when its result is written.
 
 Defined cases: null and short texts lose nothing; rows with equal doc_ids are ordered by a 64-bit hash of the text, in chunks and buckets
 alike, so results don't depend on partitions; equal rows: all but one lose all of their windows; null doc_ids come first; empty input gives no rows; other columns are not returned. Windows count as equal by two independent 64-bit
@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import inside, is_not_space, materialize, ngram_hashes, row_slices, small_batches, split_words
+from .shared import LARGE_ROWS, inside, is_not_space, materialize, ngram_hashes, row_slices, small_batches, split_words
 
 WINDOW, BLOCK = 20, 10
 CHUNK_BYTES = 2 << 20
@@ -51,7 +51,7 @@ def pack(docs: DataFrame) -> tuple[DataFrame, str]:
     """chunk, ids, texts."""
     small_batches(docs.sparkSession)
     packed = docs.select("doc_id", "text").mapInArrow(_pack, "ids array<long>, texts array<string>")
-    return materialize(packed.select(F.monotonically_increasing_id().alias("chunk"), "ids", "texts"), "chunks")
+    return materialize(packed.select(F.monotonically_increasing_id().alias("chunk"), "ids", "texts"), "chunks", LARGE_ROWS)
 
 
 class Chunk:
@@ -93,6 +93,11 @@ def _lists(values: np.ndarray, cuts: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
 
 
+def _bytes(values: np.ndarray, cuts: np.ndarray) -> pa.BinaryArray:
+    """A byte a value, cut into rows. As lists, a reader of a written table would hold several numbers for each of them."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values, np.int8))])
+
+
 def _chunks(batches):
     for b in batches:
         for i in range(b.num_rows):
@@ -144,7 +149,7 @@ def _meet(t: pa.Table) -> pa.Table:
     probes = np.bincount(g, weights=(kinds & 1) + 1, minlength=n)
     said = np.where((anchors >= 1) & (probes >= 2), np.where(anchors >= 2, 2, 1), 0).astype(np.int8)[g]
     cuts = np.concatenate(([0], np.cumsum(sizes)))
-    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "said": _lists(said, cuts, pa.int8())})
+    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "said": _bytes(said, cuts)})
 
 
 def _answers(row, column) -> np.ndarray:
@@ -153,8 +158,7 @@ def _answers(row, column) -> np.ndarray:
     if got is None or not len(got):
         return np.zeros(0, np.int8)
     order = np.argsort(got.field("bucket").to_numpy(zero_copy_only=False), kind="stable")
-    said = got.field("said").take(pa.array(order))
-    return said.flatten().to_numpy()
+    return np.frombuffer(b"".join(got.field("said").take(pa.array(order)).to_pylist()), np.int8)
 
 
 def _hits(row, texts):
@@ -225,7 +229,7 @@ def _earliest(t: pa.Table) -> pa.Table:
     said = np.zeros(len(h), np.int8)
     said[order[first]] = 1
     cuts = np.concatenate(([0], np.cumsum(sizes)))
-    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "said": _lists(said, cuts, pa.int8())})
+    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "said": _bytes(said, cuts)})
 
 
 def _remove(batches):
@@ -256,14 +260,14 @@ def _remove(batches):
 
 def _reply(said: DataFrame, name: str) -> tuple[DataFrame, str]:
     by_chunk = said.groupBy(F.col("chunk").alias("chunk_")).agg(F.collect_list(F.struct("bucket", "said")).alias(name))
-    return materialize(by_chunk, name)
+    return materialize(by_chunk, name, LARGE_ROWS)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words, joined by one space)."""
     chunks, _ = pack(docs)
     buckets = max(LEAST_BUCKETS, -(-chunks.count() // CHUNKS_PER_BUCKET))
-    kind = "chunk long, bucket long, said array<tinyint>"
+    kind = "chunk long, bucket long, said binary"
     sent = chunks.mapInArrow(_anchors(buckets), "bucket long, chunk long, hashes array<int>, kinds array<tinyint>")
     hits, _ = _reply(sent.groupBy("bucket").applyInArrow(_meet, kind), "hits")
     with_hits = chunks.join(hits, F.col("chunk") == F.col("chunk_"), "left").drop("chunk_")
