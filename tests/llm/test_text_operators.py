@@ -285,3 +285,21 @@ def test_cuts():
     assert ends[-1] == len(ids) and sizes.max() <= token_store.MOST and sizes[:-1].min() >= token_store.LEAST
     shifted = token_store.cuts(np.concatenate((rng.integers(0, 49000, 777), ids)))
     assert len({e - 777 for e in shifted} & set(ends)) > 0.8 * len(ends)  # cuts follow the content
+
+
+def test_tokens_that_give_nothing_wanted_are_not_decoded(monkeypatch):
+    """What is found is the same as without leaving out; of letters alone, only tokens that may give something wanted are decoded."""
+    rng = np.random.default_rng(3)
+    decoder = toxicity.Decoder(np.log(rng.dirichlet(np.ones(28), 28**3)).reshape(28, 28, 28, 28))
+    wanted = frozenset({"loser$", "lose", "moron", "book$", "aab$", "feeb"})
+    alphabet, tokens = list("looserbkmnaaef1!é."), set()
+    for _ in range(4000):
+        tokens.add("".join(rng.choice(alphabet, rng.integers(1, 9))))
+    tokens |= {"loooser", "loosers", "book", "boook", "bok", "moroon", "moroons", "aaab", "feeeble", "(looser!)", "letter", "losser", "ééloser"}
+    find = toxicity.Features(decoder, wanted)
+    for t in sorted(tokens):
+        assert set(find.of_token(t)) == toxicity.features(decoder.token_words(t)) & wanted, t
+    asked = []
+    monkeypatch.setattr(decoder, "decode", lambda span: asked.append(span) or span)
+    find("letters bottle looser assess")
+    assert asked == ["looser"]

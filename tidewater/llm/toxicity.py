@@ -183,11 +183,14 @@ class Decoder:
 
     def piece_runs(self, tokens: list[str]) -> set[str]:
         """Runs of pieces; tokens in the text's order."""
-        out, run = set(), []
+        out, run, known = set(), [], self.pieces.get
         for t in tokens:
-            if len(t) < 8 and (p := self.piece(t)):
-                run.append(p)
-            elif run:
+            if len(t) < 8:
+                p = known(t)
+                if p or p is None and (p := self.piece(t)):
+                    run.append(p)
+                    continue
+            if run:
                 if len(run) > 1:
                     out.add(" ".join(run))
                 run = []
@@ -213,12 +216,25 @@ class Features:
     """Words and stems of a restored text, of those wanted (None: all); what a token gives is kept in a cache of bounded size.
 
     A run of pieces is decoded only if it may give something wanted. Of letters alone, all that it can give is its letters without some
-    spaces and doubled letters, so with both left out on both sides, what is wanted must be within it.
+    spaces and doubled letters, so with both left out on both sides, what is wanted must be within it. So is a token: of letters alone, it
+    gives one word, which begins with what is wanted, doubled letters left out on both sides.
     """
 
     def __init__(self, decoder: Decoder, wanted=None, most: int = 600_000):
         self.decoder, self.wanted, self.most, self.cache, self.runs = decoder, wanted, most, {}, {}
         self.near = None if wanted is None else re.compile("|".join(sorted({re.escape(_SAME.sub(r"\1", f.rstrip("$"))) for f in wanted})) or r"(?!)")
+        short = lambda words: frozenset(_SAME.sub(r"\1", w) for w in words)
+        self.stems, self.whole = (None, None) if wanted is None else (short(f for f in wanted if not f.endswith("$")), short(f[:-1] for f in wanted if f.endswith("$")))
+
+    def of_token(self, token: str) -> tuple:
+        t = token if token.isalpha() else bare(token)
+        if self.wanted is not None and t.isalpha():
+            if not _DOUBLED.search(t):
+                return tuple(f for f in (t + "$", *[t[:n] for n in STEMS if len(t) > n]) if f in self.wanted)
+            s = _SAME.sub(r"\1", t)
+            if s not in self.whole and not any(s[:n] in self.stems for n in range(1, max(STEMS) + 1)):
+                return ()
+        return self.of_words(self.decoder.token_words(token))
 
     def of_run(self, run: str) -> tuple:
         letters = run.replace(" ", "")
@@ -239,10 +255,11 @@ class Features:
         if len(cache) + len(self.runs) > self.most:
             cache.clear()
             self.runs.clear()
-        for t in [t for t in tokens if t not in cache]:
-            cache[t] = self.of_words(self.decoder.token_words(t))
+        known = cache.get
         for t in tokens:
-            if f := cache[t]:
+            if (f := known(t)) is None:
+                f = cache[t] = self.of_token(t)
+            if f:
                 out.update(f)
         if words := self.decoder.run_words(text):
             out.update(self.of_words(words))
